@@ -124,3 +124,100 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 2, id_co
 
 def hex16(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+#: Near copies: five-word shingles in sections of eight on average; each text offers its ten smallest section fingerprints.
+SECTION, OFFERED, REPRESENTATIVES = 8, 10, 3
+
+
+def text_sections(hashes: np.ndarray) -> list[int]:
+    """SimHash fingerprints of a text's sections. A section ends after a shingle whose hash is divisible by
+    SECTION, so texts that share words share sections, wherever they stand."""
+    if not len(hashes):
+        return [0]
+    ends = np.flatnonzero(hashes % np.uint64(SECTION) == 0) + 1
+    starts = np.unique(np.concatenate([[0], ends[ends < len(hashes)]]))
+    out: set[int] = set()
+    for i in range(0, len(starts), 1024):
+        part = starts[i : i + 1024]
+        stop = starts[i + 1024] if i + 1024 < len(starts) else len(hashes)
+        b = BYTE_BITS[hashes[part[0] : stop].astype("<u8").view(np.uint8).reshape(-1, 8)].reshape(-1, BITS)
+        sums = np.add.reduceat(2 * b - 1, part - part[0], axis=0)
+        out.update(np.packbits(sums > 0, axis=1, bitorder="little").view("<u8")[:, 0].tolist())
+    return sorted(out, key=lambda x: (x * 0x9E3779B97F4A7C15) & (1 << 64) - 1)[:OFFERED]
+
+
+def _sketches(docs: DataFrame, shingle: int) -> DataFrame:
+    """(id, digest, again, fps, bag): digests of the words, section fingerprints, and all distinct shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            d, a, fps, bags = [], [], [], []
+            for t in utf8(b.column(1)):
+                w = words(t)
+                joined = b" ".join(w)
+                h = shingle_hashes(w, shingle)
+                d.append(xxhash.xxh64_intdigest(joined, 1)), a.append(xxhash.xxh64_intdigest(joined, 2))
+                fps.append(np.array(text_sections(h), np.uint64).view(np.int64))
+                bags.append(np.unique((h >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+            big = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), big(d), big(a), pa.array(fps, pa.list_(pa.int64())), pa.array(bags, pa.list_(pa.int32()))], names=["id", "digest", "again", "fps", "bag"])
+
+    kind = docs.schema["id"].dataType.simpleString()
+    return docs.mapInArrow(run, f"id {kind}, digest long, again long, fps array<long>, bag array<int>")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, least: float = 0.8, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, group): group is the smallest id among the texts reachable by links of Jaccard similarity `least`
+    or more over distinct five-word shingles (32 bits each). One row for every row of docs.
+
+    A SimHash of a whole text can't find such pairs: at 0.8 about ten of 64 bits differ, and a covering
+    family for that radius has thousands of tables. So texts are cut into content-defined sections, each
+    with its own SimHash; the ten smallest of a text (by a fixed scrambling) enter the covering tables, and
+    texts that meet in any table are candidates, which are verified exactly. Two texts at 0.8 share
+    about half of their sections, so all ten differ in one pair of a thousand.
+
+    Copies of one text (equal words) are one text from the start. Buckets of up to SMALL_BUCKET texts have
+    all pairs verified. In larger ones each text is verified against the text that shares most buckets (an
+    original shares more than its altered copies) and three picked by hash: links, not pairs, so work grows with
+    the texts. Wordless texts, null ones among them, are copies of each other. Rows with a null id get the
+    group of their text.
+    """
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    sketches = stored(_sketches(texts, shingle), "sketches")
+    copies = sketches.groupBy("digest", "again").agg(F.min("id").alias("node"))
+    unique = sketches.join(copies, ["digest", "again"]).where("id = node").dropDuplicates(["node"]).select("node", "fps", "bag")
+    tables = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(signed(m)).alias("mask")) for t, m in enumerate(covering_masks(radius))])
+    keys = (
+        unique.select("node", F.size("bag").alias("size"), F.explode("fps").alias("fp")).select("node", "size", "fp", F.explode(tables).alias("m"))
+        .select("node", "size", F.col("m.t").alias("t"), F.col("fp").bitwiseAND(F.col("m.mask")).alias("key")).distinct()
+    )
+    keys = stored(keys, "keys")
+    shared = keys.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
+    met = keys.join(shared, ["t", "key"])
+    alike = f"least(x.size, y.size) >= {least} * greatest(x.size, y.size)"
+    pairs = (
+        met.where(F.col("n") <= SMALL_BUCKET).groupBy("t", "key").agg(F.collect_list(F.struct("node", "size")).alias("p"))
+        .select(F.explode(F.expr(f"flatten(transform(p, x -> transform(filter(p, y -> y.node > x.node and {alike}), y -> struct(x.node as a, y.node as b))))")).alias("e"))
+        .select("e.a", "e.b")
+    )
+    hot = met.where(F.col("n") > SMALL_BUCKET)
+    ranked = hot.join(hot.groupBy("node").agg(F.count("*").alias("times")), "node")
+    picks = [F.max_by("node", F.struct("times", "node"))] + [F.min_by("node", F.xxhash64("node", F.lit(i))) for i in range(REPRESENTATIVES)]
+    stars = ranked.groupBy("t", "key").agg(F.array_distinct(F.array(*picks)).alias("r"))
+    spread = hot.join(stars, ["t", "key"]).select("node", F.explode("r").alias("r")).where("node != r").select(F.least("node", "r").alias("a"), F.greatest("node", "r").alias("b"))
+    candidates = pairs.union(spread).distinct()
+    left, right = (unique.select(F.col("node").alias(c), F.col("bag").alias(f"bag_{c}")) for c in "ab")
+    both = F.size(F.array_intersect("bag_a", "bag_b"))
+    links = candidates.join(left, "a").join(right, "b").withColumn("both", both).where(F.col("both") >= least * (F.size("bag_a") + F.size("bag_b") - F.col("both"))).select("a", "b")
+    comps = connected_components(links)
+    named = copies.join(comps, "node", "left").select("digest", "again", F.coalesce("component", "node").alias("group"))
+    return sketches.select("id", "digest", "again").join(named, ["digest", "again"]).select(F.col("id").alias(id_col), "group")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """docs with one row of each group of near copies: that of the smallest id. Of rows with equal ids that
+    head a group one stays, and of rows with null ids those stay whose text no row with an id has a near copy of."""
+    groups = near_duplicates(docs, id_col=id_col, text_col=text_col, **settings).select(id_col, "group").where(F.col(id_col).eqNullSafe(F.col("group"))).select(id_col).distinct()
+    kept = docs.join(groups.withColumnRenamed(id_col, "_id"), F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+    return kept.dropDuplicates([id_col])
