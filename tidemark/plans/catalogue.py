@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import importlib
+import pkgutil
 
-from pyspark.sql import DataFrame, SparkSession
+import tidemark.plans as plans
+from tidemark.plans.registry import ORACLES, QUERIES, Query
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def _load() -> None:
+    for module in pkgutil.iter_modules(plans.__path__):
+        if module.name.startswith("q_"):
+            importlib.import_module(f"tidemark.plans.{module.name}")
+
+
+def queries() -> dict[str, Query]:
+    _load()
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(ORACLES)
