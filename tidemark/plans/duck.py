@@ -14,9 +14,9 @@ EPS = "1e-12"
 
 
 def intraday(minutes: int, name: str = "ibars") -> str:
-    return f"""{name} AS (SELECT market, to_timestamp(epoch(ts)::BIGINT // {60 * minutes} * {60 * minutes})::TIMESTAMP AS ts, first(cents ORDER BY ts, event_id) / 100.0 AS open, max(cents) / 100.0 AS high,
+    return f"""{name} AS (SELECT market, to_timestamp((epoch_us(ts) // 1000000) // {60 * minutes} * {60 * minutes})::TIMESTAMP AS ts, first(cents ORDER BY ts, event_id) / 100.0 AS open, max(cents) / 100.0 AS high,
  min(cents) / 100.0 AS low, last(cents ORDER BY ts, event_id) / 100.0 AS close, sum(volume) AS volume, sum(cents * volume) / 100.0 AS quote_volume, count(*) AS trades
- FROM trades GROUP BY market, to_timestamp(epoch(ts)::BIGINT // {60 * minutes} * {60 * minutes}))"""
+ FROM trades GROUP BY market, to_timestamp((epoch_us(ts) // 1000000) // {60 * minutes} * {60 * minutes}))"""
 
 
 def frame(n: int, last: int = 0, by: str = "market", order: str = "day") -> str:
