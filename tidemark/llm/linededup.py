@@ -16,11 +16,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import utf8
+from tidemark.llm.common import stored, utf8
 
 MIN_WORDS, LONG_LINE, EDGE = 12, 30, 12
 MOD, BASE = (1 << 61) - 1, 0x9E3779B97F4A7C15 >> 3
@@ -79,24 +80,41 @@ def _chunk_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.col("__tm_th").alias("th"), text_col).mapInArrow(run, f"id {kind}, th long, start int, n int, ch long")
 
 
+def _packed(docs: DataFrame, text_col: str) -> DataFrame:
+    """docs with the text compressed: texts are what is shuffled, so this halves the shuffles."""
+    at = docs.columns.index(text_col)
+    schema = T.StructType([T.StructField(f.name, T.BinaryType()) if i == at else f for i, f in enumerate(docs.schema.fields)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for b in batches:
+            cols = list(b.columns)
+            cols[at] = pa.array([None if t is None else squeeze(t) for t in cols[at].cast(pa.large_binary()).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
 def _with_bodies(texts: DataFrame, kind: str) -> DataFrame:
     """(ch, id, th, start, n, kept, body, before, after) of the passages asked for in texts.wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
             at, rows = [], []
-            for i, (text, wanted) in enumerate(zip(utf8(b.column(2)), b.column(3).to_pylist())):
-                lines = [x.strip() for x in text.split(b"\n")]
+            for i, (text, wanted) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
+                lines = [x.strip() for x in unpack(text).split(b"\n")]
                 for w in wanted:
                     s, e = w["start"], w["start"] + w["n"]
                     before = [x for x in lines[max(0, s - EDGE) : s] if x][::-1]
                     after = [x for x in lines[e : e + EDGE] if x]
-                    at.append(i), rows.append((w["ch"], s, w["n"], w["kept"], chunk_body(lines[s:e]), before, after))
+                    edges = [[xxhash.xxh64_intdigest(x) - (1 << 63) for x in side] for side in (before, after)]
+                    at.append(i), rows.append((w["ch"], s, w["n"], w["kept"], chunk_body(lines[s:e]), *edges))
             take, cols = pa.array(at, pa.int64()), list(zip(*rows)) if rows else [[]] * 7
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.binary())]
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["id", "th", "ch", "start", "n", "kept", "body", "before", "after"])
 
-    return texts.mapInArrow(run, f"id {kind}, th long, ch long, start int, n int, kept boolean, body binary, before array<binary>, after array<binary>")
+    return texts.mapInArrow(run, f"id {kind}, th long, ch long, start int, n int, kept boolean, body binary, before array<long>, after array<long>")
 
 
 def _same_prefix(a: str, b: str) -> str:
@@ -113,13 +131,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     text stays null. Rows equal in id and text are one document: they keep or lose the same passages. A
     null id sorts before all others. Columns with the names above are replaced, others pass.
 
-    Texts are shuffled twice (those with repeated passages, then all, to cut); else only hashes move. A
+    Texts are shuffled twice, compressed (to find the passages' bytes, and to cut them); else hashes move. A
     passage that thousands of texts share is a key of one kept row against many, which adaptive skew
     handling splits; only minima and counts are grouped.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     docs = _key(docs.drop("n_removed_lines", "n_removed_words", "kept_in"), text_col)
-    chunks = _chunk_rows(docs, id_col, text_col)
+    chunks = stored(_chunk_rows(docs, id_col, text_col), "chunks")
+    packed = _packed(docs, text_col)
     place = F.struct("id", "th", "start")
     repeated = chunks.groupBy("ch").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")
     wanted = (
@@ -127,43 +146,46 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         .groupBy("id", "th").agg(F.collect_set("w").alias("wanted")).withColumnsRenamed({"id": "__tm_id", "th": "__tm_own"})
     )
     own = (F.col(id_col).eqNullSafe(F.col("__tm_id"))) & (F.col("__tm_th") == F.col("__tm_own"))
-    texts = docs.select(id_col, "__tm_th", text_col).dropDuplicates([id_col, "__tm_th"]).join(wanted, own).select(F.col(id_col).alias("id"), F.col("__tm_th").alias("th"), text_col, "wanted")
-    bodies = _with_bodies(texts, kind)
-    first = bodies.where("kept").select("ch", F.col("id").alias("first_id"), *(F.col(c).alias(f"first_{c}") for c in ("body", "before", "after")))
+    texts = packed.select(id_col, "__tm_th", text_col).join(wanted, own).select(F.col(id_col).alias("id"), F.col("__tm_th").alias("th"), text_col, "wanted")
+    bodies = stored(_with_bodies(texts, kind), "passages")
+    first = bodies.where("kept").select("ch", F.col("id").alias("first_id"), *(F.col(c).alias(f"first_{c}") for c in ("body", "before", "after"))).dropDuplicates(["ch"])
     cuts = (
         bodies.where("not kept").join(first, "ch").where("body = first_body")
         .select("id", "th", F.struct("start", "n", F.expr(_same_prefix("before", "first_before")).cast("int").alias("up"), F.expr(_same_prefix("after", "first_after")).cast("int").alias("down"), "first_id").alias("cut"))
         .groupBy("id", "th").agg(F.collect_list("cut").alias("__tm_cuts")).withColumnsRenamed({"id": "__tm_id", "th": "__tm_own"})
     )
     keep = [c for c in docs.columns if c != "__tm_th"]
-    joined = docs.join(cuts, own, "left").select(*keep, "__tm_cuts")
+    joined = packed.join(cuts, own, "left").select(*keep, "__tm_cuts")
     return _cut(joined, keep, id_col, text_col)
 
 
 def _cut(docs: DataFrame, keep: list[str], id_col: str, text_col: str) -> DataFrame:
     schema = docs.select(*keep).schema.add("n_removed_lines", "long").add("n_removed_words", "long").add("kept_in", T.ArrayType(docs.schema[id_col].dataType))
     text_at = keep.index(text_col)
+    schema.fields[text_at] = T.StructField(text_col, T.StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
             texts, n_lines, n_words, kept_in = [], [], [], []
-            for text, cuts in zip(b.column(text_at).to_pylist(), b.column(len(keep)).to_pylist()):
-                out, gone, ids = text, set(), set()
+            for blob, cuts in zip(b.column(text_at).to_pylist(), b.column(len(keep)).to_pylist()):
+                out = text = None if blob is None else unpack(blob)
+                gone, ids = set(), set()
                 if cuts and text is not None:
-                    lines = text.encode().split(b"\n")
+                    lines = text.split(b"\n")
                     full = [i for i, x in enumerate(lines) if x.strip()]
                     for c in cuts:
                         s, e = c["start"], c["start"] + c["n"]
                         lo, hi = np.searchsorted(full, s), np.searchsorted(full, e)
                         gone.update(range(s, e), full[max(0, lo - c["up"]) : lo], full[hi : hi + c["down"]])
                         ids.add(c["first_id"])
-                    out = b"\n".join(x for i, x in enumerate(lines) if i not in gone).decode()
+                    out = b"\n".join(x for i, x in enumerate(lines) if i not in gone)
                     n_words.append(sum(len(lines[i].split()) for i in gone))
                 else:
                     n_words.append(0)
                 texts.append(out), n_lines.append(len(gone)), kept_in.append(sorted(ids, key=lambda x: (x is not None, x)))
             cols = list(b.columns[: len(keep)])
-            cols[text_at] = pa.array(texts, b.schema.field(text_at).type)
+            cols[text_at] = pa.array(texts, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([*cols, pa.array(n_lines, pa.int64()), pa.array(n_words, pa.int64()), pa.array(kept_in, pa.list_(b.schema.field(len(keep)).type.value_type.field("first_id").type))], names=[*keep, "n_removed_lines", "n_removed_words", "kept_in"])
 
     return docs.mapInArrow(run, schema)
