@@ -178,18 +178,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, least: float = 0.8, radiu
     about half of their sections, so all ten differ in one pair of a thousand.
 
     Copies of one text (equal words) are one text from the start. Buckets of up to SMALL_BUCKET texts have
-    all pairs verified. In larger ones each text is verified against the text that shares most buckets (an
-    original shares more than its altered copies) and three picked by hash: links, not pairs, so work grows with
-    the texts. Wordless texts, null ones among them, are copies of each other. Rows with a null id get the
+    all pairs verified. In larger ones each text is verified against the texts whose buckets are all shared (an
+    original, unlike its altered copies, has no section of its own) and three picked by hash: links, not
+    pairs, so work grows with the texts. Wordless texts, null ones among them, are copies of each other. Rows with a null id get the
     group of their text.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sketches = stored(_sketches(texts, shingle), "sketches")
     copies = sketches.groupBy("digest", "again").agg(F.min("id").alias("node"))
-    unique = sketches.join(copies, ["digest", "again"]).where("id = node").dropDuplicates(["node"]).select("node", "fps", "bag")
+    heads = sketches.select("id", "digest", "again", "fps", F.size("bag").alias("size")).join(copies, ["digest", "again"]).where("id = node").dropDuplicates(["node"])
     tables = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(signed(m)).alias("mask")) for t, m in enumerate(covering_masks(radius))])
     keys = (
-        unique.select("node", F.size("bag").alias("size"), F.explode("fps").alias("fp")).select("node", "size", "fp", F.explode(tables).alias("m"))
+        heads.select("node", "size", F.explode("fps").alias("fp")).select("node", "size", "fp", F.explode(tables).alias("m"))
         .select("node", "size", F.col("m.t").alias("t"), F.col("fp").bitwiseAND(F.col("m.mask")).alias("key")).distinct()
     )
     keys = stored(keys, "keys")
@@ -202,12 +202,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, least: float = 0.8, radiu
         .select("e.a", "e.b")
     )
     hot = met.where(F.col("n") > SMALL_BUCKET)
-    ranked = hot.join(hot.groupBy("node").agg(F.count("*").alias("times")), "node")
-    picks = [F.max_by("node", F.struct("times", "node"))] + [F.min_by("node", F.xxhash64("node", F.lit(i))) for i in range(REPRESENTATIVES)]
+    ranked = hot.join(met.groupBy("node").agg(F.count("*").alias("times")), "node")
+    picks = [F.max_by("node", F.struct("times", "node")), F.max_by("node", F.struct("times", -F.col("node")))] + [F.min_by("node", F.xxhash64("node", F.lit(i))) for i in range(REPRESENTATIVES)]
     stars = ranked.groupBy("t", "key").agg(F.array_distinct(F.array(*picks)).alias("r"))
     spread = hot.join(stars, ["t", "key"]).select("node", F.explode("r").alias("r")).where("node != r").select(F.least("node", "r").alias("a"), F.greatest("node", "r").alias("b"))
-    candidates = pairs.union(spread).distinct()
-    left, right = (unique.select(F.col("node").alias(c), F.col("bag").alias(f"bag_{c}")) for c in "ab")
+    candidates = stored(pairs.union(spread).distinct(), "candidates")
+    asked = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    bags = stored(sketches.select("id", "bag").join(asked, "id").dropDuplicates(["id"]), "bags")
+    left, right = (bags.select(F.col("id").alias(c), F.col("bag").alias(f"bag_{c}")) for c in "ab")
     both = F.size(F.array_intersect("bag_a", "bag_b"))
     links = candidates.join(left, "a").join(right, "b").withColumn("both", both).where(F.col("both") >= least * (F.size("bag_a") + F.size("bag_b") - F.col("both"))).select("a", "b")
     comps = connected_components(links)
@@ -217,7 +219,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, least: float = 0.8, radiu
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """docs with one row of each group of near copies: that of the smallest id. Of rows with equal ids that
-    head a group one stays, and of rows with null ids those stay whose text no row with an id has a near copy of."""
-    groups = near_duplicates(docs, id_col=id_col, text_col=text_col, **settings).select(id_col, "group").where(F.col(id_col).eqNullSafe(F.col("group"))).select(id_col).distinct()
-    kept = docs.join(groups.withColumnRenamed(id_col, "_id"), F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
-    return kept.dropDuplicates([id_col])
+    head a group one stays. Rows with a null id can't be told apart or named by a group: they all stay."""
+    named = docs.where(F.col(id_col).isNotNull())
+    kept = near_duplicates(named, id_col=id_col, text_col=text_col, **settings).where(F.col(id_col) == F.col("group")).select(id_col).distinct()
+    return named.join(kept, id_col, "left_semi").dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
