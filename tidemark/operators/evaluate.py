@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.functions.windows import average_rank
 
-DAY = Window.partitionBy("day")
+def day_window() -> WindowSpec:
+    return Window.partitionBy("day")
 
 
 def reliability(rows: DataFrame, p: str, y: str, bins: int = 10) -> DataFrame:
@@ -44,7 +45,7 @@ def auc(rows: DataFrame, p: str, y: str, *by: str) -> DataFrame:
 def ndcg(rows: DataFrame, score: str, y: str, k: int = 3) -> DataFrame:
     """Per day, with binary gain; days without a positive are left out."""
     gain = lambda r: F.when(r <= k, 1 / F.log2(r + 1)).otherwise(0.0)
-    ranked = rows.withColumns({"r_": F.row_number().over(DAY.orderBy(F.round(score, 9).desc(), "market")), "i_": F.row_number().over(DAY.orderBy(F.desc(y), "market"))})
+    ranked = rows.withColumns({"r_": F.row_number().over(day_window().orderBy(F.round(score, 9).desc(), "market")), "i_": F.row_number().over(day_window().orderBy(F.desc(y), "market"))})
     per = ranked.groupBy("day").agg(F.sum(gain(F.col("r_")) * F.col(y)).alias("dcg"), F.sum(gain(F.col("i_")) * F.col(y)).alias("ideal"))
     return per.where("ideal > 0").withColumn("ndcg", F.col("dcg") / F.col("ideal"))
 

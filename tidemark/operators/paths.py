@@ -6,10 +6,11 @@ each entry is sent to the dates that its window touches, so no side is ever comp
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-PATH = Window.partitionBy("entry_id").orderBy("idx")
+def path_window() -> WindowSpec:
+    return Window.partitionBy("entry_id").orderBy("idx")
 
 
 def next_boundary(ts: Column, seconds: int = 900) -> Column:
@@ -39,7 +40,7 @@ def prior_close(entries_: DataFrame, bars: DataFrame) -> DataFrame:
 
 
 def with_entry_price(paths: DataFrame) -> DataFrame:
-    return paths.withColumn("entry", F.first("open").over(PATH))
+    return paths.withColumn("entry", F.first("open").over(path_window()))
 
 
 def first_touch(paths: DataFrame, stop: float | Column, target: float | Column) -> DataFrame:
@@ -82,7 +83,7 @@ def ladder(paths: DataFrame, floor: float, arms: list[tuple[float, float]]) -> D
 
 def trailing(paths: DataFrame, arm: float, trail: float, stop: float, target: float, last_idx: int) -> DataFrame:
     """Trailing exit: the running high rises before the same bar is tested. Of one bar, stop, trail, target, time is the order."""
-    p = with_entry_price(paths).withColumn("high_", F.max("high").over(PATH.rowsBetween(Window.unboundedPreceding, 0)))
+    p = with_entry_price(paths).withColumn("high_", F.max("high").over(path_window().rowsBetween(Window.unboundedPreceding, 0)))
     e = F.col("entry")
     rule = (
         F.when(F.col("low") <= e * (1 - stop), F.struct(F.lit("stop").alias("reason"), F.lit(-stop).alias("gross")))
@@ -121,7 +122,7 @@ def grid(entries_: DataFrame, bars: DataFrame, steps: int = 16) -> DataFrame:
     """The expected bar starts of each entry with the observed bar or a flat one from the close before."""
     g = entries_.select("entry_id", "market", "start", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("idx")).withColumn("ts", F.timestamp_seconds(F.unix_seconds("start") + F.col("idx") * 900))
     rows = g.join(bars.select("market", "ts", "open", "high", "low", "close"), ["market", "ts"], "left").join(prior_close(entries_, bars).select("entry_id", "prior"), "entry_id")
-    filled = F.coalesce("close", F.last("close", ignorenulls=True).over(PATH.rowsBetween(Window.unboundedPreceding, 0)), "prior")
+    filled = F.coalesce("close", F.last("close", ignorenulls=True).over(path_window().rowsBetween(Window.unboundedPreceding, 0)), "prior")
     return rows.withColumns({"close_f": filled, "observed": F.col("close").isNotNull()})
 
 

@@ -7,14 +7,20 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-SERIES = Window.partitionBy("series").orderBy("day")
-RUNNING = SERIES.rowsBetween(Window.unboundedPreceding, 0)
 YEAR = 365
 
 
+def series_window() -> WindowSpec:
+    return Window.partitionBy("series").orderBy("day")
+
+
+def running() -> WindowSpec:
+    return series_window().rowsBetween(Window.unboundedPreceding, 0)
+
+
 def daily_returns(ledger: DataFrame, series: str = "model_id", until: str | None = None) -> DataFrame:
     """(series, day, ret): day-equal mean return on a calendar without gaps; idle days are zero. Nothing after `until` counts."""
     rows = ledger.where("status = 'closed'").withColumnRenamed(series, "series")
@@ -26,9 +32,9 @@ def daily_returns(ledger: DataFrame, series: str = "model_id", until: str | None
 
 def equity(returns: DataFrame) -> DataFrame:
     """Compounded equity from one, its running peak (one included), and the drawdown."""
-    e = F.exp(F.sum(F.log1p("ret")).over(RUNNING))
+    e = F.exp(F.sum(F.log1p("ret")).over(running()))
     out = returns.withColumn("equity", e)
-    return out.withColumn("peak", F.greatest(F.max("equity").over(RUNNING), F.lit(1.0))).withColumn("drawdown", F.col("equity") / F.col("peak") - 1)
+    return out.withColumn("peak", F.greatest(F.max("equity").over(running()), F.lit(1.0))).withColumn("drawdown", F.col("equity") / F.col("peak") - 1)
 
 
 def ratios(returns: DataFrame) -> DataFrame:
@@ -96,7 +102,7 @@ def against_benchmark(returns: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drawdown_episodes(returns: DataFrame, top: int = 3) -> DataFrame:
     """The deepest episodes of each series: from the first day under the peak to recovery or the open end."""
-    e = equity(returns).withColumn("at_peak", F.col("drawdown") >= -1e-12).withColumn("island", F.sum(F.col("at_peak").cast("int")).over(RUNNING))
+    e = equity(returns).withColumn("at_peak", F.col("drawdown") >= -1e-12).withColumn("island", F.sum(F.col("at_peak").cast("int")).over(running()))
     last = e.groupBy("series").agg(F.max("day").alias("end"))
     ep = e.where(~F.col("at_peak")).groupBy("series", "island").agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.min("drawdown").alias("depth"), F.min_by("day", "drawdown").alias("valley"), F.count("*").alias("length"))
     ep = ep.join(last, "series").withColumn("recovered", F.col("last_day") < F.col("end"))
@@ -104,7 +110,7 @@ def drawdown_episodes(returns: DataFrame, top: int = 3) -> DataFrame:
 
 
 def rolling_sharpe(returns: DataFrame, n: int = 30) -> DataFrame:
-    w = SERIES.rowsBetween(-(n - 1), 0)
+    w = series_window().rowsBetween(-(n - 1), 0)
     return returns.withColumn("rolling_sharpe", F.when((F.count("ret").over(w) >= n) & (F.stddev_samp("ret").over(w) > 0), F.avg("ret").over(w) / F.stddev_samp("ret").over(w) * math.sqrt(YEAR)))
 
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.functions.windows import EPS, lag, pct_rank, roll, series
 from tidemark.operators.features import ret
 
-BY_DAY = Window.orderBy("day")  # over one row a day: a market-wide series, not rows of the data
+def by_day() -> WindowSpec:
+    """Over one row a day: a market-wide series, not rows of the data."""
+    return Window.orderBy("day")
+
 
 
 def breadth(bars: DataFrame, pump: float = 0.1) -> DataFrame:
@@ -21,21 +24,21 @@ def breadth(bars: DataFrame, pump: float = 0.1) -> DataFrame:
 
 
 def _last(agg, x: str, n: int) -> Column:
-    w = BY_DAY.rowsBetween(-(n - 1), 0)
+    w = by_day().rowsBetween(-(n - 1), 0)
     return F.when(F.count(x).over(w) >= n, agg(x).over(w))
 
 
 def breadth_trend(days: DataFrame) -> DataFrame:
     return days.withColumns({
-        "breadth_lag1": F.lag("breadth").over(BY_DAY), "breadth_ma3": _last(F.avg, "breadth", 3), "breadth_ma7": _last(F.avg, "breadth", 7),
+        "breadth_lag1": F.lag("breadth").over(by_day()), "breadth_ma3": _last(F.avg, "breadth", 3), "breadth_ma7": _last(F.avg, "breadth", 7),
         "turnover_trend": F.when(_last(F.avg, "turnover", 30).isNotNull(), _last(F.avg, "turnover", 7)) / _last(F.avg, "turnover", 30),
-        "breadth_z30": (F.col("breadth") - _last(F.avg, "breadth", 30)) / (_last(F.stddev_samp, "breadth", 30) + EPS), "momentum": F.col("breadth") - F.lag("breadth", 3).over(BY_DAY),
+        "breadth_z30": (F.col("breadth") - _last(F.avg, "breadth", 30)) / (_last(F.stddev_samp, "breadth", 30) + EPS), "momentum": F.col("breadth") - F.lag("breadth", 3).over(by_day()),
     })
 
 
 def day_gate(days: DataFrame, regimes: DataFrame) -> DataFrame:
-    before = regimes.select("day", F.lag("btc_regime").over(BY_DAY).alias("regime_yday"))
-    rows = days.withColumns({"pumps_yday": F.lag("pumps").over(BY_DAY), "med_ret_yday": F.lag("med_ret").over(BY_DAY), "advancers_avg3": F.avg("advancers").over(BY_DAY.rowsBetween(-3, -1))})
+    before = regimes.select("day", F.lag("btc_regime").over(by_day()).alias("regime_yday"))
+    rows = days.withColumns({"pumps_yday": F.lag("pumps").over(by_day()), "med_ret_yday": F.lag("med_ret").over(by_day()), "advancers_avg3": F.avg("advancers").over(by_day().rowsBetween(-3, -1))})
     return rows.join(before, "day", "left")
 
 

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.functions.windows import pct_rank
 
-DAY = Window.partitionBy("day")
 #: Send policies: a name and the predicate of a ranked row.
 POLICIES = {"all": "true", "rank1": "rk <= 1", "rank2": "rk <= 2", "rank3_no_dump": "rk <= 3 and not dump", "rr75": "rr >= 0.75", "p20": "p_up20 >= 0.03"}
 
 
+def day_window() -> WindowSpec:
+    return Window.partitionBy("day")
+
+
 def heads(scored: DataFrame) -> DataFrame:
     """Stand-in head probabilities of scored rows: two clipped ranks and what is derived from them."""
     rows = scored.withColumns({"a_": pct_rank("score", "day"), "b_": pct_rank("r1", "day")})
@@ -21,12 +24,12 @@ def heads(scored: DataFrame) -> DataFrame:
 
 
 def order_risk_reward(rows: DataFrame) -> DataFrame:
-    w = DAY.orderBy(F.desc("rr"), F.asc("p_dn10"), F.desc("p_up10"), F.desc("exp_downside"), "market")
+    w = day_window().orderBy(F.desc("rr"), F.asc("p_dn10"), F.desc("p_up10"), F.desc("exp_downside"), "market")
     return rows.withColumn("rk", F.row_number().over(w))
 
 
 def order_penalised(rows: DataFrame, penalty: float) -> DataFrame:
-    return rows.withColumn("pen", F.round(F.col("p_up10") - penalty * F.col("p_dn5"), 6)).withColumn("rk", F.row_number().over(DAY.orderBy(F.desc("pen"), "market")))
+    return rows.withColumn("pen", F.round(F.col("p_up10") - penalty * F.col("p_dn5"), 6)).withColumn("rk", F.row_number().over(day_window().orderBy(F.desc("pen"), "market")))
 
 
 def with_dump_flag(rows: DataFrame) -> DataFrame:
@@ -37,8 +40,8 @@ def with_dump_flag(rows: DataFrame) -> DataFrame:
 
 def reselect(rows: DataFrame, k: int) -> DataFrame:
     """The k first of each day with flagged rows demoted, then in their first order again."""
-    chosen = rows.withColumn("slot_", F.row_number().over(DAY.orderBy(F.col("dump").cast("int"), "rk"))).where(F.col("slot_") <= k)
-    return chosen.withColumn("rk2", F.row_number().over(DAY.orderBy("rk"))).drop("slot_")
+    chosen = rows.withColumn("slot_", F.row_number().over(day_window().orderBy(F.col("dump").cast("int"), "rk"))).where(F.col("slot_") <= k)
+    return chosen.withColumn("rk2", F.row_number().over(day_window().orderBy("rk"))).drop("slot_")
 
 
 def by_policy(rows: DataFrame, policies: dict[str, str] = POLICIES) -> DataFrame:

@@ -178,10 +178,10 @@ query("a_48_policy_events", "event:s before:d after:d", f"{DAYNET}, ev(event, cu
     lambda s, d: day_net(s, d).withColumn("z", F.explode(F.array(F.struct(F.lit("one").alias("event"), F.lit("1995-01-01").cast("date").alias("at")), F.struct(F.lit("two").alias("event"), F.lit("1997-01-01").cast("date").alias("at"))))).withColumn("gap", F.datediff("day", "z.at")).groupBy("z.event").agg(F.sum(F.expr("if(gap < 0 and gap >= -365, x, 0)")).alias("before"), F.sum(F.expr("if(gap >= 0 and gap < 365, x, 0)")).alias("after"))
 )
 query("a_52_threshold_curve", "threshold:d base:d top_rate:d lift:d", f"{H}, z AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY round(score, 9) DESC, market) AS i FROM y) SELECT threshold, avg((high / open - 1 >= threshold)::INT) AS base, avg(CASE WHEN i = 1 THEN (high / open - 1 >= threshold)::INT END) AS top_rate, avg(CASE WHEN i = 1 THEN (high / open - 1 >= threshold)::INT END) / avg((high / open - 1 >= threshold)::INT) AS lift FROM z, (VALUES (0.02), (0.04), (0.06)) v(threshold) GROUP BY threshold")(
-    lambda s, d: hy(s, d).withColumn("i", F.row_number().over(x.DAY.orderBy(F.round("score", 9).desc(), "market"))).withColumn("threshold", F.explode(F.array(F.lit(0.02), F.lit(0.04), F.lit(0.06)))).withColumn("h", (F.col("high") / F.col("open") - 1 >= F.col("threshold")).cast("int")).groupBy("threshold").agg(F.avg("h").alias("base"), F.avg(F.when(F.col("i") == 1, F.col("h"))).alias("top_rate")).withColumn("lift", F.col("top_rate") / F.col("base"))
+    lambda s, d: hy(s, d).withColumn("i", F.row_number().over(x.day_window().orderBy(F.round("score", 9).desc(), "market"))).withColumn("threshold", F.explode(F.array(F.lit(0.02), F.lit(0.04), F.lit(0.06)))).withColumn("h", (F.col("high") / F.col("open") - 1 >= F.col("threshold")).cast("int")).groupBy("threshold").agg(F.avg("h").alias("base"), F.avg(F.when(F.col("i") == 1, F.col("h"))).alias("top_rate")).withColumn("lift", F.col("top_rate") / F.col("base"))
 )
 query("a_53_best_participant", "day:s model_id:s net_mean:d", f"{L}, g AS (SELECT day, model_id, avg(net_pct) AS net_mean, count(*) AS n FROM ledger WHERE status = 'closed' GROUP BY ALL) SELECT day, model_id, net_mean FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY round(net_mean, 9) DESC, n DESC, model_id) AS i FROM g) WHERE i = 1")(
-    lambda s, d: ledger(s, d).where("status = 'closed'").groupBy("day", "model_id").agg(F.avg("net_pct").alias("net_mean"), F.count("*").alias("n")).withColumn("i", F.row_number().over(x.DAY.orderBy(F.round("net_mean", 9).desc(), F.desc("n"), "model_id"))).where("i = 1")
+    lambda s, d: ledger(s, d).where("status = 'closed'").groupBy("day", "model_id").agg(F.avg("net_pct").alias("net_mean"), F.count("*").alias("n")).withColumn("i", F.row_number().over(x.day_window().orderBy(F.round("net_mean", 9).desc(), F.desc("n"), "model_id"))).where("i = 1")
 )
 query("a_55_stratum_base", "day:s market:s base:d", f"{H}, z AS (SELECT *, liq <= 5 AS band FROM y) SELECT day, market, base FROM (SELECT *, avg(y) OVER (PARTITION BY day, band) AS base FROM z) WHERE rk <= 3")(lambda s, d: hy(s, d).withColumn("base", F.avg("y").over(Window.partitionBy("day", F.col("liq") <= 5))).where("rk <= 3"))
 FD = f"{W}, dd AS (SELECT DISTINCT day FROM bars), di AS (SELECT day, row_number() OVER (ORDER BY day) - 1 AS i, count(*) OVER () AS n FROM dd)"

@@ -160,7 +160,7 @@ query("l_13_first_passage", "entry_id:l side:s idx:l", f"{PATHS}, {FT.format(0.0
 )
 AT = "at_ AS (SELECT pa.*, greatest(0.005, least((first(high) OVER (PARTITION BY entry_id ORDER BY idx) - first(low) OVER (PARTITION BY entry_id ORDER BY idx)) / entry, 0.03)) AS b FROM pa)"
 query("l_14_scaled_barriers", "entry_id:l reason:s", f"{PATHS}, {AT}, z AS (SELECT entry_id, min(CASE WHEN low <= entry * (1 - b) THEN idx END) AS i, min(CASE WHEN high >= entry * (1 + 2 * b) THEN idx END) AS j FROM at_ GROUP BY entry_id) SELECT entry_id, CASE WHEN i <= coalesce(j, 999) THEN 'sl' WHEN j IS NOT NULL THEN 'tp' ELSE 'eod' END AS reason FROM z")(
-    lambda s, d: p.first_touch(p.with_entry_price(paths(s, d)).withColumn("b", F.greatest(F.lit(0.005), F.least((F.first("high").over(p.PATH) - F.first("low").over(p.PATH)) / F.col("entry"), F.lit(0.03)))), F.col("b"), 2 * F.col("b"))
+    lambda s, d: p.first_touch(p.with_entry_price(paths(s, d)).withColumn("b", F.greatest(F.lit(0.005), F.least((F.first("high").over(p.path_window()) - F.first("low").over(p.path_window())) / F.col("entry"), F.lit(0.03)))), F.col("b"), 2 * F.col("b"))
 )
 query("l_16_barrier_quantiles", "q10:d q50:d q90:d extreme:l", f"{PATHS}, {AT}, z AS (SELECT entry_id, any_value(b) AS b FROM at_ GROUP BY entry_id) SELECT quantile_cont(b, 0.1) AS q10, quantile_cont(b, 0.5) AS q50, quantile_cont(b, 0.9) AS q90, sum((b >= 0.03)::INT) AS extreme FROM z")(
     lambda s, d: p.with_entry_price(paths(s, d)).groupBy("entry_id").agg(F.greatest(F.lit(0.005), F.least((F.min_by("high", "idx") - F.min_by("low", "idx")) / F.min_by("open", "idx"), F.lit(0.03))).alias("b")).agg(F.percentile("b", 0.1).alias("q10"), F.percentile("b", 0.5).alias("q50"), F.percentile("b", 0.9).alias("q90"), F.sum((F.col("b") >= 0.03).cast("int")).alias("extreme"))

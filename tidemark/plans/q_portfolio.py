@@ -83,7 +83,7 @@ query("m_19_basket_forward", "day:s basket:d forward:d", f"{W}, z AS (SELECT *,
     lambda s, d: m.basket_forward(bars_1d(s, d), 10, 5)
 )
 query("m_20_basket_chain", "series:s baskets:l status:s", f"{RET}, z AS (SELECT *, lag(day) OVER (PARTITION BY series ORDER BY day) AS b FROM ret) SELECT series, count(*) AS baskets, CASE WHEN max(day - b) > 1 THEN 'gap' WHEN min(day - b) < 1 THEN 'overlap' ELSE 'contiguous' END AS status FROM z GROUP BY series")(
-    lambda s, d: ret(s, d).withColumn("g", F.datediff("day", F.lag("day").over(m.SERIES))).groupBy("series").agg(F.count("*").alias("baskets"), F.when(F.max("g") > 1, "gap").when(F.min("g") < 1, "overlap").otherwise("contiguous").alias("status"))
+    lambda s, d: ret(s, d).withColumn("g", F.datediff("day", F.lag("day").over(m.series_window()))).groupBy("series").agg(F.count("*").alias("baskets"), F.when(F.max("g") > 1, "gap").when(F.min("g") < 1, "overlap").otherwise("contiguous").alias("status"))
 )
 query("m_21_two_ledgers", "day:s a:d b:d diff:d", f"{L}, a AS (SELECT day, avg(net_pct) AS a FROM ledger WHERE status = 'closed' AND model_id = '1-URGENT' GROUP BY day), b AS (SELECT day, avg(net_pct) AS b FROM ledger WHERE status = 'closed' AND model_id = '2-HIGH' GROUP BY day) SELECT a.day, a, b, a - b AS diff FROM a JOIN b ON b.day = a.day")(
     lambda s, d: (q := ledger(s, d).where("status = 'closed'").groupBy("model_id", "day").agg(F.avg("net_pct").alias("x"))).where("model_id = '1-URGENT'").select("day", F.col("x").alias("a")).join(q.where("model_id = '2-HIGH'").select("day", F.col("x").alias("b")), "day").withColumn("diff", F.col("a") - F.col("b"))

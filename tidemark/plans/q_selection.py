@@ -85,7 +85,7 @@ query(
     "p_08_relaxed_filter", K + "relaxed:b",
     f"{SC}, q AS (SELECT *, (s7 > 1.2 AND r7 > 0)::INT AS strict, (s7 > 0.8)::INT AS loose FROM uni), n AS (SELECT *, coalesce(sum(strict) OVER (PARTITION BY day), 0) AS k FROM q) SELECT day, market, k < 2 AS relaxed FROM n WHERE (k >= 2 AND strict = 1) OR (k < 2 AND loose = 1)",
 )(
-    lambda s, d: universe(s, d).withColumns({"strict": F.expr("int(s7 > 1.2 and r7 > 0)"), "loose": F.expr("int(s7 > 0.8)")}).withColumn("k", F.coalesce(F.sum("strict").over(x.DAY), F.lit(0))).where("(k >= 2 and strict = 1) or (k < 2 and loose = 1)").withColumn("relaxed", F.col("k") < 2)
+    lambda s, d: universe(s, d).withColumns({"strict": F.expr("int(s7 > 1.2 and r7 > 0)"), "loose": F.expr("int(s7 > 0.8)")}).withColumn("k", F.coalesce(F.sum("strict").over(x.day_window()), F.lit(0))).where("(k >= 2 and strict = 1) or (k < 2 and loose = 1)").withColumn("relaxed", F.col("k") < 2)
 )
 FAMILIES = {"quiet": "s7 < 0.7", "momentum": "r7 > 0.02 AND r3 > 0", "breakout": "s7 > 1.5", "reversal": "r3 < -0.02 AND r1 > 0", "strong": "r1 > 0.03", "all": "TRUE"}
 query("p_09_setup_families", "family:s n:l mean_score:d", SC + " " + " UNION ALL ".join(f"SELECT '{n}' AS family, count(*) AS n, avg(score) AS mean_score FROM uni WHERE {p}" for n, p in FAMILIES.items()))(
@@ -117,7 +117,7 @@ query(
     f"{W}, {LEDGER}, {REGIME}, cap(btc_regime, cap) AS (VALUES ('bull_quiet', 3), ('bull_volatile', 2), ('bear_quiet', 1), ('bear_volatile', 0)), j AS (SELECT l.*, coalesce(g.btc_regime, 'bear_quiet') AS btc_regime FROM ledger l LEFT JOIN regime g ON g.day = l.day), k AS (SELECT j.*, row_number() OVER (PARTITION BY day ORDER BY trade_id) AS i, cap FROM j JOIN cap USING (btc_regime)) SELECT btc_regime, count(*) AS n, max(i) AS max_open FROM k WHERE cap > 0 AND i <= cap GROUP BY btc_regime",
 )(
     lambda s, d: ledger(s, d).join(f.regime(bars_1d(s, d).where("market = 'M00'")).select("day", "btc_regime"), "day", "left").withColumn("btc_regime", F.coalesce("btc_regime", F.lit("bear_quiet")))
-    .withColumn("cap", F.create_map(*[F.lit(v) for kv in {"bull_quiet": 3, "bull_volatile": 2, "bear_quiet": 1, "bear_volatile": 0}.items() for v in kv])[F.col("btc_regime")]).withColumn("i", F.row_number().over(x.DAY.orderBy("trade_id"))).where("cap > 0 and i <= cap").groupBy("btc_regime").agg(F.count("*").alias("n"), F.max("i").alias("max_open"))
+    .withColumn("cap", F.create_map(*[F.lit(v) for kv in {"bull_quiet": 3, "bull_volatile": 2, "bear_quiet": 1, "bear_volatile": 0}.items() for v in kv])[F.col("btc_regime")]).withColumn("i", F.row_number().over(x.day_window().orderBy("trade_id"))).where("cap > 0 and i <= cap").groupBy("btc_regime").agg(F.count("*").alias("n"), F.max("i").alias("max_open"))
 )
 query("p_18_consistency", "violation:s n:l", f"WITH {LEDGER} SELECT CASE WHEN status = 'open' AND net_pct IS NOT NULL THEN 'open_with_result' WHEN abs(net_pct) > 9 THEN 'magnitude' ELSE 'none' END AS violation, count(*) AS n FROM ledger GROUP BY 1")(
     lambda s, d: ledger(s, d).withColumn("violation", F.when((F.col("status") == "open") & F.col("net_pct").isNotNull(), "open_with_result").when(F.abs("net_pct") > 9, "magnitude").otherwise("none")).groupBy("violation").agg(F.count("*").alias("n"))
@@ -128,11 +128,11 @@ query("r_09_reselection", K + "rk2:l", f"{HEADS}, z AS (SELECT *, row_number() O
 query("r_10_dump_risk", K + "dump_risk:d dump:b", f"{HEADS} SELECT day, market, dump_risk, dump FROM d1")(ranked)
 SHORT = f"{HEADS}, sh AS (SELECT *, CASE WHEN liq % 4 <> 0 THEN round(r3, 9) END AS flow FROM d1 WHERE rk <= 5), ok AS (SELECT day FROM sh GROUP BY day HAVING count(flow) = count(*))"
 query("r_12_shortlist_rerank", K + "rk2:l", f"{SHORT}, z AS (SELECT sh.*, row_number() OVER (PARTITION BY day ORDER BY flow DESC, rk) AS rk2 FROM sh SEMI JOIN ok USING (day)) SELECT day, market, rk2 FROM z WHERE rk2 <= 3")(
-    lambda s, d: ranked(s, d).where("rk <= 5").withColumn("flow", F.when(F.col("liq") % 4 != 0, F.round("r3", 9))).withColumns({"have": F.count("flow").over(x.DAY), "n": F.count("*").over(x.DAY)}).where("have = n").withColumn("rk2", F.row_number().over(x.DAY.orderBy(F.desc("flow"), "rk"))).where("rk2 <= 3")
+    lambda s, d: ranked(s, d).where("rk <= 5").withColumn("flow", F.when(F.col("liq") % 4 != 0, F.round("r3", 9))).withColumns({"have": F.count("flow").over(x.day_window()), "n": F.count("*").over(x.day_window())}).where("have = n").withColumn("rk2", F.row_number().over(x.day_window().orderBy(F.desc("flow"), "rk"))).where("rk2 <= 3")
 )
 TIES = f"{HEADS}, ti AS (SELECT *, round(p_up10, 1) AS tie, CASE WHEN liq <> 7 THEN round(r3, 9) END AS flow FROM h), tr AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY tie DESC, market) AS rank FROM ti), bl AS (SELECT *, min(rank) OVER b AS lo, max(rank) OVER b AS hi, count(flow) OVER b AS have, count(*) OVER b AS n FROM tr WINDOW b AS (PARTITION BY day, tie))"
 query("r_13_tie_reorder", K + "rank:l rank2:l", f"{TIES} SELECT day, market, rank, CASE WHEN lo <= 3 AND hi > 3 AND have = n THEN row_number() OVER (PARTITION BY day, tie ORDER BY flow DESC NULLS LAST, rank) + lo - 1 ELSE rank END AS rank2 FROM bl")(
-    lambda s, d: x.tie_reorder(x.heads(universe(s, d)).withColumns({"tie": F.round("p_up10", 1), "flow": F.when(F.col("liq") != 7, F.round("r3", 9))}).withColumn("rank", F.row_number().over(x.DAY.orderBy(F.desc("tie"), "market"))), "rank", "tie", "flow")
+    lambda s, d: x.tie_reorder(x.heads(universe(s, d)).withColumns({"tie": F.round("p_up10", 1), "flow": F.when(F.col("liq") != 7, F.round("r3", 9))}).withColumn("rank", F.row_number().over(x.day_window().orderBy(F.desc("tie"), "market"))), "rank", "tie", "flow")
 )
 CELL = "least(greatest(ceil(round(({0}) * 4, 9)) - 1, 0), 3)::BIGINT"
 CELLS = f"{HEADS}, ce AS (SELECT *, {CELL.format(pr('uq'))} AS lq4, {CELL.format(pr('rr'))} AS rr4 FROM d1)"
@@ -147,7 +147,7 @@ query("r_14_quota_top3", K + "lq4:l", f"{CELLS}, q AS (SELECT day, lq4, count(*)
 )
 query("r_15_quartile_cells", K + "lq4:l rr4:l", f"{CELLS} SELECT day, market, lq4, rr4 FROM ce")(cells)
 query("r_16_score_alignment", K + "aligned:d", f"{HEADS}, a AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY p_up10, market) AS i FROM h), b AS (SELECT day, rr, row_number() OVER (PARTITION BY day ORDER BY rr, market) AS i FROM h) SELECT a.day, a.market, avg(b.rr) OVER (PARTITION BY a.day, a.p_up10) AS aligned FROM a JOIN b USING (day, i)")(
-    lambda s, d: (h := x.heads(universe(s, d))).withColumn("i", F.row_number().over(x.DAY.orderBy("p_up10", "market"))).join(h.select("day", F.col("rr").alias("level"), F.row_number().over(x.DAY.orderBy("rr", "market")).alias("i")), ["day", "i"]).withColumn("aligned", F.avg("level").over(Window.partitionBy("day", "p_up10")))
+    lambda s, d: (h := x.heads(universe(s, d))).withColumn("i", F.row_number().over(x.day_window().orderBy("p_up10", "market"))).join(h.select("day", F.col("rr").alias("level"), F.row_number().over(x.day_window().orderBy("rr", "market")).alias("i")), ["day", "i"]).withColumn("aligned", F.avg("level").over(Window.partitionBy("day", "p_up10")))
 )
 query("r_17_pump_v2", K + "v2:d rk:l", f"{SC}, q AS (SELECT *, round(0.6 * least(coalesce(s7, 0), 10) / 10 + 0.4 * {pr('score')}, 9) AS v2 FROM uni), z AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY v2 DESC, market) AS rk FROM q) SELECT day, market, v2, rk FROM z WHERE rk <= 5")(
     lambda s, d: r.top_k(universe(s, d).withColumn("v2", F.round(0.6 * F.least(F.coalesce("s7", F.lit(0.0)), F.lit(10.0)) / 10 + 0.4 * r.pct_rank("score", "day"), 9)), "v2", 5)
@@ -156,13 +156,13 @@ query("r_18_composite", K + "comp:d", f"{HEADS}, {TIER}, z AS (SELECT *, round(p
     lambda s, d: r.top_k(x.setups(ranked(s, d)).where(F.array_contains("setups", "S01")).withColumn("comp", F.round(F.col("p_up10") + F.col("p_up20") + 5 * F.col("p_dn10"), 9)).drop("rk"), "comp", 3)
 )
 HASH = "md5(day::VARCHAR || '|' || market || '|{}')"
-STRATEGIES = {"momentum": ("round(r7, 9) DESC NULLS LAST", F.round("r7", 9).desc_nulls_last()), "turnover": ("round(s7, 9) DESC NULLS LAST", F.round("s7", 9).desc_nulls_last()), "random": (HASH.format("seed"), None)}
+STRATEGIES = {"momentum": ("round(r7, 9) DESC NULLS LAST", "r7"), "turnover": ("round(s7, 9) DESC NULLS LAST", "s7"), "random": (HASH.format("seed"), "hash")}
 query("r_19_baselines", "strategy:s day:s market:s", SC + " " + " UNION ALL ".join(f"SELECT '{n}' AS strategy, day, market FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY {o}, market) AS i FROM uni) WHERE i <= 2" for n, (o, _) in STRATEGIES.items()))(
-    lambda s, d: universe(s, d).withColumn("hash", F.md5(F.concat_ws("|", F.col("day").cast("string"), F.col("market"), F.lit("seed")).cast("binary"))).withColumns({n: F.row_number().over(x.DAY.orderBy(o if o is not None else "hash", "market")) for n, (_, o) in STRATEGIES.items()}).select("day", "market", F.explode(F.filter(F.array(*[F.when(F.col(n) <= 2, F.lit(n)) for n in STRATEGIES]), lambda v: v.isNotNull())).alias("strategy"))
+    lambda s, d: universe(s, d).withColumn("hash", F.md5(F.concat_ws("|", F.col("day").cast("string"), F.col("market"), F.lit("seed")).cast("binary"))).withColumns({n: F.row_number().over(x.day_window().orderBy(F.col(o).asc() if o == "hash" else F.round(o, 9).desc_nulls_last(), "market")) for n, (_, o) in STRATEGIES.items()}).select("day", "market", F.explode(F.filter(F.array(*[F.when(F.col(n) <= 2, F.lit(n)) for n in STRATEGIES]), lambda v: v.isNotNull())).alias("strategy"))
 )
 query("r_20_threshold_cap", K + "p_up10:d", f"{HEADS}, z AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY p_up10 DESC, market) AS i FROM h WHERE p_up10 >= 0.25) SELECT day, market, p_up10 FROM z WHERE i <= 2")(lambda s, d: r.top_k(x.heads(universe(s, d)).where("p_up10 >= 0.25"), "p_up10", 2))
 query("r_21_tercile", K + "scaled:d tercile:l", f"{SC}, q AS (SELECT *, (score - min(score) OVER (PARTITION BY day)) / nullif(max(score) OVER (PARTITION BY day) - min(score) OVER (PARTITION BY day), 0) AS scaled FROM uni) SELECT day, market, scaled, least(floor(round(scaled, 9) * 3), 2) AS tercile FROM q")(
-    lambda s, d: universe(s, d).withColumn("scaled", (F.col("score") - F.min("score").over(x.DAY)) / F.nullif(F.max("score").over(x.DAY) - F.min("score").over(x.DAY), F.lit(0.0))).withColumn("tercile", F.least(F.floor(F.round("scaled", 9) * 3), F.lit(2)))
+    lambda s, d: universe(s, d).withColumn("scaled", (F.col("score") - F.min("score").over(x.day_window())) / F.nullif(F.max("score").over(x.day_window()) - F.min("score").over(x.day_window()), F.lit(0.0))).withColumn("tercile", F.least(F.floor(F.round("scaled", 9) * 3), F.lit(2)))
 )
 query("r_22_live_turnover", "market:s qv:d rk:l", f"{W}, l AS (SELECT market, arg_max(quote_volume, day) AS qv FROM bars WHERE day < DATE '1998-06-01' GROUP BY market), z AS (SELECT *, row_number() OVER (ORDER BY qv DESC, market) AS rk FROM l) SELECT * FROM z WHERE rk <= 10")(
     lambda s, d: bars_1d(s, d).where(F.col("day") < F.lit("1998-06-01").cast("date")).groupBy("market").agg(F.max_by("quote_volume", "day").alias("qv")).withColumn("rk", F.row_number().over(Window.orderBy(F.desc("qv"), "market"))).where("rk <= 10")
