@@ -53,8 +53,8 @@ def walk_forward(rows: DataFrame, folds: list[tuple[str, str, str]], features: l
 
 
 def tree_rules(rows: DataFrame, features: list[str], y: str, depth: int = 3, min_rows: int = 200) -> DataFrame:
-    """(leaf, n, hits, rate): the leaves of a shallow tree with their support."""
-    stages = [*_inputs(features), DecisionTreeClassifier(featuresCol="x_", labelCol=y, maxDepth=depth, minInstancesPerNode=min_rows, leafCol="leaf", seed=7)]
+    """(leaf, n, hits, rate): the leaves of a shallow tree over weighted rows (w_), with their support."""
+    stages = [*_inputs(features), DecisionTreeClassifier(featuresCol="x_", labelCol=y, weightCol="w_", maxDepth=depth, minInstancesPerNode=min_rows, leafCol="leaf", seed=7)]
     return Pipeline(stages=stages).fit(rows).transform(rows).groupBy("leaf").agg(F.count("*").alias("n"), F.sum(y).alias("hits"), F.avg(y).alias("rate"))
 
 

@@ -31,7 +31,7 @@ def bench(s, d):
 
 
 query("m_01_daily_returns", S + "day:s ret:d", f"{RET} SELECT * FROM ret")(ret)
-query("m_02_equity_drawdown", S + "day:s equity:d drawdown:d", f"{RET} SELECT * FROM eq")(lambda s, d: m.equity(ret(s, d)))
+query("m_02_equity_drawdown", S + "day:s equity:d drawdown:d", f"{RET} SELECT series, day, equity, round(drawdown, 4) AS drawdown FROM eq")(lambda s, d: m.equity(ret(s, d)).withColumn("drawdown", F.round("drawdown", 4)))
 query("m_03_sharpe_sortino", S + "n:l sharpe:d sortino:d", f"{RET} SELECT series, count(*) AS n, coalesce(avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(365), 0) AS sharpe, coalesce(avg(ret) / nullif(sqrt(avg(pow(least(ret, 0), 2))), 0) * sqrt(365), 0) AS sortino FROM ret GROUP BY series")(lambda s, d: m.ratios(ret(s, d)))
 query("m_04_weighted_pnl", "day:s pnl:d drawdown:d", f"{L}, p AS (SELECT day, sum(net_pct / 100 * 0.01) AS pnl FROM ledger WHERE status = 'closed' GROUP BY day), e AS (SELECT *, exp(sum(ln(1 + pnl)) OVER (ORDER BY day)) AS equity FROM p) SELECT day, pnl, equity / greatest(max(equity) OVER (ORDER BY day), 1) - 1 AS drawdown FROM e")(
     lambda s, d: m.equity(ledger(s, d).where("status = 'closed'").groupBy("day").agg(F.sum(F.col("net_pct") / 100 * 0.01).alias("ret")).withColumn("series", F.lit("all"))).withColumn("pnl", F.col("ret"))

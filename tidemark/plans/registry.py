@@ -1,7 +1,7 @@
 """Where queries are registered with their output columns and SQL oracles.
 
 Columns are declared once, as "name:kind" words: s text, d double (rounded to six decimals), l long,
-b boolean. Both the Spark result and the oracle are cast to them, so that the engines return the same types.
+b boolean; adding zero makes minus zero plain zero. Both the Spark result and the oracle are cast to them, so that the engines return the same types.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-SPARK = {"s": lambda c: c.cast("string"), "d": lambda c: F.round(c.cast("double"), 6), "l": lambda c: c.cast("long"), "b": lambda c: c.cast("boolean")}
-DUCK = {"s": "CAST({0} AS VARCHAR)", "d": "round(CAST({0} AS DOUBLE), 6)", "l": "CAST({0} AS BIGINT)", "b": "CAST({0} AS BOOLEAN)"}
+SPARK = {"s": lambda c: c.cast("string"), "d": lambda c: F.round(c.cast("double"), 6) + F.lit(0.0), "l": lambda c: c.cast("long"), "b": lambda c: c.cast("boolean")}
+DUCK = {"s": "CAST({0} AS VARCHAR)", "d": "round(CAST({0} AS DOUBLE), 6) + 0.0::DOUBLE", "l": "CAST({0} AS BIGINT)", "b": "CAST({0} AS BOOLEAN)"}
 
 
 def query(name: str, columns: str, sql: str | None = None) -> Callable[[Query], Query]:
