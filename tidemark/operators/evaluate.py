@@ -114,3 +114,11 @@ def ks_statistic(rows: DataFrame, value: str, group: str) -> DataFrame:
     run = w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     d = F.abs(F.sum("a").over(run) / F.sum("a").over(w) - F.sum("b").over(run) / F.sum("b").over(w))
     return per.withColumn("d", d).agg(F.max("d").alias("ks"), F.sum("a").alias("n_a"), F.sum("b").alias("n_b"))
+
+
+def apply_ranges(rows: DataFrame, score: str, table: DataFrame) -> DataFrame:
+    """The rate of the bucket whose [lo, hi] holds the score; below all, the first; otherwise unmatched, the last."""
+    edges = table.agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "rate"))).alias("t_"))
+    inside = F.get(F.filter("t_", lambda b: (b["lo"] <= F.col(score)) & (F.col(score) <= b["hi"])), F.lit(0))["rate"]
+    first, last = F.element_at("t_", 1), F.element_at("t_", -1)
+    return rows.crossJoin(F.broadcast(edges)).withColumn("calibrated", F.coalesce(inside, F.when(F.col(score) < first["lo"], first["rate"]), last["rate"])).drop("t_")
