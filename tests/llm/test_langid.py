@@ -68,3 +68,16 @@ def test_edges(spark):
     none = train(empty.select("doc_id", "lang"), empty)
     assert none is None and predict(empty, none).count() == 0
     assert predict(known, none).first().lang_pred == "und"
+
+
+def test_samples_are_the_smallest_hashes(spark):
+    from tidemark.llm.sampling import smallest_hashes
+
+    rows = [(i, "hot" if i % 10 else "rare") for i in range(6000)] + [(9001, "one")]
+    df = spark.createDataFrame(rows, "doc_id long, lang string")
+    h = {r[0]: r[1] for r in df.select("doc_id", F.xxhash64(F.col("doc_id").cast("string"), F.lit(7))).collect()}
+    got = {}
+    for r in smallest_hashes(df, 100, by="lang").collect():
+        got.setdefault(r.lang, set()).add(r.doc_id)
+    for lang in ("hot", "rare", "one"):
+        assert got[lang] == set(sorted((d for d, k in rows if k == lang), key=h.get)[:100])
