@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stored, utf8, words
+from tidemark.llm.common import drop_stored, stored, utf8, words
 from tidemark.llm.components import connected_components
 
 BITS, BLOCK, SMALL_BUCKET = 64, 1 << 14, 64
@@ -173,9 +173,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, least: float = 0.8, radiu
 
     A SimHash of a whole text can't find such pairs: at 0.8 about ten of 64 bits differ, and a covering
     family for that radius has thousands of tables. So texts are cut into content-defined sections, each
-    with its own SimHash; the ten smallest of a text (by a fixed scrambling) enter the covering tables, and
-    texts that meet in any table are candidates, which are verified exactly. Two texts at 0.8 share
-    about half of their sections, so all ten differ in one pair of a thousand.
+    with its own SimHash; the ten smallest of a text (by a fixed scrambling) enter the covering tables.
+    Fingerprints linked within the radius are one section, and texts that share one are candidates, which are
+    verified exactly. Two texts at 0.8 share about half of their sections, so all ten differ in one pair of a thousand.
 
     Copies of one text (equal words) are one text from the start. Buckets of up to SMALL_BUCKET texts have
     all pairs verified. In larger ones each text is verified against the texts whose buckets are all shared (an
@@ -187,25 +187,23 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, least: float = 0.8, radiu
     sketches = stored(_sketches(texts, shingle), "sketches")
     copies = sketches.groupBy("digest", "again").agg(F.min("id").alias("node"))
     heads = sketches.select("id", "digest", "again", "fps", F.size("bag").alias("size")).join(copies, ["digest", "again"]).where("id = node").dropDuplicates(["node"])
-    tables = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(signed(m)).alias("mask")) for t, m in enumerate(covering_masks(radius))])
-    keys = (
-        heads.select("node", "size", F.explode("fps").alias("fp")).select("node", "size", "fp", F.explode(tables).alias("m"))
-        .select("node", "size", F.col("m.t").alias("t"), F.col("fp").bitwiseAND(F.col("m.mask")).alias("key")).distinct()
-    )
-    keys = stored(keys, "keys")
-    shared = keys.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
-    met = keys.join(shared, ["t", "key"])
+    sections = stored(heads.select("node", "size", F.explode("fps").alias("fp")), "sections")
+    near = connected_components(covering_links(sections.select(F.col("fp").alias("node"), "fp").distinct(), radius))
+    keys = sections.join(near.withColumnRenamed("node", "fp"), "fp", "left").select("node", "size", F.coalesce("component", "fp").alias("key")).distinct()
+    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    met = stored(keys.join(shared, "key"), "met")
+    drop_stored(sections)
     alike = f"least(x.size, y.size) >= {least} * greatest(x.size, y.size)"
     pairs = (
-        met.where(F.col("n") <= SMALL_BUCKET).groupBy("t", "key").agg(F.collect_list(F.struct("node", "size")).alias("p"))
+        met.where(F.col("n") <= SMALL_BUCKET).groupBy("key").agg(F.collect_list(F.struct("node", "size")).alias("p"))
         .select(F.explode(F.expr(f"flatten(transform(p, x -> transform(filter(p, y -> y.node > x.node and {alike}), y -> struct(x.node as a, y.node as b))))")).alias("e"))
         .select("e.a", "e.b")
     )
     hot = met.where(F.col("n") > SMALL_BUCKET)
     ranked = hot.join(met.groupBy("node").agg(F.count("*").alias("times")), "node")
     picks = [F.max_by("node", F.struct("times", "node")), F.max_by("node", F.struct("times", -F.col("node")))] + [F.min_by("node", F.xxhash64("node", F.lit(i))) for i in range(REPRESENTATIVES)]
-    stars = ranked.groupBy("t", "key").agg(F.array_distinct(F.array(*picks)).alias("r"))
-    spread = hot.join(stars, ["t", "key"]).select("node", F.explode("r").alias("r")).where("node != r").select(F.least("node", "r").alias("a"), F.greatest("node", "r").alias("b"))
+    stars = ranked.groupBy("key").agg(F.array_distinct(F.array(*picks)).alias("r"))
+    spread = hot.join(stars, "key").select("node", F.explode("r").alias("r")).where("node != r").select(F.least("node", "r").alias("a"), F.greatest("node", "r").alias("b"))
     candidates = stored(pairs.union(spread).distinct(), "candidates")
     asked = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     bags = stored(sketches.select("id", "bag").join(asked, "id").dropDuplicates(["id"]), "bags")
