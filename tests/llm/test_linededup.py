@@ -1,4 +1,6 @@
-from tidemark.llm.linededup import dedup_lines, line_chunks
+import random
+
+from tidemark.llm.linededup import dedup_lines, line_anchors, line_chunks
 
 PASSAGE = [f"line {i} of the passage that many documents share with each other" for i in range(8)]
 LONG = " ".join(f"word{i}" for i in range(60))
@@ -50,3 +52,40 @@ def test_clean_documents_keep_their_bytes(spark, sf):
         else:
             left = iter(before[r.doc_id].split("\n"))
             assert all(line in left for line in (r.text.split("\n") if r.text else []))
+
+
+def test_short_passages_go_whole_in_any_surroundings(spark):
+    rnd = random.Random(3)
+    for n_lines, n_words in [(2, 28), (2, 6), (3, 9), (4, 13), (6, 9), (1, 30)]:
+        rows, passages = [], {}
+        for k in range(0, 80, 2):
+            passages[k] = [" ".join(f"p{n_lines}x{k}x{i}x{j}" for j in range(n_words)) for i in range(n_lines)]
+            if n_lines > 2:
+                passages[k][-1] = f"end {k}"
+            for d in (k, k + 1):
+                around = [[" ".join(f"o{rnd.random()}" for _ in range(rnd.randint(1, 20))) for _ in range(rnd.randint(0, 5))] for _ in range(2)]
+                rows.append((d, "\n".join([*around[0], *passages[k], *around[1]]), around[0] + around[1]))
+        got = run(spark, [r[:2] for r in rows])
+        for d, text, around in rows:
+            assert got[d].text == ("\n".join(around) if d % 2 else text), (n_lines, n_words, d)
+            assert got[d].kept_in == ([d - 1] if d % 2 else [])
+
+
+def test_every_line_of_a_passage_has_an_anchor_inside_it():
+    rnd = random.Random(4)
+    for _ in range(300):
+        counts = [rnd.choice([0, 1, 2, 3, 6, 11, 12, 29, 30, 40]) for _ in range(rnd.randint(1, 9))]
+        got = set(line_anchors("\n".join(" ".join(["w"] * n) for n in counts).encode()))
+        full = [i for i, n in enumerate(counts) if n]
+        good = lambda a, b: sum(1 for n in counts[a : b + 1] if n) > 1 and sum(counts[a : b + 1]) >= 12 or max(counts[a : b + 1]) >= 30
+        for a in full:
+            for b in full:
+                if a <= b and sum(1 for n in counts[a : b + 1] if n) > 1 and good(a, b):
+                    inside = {x for s, n in got if a <= s and s + n - 1 <= b for x in range(s, s + n)}
+                    assert inside >= {i for i in range(a, b + 1) if counts[i]}, (counts, a, b)
+
+
+def test_overlapping_repeats_keep_one(spark):
+    line = "six words stand in this line"
+    got = run(spark, [(1, "\n".join([line] * 10)), (2, "\n".join(["first", line, "", line, line, "last"]))])
+    assert got[1].text == "\n".join([line] * 2) and got[2].text == "first\nlast"

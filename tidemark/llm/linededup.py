@@ -1,12 +1,14 @@
-"""Line dedup by content-defined chunks of lines.
-
-A rolling hash over the hashes of the last two non-blank lines ends a chunk where it is divisible by two,
-so equal passages are cut alike wherever they stand, and an inserted line moves only the cuts next to it.
-A line of at least LONG_LINE words is a chunk of its own. Chunks that count are passages: two lines or more
-with MIN_WORDS words together, or one long line. Of each passage that occurs more than once, the occurrence in
-the smallest (doc_id, text hash, position) stays; others go if their bytes are equal. Lines next to a
-removed passage go with it if they continue the match with the kept occurrence, since the
-cut at a passage's edge falls where its neighbours say.
+"""Line dedup by content-defined chunks of lines, with an anchor at every line.
+
+A passage is a run of lines, blank ones aside: two lines or more with MIN_WORDS words together, or one line of
+LONG_LINE words. A rolling hash over the hashes of the last two non-blank lines ends a chunk where it is divisible by two,
+so equal passages are cut alike wherever they stand, but for the cuts at their edges, which fall where the
+neighbours say. So that every shared passage is found whole, each line also offers its anchors: the shortest
+passage that starts with it and the shortest that ends with it. A line of a shared passage has one of the two
+inside it, so anchors depend on the passage alone and cover it to the line.
+
+Of each chunk or anchor that occurs more than once, the occurrence in the smallest (doc_id, text hash, position)
+stays; others go if their bytes are equal. A line goes if any occurrence over it goes.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import types as T
 
 from tidemark.llm.common import stored, utf8
 
-MIN_WORDS, LONG_LINE, EDGE = 12, 30, 12
+MIN_WORDS, LONG_LINE = 12, 30
 MOD, BASE = (1 << 61) - 1, 0x9E3779B97F4A7C15 >> 3
 
 
@@ -52,6 +54,24 @@ def line_chunks(text: bytes) -> list[tuple[int, int, int]]:
     return out
 
 
+def line_anchors(text: bytes) -> list[tuple[int, int]]:
+    """(first line, lines) of the shortest passages that start or end with each non-blank line, sorted."""
+    words = [len(x.split()) for x in text.split(b"\n")]
+    full = [i for i, w in enumerate(words) if w]
+
+    def shortest(order: list[int]) -> Iterator[tuple[int, int]]:
+        end, total = 0, 0
+        for k, i in enumerate(order):
+            while end < len(order) and (end < k + 2 or total < MIN_WORDS) and not (end == k + 1 and words[i] >= LONG_LINE):
+                total, end = total + words[order[end]], end + 1
+            if end > k + 1 and total >= MIN_WORDS or words[i] >= LONG_LINE:
+                yield i, i if words[i] >= LONG_LINE else order[end - 1]
+            total -= words[i]
+
+    spans = {(a, b) for a, b in shortest(full)} | {(b, a) for a, b in shortest(full[::-1])}
+    return sorted((a, b + 1 - a) for a, b in spans)
+
+
 def chunk_body(lines: list[bytes]) -> bytes:
     """What is compared: the lines without blank ones and without white space at their ends."""
     return b"\n".join(s for x in lines if (s := x.strip()))
@@ -62,17 +82,22 @@ def _key(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def _chunk_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, th, start, n, ch): the passages of each text, without their text."""
+    """(id, th, start, n, ch): the chunks and anchors of each text, without their text."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at, start, n, ch = [], [], [], []
             for i, text in enumerate(utf8(b.column(2))):
-                lines = None
-                for s, k, w in line_chunks(text):
-                    if w >= MIN_WORDS:
-                        lines = lines or text.split(b"\n")
+                lines = [x.strip() for x in text.split(b"\n")]
+                seen = set()
+                for s, k in [*line_anchors(text), *((s, k) for s, k, w in line_chunks(text) if w >= MIN_WORDS)]:
+                    while not lines[s]:
+                        s, k = s + 1, k - 1
+                    while not lines[s + k - 1]:
+                        k -= 1
+                    if (s, k) not in seen:
+                        seen.add((s, k))
                         at.append(i), start.append(s), n.append(k), ch.append(xxhash.xxh64_intdigest(chunk_body(lines[s : s + k]), 1))
             take = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(start, pa.int32()), pa.array(n, pa.int32()), pa.array(np.array(ch, np.uint64).view(np.int64))], names=["id", "th", "start", "n", "ch"])
@@ -96,7 +121,7 @@ def _packed(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def _with_bodies(texts: DataFrame, kind: str) -> DataFrame:
-    """(ch, id, th, start, n, kept, body, before, after) of the passages asked for in texts.wanted."""
+    """(ch, id, th, start, n, kept, body) of the passages asked for in texts.wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
@@ -105,22 +130,12 @@ def _with_bodies(texts: DataFrame, kind: str) -> DataFrame:
             for i, (text, wanted) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
                 lines = [x.strip() for x in unpack(text).split(b"\n")]
                 for w in wanted:
-                    s, e = w["start"], w["start"] + w["n"]
-                    before = [x for x in lines[max(0, s - EDGE) : s] if x][::-1]
-                    after = [x for x in lines[e : e + EDGE] if x]
-                    edges = [[xxhash.xxh64_intdigest(x) - (1 << 63) for x in side] for side in (before, after)]
-                    at.append(i), rows.append((w["ch"], s, w["n"], w["kept"], chunk_body(lines[s:e]), *edges))
-            take, cols = pa.array(at, pa.int64()), list(zip(*rows)) if rows else [[]] * 7
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["id", "th", "ch", "start", "n", "kept", "body", "before", "after"])
-
-    return texts.mapInArrow(run, f"id {kind}, th long, ch long, start int, n int, kept boolean, body binary, before array<long>, after array<long>")
-
+                    at.append(i), rows.append((w["ch"], w["start"], w["n"], w["kept"], chunk_body(lines[w["start"] : w["start"] + w["n"]])))
+            take, cols = pa.array(at, pa.int64()), list(zip(*rows)) if rows else [[]] * 5
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["id", "th", "ch", "start", "n", "kept", "body"])
 
-def _same_prefix(a: str, b: str) -> str:
-    """SQL: how many leading entries of two arrays are equal."""
-    n = f"least(size({a}), size({b}))"
-    return f"coalesce(array_position(transform(slice({a}, 1, {n}), (x, i) -> x = {b}[i]), false) - 1, 0) + if(array_contains(transform(slice({a}, 1, {n}), (x, i) -> x = {b}[i]), false), 0, {n} + 1)"
+    return texts.mapInArrow(run, f"id {kind}, th long, ch long, start int, n int, kept boolean, body binary")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -129,7 +144,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Every row stays; a text that is repeated whole becomes empty. Texts that lose nothing are unchanged to the byte; a null
     text stays null. Rows equal in id and text are one document: they keep or lose the same passages. A
-    null id sorts before all others. Columns with the names above are replaced, others pass.
+    null id sorts before all others. An occurrence that overlaps the kept one in its own text loses only the lines after it.
+    Blank lines go where the lines on both sides do. Columns with the names above are replaced, others pass.
 
     Texts are shuffled twice, compressed (to find the passages' bytes, and to cut them); else hashes move. A
     passage that thousands of texts share is a key of one kept row against many, which adaptive skew
@@ -148,11 +164,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     own = (F.col(id_col).eqNullSafe(F.col("__tm_id"))) & (F.col("__tm_th") == F.col("__tm_own"))
     texts = packed.select(id_col, "__tm_th", text_col).join(wanted, own).select(F.col(id_col).alias("id"), F.col("__tm_th").alias("th"), text_col, "wanted")
     bodies = stored(_with_bodies(texts, kind), "passages")
-    first = bodies.where("kept").select("ch", F.col("id").alias("first_id"), *(F.col(c).alias(f"first_{c}") for c in ("body", "before", "after"))).dropDuplicates(["ch"])
+    first = bodies.where("kept").select("ch", *(F.col(c).alias(f"first_{c}") for c in ("id", "th", "start", "n", "body"))).dropDuplicates(["ch"])
+    here = F.col("id").eqNullSafe(F.col("first_id")) & (F.col("th") == F.col("first_th"))
+    own_end = F.when(here, F.col("first_start") + F.col("first_n")).otherwise(0)
     cuts = (
         bodies.where("not kept").join(first, "ch").where("body = first_body")
-        .select("id", "th", F.struct("start", "n", F.expr(_same_prefix("before", "first_before")).cast("int").alias("up"), F.expr(_same_prefix("after", "first_after")).cast("int").alias("down"), "first_id").alias("cut"))
-        .groupBy("id", "th").agg(F.collect_list("cut").alias("__tm_cuts")).withColumnsRenamed({"id": "__tm_id", "th": "__tm_own"})
+        .select("id", "th", F.struct(F.greatest("start", own_end).alias("start"), (F.col("start") + F.col("n")).alias("end"), "first_id").alias("cut"))
+        .groupBy("id", "th").agg(F.collect_set("cut").alias("__tm_cuts")).withColumnsRenamed({"id": "__tm_id", "th": "__tm_own"})
     )
     keep = [c for c in docs.columns if c != "__tm_th"]
     joined = packed.join(cuts, own, "left").select(*keep, "__tm_cuts")
@@ -173,12 +191,15 @@ def _cut(docs: DataFrame, keep: list[str], id_col: str, text_col: str) -> DataFr
                 gone, ids = set(), set()
                 if cuts and text is not None:
                     lines = text.split(b"\n")
-                    full = [i for i, x in enumerate(lines) if x.strip()]
                     for c in cuts:
-                        s, e = c["start"], c["start"] + c["n"]
-                        lo, hi = np.searchsorted(full, s), np.searchsorted(full, e)
-                        gone.update(range(s, e), full[max(0, lo - c["up"]) : lo], full[hi : hi + c["down"]])
-                        ids.add(c["first_id"])
+                        if c["start"] < c["end"]:
+                            gone.update(range(c["start"], c["end"]))
+                            ids.add(c["first_id"])
+                    stay = [i for i, x in enumerate(lines) if x.strip() and i not in gone]
+                    for lo, hi in zip([-1, *stay], [*stay, len(lines)]):
+                        inside = [i for i in range(lo + 1, hi) if lines[i].strip()]
+                        if inside:
+                            gone.update(range(0 if lo < 0 else inside[0], hi if hi == len(lines) else inside[-1] + 1))
                     out = b"\n".join(x for i, x in enumerate(lines) if i not in gone)
                     n_words.append(sum(len(lines[i].split()) for i in gone))
                 else:
