@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline as cp
 from pyspark.sql import functions as F
 
@@ -68,3 +70,35 @@ def test_pipeline_stages(spark, sf):
         out = stage(spark, docs, sf)
         assert set(docs.columns) <= set(out.columns) and (k == 4 or out.columns == docs.columns)
     assert 0 < cp.run(spark, sf).count() < docs.count()
+
+
+def brute_groups(rows):
+    bags = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.lower().split() for _, t in rows)]
+    label = list(range(len(rows)))
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for i, a in enumerate(bags):
+        for j in range(i):
+            b = bags[j]
+            if min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and len(a & b) >= 0.8 * len(a | b):
+                label[max(find(i), find(j))] = min(find(i), find(j))
+    return {d: rows[find(i)][0] for i, (d, _) in enumerate(rows)}
+
+
+def groups_of(spark, rows):
+    return {r.doc_id: r.group for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+
+def test_short_near_copies_equal_brute_force(spark):
+    rnd = random.Random(7)
+    texts = []
+    for k in range(250):
+        w = [f"w{k}x{i}" for i in range(rnd.randint(6, 60))]
+        at = rnd.randrange(len(w))
+        texts += [w, [*w, "appended"], ["prepended", *w], [*w[:at], "changed", *w[at + 1 :]]]
+    rows = list(enumerate(" ".join(w) for w in texts))
+    assert groups_of(spark, rows) == brute_groups(rows)

@@ -8,6 +8,7 @@ collides there. With r = 2 there are 7 tables of 36 or 37 bits.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -147,24 +148,52 @@ def text_sections(hashes: np.ndarray) -> list[int]:
     return sorted(out, key=lambda x: (x * 0x9E3779B97F4A7C15) & (1 << 64) - 1)[:OFFERED]
 
 
-def _sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """(id, digest, again, fps, bag): digests of the words, section fingerprints, and all distinct shingles."""
+def prefix_length(n: int, least: float) -> int:
+    """So many smallest of n shingles hold one that is also among as many of any set at Jaccard similarity `least`."""
+    return min(n, n - math.ceil(least * n - 1e-9) + 1)
+
+
+def _sketches(docs: DataFrame, shingle: int, least: float) -> DataFrame:
+    """(id, digest, again, fps, bag, prefix): digests of the words, section fingerprints, all distinct shingles, and
+    the smallest of them (64 bits)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            d, a, fps, bags = [], [], [], []
+            d, a, fps, bags, prefixes = [], [], [], [], []
             for t in utf8(b.column(1)):
                 w = words(t)
                 joined = b" ".join(w)
                 h = shingle_hashes(w, shingle)
                 d.append(xxhash.xxh64_intdigest(joined, 1)), a.append(xxhash.xxh64_intdigest(joined, 2))
                 fps.append(np.array(text_sections(h), np.uint64).view(np.int64))
+                h = np.unique(h)
                 bags.append(np.unique((h >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+                prefixes.append(h[: prefix_length(len(h), least)].view(np.int64))
             big = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), big(d), big(a), pa.array(fps, pa.list_(pa.int64())), pa.array(bags, pa.list_(pa.int32()))], names=["id", "digest", "again", "fps", "bag"])
+            yield pa.RecordBatch.from_arrays([b.column(0), big(d), big(a), pa.array(fps, pa.list_(pa.int64())), pa.array(bags, pa.list_(pa.int32())), pa.array(prefixes, pa.list_(pa.int64()))], names=["id", "digest", "again", "fps", "bag", "prefix"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, digest long, again long, fps array<long>, bag array<int>")
+    return docs.mapInArrow(run, f"id {kind}, digest long, again long, fps array<long>, bag array<int>, prefix array<long>")
+
+
+def _with_component(rows: DataFrame, comps: DataFrame) -> DataFrame:
+    return rows.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def _open_buckets(rows: DataFrame) -> DataFrame:
+    """rows (key, node, size, component) whose key stands in several components, with the key's count n."""
+    spread = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
+    return rows.join(spread.select("key", "n"), "key")
+
+
+def _pairs_in(rows: DataFrame, by: list[str], alike: str) -> DataFrame:
+    """(a, b): the pairs of nodes of each group that are alike in size and in different components."""
+    found = f"filter(p, y -> y.node > x.node and y.component != x.component and {alike})"
+    return (
+        rows.groupBy(*by).agg(F.collect_list(F.struct("node", "size", "component")).alias("p"))
+        .select(F.explode(F.expr(f"flatten(transform(p, x -> transform({found}, y -> struct(x.node as a, y.node as b))))")).alias("e"))
+        .select("e.a", "e.b")
+    )
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, least: float = 0.8, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -175,41 +204,58 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, least: float = 0.8, radiu
     family for that radius has thousands of tables. So texts are cut into content-defined sections, each
     with its own SimHash; the ten smallest of a text (by a fixed scrambling) enter the covering tables.
     Fingerprints linked within the radius are one section, and texts that share one are candidates, which are
-    verified exactly. Two texts at 0.8 share about half of their sections, so all ten differ in one pair of a thousand.
+    verified exactly. This first pass joins most copies at little cost; the rest is exact: texts at `least` share one of their smallest
+    shingles (prefix filter), and all pairs of a shingle that are not in one component yet are verified.
 
     Copies of one text (equal words) are one text from the start. Buckets of up to SMALL_BUCKET texts have
-    all pairs verified. In larger ones each text is verified against the texts whose buckets are all shared (an
-    original, unlike its altered copies, has no section of its own) and three picked by hash: links, not
-    pairs, so work grows with the texts. Wordless texts, null ones among them, are copies of each other. Rows with a null id get the
+    all pairs verified. In larger ones of the first pass each text is verified against the texts whose buckets are all shared (an
+    original, unlike its altered copies, has no section of its own) and three picked by hash. So are those of a shingle of
+    more than SMALL_BUCKET texts, to three picked. Wordless texts, null ones among them, are copies of each other. Rows with a null id get the
     group of their text.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sketches = stored(_sketches(texts, shingle), "sketches")
+    sketches = stored(_sketches(texts, shingle, least), "sketches")
     copies = sketches.groupBy("digest", "again").agg(F.min("id").alias("node"))
     heads = sketches.select("id", "digest", "again", "fps", F.size("bag").alias("size")).join(copies, ["digest", "again"]).where("id = node").dropDuplicates(["node"])
-    sections = stored(heads.select("node", "size", F.explode("fps").alias("fp")), "sections")
+    sections = stored(heads.select("node", "digest", "again", "size", F.explode("fps").alias("fp")), "sections")
     near = connected_components(covering_links(sections.select(F.col("fp").alias("node"), "fp").distinct(), radius))
     keys = sections.join(near.withColumnRenamed("node", "fp"), "fp", "left").select("node", "size", F.coalesce("component", "fp").alias("key")).distinct()
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     met = stored(keys.join(shared, "key"), "met")
-    drop_stored(sections)
     alike = f"least(x.size, y.size) >= {least} * greatest(x.size, y.size)"
-    pairs = (
-        met.where(F.col("n") <= SMALL_BUCKET).groupBy("key").agg(F.collect_list(F.struct("node", "size")).alias("p"))
-        .select(F.explode(F.expr(f"flatten(transform(p, x -> transform(filter(p, y -> y.node > x.node and {alike}), y -> struct(x.node as a, y.node as b))))")).alias("e"))
-        .select("e.a", "e.b")
-    )
+    pairs = _pairs_in(met.where(F.col("n") <= SMALL_BUCKET).withColumn("component", F.col("node")), ["key"], alike)
     hot = met.where(F.col("n") > SMALL_BUCKET)
     ranked = hot.join(met.groupBy("node").agg(F.count("*").alias("times")), "node")
     picks = [F.max_by("node", F.struct("times", "node")), F.max_by("node", F.struct("times", -F.col("node")))] + [F.min_by("node", F.xxhash64("node", F.lit(i))) for i in range(REPRESENTATIVES)]
     stars = ranked.groupBy("key").agg(F.array_distinct(F.array(*picks)).alias("r"))
-    spread = hot.join(stars, "key").select("node", F.explode("r").alias("r")).where("node != r").select(F.least("node", "r").alias("a"), F.greatest("node", "r").alias("b"))
-    candidates = stored(pairs.union(spread).distinct(), "candidates")
-    asked = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    bags = stored(sketches.select("id", "bag").join(asked, "id").dropDuplicates(["id"]), "bags")
-    left, right = (bags.select(F.col("id").alias(c), F.col("bag").alias(f"bag_{c}")) for c in "ab")
-    both = F.size(F.array_intersect("bag_a", "bag_b"))
-    links = candidates.join(left, "a").join(right, "b").withColumn("both", both).where(F.col("both") >= least * (F.size("bag_a") + F.size("bag_b") - F.col("both"))).select("a", "b")
+
+    def to_picked(rows: DataFrame, picked: DataFrame) -> DataFrame:
+        spread = rows.join(picked, "key").select("node", F.explode("r").alias("r")).where("node != r")
+        return spread.select(F.least("node", "r").alias("a"), F.greatest("node", "r").alias("b"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        candidates = stored(pairs.distinct(), "candidates")
+        asked = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        bags = stored(sketches.select("id", "bag").join(asked, "id").dropDuplicates(["id"]), "bags")
+        left, right = (bags.select(F.col("id").alias(c), F.col("bag").alias(f"bag_{c}")) for c in "ab")
+        both = F.size(F.array_intersect("bag_a", "bag_b"))
+        links = candidates.join(left, "a").join(right, "b").withColumn("both", both).where(F.col("both") >= least * (F.size("bag_a") + F.size("bag_b") - F.col("both"))).select("a", "b")
+        links = stored(links, "alike")
+        drop_stored(bags), drop_stored(candidates)
+        return links
+
+    links = verified(pairs.union(to_picked(hot, stars)))
+    drop_stored(met)
+    comps = connected_components(links)
+    named = _with_component(sections.select("node", "digest", "again", "size").distinct(), comps)
+    prefixes = sketches.select("id", "digest", "again", "prefix").join(named, ["digest", "again"]).where("id = node").dropDuplicates(["node"])
+    prefixes = stored(_open_buckets(prefixes.select("node", "size", "component", F.explode("prefix").alias("key"))), "prefixes")
+    drop_stored(sections)
+    full = prefixes.where(F.col("n") > SMALL_BUCKET)
+    picked = full.groupBy("key").agg(F.array_distinct(F.array(*[F.min_by("node", F.xxhash64("node", F.lit(i))) for i in range(REPRESENTATIVES)])).alias("r"))
+    cold = _pairs_in(prefixes.where(F.col("n") <= SMALL_BUCKET), ["key"], alike)
+    links = links.union(verified(cold.union(to_picked(full, picked))))
+    drop_stored(prefixes)
     comps = connected_components(links)
     named = copies.join(comps, "node", "left").select("digest", "again", F.coalesce("component", "node").alias("group"))
     return sketches.select("id", "digest", "again").join(named, ["digest", "again"]).select(F.col("id").alias(id_col), "group")
