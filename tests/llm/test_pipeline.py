@@ -102,3 +102,27 @@ def test_short_near_copies_equal_brute_force(spark):
         texts += [w, [*w, "appended"], ["prepended", *w], [*w[:at], "changed", *w[at + 1 :]]]
     rows = list(enumerate(" ".join(w) for w in texts))
     assert groups_of(spark, rows) == brute_groups(rows)
+
+
+def test_hot_buckets_equal_brute_force(spark):
+    rnd = random.Random(8)
+    notice = [f"notice{i}" for i in range(40)]
+    chain = [f"c{i}" for i in range(60)]
+    texts = []
+    for k in range(120):  # revisions: neighbours alike, ends not; every text holds the notice
+        chain = [*chain[:]]
+        chain[(7 * k) % 60] = f"r{k}"
+        texts.append([*notice, *chain])
+    origin = [f"o{i}" for i in range(90)]
+    for k in range(150):  # altered copies whose original is missing
+        w = list(origin)
+        for at in rnd.sample(range(90), 2):
+            w[at] = f"a{k}x{at}"
+        texts.append([*notice, *w])
+    for k in range(100):  # pairs that are mostly notice
+        w = [f"s{k}x{i}" for i in range(rnd.randint(15, 25))]
+        texts += [[*notice, *w], [*notice, *w[:-1], "last", f"p{k}"]]
+    rows = list(enumerate(" ".join(w) for w in texts))
+    rnd.shuffle(rows)
+    rows = sorted((i, t) for i, (_, t) in enumerate(rows))
+    assert groups_of(spark, rows) == brute_groups(rows)

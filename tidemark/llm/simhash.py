@@ -176,6 +176,45 @@ def _sketches(docs: DataFrame, shingle: int, least: float) -> DataFrame:
     return docs.mapInArrow(run, f"id {kind}, digest long, again long, fps array<long>, bag array<int>, prefix array<long>")
 
 
+def size_classes(n: int, least: float) -> list[tuple[int, int]]:
+    """(class, largest size in it) of the two classes that a set of n shingles enters: any two sets at `least` meet in one."""
+    number, last = 0, 0
+    while last < n:
+        number, last = number + 1, int((last + 1) / least + 1e-9)
+    return [(number, last), (number + 1, int((last + 1) / least + 1e-9))]
+
+
+def part_keys(bag: np.ndarray, least: float) -> np.ndarray:
+    """Keys of which any two bags at Jaccard similarity `least` share one. Two bags of up to `last` shingles each at `least` differ in at
+    most 2 last (1 - least) / (1 + least) shingles; cut by hash into one part more, they have a part that is equal."""
+    x = bag.view(np.uint32).astype(np.uint64)
+    x = (x + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(32)
+    out = []
+    for number, last in size_classes(len(bag), least):
+        parts = int(2 * last * (1 - least) / (1 + least) + 1e-9) + 1
+        sums = np.zeros(parts, np.uint64)
+        np.add.at(sums, ((x >> np.uint64(32)) % np.uint64(parts)).astype(np.int64), x * np.uint64(0x94D049BB133111EB) ^ x >> np.uint64(17))
+        own = (np.arange(parts, dtype=np.uint64) + np.uint64(number << 32)) * np.uint64(0xD6E8FEB86659FD93)
+        out.append((sums ^ own ^ own >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15))
+    return np.concatenate(out)
+
+
+def _part_rows(bags: DataFrame, least: float) -> DataFrame:
+    """(node, size, keys) of (id, bag)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [np.array(x, np.int32) for x in b.column(1).to_pylist()]
+            keys = [part_keys(x, least).view(np.int64) for x in found]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in found], pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names=["node", "size", "keys"])
+
+    kind = bags.schema["id"].dataType.simpleString()
+    return bags.select("id", "bag").mapInArrow(run, f"node {kind}, size int, keys array<long>")
+
+
 def _with_component(rows: DataFrame, comps: DataFrame) -> DataFrame:
     return rows.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
@@ -196,6 +235,13 @@ def _pairs_in(rows: DataFrame, by: list[str], alike: str) -> DataFrame:
     )
 
 
+def _block_pairs(hot: DataFrame, alike: str, small: int) -> DataFrame:
+    """The pairs of buckets of any size: members are dealt to blocks of about `small`, and each pair of blocks is a group."""
+    blocks = F.ceil(F.col("n") / small)
+    dealt = hot.withColumn("own", F.pmod(F.xxhash64("node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    return _pairs_in(dealt.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}), ["key", "lo", "hi"], alike)
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, least: float = 0.8, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, group): group is the smallest id among the texts reachable by links of Jaccard similarity `least`
     or more over distinct five-word shingles (32 bits each). One row for every row of docs.
@@ -209,8 +255,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, least: float = 0.8, radiu
 
     Copies of one text (equal words) are one text from the start. Buckets of up to SMALL_BUCKET texts have
     all pairs verified. In larger ones of the first pass each text is verified against the texts whose buckets are all shared (an
-    original, unlike its altered copies, has no section of its own) and three picked by hash. So are those of a shingle of
-    more than SMALL_BUCKET texts, to three picked. Wordless texts, null ones among them, are copies of each other. Rows with a null id get the
+    original, unlike its altered copies, has no section of its own) and three picked by hash. Texts with a shingle of
+    more than SMALL_BUCKET texts offer a second key, the parts of their bag of which texts at `least` have one in common. Of a large
+    bucket of those, texts are first linked to two picked ones; what is then still in different components is verified
+    pair by pair in blocks, so no group grows. Wordless texts, null ones among them, are copies of each other. Rows with a null id get the
     group of their text.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -251,12 +299,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, least: float = 0.8, radiu
     prefixes = sketches.select("id", "digest", "again", "prefix").join(named, ["digest", "again"]).where("id = node").dropDuplicates(["node"])
     prefixes = stored(_open_buckets(prefixes.select("node", "size", "component", F.explode("prefix").alias("key"))), "prefixes")
     drop_stored(sections)
-    full = prefixes.where(F.col("n") > SMALL_BUCKET)
-    picked = full.groupBy("key").agg(F.array_distinct(F.array(*[F.min_by("node", F.xxhash64("node", F.lit(i))) for i in range(REPRESENTATIVES)])).alias("r"))
-    cold = _pairs_in(prefixes.where(F.col("n") <= SMALL_BUCKET), ["key"], alike)
-    links = links.union(verified(cold.union(to_picked(full, picked))))
+    many = prefixes.where(F.col("n") > SMALL_BUCKET).select(F.col("node").alias("id")).distinct()
+    parts = _part_rows(sketches.select("id", "bag").join(many, "id").dropDuplicates(["id"]), least)
+    parts = stored(_open_buckets(_with_component(parts, comps).select("node", "size", "component", F.explode("keys").alias("key"))), "parts")
+    full = parts.where(F.col("n") > SMALL_BUCKET)
+    picked = full.groupBy("key").agg(F.array_distinct(F.array(*[F.min_by("node", F.xxhash64("node", F.lit(i))) for i in range(2)])).alias("r"))
+    cold = [_pairs_in(x.where(F.col("n") <= SMALL_BUCKET), ["key"], alike) for x in (prefixes, parts)]
+    links = links.union(verified(cold[0].union(cold[1]).union(to_picked(full, picked))))
     drop_stored(prefixes)
     comps = connected_components(links)
+    rest = stored(_open_buckets(_with_component(full.select("key", "node", "size"), comps)), "rest")
+    if not rest.isEmpty():
+        comps = connected_components(links.union(verified(_block_pairs(rest, alike, SMALL_BUCKET))))
+    drop_stored(parts), drop_stored(rest)
     named = copies.join(comps, "node", "left").select("digest", "again", F.coalesce("component", "node").alias("group"))
     return sketches.select("id", "digest", "again").join(named, ["digest", "again"]).select(F.col("id").alias(id_col), "group")
 
