@@ -219,3 +219,18 @@ def test_streamed_sequence_state(spark, sf):
     last = {r.market: (r.gaps, r.backward) for r in got.groupBy("market").agg(F.max("gaps").alias("gaps"), F.max("backward").alias("backward")).collect()}
     want = {r.market: (r.gaps, r.backward) for r in flow.sequence_breaks(t).collect()}
     assert last == want
+
+
+def test_alpha_test_is_least_squares(spark):
+    rows = [("a", d, 0.3 + 1.5 * x + e, x) for d, (x, e) in enumerate([(0.0, 0.1), (1.0, -0.2), (2.0, 0.05), (3.0, 0.2), (5.0, -0.15)])] + [("two", 0, 1.0, 0.0), ("two", 1, 2.0, 1.0)]
+    returns = spark.createDataFrame([r[:3] for r in rows], "series string, day int, ret double")
+    bench = spark.createDataFrame([(r[1], r[3]) for r in rows if r[0] == "a"], "day int, bench double")
+    got = {r.series: r for r in portfolio.alpha_test(returns, bench).collect()}
+    x, y = [r[3] for r in rows[:5]], [r[2] for r in rows[:5]]
+    mx, my = sum(x) / 5, sum(y) / 5
+    sxx = sum((a - mx) ** 2 for a in x)
+    beta = sum((a - mx) * (b - my) for a, b in zip(x, y)) / sxx
+    alpha = my - beta * mx
+    se = (sum((b - alpha - beta * a) ** 2 for a, b in zip(x, y)) / 3 * (1 / 5 + mx * mx / sxx)) ** 0.5
+    assert got["a"].alpha == pytest.approx(alpha) and got["a"].alpha_se == pytest.approx(se) and got["a"].alpha_t == pytest.approx(alpha / se)
+    assert got["two"].alpha_se is None and got["two"].alpha_t is None

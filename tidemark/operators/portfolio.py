@@ -100,6 +100,18 @@ def against_benchmark(returns: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
+def alpha_test(returns: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Alpha of the regression on the benchmark, its standard error and t on n - 2 degrees; null under three days or without spread."""
+    r = returns.join(benchmark, "day").groupBy("series").agg(
+        F.regr_count("ret", "bench").alias("n"), F.regr_intercept("ret", "bench").alias("alpha"), F.regr_r2("ret", "bench").alias("r2"),
+        *(f("ret", "bench").alias(c) for f, c in [(F.regr_sxx, "sxx"), (F.regr_syy, "syy"), (F.regr_sxy, "sxy"), (F.regr_avgx, "ax")]),
+    )
+    sxx = F.nullif(F.col("sxx"), F.lit(0.0))
+    left = F.greatest(F.col("syy") - F.col("sxy") * F.col("sxy") / sxx, F.lit(0.0)) / F.nullif(F.col("n") - 2, F.lit(0))
+    se = F.when((F.col("n") > 2) & (F.col("sxx") > 0), F.sqrt(left * (1 / F.col("n") + F.col("ax") * F.col("ax") / sxx)))
+    return r.withColumn("alpha_se", se).withColumn("alpha_t", F.when(F.col("alpha_se") > 0, F.col("alpha") / F.col("alpha_se"))).drop("sxx", "syy", "sxy", "ax")
+
+
 def drawdown_episodes(returns: DataFrame, top: int = 3) -> DataFrame:
     """The deepest episodes of each series: from the first day under the peak to recovery or the open end."""
     e = equity(returns).withColumn("at_peak", F.col("drawdown") >= -1e-12).withColumn("island", F.sum(F.col("at_peak").cast("int")).over(running()))

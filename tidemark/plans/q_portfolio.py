@@ -54,6 +54,9 @@ query("m_08_probabilistic_sharpe", S + "z:d psr:d", f"{MOM}, zz AS (SELECT serie
 query("m_09_m_13_benchmark", S + "n:l beta:d alpha:d corr:d r2:d tracking_error:d information_ratio:d", f"{BENCH} SELECT series, count(*) AS n, regr_slope(ret, bench) AS beta, regr_intercept(ret, bench) AS alpha, corr(ret, bench) AS corr, regr_r2(ret, bench) AS r2, stddev_samp(ret - bench) AS tracking_error, avg(ret - bench) / stddev_samp(ret - bench) * sqrt(365) AS information_ratio FROM ret JOIN be ON be.day = ret.day WHERE bench IS NOT NULL GROUP BY series")(
     lambda s, d: m.against_benchmark(ret(s, d), bench(s, d).where("bench is not null"))
 )
+query("m_13_alpha_test", S + "n:l alpha:d r2:d alpha_se:d alpha_t:d", f"{BENCH}, x AS (SELECT series, regr_count(ret, bench)::BIGINT AS n, regr_intercept(ret, bench) AS alpha, regr_r2(ret, bench) AS r2, regr_sxx(ret, bench) AS sxx, regr_syy(ret, bench) AS syy, regr_sxy(ret, bench) AS sxy, regr_avgx(ret, bench) AS ax FROM ret JOIN be ON be.day = ret.day WHERE bench IS NOT NULL GROUP BY series), e AS (SELECT *, CASE WHEN n > 2 AND sxx > 0 THEN sqrt(greatest(syy - sxy * sxy / sxx, 0) / (n - 2) * (1.0::DOUBLE / n + ax * ax / sxx)) END AS alpha_se FROM x) SELECT series, n, alpha, r2, alpha_se, CASE WHEN alpha_se > 0 THEN alpha / alpha_se END AS alpha_t FROM e")(
+    lambda s, d: m.alpha_test(ret(s, d), bench(s, d).where("bench is not null"))
+)
 query("m_10_drawdown_episodes", S + "first_day:s last_day:s depth:d length:l recovered:b", f"{RET}, i AS (SELECT *, sum((drawdown >= -1e-12)::INT) OVER (PARTITION BY series ORDER BY day) AS island FROM eq), e AS (SELECT series, island, min(day) AS first_day, max(day) AS last_day, min(drawdown) AS depth, count(*) AS length FROM i WHERE drawdown < -1e-12 GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY round(depth, 12), first_day) AS j FROM e) SELECT k.*, last_day < (SELECT max(day) FROM eq WHERE eq.series = k.series) AS recovered FROM k WHERE j <= 3")(
     lambda s, d: m.drawdown_episodes(ret(s, d))
 )
