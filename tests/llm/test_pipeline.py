@@ -4,7 +4,7 @@ import corpus_pipeline as cp
 from pyspark.sql import functions as F
 
 from tidemark.llm import mixing
-from tidemark.llm.simhash import drop_near_duplicates, near_duplicates
+from tidemark.llm.neardup import drop_near_duplicates, near_duplicates
 
 
 def jaccard(a, b):
