@@ -32,8 +32,9 @@ def lag(x: Column | str, n: int = 1, by: str = "market", order: str = "day") ->
 
 def average_rank(x: Column, *by: str) -> Column:
     """Rank from one, ties sharing their mean rank; NULL for NULL."""
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*by, x))
-    return F.when(x.isNotNull(), F.rank().over(Window.partitionBy(*by).orderBy(x.asc_nulls_last())) + (ties - 1) / 2.0)
+    w = Window.partitionBy(*by).orderBy(x.asc_nulls_last())
+    ties = F.count(F.lit(1)).over(w.rangeBetween(Window.currentRow, Window.currentRow))
+    return F.when(x.isNotNull(), F.rank().over(w) + (ties - 1) / 2.0)
 
 
 def pct_rank(x: Column | str, *by: str) -> Column:

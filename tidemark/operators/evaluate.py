@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.functions.windows import average_rank
+from tidemark.operators.ranks import with_sums_before
+
 
 def day_window() -> WindowSpec:
     return Window.partitionBy("day")
@@ -34,10 +36,13 @@ def brier(rows: DataFrame, p: str, y: str) -> DataFrame:
 
 
 def auc(rows: DataFrame, p: str, y: str, *by: str) -> DataFrame:
-    """Exact AUC from counts of each distinct score: values are aggregated first, and only the distinct ones are ordered."""
+    """Exact AUC from counts of each distinct score: values are aggregated first, and only the distinct ones are ordered,
+    within their group, or over ranges of the score where there is one group for all rows."""
     per = rows.groupBy(*by, p).agg(F.sum(y).alias("pos"), F.sum(1 - F.col(y)).alias("neg"))
-    w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(p).rowsBetween(Window.unboundedPreceding, -1)
-    less = F.coalesce(F.sum("neg").over(w), F.lit(0))
+    if by:
+        less = F.coalesce(F.sum("neg").over(Window.partitionBy(*by).orderBy(p).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    else:
+        per, less = with_sums_before(per, [F.col(p).asc()], ["neg"]), F.col("neg_before")
     scored = per.withColumn("won", F.col("pos") * (less + F.col("neg") / 2))
     return scored.groupBy(*by).agg((F.sum("won") / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("auc"), F.sum("pos").alias("positives"), F.sum(F.col("pos") + F.col("neg")).alias("n"))
 
@@ -59,10 +64,10 @@ def daily_ic(rows: DataFrame, score: str, value: str, min_rows: int = 5) -> Data
 def apply_buckets(rows: DataFrame, score: str, table: DataFrame) -> DataFrame:
     """The rate of the first bucket whose upper edge is at least the score, else of the last one.
 
-    table: one row a bucket (hi, rate), as the fit made it: at most as many rows as there are buckets, so it becomes one
-    array beside each row.
+    table: one row a bucket (bucket, hi, rate), as the fit made it: at most as many rows as there are buckets, so it becomes
+    one array beside each row. Buckets that end at one score are told apart by their number.
     """
-    edges = table.agg(F.array_sort(F.collect_list(F.struct("hi", "rate"))).alias("t_"))
+    edges = table.agg(F.array_sort(F.collect_list(F.struct("bucket", "hi", "rate"))).alias("t_"))
     pick = F.coalesce(F.get(F.filter("t_", lambda b: b["hi"] >= F.col(score)), F.lit(0))["rate"], F.element_at("t_", -1)["rate"])
     return rows.crossJoin(F.broadcast(edges)).withColumn("calibrated", pick).drop("t_")
 
@@ -110,15 +115,14 @@ def leave_one_out(rows: DataFrame, key: str, value: str) -> DataFrame:
 def ks_statistic(rows: DataFrame, value: str, group: str) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov: largest distance of two running shares over the distinct values. group: 0/1."""
     per = rows.groupBy(value).agg(F.sum(1 - F.col(group)).alias("a"), F.sum(group).alias("b"))
-    w = Window.partitionBy(F.lit(0))
-    run = w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    d = F.abs(F.sum("a").over(run) / F.sum("a").over(w) - F.sum("b").over(run) / F.sum("b").over(w))
+    per = with_sums_before(per, [F.col(value).asc()], ["a", "b"])
+    d = F.abs((F.col("a_before") + F.col("a")) / F.col("a_all") - (F.col("b_before") + F.col("b")) / F.col("b_all"))
     return per.withColumn("d", d).agg(F.max("d").alias("ks"), F.sum("a").alias("n_a"), F.sum("b").alias("n_b"))
 
 
 def apply_ranges(rows: DataFrame, score: str, table: DataFrame) -> DataFrame:
-    """The rate of the bucket whose [lo, hi] holds the score; below all, the first; otherwise unmatched, the last."""
-    edges = table.agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "rate"))).alias("t_"))
+    """The rate of the first bucket (bucket, lo, hi, rate) whose [lo, hi] holds the score; below all, the first; otherwise unmatched, the last."""
+    edges = table.agg(F.array_sort(F.collect_list(F.struct("bucket", "lo", "hi", "rate"))).alias("t_"))
     inside = F.get(F.filter("t_", lambda b: (b["lo"] <= F.col(score)) & (F.col(score) <= b["hi"])), F.lit(0))["rate"]
     first, last = F.element_at("t_", 1), F.element_at("t_", -1)
     return rows.crossJoin(F.broadcast(edges)).withColumn("calibrated", F.coalesce(inside, F.when(F.col(score) < first["lo"], first["rate"]), last["rate"])).drop("t_")

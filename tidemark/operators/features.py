@@ -98,7 +98,7 @@ def regime(bars: DataFrame, ma: int = 200, rv: int = 30, lookback: int = 252, th
 
 def with_width_rank(bars: DataFrame, n: int = 60, min_periods: int = 30) -> DataFrame:
     out = with_bollinger(bars)
-    values = F.transform(F.collect_list(F.struct("bb_width")).over(frame(n)), lambda s: s["bb_width"])
+    values = F.transform(F.collect_list(F.struct(F.round("bb_width", 12).alias("w"))).over(frame(n)), lambda s: s["w"])
     out = out.withColumn("values", values)
     live = F.size(F.filter("values", lambda v: v.isNotNull()))
     return out.withColumn(f"bb_width_pctile_{n}", F.when(live >= min_periods, last_rank(F.col("values")))).drop("values")

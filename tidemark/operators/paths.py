@@ -18,9 +18,9 @@ def next_boundary(ts: Column, seconds: int = 900) -> Column:
     return F.timestamp_seconds(F.floor(F.unix_seconds(ts.cast("timestamp")) / seconds) * seconds + seconds)
 
 
-def entries(trades: DataFrame, every: int = 40) -> DataFrame:
-    """(entry_id, market, seen, start): decisions at each such trade, executed at the next bar."""
-    return trades.where(F.col("event_id") % every == 0).select(F.col("event_id").alias("entry_id"), "market", F.col("ts").alias("seen"), next_boundary(F.col("ts")).alias("start"))
+def entries(trades: DataFrame) -> DataFrame:
+    """(entry_id, market, seen, start): a decision at each trade, executed at the next bar."""
+    return trades.select(F.col("event_id").alias("entry_id"), "market", F.col("ts").alias("seen"), next_boundary(F.col("ts")).alias("start"))
 
 
 def interval_join(entries_: DataFrame, bars: DataFrame, hours: int = 24) -> DataFrame:
@@ -118,7 +118,7 @@ def completeness(entries_: DataFrame, bars: DataFrame, benchmark: str, bars_need
     return rows.select("entry_id", "market", reason.alias("reason"), n.alias("observed"), (F.lit(96) - n).alias("filled"))
 
 
-def grid(entries_: DataFrame, bars: DataFrame, steps: int = 16) -> DataFrame:
+def grid(entries_: DataFrame, bars: DataFrame, steps: int = 96) -> DataFrame:
     """The expected bar starts of each entry with the observed bar or a flat one from the close before."""
     g = entries_.select("entry_id", "market", "start", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("idx")).withColumn("ts", F.timestamp_seconds(F.unix_seconds("start") + F.col("idx") * 900))
     rows = g.join(bars.select("market", "ts", "open", "high", "low", "close"), ["market", "ts"], "left").join(prior_close(entries_, bars).select("entry_id", "prior"), "entry_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tidemark.sources.scratch import shared_path
 from tidemark.functions.windows import EPS, lag, pct_rank, roll, series
 from tidemark.operators.features import ret
 
@@ -112,17 +113,31 @@ def precision_at(rows: DataFrame, k: int, score: str = "score", hit: str = "hit"
 def global_buckets(rows: DataFrame, score: str, buckets: int, *ties: str) -> DataFrame:
     """rows with bucket, the quantile bucket of the first-rank over all rows.
 
-    A rank over all rows without one task for all: rows are range-partitioned by score, each
-    partition counts, and partitions' offsets are added to the ranks inside.
+    A rank over all rows without one task for all: see with_sums_before.
     """
     order = [F.round(score, 9).asc(), *[F.col(t).asc() for t in ties]]
-    parts = rows.repartitionByRange(*order).withColumn("part_", F.spark_partition_id())
-    sizes = parts.groupBy("part_").agg(F.count("*").alias("size_"))
-    before = sizes.withColumns({"before_": F.coalesce(F.sum("size_").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "n_": F.sum("size_").over(Window.partitionBy(F.lit(0)))}).select("part_", "before_", "n_")
-    ranked = parts.withColumn("i_", F.row_number().over(Window.partitionBy("part_").orderBy(*order))).join(F.broadcast(before), "part_")
-    i, n = F.col("i_") + F.col("before_"), F.col("n_")
+    ranked = with_sums_before(rows.withColumn("one_", F.lit(1)), order, ["one_"])
+    i, n = F.col("one__before") + 1, F.col("one__all")
     bucket = F.when(n > 1, F.greatest(F.floor(((i - 1) * buckets + n - 2) / (n - 1)) - 1, F.lit(0))).otherwise(0)
-    return ranked.withColumn("bucket", bucket).drop("part_", "before_", "n_", "i_", "size_")
+    return ranked.withColumn("bucket", bucket).drop("one_", "one__before", "one__all")
+
+
+def with_sums_before(rows: DataFrame, order: list[Column], cols: list[str]) -> DataFrame:
+    """rows with {col}_before, the sum of col over all rows that come before in the order (which must be total), and {col}_all, over all rows.
+
+    Rows are range-partitioned by the order and written once to the shared folder with their partition's number; sums run inside
+    partitions, and the partitions' own sums, one row each, are added to them.
+    """
+    spark, path = rows.sparkSession, shared_path(rows.sparkSession, "ranges")
+    parts = rows.repartitionByRange(*order).withColumn("part_", F.spark_partition_id())
+    parts.write.parquet(path)
+    parts = spark.read.schema(parts.schema).parquet(path)
+    sums = parts.groupBy("part_").agg(*[F.sum(c).alias(f"{c}_part_") for c in cols])
+    lower, every = Window.partitionBy(F.lit(0)).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(F.lit(0))
+    offsets = sums.select("part_", *[F.coalesce(F.sum(f"{c}_part_").over(lower), F.lit(0)).alias(f"{c}_off_") for c in cols], *[F.sum(f"{c}_part_").over(every).alias(f"{c}_all") for c in cols])
+    inside = Window.partitionBy("part_").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    run = parts.withColumns({f"{c}_in_": F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in cols}).join(F.broadcast(offsets), "part_")
+    return run.withColumns({f"{c}_before": F.col(f"{c}_in_") + F.col(f"{c}_off_") for c in cols}).drop("part_", *[f"{c}_{x}_" for c in cols for x in ("in", "off")])
 
 
 def bucket_screen(rows: DataFrame, score: str, hit: str, buckets: int, *ties: str) -> DataFrame:

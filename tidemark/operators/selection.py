@@ -20,7 +20,8 @@ def heads(scored: DataFrame) -> DataFrame:
     rows = scored.withColumns({"a_": pct_rank("score", "day"), "b_": pct_rank("r1", "day")})
     up, dn = F.least(F.greatest(F.col("a_") * 0.4, F.lit(0.01)), F.lit(0.99)), F.least(F.greatest(F.coalesce("b_", F.lit(0.5)) * 0.3, F.lit(0.01)), F.lit(0.99))
     rows = rows.withColumns({"p_up10": F.round(up, 6), "p_dn5": F.round(dn, 6)})
-    return rows.withColumns({"p_dn10": F.round(F.col("p_dn5") / 2, 6), "p_up20": F.round(F.col("p_up10") / 4, 6), "rr": F.round(F.col("p_up10") / F.greatest("p_dn5", F.lit(1e-3)), 6), "exp_downside": F.round(-F.col("p_dn5") / 10, 6)}).drop("a_", "b_")
+    part = lambda c, k: F.floor(F.round(F.col(c) * 1e6) / k + 0.5) / 1e6  # noqa: E731, in whole millionths: a half goes up
+    return rows.withColumns({"p_dn10": part("p_dn5", 2), "p_up20": part("p_up10", 4), "rr": F.round(F.col("p_up10") / F.greatest("p_dn5", F.lit(1e-3)), 6), "exp_downside": -part("p_dn5", 10)}).drop("a_", "b_")
 
 
 def order_risk_reward(rows: DataFrame) -> DataFrame:

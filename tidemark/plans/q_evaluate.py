@@ -68,7 +68,7 @@ query("a_12_ndcg", "day:s ndcg:d", f"{H}, z AS (SELECT *, row_number() OVER (PAR
 query("a_13_daily_ic", "day:s n:l ic:d", f"{H}, z AS (SELECT day, {pr_avg('round(score, 9)')} AS a, {pr_avg('round(ret, 9)')} AS b FROM y) SELECT day, count(*) AS n, CASE WHEN isfinite(corr(a, b)) THEN corr(a, b) END AS ic FROM z GROUP BY day HAVING count(*) >= 5")(
     lambda s, d: e.daily_ic(hy(s, d), "score", "ret")
 )
-query("a_14_bucket_calibration", "day:s market:s calibrated:d", f"{FLAG}, q AS (SELECT *, row_number() OVER (ORDER BY round(score, 9), day, market) AS i, count(*) OVER () AS n FROM o WHERE day < DATE '1998-01-01'), t AS (SELECT greatest(((i - 1) * 10 + n - 2) // (n - 1) - 1, 0) AS b, max(round(score, 9)) AS hi, avg(hit) AS rate FROM q GROUP BY 1) SELECT day, market, coalesce((SELECT arg_min(rate, hi) FROM t WHERE hi >= round(score, 9)), (SELECT arg_max(rate, hi) FROM t)) AS calibrated FROM o WHERE day >= DATE '1998-01-01'")(
+query("a_14_bucket_calibration", "day:s market:s calibrated:d", f"{FLAG}, q AS (SELECT *, row_number() OVER (ORDER BY round(score, 9), day, market) AS i, count(*) OVER () AS n FROM o WHERE day < DATE '1998-01-01'), t AS (SELECT greatest(((i - 1) * 10 + n - 2) // (n - 1) - 1, 0) AS b, max(round(score, 9)) AS hi, avg(hit) AS rate FROM q GROUP BY 1) SELECT day, market, coalesce((SELECT arg_min(rate, b) FROM t WHERE hi >= round(score, 9)), (SELECT arg_max(rate, b) FROM t)) AS calibrated FROM o WHERE day >= DATE '1998-01-01'")(
     lambda s, d: (u := universe(s, d).withColumns({"hit": (F.col("high") / F.col("open") - 1 >= 0.05).cast("int"), "sc": F.round("score", 9)})) is not None and e.apply_buckets(u.where("day >= date'1998-01-01'"), "sc", r.global_buckets(u.where("day < date'1998-01-01'"), "score", 10, "day", "market").groupBy("bucket").agg(F.max("sc").alias("hi"), F.avg("hit").alias("rate")))
 )
 query("a_15_bucket_downside", "bucket:l downside:d", f"{FLAG}, q AS (SELECT *, row_number() OVER (ORDER BY round(score, 9), day, market) AS i, count(*) OVER () AS n FROM o) SELECT greatest(((i - 1) * 10 + n - 2) // (n - 1) - 1, 0) AS bucket, avg(low / open - 1) AS downside FROM q GROUP BY 1")(

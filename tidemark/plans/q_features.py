@@ -77,7 +77,7 @@ query(
 )(lambda s, d: f.regime(bars_1d(s, d).where("market = 'M00'")))
 query(
     "f_12_width_percentile", K + "bb_width_pctile_60:d",
-    f"{W}, {BB}, v AS (SELECT *, list_filter(list(bb_width) OVER {fr(60)}, lambda x: x IS NOT NULL) AS vs FROM bw) SELECT day, market, CASE WHEN len(vs) >= 30 AND bb_width IS NOT NULL THEN (len(list_filter(vs, lambda x: x < bb_width)) + (len(list_filter(vs, lambda x: x = bb_width)) + 1) / 2.0) / len(vs) END AS bb_width_pctile_60 FROM v",
+    f"{W}, {BB}, v AS (SELECT *, list_filter(list(wr) OVER {fr(60)}, lambda x: x IS NOT NULL) AS vs FROM (SELECT *, round(bb_width, 12) AS wr FROM bw)) SELECT day, market, CASE WHEN len(vs) >= 30 AND wr IS NOT NULL THEN (len(list_filter(vs, lambda x: x < wr)) + (len(list_filter(vs, lambda x: x = wr)) + 1) / 2.0) / len(vs) END AS bb_width_pctile_60 FROM v",
 )(lambda s, d: f.with_width_rank(bars_1d(s, d)))
 query(
     "f_13_turnover", K + "log_qv:d qv_surge_7d:d qv_surge_30d:d qv_ma7_vs_ma30:d qv_spiked_yday:d",

@@ -16,7 +16,7 @@ from tidemark.sources.adapters import bars_1d, bars_intraday, foreign_1d, trades
 
 K = "day:s market:s "
 NEXT = "to_timestamp(((epoch_us(ts) // 1000000) // 900) * 900 + 900)::TIMESTAMP"
-P = f"WITH {TRADES}, {intraday(15)}, en AS (SELECT event_id AS entry_id, market, ts AS seen, {NEXT} AS start FROM trades WHERE event_id % 40 = 0)"
+P = f"WITH {TRADES}, {intraday(15)}, en AS (SELECT event_id AS entry_id, market, ts AS seen, {NEXT} AS start FROM trades)"
 PATHS = P + """, pp AS (SELECT entry_id, en.market, start, b.ts, (epoch(b.ts) - epoch(start))::BIGINT // 900 AS idx, open, high, low, close FROM en JOIN ibars b ON b.market = en.market AND b.ts >= start AND b.ts < start + INTERVAL 24 HOUR),
  pa AS (SELECT *, first(open) OVER (PARTITION BY entry_id ORDER BY idx) AS entry, max(high) OVER (PARTITION BY entry_id ORDER BY idx) AS hh FROM pp)"""
 
@@ -46,7 +46,7 @@ query("j_05_strict_d1", K + "fc:d missing:b", f"{W}, {FOREIGN} SELECT bars.day,
 )
 query("j_06_asof_prior", "entry_id:l prior:d", f"{P} SELECT entry_id, (SELECT arg_max(close, ts) FROM ibars b WHERE b.market = en.market AND b.ts < start) AS prior FROM en")(lambda s, d: p.prior_close(en(s, d), bars_intraday(s, d)))
 query("j_07_interval_join", "entry_id:l idx:l close:d", f"{PATHS} SELECT entry_id, idx, close FROM pp")(paths)
-query("j_08_grid", "entry_id:l idx:l close_f:d observed:b", f"""{P}, g AS (SELECT en.*, i AS idx, start + to_seconds(i * 900) AS ts FROM en, range(16) t(i)), o AS (SELECT g.*, b.close FROM g LEFT JOIN ibars b ON b.market = g.market AND b.ts = g.ts)
+query("j_08_grid", "entry_id:l idx:l close_f:d observed:b", f"""{P}, g AS (SELECT en.*, i AS idx, start + to_seconds(i * 900) AS ts FROM en, range(96) t(i)), o AS (SELECT g.*, b.close FROM g LEFT JOIN ibars b ON b.market = g.market AND b.ts = g.ts)
  SELECT entry_id, idx, coalesce(close, last_value(close IGNORE NULLS) OVER (PARTITION BY entry_id ORDER BY idx ROWS UNBOUNDED PRECEDING), (SELECT arg_max(close, ts) FROM ibars b WHERE b.market = o.market AND b.ts < o.start)) AS close_f, close IS NOT NULL AS observed FROM o""")(lambda s, d: p.grid(en(s, d), bars_intraday(s, d)))
 query("j_09_next_boundary", "entry_id:l start:s open:d", f"{P} SELECT entry_id, strftime(start, '%Y-%m-%d %H:%M:%S') AS start, open FROM en LEFT JOIN ibars b ON b.market = en.market AND b.ts = start")(
     lambda s, d: en(s, d).join(bars_intraday(s, d).select("market", F.col("ts").alias("start"), "open"), ["market", "start"], "left").withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))

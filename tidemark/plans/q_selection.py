@@ -20,7 +20,7 @@ from tidemark.sources.adapters import bars_1d, ledger, trades
 K = "day:s market:s "
 SC = f"{W}, {SCORE}, uni AS (SELECT * FROM sc WHERE liq <= 10 AND history >= 70)"
 HEADS = f"""{SC}, h0 AS (SELECT *, round(least(greatest(({pr('score')}) * 0.4, 0.01), 0.99), 6) AS p_up10, round(least(greatest(coalesce({pr('r1')}, 0.5) * 0.3, 0.01), 0.99), 6) AS p_dn5 FROM uni),
- h AS (SELECT *, round(p_dn5 / 2, 6) AS p_dn10, round(p_up10 / 4, 6) AS p_up20, round(p_up10 / greatest(p_dn5, 1e-3), 6) AS rr, round(-p_dn5 / 10, 6) AS exp_downside FROM h0),
+ h AS (SELECT *, floor(round(p_dn5 * 1e6) / 2 + 0.5) / 1e6 AS p_dn10, floor(round(p_up10 * 1e6) / 4 + 0.5) / 1e6 AS p_up20, round(p_up10 / greatest(p_dn5, 1e-3), 6) AS rr, -floor(round(p_dn5 * 1e6) / 10 + 0.5) / 1e6 AS exp_downside FROM h0),
  r1 AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY rr DESC, p_dn10, p_up10 DESC, exp_downside DESC, market) AS rk FROM h),
  d0 AS (SELECT *, round((({pr('p_dn5')}) + coalesce({pr('uq')}, 0.5)) / 2, 6) AS dump_risk FROM r1), d1 AS (SELECT *, round({pr('dump_risk')}, 9) > 0.666666667 AS dump FROM d0)"""
 
@@ -146,14 +146,14 @@ query("r_14_quota_top3", K + "lq4:l", f"{CELLS}, q AS (SELECT day, lq4, count(*)
     lambda s, d: cells(s, d).withColumn("quota", F.sum((F.col("rk") <= 3).cast("int")).over(Window.partitionBy("day", "lq4"))).withColumn("i", F.row_number().over(Window.partitionBy("day", "lq4").orderBy("p_dn5", "market"))).where("i <= quota")
 )
 query("r_15_quartile_cells", K + "lq4:l rr4:l", f"{CELLS} SELECT day, market, lq4, rr4 FROM ce")(cells)
-query("r_16_score_alignment", K + "aligned:d", f"{HEADS}, a AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY p_up10, market) AS i FROM h), b AS (SELECT day, rr, row_number() OVER (PARTITION BY day ORDER BY rr, market) AS i FROM h) SELECT a.day, a.market, avg(b.rr) OVER (PARTITION BY a.day, a.p_up10) AS aligned FROM a JOIN b USING (day, i)")(
-    lambda s, d: (h := x.heads(universe(s, d))).withColumn("i", F.row_number().over(x.day_window().orderBy("p_up10", "market"))).join(h.select("day", F.col("rr").alias("level"), F.row_number().over(x.day_window().orderBy("rr", "market")).alias("i")), ["day", "i"]).withColumn("aligned", F.avg("level").over(Window.partitionBy("day", "p_up10")))
+query("r_16_score_alignment", K + "aligned:d", f"{HEADS}, a AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY p_up10, market) AS i FROM h), b AS (SELECT day, rr, row_number() OVER (PARTITION BY day ORDER BY rr, market) AS i FROM h) SELECT a.day, a.market, floor(sum(round(b.rr * 1e6)) OVER (PARTITION BY a.day, a.p_up10) / count(*) OVER (PARTITION BY a.day, a.p_up10) + 0.5) / 1e6 AS aligned FROM a JOIN b USING (day, i)")(
+    lambda s, d: (h := x.heads(universe(s, d))).withColumn("i", F.row_number().over(x.day_window().orderBy("p_up10", "market"))).join(h.select("day", F.col("rr").alias("level"), F.row_number().over(x.day_window().orderBy("rr", "market")).alias("i")), ["day", "i"]).withColumn("aligned", F.floor(F.avg(F.round(F.col("level") * 1e6)).over(Window.partitionBy("day", "p_up10")) + 0.5) / 1e6)
 )
 query("r_17_pump_v2", K + "v2:d rk:l", f"{SC}, q AS (SELECT *, round(0.6 * least(coalesce(s7, 0), 10) / 10 + 0.4 * {pr('score')}, 9) AS v2 FROM uni), z AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY v2 DESC, market) AS rk FROM q) SELECT day, market, v2, rk FROM z WHERE rk <= 5")(
     lambda s, d: r.top_k(universe(s, d).withColumn("v2", F.round(0.6 * F.least(F.coalesce("s7", F.lit(0.0)), F.lit(10.0)) / 10 + 0.4 * r.pct_rank("score", "day"), 9)), "v2", 5)
 )
-query("r_18_composite", K + "comp:d", f"{HEADS}, {TIER}, z AS (SELECT *, round(p_up10 + p_up20 + 5 * p_dn10, 9) AS comp FROM tt WHERE s1), y AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY comp DESC, market) AS i FROM z) SELECT day, market, comp FROM y WHERE i <= 3")(
-    lambda s, d: r.top_k(x.setups(ranked(s, d)).where(F.array_contains("setups", "S01")).withColumn("comp", F.round(F.col("p_up10") + F.col("p_up20") + 5 * F.col("p_dn10"), 9)).drop("rk"), "comp", 3)
+query("r_18_composite", K + "comp:d", f"{HEADS}, {TIER}, z AS (SELECT *, p_up10 + p_up20 + 5 * p_dn10 AS comp FROM tt WHERE s1), y AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY round(comp, 9) DESC, market) AS i FROM z) SELECT day, market, comp FROM y WHERE i <= 3")(
+    lambda s, d: r.top_k(x.setups(ranked(s, d)).where(F.array_contains("setups", "S01")).withColumn("comp", F.col("p_up10") + F.col("p_up20") + 5 * F.col("p_dn10")).drop("rk"), "comp", 3)
 )
 HASH = "md5(day::VARCHAR || '|' || market || '|{}')"
 STRATEGIES = {"momentum": ("round(r7, 9) DESC NULLS LAST", "r7"), "turnover": ("round(s7, 9) DESC NULLS LAST", "s7"), "random": (HASH.format("seed"), "hash")}

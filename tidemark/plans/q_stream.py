@@ -65,8 +65,8 @@ query("t_12_session_bars", "market:s ts:s open:d close:d volume:d", f"{T}, z AS
 query("t_13_closed_bars", "market:s ts:s close:d", f"{T}, {intraday(15)}, l AS (SELECT market, max(ts) AS m FROM ibars GROUP BY market) SELECT b.market, strftime(b.ts, {FMT}) AS ts, close FROM ibars b JOIN l ON l.market = b.market AND b.ts < m")(
     lambda s, d: bars_intraday(s, d).withColumn("m", F.max("ts").over(Window.partitionBy("market"))).where("ts < m").withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
 )
-query("e_01_time_zones", "event_id:l seoul:s back:s", f"{T} SELECT event_id, strftime(ts + INTERVAL 9 HOUR, {FMT}) AS seoul, strftime(ts, {FMT}) AS back FROM trades WHERE event_id % 10 = 0")(
-    lambda s, d: trades(s, d).where("event_id % 10 = 0").withColumn("k", F.convert_timezone(F.lit("UTC"), F.lit("Asia/Seoul"), "ts")).select("event_id", F.date_format("k", "yyyy-MM-dd HH:mm:ss").alias("seoul"), F.date_format(F.convert_timezone(F.lit("Asia/Seoul"), F.lit("UTC"), "k"), "yyyy-MM-dd HH:mm:ss").alias("back"))
+query("e_01_time_zones", "event_id:l seoul:s back:s", f"{T} SELECT event_id, strftime(ts + INTERVAL 9 HOUR, {FMT}) AS seoul, strftime(ts, {FMT}) AS back FROM trades")(
+    lambda s, d: trades(s, d).withColumn("k", F.convert_timezone(F.lit("UTC"), F.lit("Asia/Seoul"), "ts")).select("event_id", F.date_format("k", "yyyy-MM-dd HH:mm:ss").alias("seoul"), F.date_format(F.convert_timezone(F.lit("Asia/Seoul"), F.lit("UTC"), "k"), "yyyy-MM-dd HH:mm:ss").alias("back"))
 )
 query("e_02_nanoseconds", "event_id:l event_ns:l", f"{T} SELECT event_id, event_ns FROM trades")(lambda s, d: trades(s, d))
 query("e_04_stable_order", "day:s market:s place:l", f"{W} SELECT day, market, row_number() OVER (PARTITION BY day ORDER BY sha256(day::VARCHAR || '|' || market || '|salt')) AS place FROM bars")(
