@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.tokens import grouped, mixed, spaced, words_of
 
-PAIR, BASE, SHARD_BYTES, CHUNK_TOKENS = 0.05, 2.0, 12 << 20, 1 << 20
+PAIR, BASE, SHARD_BYTES, CHUNK_TOKENS = 0.01, 8.0, 12 << 20, 1 << 20
 EARLIER, START, END = (mixed(np.array([i], np.uint64))[0] for i in (1, 2, 3))
 MIX, ESCAPE = np.uint64(0x9E3779B97F4A7C15), (1 << 24) - 1
 
