@@ -4,22 +4,22 @@ from collections import defaultdict
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import fold
-from tidemark.llm.langid import build, predict, train
+from tidemark.llm.langid import build, count_contexts, predict, train
 
 
 def brute_bits(texts, text):
     """Code length by walking the tree for each byte."""
-    tree = [defaultdict(lambda: defaultdict(int)) for _ in range(3)]
+    tree = [defaultdict(lambda: defaultdict(int)) for _ in range(6)]
     for t in texts:
-        b = b"\0\0" + t.lower()
-        for i in range(2, len(b)):
-            for k in range(3):
+        b = bytes(5) + t.lower()
+        for i in range(5, len(b)):
+            for k in range(6):
                 tree[k][b[i - k : i]][b[i]] += 1
-    bits, b = 0.0, b"\0\0" + text.lower()
-    for i in range(2, len(b)):
-        for k in (2, 1, 0):
+    bits, b = 0.0, bytes(5) + text.lower()
+    for i in range(5, len(b)):
+        for k in range(5, -1, -1):
             node = tree[k].get(b[i - k : i])
-            if not node:
+            if not node or k > 2 and sum(node.values()) < 4:
                 continue
             total = sum(node.values()) + len(node)
             if b[i] in node:
@@ -31,22 +31,22 @@ def brute_bits(texts, text):
     return bits
 
 
-def grams(lang, texts):
-    n = defaultdict(int)
-    for t in texts:
-        b = b"\0\0" + t.lower()
-        for i in range(2, len(b)):
-            n[b[i - 2] << 16 | b[i - 1] << 8 | b[i]] += 1
-    return [(lang, g, c) for g, c in n.items()]
+def test_code_lengths_are_exact(spark):
+    texts = {"a": ["the cat and the hat and the cat and the hat", "that", "the cat the cat"], "b": ["der Hund und die M\u00e4use und der Hund und das Pferd und der Hund"]}
+    rows = count_contexts(spark.createDataFrame([(lang, t) for lang, ts in texts.items() for t in ts], "lang string, text string")).toPandas()
+    model = build(*(rows[c].to_numpy() for c in ("lang", "k", "gram", "n")))
+    probes = [b"the hat", "M\u00e4use und der Hunt zzz \x07".encode(), b"", b"q" * 100_000, b"THE cat and " * 120_000, b"x"]
+    got = model.code_lengths(probes)
+    for p, bits in zip(probes, got):
+        for i, lang in enumerate(model.languages):
+            assert math.isclose(bits[i], brute_bits([t.encode() for t in texts[lang]], p), rel_tol=1e-4, abs_tol=1e-3)
 
 
-def test_code_lengths_are_exact():
-    texts = {"a": [b"the cat and the hat", b"that"], "b": ["der Hund und die Mäuse".encode()]}
-    model = build([r for lang, ts in texts.items() for r in grams(lang, ts)])
-    for probe in (b"the hat", "Mäuse zzz \x07".encode(), b"", b"q" * 100_000):
-        got = model.code_lengths(probe)
-        for i, lang in enumerate(model.languages):
-            assert math.isclose(got[i], brute_bits(texts[lang], probe), rel_tol=1e-4, abs_tol=1e-3)
+def test_a_hundred_languages_are_small(spark):
+    sample = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("lang = 'de'").select("lang", "text").limit(1500)
+    rows = count_contexts(sample).toPandas()
+    model = build(*(rows[c].to_numpy() for c in ("lang", "k", "gram", "n")))
+    assert 100 * sum(x.nbytes for part in (model.grams, model.costs, model.contexts, model.escapes) for x in part) < 500e6
 
 
 def test_held_out_accuracy(spark, sf):
@@ -64,6 +64,8 @@ def test_edges(spark):
     got = predict(spark.createDataFrame(rows, "doc_id long, text string, score string"), model).collect()
     assert [r.lang_pred for r in got] == ["und", "und", "und", "x", "y", "x"]
     assert all(0 <= r.score <= 1 for r in got)
+    mixed = spark.createDataFrame([(1, "aa bb", "x"), (1, "cc dd", "y"), (2, "ee ff", "z"), (2, "ee ff", "z"), (3, "gg", "w")], "doc_id long, text string, lang string")
+    assert train(mixed.select("doc_id", "lang"), mixed).languages == ["w"]
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     none = train(empty.select("doc_id", "lang"), empty)
     assert none is None and predict(empty, none).count() == 0

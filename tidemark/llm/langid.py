@@ -1,103 +1,176 @@
 """Language identification by prediction by partial matching over bytes.
 
-Each language has a context tree of the bytes that followed every context of up to two bytes in its
-training sample. The tree is frozen, so the code length of a byte after a context is fixed: a symbol seen
-n times in a context with n_all occurrences and d distinct successors costs -log2(n/(n_all+d)); any other
-costs the escape -log2(d/(n_all+d)) plus its cost one order lower, at last log2(256). A context that never
-occurred passes straight on to the next shorter one. As all of this is known beforehand, the exact code
-lengths are tabulated, and a text costs one look-up a byte and language.
-
-Bytes that no sample holds all cost the same in every context, so they share one symbol. A-Z are lower-cased.
+Each language has a context tree of the bytes that followed every context in its training sample: all contexts of up to two bytes, and
+those of up to five that occurred four times. The tree is frozen, so the code length of a byte after a context is fixed: a symbol seen n
+times in a context with n_all occurrences and d distinct successors costs -log2(n/(n_all+d)); any other costs the escape
+-log2(d/(n_all+d)) plus its cost one order lower, at last log2(256). A context that is not in the tree passes straight on to the
+next shorter one. Code lengths are exact.
+
+Trees are sorted arrays of (language, bytes from the last backwards), one for each order. A context holds the sum of the escapes down from
+it, and a symbol its cost less the sum of its own context, so a byte costs what the longest context and the longest match say. Equal windows
+of six bytes are looked up once for many texts. A-Z are lower-cased; five zero bytes stand before a text.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import utf8
-from tidemark.llm.sampling import smallest_hashes
+from tidemark.llm.sampling import smallest_hashes, told_apart
 
-#: A piece of a text that is looked up at once, in bytes.
-PIECE = 1 << 16
+#: The longest context, how often one longer than two bytes must occur, and how many bytes are looked up at once.
+ORDER, LEAST, PIECE = 5, 4, 1 << 20
+
+
+def windows(pieces: list[bytes]) -> np.ndarray:
+    """For each byte of each piece but its first ORDER ones, the last ORDER + 1 bytes; the last one counts most."""
+    b = np.frombuffer(b"".join(pieces), np.uint8)
+    n = len(b) - ORDER
+    if n <= 0:
+        return np.empty(0, np.uint64)
+    w = np.zeros(n, np.uint64)
+    for k in range(ORDER + 1):
+        w |= b[ORDER - k : ORDER - k + n].astype(np.uint64) << np.uint64(8 * (ORDER - k))
+    ends = np.cumsum([len(x) for x in pieces])[:-1]
+    inside = np.ones(n, bool)
+    for k in range(1, ORDER + 1):  # windows that reach over the end of a piece
+        at = ends - k
+        inside[at[(at >= 0) & (at < n)]] = False
+    return w[inside]
+
+
+def of_order(w: np.ndarray, k: int) -> np.ndarray:
+    """A byte with its last k ones."""
+    return w >> np.uint64(8 * (ORDER - k))
+
+
+def context(w: np.ndarray, k: int) -> np.ndarray:
+    """The last k bytes before a byte."""
+    return (w & np.uint64((1 << 8 * ORDER) - 1)) >> np.uint64(8 * (ORDER - k))
+
+
+def find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    if not len(table):
+        return np.full(len(keys), -1)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return np.where(table[at] == keys, at, -1)
 
 
 @dataclass
 class ByteModel:
     languages: list[str]
-    symbol: np.ndarray  # byte -> symbol
-    context: np.ndarray  # the same, but the zero bytes before a text have a symbol of their own
-    cost: np.ndarray  # bits, as [language, context, context, symbol]
-    size: int
-
-    def code_lengths(self, text: bytes) -> np.ndarray:
-        """Bits of the whole text in each language."""
-        total, before = np.zeros(len(self.languages)), b"\0\0"
-        flat = self.cost.reshape(len(self.languages), -1)
-        for i in range(0, len(text), PIECE):
-            b = np.frombuffer(before + text[i : i + PIECE].lower(), np.uint8)
-            before, c = b[-2:].tobytes(), self.context[b]
-            total += flat[:, (c[:-2] * self.size + c[1:-1]) * self.size + self.symbol[b[2:]]].sum(axis=1, dtype=np.float64)
+    grams: list[np.ndarray]  # for each order, sorted (language << 48 | byte and context)
+    costs: list[np.ndarray]  # bits less the escapes down from the context
+    contexts: list[np.ndarray]  # for each order, sorted (language << 48 | context)
+    escapes: list[np.ndarray]  # bits of the escapes down from each context, its own included
+
+    def bits(self, w: np.ndarray) -> np.ndarray:
+        """(window, language): the bits that the last byte of each window costs. w: sorted."""
+        out = np.empty((len(w), len(self.languages)))
+        for i in range(len(self.languages)):
+            own = np.uint64(i << 48)
+            cost, escape = np.full(len(w), 8.0), np.zeros(len(w))
+            for target, keys, table, values in ((cost, of_order, self.grams, self.costs), (escape, context, self.contexts, self.escapes)):
+                left = np.arange(len(w))
+                for k in range(ORDER, -1, -1):
+                    at = find(table[k], own | keys(w[left], k))
+                    hit = at >= 0
+                    target[left[hit]] = values[k][at[hit]]
+                    left = left[~hit]
+            out[:, i] = cost + escape
+        return out
+
+    def code_lengths(self, texts: list[bytes]) -> np.ndarray:
+        """(text, language): bits of each whole text."""
+        total, pieces, owners, n = np.zeros((len(texts), len(self.languages))), [], [], 0
+
+        def add() -> None:
+            w, at = np.unique(windows(pieces), return_inverse=True)
+            costs, lengths = self.bits(w), [len(x) - ORDER for x in pieces]
+            starts = np.cumsum([0, *lengths[:-1]])
+            for i in range(len(self.languages)):
+                np.add.at(total[:, i], owners, np.add.reduceat(costs[at, i], starts))
+
+        for i, text in enumerate(texts):
+            text = bytes(ORDER) + text.lower()
+            for lo in range(ORDER, len(text), PIECE):
+                pieces.append(text[lo - ORDER : lo + PIECE]), owners.append(i)
+                n += len(pieces[-1])
+                if n >= PIECE:
+                    add()
+                    pieces, owners, n = [], [], 0
+        if pieces:
+            add()
         return total
 
 
 def count_contexts(sample: DataFrame) -> DataFrame:
-    """(lang, gram, n): byte trigrams, bigrams and single bytes of (lang, text) rows, counted in each partition and summed."""
+    """(lang, k, gram, n): each byte of (lang, text) rows with its last k ones, counted in each partition and summed; without those
+    after a context longer than two bytes that occurred less than LEAST times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, Counter] = {}
+        counts: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for b in batches:
+            by: dict[str, list[bytes]] = {}
             for lang, text in zip(b.column(0).to_pylist(), utf8(b.column(1))):
-                t = np.frombuffer(b"\0\0" + text.lower(), np.uint8).astype(np.int64)
-                grams, n = np.unique((t[:-2] << 16) | (t[1:-1] << 8) | t[2:], return_counts=True)
-                counts.setdefault(lang, Counter()).update(dict(zip(grams.tolist(), n.tolist())))
-        rows = [(lang, g, n) for lang, c in counts.items() for g, n in c.items()]
-        cols = list(zip(*rows)) if rows else [[], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], ["lang", "gram", "n"])
-
-    return sample.select("lang", "text").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-
-
-def build(rows: list[tuple[str, int, int]]) -> ByteModel | None:
-    """The frozen trees of (lang, trigram, n) counts; None without any."""
-    if not rows:
+                by.setdefault(lang, []).append(bytes(ORDER) + text.lower())
+            for lang, texts in by.items():
+                w, n = np.unique(windows(texts), return_counts=True)
+                old = counts.get(lang, (w[:0], n[:0]))
+                w, at = np.unique(np.concatenate([old[0], w]), return_inverse=True)
+                counts[lang] = w, np.bincount(at, weights=np.concatenate([old[1], n]), minlength=len(w)).astype(np.int64)
+        for lang, (w, n) in counts.items():
+            for k in range(ORDER + 1):
+                grams, at = np.unique(of_order(w, k), return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(np.full(len(grams), k, np.int32)), pa.array(grams.view(np.int64)), pa.array(np.bincount(at, weights=n, minlength=len(grams)).astype(np.int64))], ["lang", "k", "gram", "n"])
+
+    summed = sample.select("lang", "text").mapInArrow(run, "lang string, k int, gram long, n long").groupBy("lang", "k", "gram").agg(F.sum("n").alias("n"))
+    before = F.expr("gram & (shiftleft(1L, 8 * k) - 1)")
+    whole = F.sum("n").over(Window.partitionBy("lang", "k", before))
+    return summed.withColumn("whole", whole).where(f"k <= 2 or whole >= {LEAST}").drop("whole")
+
+
+def build(lang: np.ndarray, k: np.ndarray, gram: np.ndarray, n: np.ndarray) -> ByteModel | None:
+    """The frozen trees of counts; None without any."""
+    if not len(lang):
         return None
-    languages = sorted({r[0] for r in rows})
-    at = {lang: i for i, lang in enumerate(languages)}
-    li, gram, n = np.array([at[r[0]] for r in rows]), np.array([r[1] for r in rows]), np.array([r[2] for r in rows], float)
-    b = np.stack([gram >> 16, gram >> 8 & 255, gram & 255])
-    symbol = np.zeros(256, np.int64)
-    seen = np.unique(b[2])
-    symbol[seen] = np.arange(1, len(seen) + 1)
-    context, k = symbol.copy(), len(seen) + 2
-    context[0] = k - 1
-    tri = np.zeros((len(languages), k, k, k), np.float32)
-    np.add.at(tri, (li, context[b[0]], context[b[1]], symbol[b[2]]), n)
-    cost = np.full((len(languages), 1, 1, k), 8.0)
-    for order in (0, 1, 2):
-        counts = tri.sum(axis=(1, 2), dtype=np.float64)[:, None, None] if order == 0 else tri.sum(axis=1, dtype=np.float64)[:, None] if order == 1 else tri
-        n_all, d = counts.sum(-1, keepdims=True), (counts > 0).sum(-1, keepdims=True)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            hit, escape = -np.log2(counts / (n_all + d)), -np.log2(d / (n_all + d))
-        cost = np.where(n_all == 0, cost, np.where(counts > 0, hit, escape + cost)).astype(np.float32)
-    return ByteModel(languages, symbol, context, cost, k)
+    languages, li = np.unique(lang.astype(str), return_inverse=True)
+    gram, model = gram.astype(np.uint64), ByteModel(languages.tolist(), [], [], [], [])
+    for order in range(ORDER + 1):
+        own = k == order
+        key, count = gram[own] | li[own].astype(np.uint64) << np.uint64(48), n[own].astype(float)
+        order_of = np.argsort(key)
+        key, count = key[order_of], count[order_of]
+        after = key & ~np.uint64(255 << 8 * order)
+        contexts, at = np.unique(after, return_inverse=True)
+        n_all, d = np.bincount(at, weights=count, minlength=len(contexts)), np.bincount(at, minlength=len(contexts))
+        escape = -np.log2(d / (n_all + d)) if len(contexts) else np.zeros(0)
+        if order:
+            shorter = (contexts >> np.uint64(48)) << np.uint64(48) | (contexts & np.uint64((1 << 48) - 1)) >> np.uint64(8)
+            escape = escape + model.escapes[-1][find(model.contexts[-1], shorter)]
+        model.grams.append(key), model.costs.append((-np.log2(count / (n_all + d)[at]) - escape[at]).astype(np.float32))
+        model.contexts.append(contexts), model.escapes.append(escape.astype(np.float32))
+    return model
 
 
 def train(labelled: DataFrame, texts: DataFrame, per_language: int = 1500, id_col: str = "doc_id") -> ByteModel | None:
     """Learns from whole texts of at most `per_language` labelled rows of each language.
 
     labelled: (id, lang), without texts; rows with a null language are left out. texts: (id, text). The sample is bounded by `per_language`
-    times the number of languages, and only its summed counts reach the driver (at most 2^24 a language).
+    times the number of languages, and only its summed counts reach the driver, of contexts that pass the rule above (some hundred thousand a
+    language, twelve bytes each in the model). Ids that
+    are repeated in either table are left out of it.
     """
-    ids = smallest_hashes(labelled.where("lang is not null"), per_language, by="lang", id_col=id_col)
+    ids = told_apart(smallest_hashes(labelled.where("lang is not null"), per_language, by="lang", id_col=id_col), texts, id_col)
     sample = texts.select(id_col, "text").join(F.broadcast(ids.select(id_col, "lang")), id_col)
-    return build([tuple(r) for r in count_contexts(sample).collect()])
+    rows = count_contexts(sample).toPandas()
+    return build(*(rows[c].to_numpy() for c in ("lang", "k", "gram", "n")))
 
 
 def predict(docs: DataFrame, model: ByteModel | None, text_col: str = "text") -> DataFrame:
@@ -114,14 +187,11 @@ def predict(docs: DataFrame, model: ByteModel | None, text_col: str = "text") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            langs, scores = [], []
-            for text, letter in zip(utf8(b.column(at)), b.column(at + 1).to_pylist()):
-                if not letter or m is None:
-                    langs.append("und"), scores.append(0.0)
-                    continue
-                bits = m.code_lengths(text)
+            langs, scores = ["und"] * b.num_rows, [0.0] * b.num_rows
+            known = [i for i, letter in enumerate(b.column(at + 1).to_pylist()) if letter] if m is not None else []
+            for i, bits in zip(known, m.code_lengths(utf8(b.column(at).take(pa.array(known, pa.int64())))) if known else ()):
                 best = int(bits.argmin())
-                langs.append(m.languages[best]), scores.append(float(1 / np.exp2(np.maximum(bits[best] - bits, -1000)).sum()))
+                langs[i], scores[i] = m.languages[best], float(1 / np.exp2(np.maximum(bits[best] - bits, -1000)).sum())
             yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
 
     letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import decontam, extract, langid, linededup, lm, mixing, rules, toxicity, warc
 from tidemark.llm.common import fold, new_folder, table
-from tidemark.llm.sampling import smallest_hashes
+from tidemark.llm.sampling import smallest_hashes, told_apart
 from tidemark.llm.simhash import hex16, simhash_components
 
 
@@ -73,8 +73,9 @@ def op9_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_rules(spark: SparkSession, sf_dir: str, sample: int = 20_000) -> list[rules.Rule]:
     """Learned from a bounded sample of labelled rows outside fold 0."""
     labels = table(spark, sf_dir, "labels").where("quality is not null").where(fold() != 0).select("doc_id", "quality")
-    chosen = smallest_hashes(labels, sample)
-    counts = rules.quality_counts(table(spark, sf_dir, "documents").select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    chosen = told_apart(smallest_hashes(labels, sample), docs)
+    counts = rules.quality_counts(docs.join(F.broadcast(chosen), "doc_id"))
     return rules.learn_from(counts.select("doc_id", *rules.features(), (1 - F.col("quality")).alias("junk")).orderBy(F.xxhash64("doc_id")), "junk")
 
 

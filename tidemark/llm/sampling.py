@@ -6,6 +6,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def told_apart(sample: DataFrame, texts: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of a bounded sample of labelled ids whose id stands there once, and once in texts: any other id says
+    nothing sure about a text, and is left out. Reads only the ids of texts."""
+    ids = sample.select(id_col)
+    here = ids.groupBy(id_col).agg(F.count("*").alias("__tm_n")).where("__tm_n = 1")
+    there = texts.select(id_col).join(F.broadcast(ids.distinct()), id_col).groupBy(id_col).agg(F.count("*").alias("__tm_n")).where("__tm_n = 1")
+    return sample.join(F.broadcast(here.select(id_col).join(there.select(id_col), id_col)), id_col)
+
+
 def smallest_hashes(rows: DataFrame, limit: int, by: str | None = None, id_col: str = "doc_id", seed: int = 7) -> DataFrame:
     """Up to `limit` rows (of each value of `by`) with the smallest hash of the id; the same rows for the same
     data. Pass narrow rows (ids and labels). With `by`, rows whose hash can't be among the smallest (those over
