@@ -46,3 +46,24 @@ def test_misspelled_and_quoted(spark):
     assert s[0] > s[1] == s[2] == s[3] and s[4] > 0.5 and all(0 <= x <= 1 for x in s)
     none = train(docs.limit(0).select("doc_id", "toxic"), docs)
     assert score(probe, none).where("toxicity > 0.01").count() == 0 and score(probe.limit(0), none).count() == 0
+
+
+def test_quoted_and_reported_terms_weigh_less(spark):
+    rnd = random.Random(1)
+    calm = lambda k: " ".join(rnd.choice("garden river bread morning window letter music table".split()) for _ in range(k))
+    rows = [(f"{calm(6)} you are an idiot {calm(6)}", 1) for _ in range(150)] + [(f"{calm(14)}", 0) for _ in range(1200)]
+    rows += [(f'{calm(3)} he called it "such an idiot move" {calm(3)}', 0) for _ in range(30)] + [(f"{calm(3)} the witness testified idiot was shouted {calm(3)}", 0) for _ in range(30)]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, toxic int")
+    model = train(docs.select("doc_id", "toxic"), docs.select("doc_id", "text"))
+    assert "testified" in model.reporting and "garden" not in model.reporting
+    probe = ["you are an idiot today", 'they printed "an idiot move" again', "another witness testified idiot was heard", '"' + "then calm " * 20 + "idiot " + "then calm " * 20 + '" and one mark "', "calm bread", "then calm " * 20 + "idiot " + "then calm " * 20 + " and one mark "]
+    s = {r.doc_id: r.toxicity for r in score(spark.createDataFrame(list(enumerate(probe)), "doc_id long, text string"), model).collect()}
+    assert s[0] > 0.5 > s[1] and s[2] < 0.5 and s[3] == s[5] and s[4] < 0.5
+
+
+def test_repeated_ids_teach_nothing(spark):
+    rows = [(i, "you idiot person", 1) for i in range(40)] + [(100 + i, "calm words about birds", 0) for i in range(60)]
+    docs = spark.createDataFrame(rows + [(500, "pleasant text", 1), (500, "idiot text", 0)] * 30, "doc_id long, text string, toxic int")
+    model = train(docs.select("doc_id", "toxic"), docs.select("doc_id", "text"))
+    same = train(docs.where("doc_id < 500").select("doc_id", "toxic"), docs.where("doc_id < 500").select("doc_id", "text"))
+    assert model.lexicon.weights == same.lexicon.weights and (model.weights == same.weights).all()

@@ -6,14 +6,16 @@ one deterministic automaton, shared by all tokens, whose states hold (trie node,
 costs a table look-up a letter, however large the lexicon is. Misspellings (one edit) match whole words of
 five letters or more.
 
-Each match is weighed in its context: a window of tokens around it tells quoted use (inside quotation
-marks, or near words that report speech, as learned) from abuse, and a dense window counts more than a
-lone word. A logistic model over these features, fitted on labelled rows, gives the score.
+Each match is weighed in its context: a window of tokens around it tells quoted use (quotation marks on both sides, or a word
+that reports speech before it) from abuse, and a dense window counts more than a lone word. Reporting words are learned: they stand before
+terms mostly in texts that are not labelled toxic. A logistic model over these features gives the score. Three quarters of the labelled
+rows give the lexicon, the others the reporting words and the weights.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.sampling import smallest_hashes
+from tidemark.llm.sampling import smallest_hashes, told_apart
 
 TOKEN = re.compile(r"[^\W\d_]+|[\"“”„«»]")
 QUOTES = frozenset("\"“”„«»")
@@ -114,35 +116,41 @@ class Lexicon:
 @dataclass
 class ToxicityModel:
     lexicon: Lexicon
-    reporting: frozenset[str] = frozenset()
+    reporting: frozenset = frozenset()
     weights: np.ndarray = field(default_factory=lambda: np.zeros(len(FEATURES) + 1))
 
-    def features(self, text: str, known: dict) -> np.ndarray:
-        """FEATURES of a whole text. known: matches of tokens seen before; the caller bounds it."""
-        abuse = quoted = fuzzy = 0.0
-        kinds, at, n, open_quote, last_report = set(), [], 0, False, -WINDOW
-        match = self.lexicon.match
+    def matches(self, text: str, known: dict) -> tuple[int, list, list, list]:
+        """(tokens, matches as (place, edits, term), places of quotation marks, places of reporting words)."""
+        n, hits, marks, reports, match = 0, [], [], [], self.lexicon.match
         for token in TOKEN.findall(text.lower()):
             if token in QUOTES:
-                open_quote = not open_quote
+                marks.append(n + 0.5)
                 continue
             n += 1
             hit = known.get(token, 0)
             if hit == 0:
                 hit = known[token] = match(token)
-            if token in self.reporting:
-                last_report = n
-            if hit is None:
-                continue
-            edits, term = hit
+            if hit is not None:
+                hits.append((n, *hit))
+            elif token in self.reporting:
+                reports.append(n)
+        return n, hits, marks, reports
+
+    def features(self, text: str, known: dict) -> np.ndarray:
+        """FEATURES of a whole text. known: matches of tokens seen before; the caller bounds it."""
+        abuse = quoted = fuzzy = 0.0
+        n, hits, marks, reports = self.matches(text, known)
+        at, kinds = [h[0] for h in hits], {h[2] for h in hits}
+        for place, edits, term in hits:
             w = self.lexicon.weights[term]
+            i, j = bisect_left(marks, place), bisect_left(reports, place)
+            before, after = i and place - marks[i - 1] < WINDOW, i < len(marks) and marks[i] - place < WINDOW
             if edits:
                 fuzzy += 0.5 * w
-            elif open_quote or n - last_report < WINDOW:
+            elif before and after or j and place - reports[j - 1] < WINDOW:
                 quoted += w
             else:
                 abuse += w
-            kinds.add(term), at.append(n)
         dense = max((sum(1 for b in at[i : i + 50] if b - a < WINDOW) for i, a in enumerate(at)), default=0)
         return np.array([np.log1p(abuse), np.log1p(quoted), np.log1p(fuzzy), np.log1p(len(kinds)), 100 * len(at) / (n + 20), np.log1p(dense)])
 
@@ -209,17 +217,17 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 50)
     return w
 
 
-def train(labelled: DataFrame, texts: DataFrame, sample: int = 20_000, max_terms: int = 2_000, min_support: int = 4, min_odds: float = 2.5, id_col: str = "doc_id") -> ToxicityModel:
+def train(labelled: DataFrame, texts: DataFrame, sample: int = 20_000, min_support: int = 4, min_odds: float = 2.5, id_col: str = "doc_id") -> ToxicityModel:
     """Learns from whole texts of at most `sample` labelled rows: (id, toxic) and (id, text).
 
-    Half of the sample (by hash) gives the lexicon, the other the logistic weights, so that these are not
-    fitted to terms that were picked for the same rows; then the lexicon is learned anew from all of it.
-    Only terms above min_support and min_odds, at most max_terms by support, and features of the sample
-    reach the driver. With no label of either kind the score is the share of label 1 (0 without labels).
+    Three quarters of the sample (by hash) give the lexicon, the others the reporting words and the logistic weights, so that these are
+    fitted to the lexicon in use, but not to terms that were picked for the same rows. Only terms above min_support and min_odds,
+    and features of the sample reach the driver. With no label of either kind the score is the share of label 1 (0 without
+    labels). Ids that are repeated in either table are left out.
     """
-    ids = smallest_hashes(labelled.where("toxic is not null"), sample, id_col=id_col).select(id_col, F.col("toxic").cast("int").alias("y"))
-    rows = texts.select(id_col, "text").join(F.broadcast(ids), id_col).select("text", "y", (F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(11)), F.lit(2)) == 0).alias("half"))
-    sizes = {(r.half, r.y): r.n for r in rows.groupBy("half", "y").agg(F.count("*").alias("n")).collect()}
+    ids = told_apart(smallest_hashes(labelled.where("toxic is not null"), sample, id_col=id_col), texts, id_col).select(id_col, F.col("toxic").cast("int").alias("y"))
+    rows = texts.select(id_col, "text").join(F.broadcast(ids), id_col).select("text", "y", (F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(11)), F.lit(4)) != 0).alias("most"))
+    sizes = {(r.most, r.y): r.n for r in rows.groupBy("most", "y").agg(F.count("*").alias("n")).collect()}
     n_pos, n_neg = (sum(n for (_, y), n in sizes.items() if y == k) for k in (1, 0))
     if not n_pos or not n_neg:
         model = ToxicityModel(Lexicon({}))
@@ -228,14 +236,39 @@ def train(labelled: DataFrame, texts: DataFrame, sample: int = 20_000, max_terms
 
     def lexicon(part: DataFrame, pos: int, neg: int) -> Lexicon:
         odds = F.log((F.col("pos") + 0.5) / (pos + 1)) - F.log((F.col("neg") + 0.5) / (neg + 1))
-        best = _count_terms(part).where((F.col("pos") >= min_support) & (odds >= min_odds)).orderBy(F.desc("pos"), "term").limit(max_terms)
+        best = _count_terms(part).where((F.col("pos") >= min_support) & (odds >= min_odds))
         return Lexicon(_choose([(r.term, r.pos, r.neg) for r in best.collect()], pos, neg))
 
-    first = ToxicityModel(lexicon(rows.where("half"), sizes.get((True, 1), 0), sizes.get((True, 0), 0)))
-    x, y = _features_of(rows.where("not half"), first)
-    model = ToxicityModel(lexicon(rows, n_pos, n_neg))
-    model.weights = _logistic(x, y) if len(set(y)) == 2 else _logistic(*_features_of(rows, model))
-    return model
+    first = ToxicityModel(lexicon(rows.where("most"), sizes.get((True, 1), 0), sizes.get((True, 0), 0)))
+    first.reporting = _reporting(rows.where("not most"), first, min_support)
+    x, y = _features_of(rows.where("not most"), first)
+    first.weights = _logistic(x, y) if len(set(y)) == 2 else _logistic(*_features_of(rows, first))
+    return first
+
+
+def _reporting(rows: DataFrame, model: ToxicityModel, min_support: int, min_odds: float = 2.0) -> frozenset:
+    """Words that stand within a window before terms mostly where the label is 0."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, counts, n = {}, (Counter(), Counter()), [0, 0]
+        for b in batches:
+            for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                _, hits, _, _ = shared.value.matches(text or "", known)
+                if hits:
+                    tokens = [t for t in TOKEN.findall(text.lower()) if t not in QUOTES]
+                    counts[y].update({t for place, _, _ in hits for t in tokens[max(0, place - WINDOW) : place - 1] if known.get(t) is None})
+                    n[y] += 1
+        words = ["", *(counts[0].keys() | counts[1].keys())]
+        per = [[n[k] if w == "" else counts[k][w] for w in words] for k in (0, 1)]
+        yield pa.RecordBatch.from_arrays([pa.array(words), *(pa.array(x, pa.int64()) for x in per)], names=["word", "calm", "toxic"])
+
+    summed = rows.select("text", "y").mapInArrow(run, "word string, calm long, toxic long").groupBy("word").agg(F.sum("calm").alias("calm"), F.sum("toxic").alias("toxic"))
+    n = summed.where("word = ''").first()
+    if n is None or not n.calm:
+        return frozenset()
+    odds = F.log((F.col("calm") + 0.5) / (n.calm + 1)) - F.log((F.col("toxic") + 0.5) / (n.toxic + 1))
+    return frozenset(r.word for r in summed.where((F.col("word") != "") & (F.col("calm") >= min_support) & (odds >= min_odds)).collect())
 
 
 def _features_of(rows: DataFrame, model: ToxicityModel) -> tuple[np.ndarray, np.ndarray]:
