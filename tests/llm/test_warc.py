@@ -23,7 +23,13 @@ def test_round_trip(spark, tmp_path):
                 assert m.payload == body.decode()
     kinds = {k: sorted(m.type for m in v) for k, v in by.items()}
     assert kinds["7"] == ["response"] and kinds["4"] == kinds["5"] == kinds["null"] == ["revisit"] and kinds["9"] == ["response", "response"]
-    assert by["4"][0].refers_to == "urn:capture:7" and kinds["2"] == ["revisit"] and kinds["3"] == ["response"]
+    assert by["4"][0].refers_to == by["7"][0].record_id and kinds["2"] == ["revisit"] and kinds["3"] == ["response"]
+    ids = {g.main.record_id for g in got}
+    assert len(ids) == len(got) and all(g.main.refers_to in ids for g in got if g.main.type == "revisit")
+    small = str(tmp_path / "s")
+    warc.write_archive(df, small, bytes_per_file=90_000)
+    files = [p for p in (tmp_path / "s").iterdir() if p.name.endswith(".gz")]
+    assert len(files) >= 4 and warc.read_archive(spark, small).count() == 3 * len(rows)
     warc.write_archive(df, str(tmp_path / "v"), min_bytes=1)
     assert {g.main.record_id.split(":")[2]: g.main.type for g in warc.assemble(warc.read_archive(spark, str(tmp_path / "v"))).collect()}["2"] == "response"
 

@@ -37,38 +37,48 @@ def _record(kind: str, record_id: Column, block: Column, *fields: tuple[str, Col
     return F.concat(*head, F.lit("Content-Length: "), F.octet_length(block).cast("string"), F.lit(END), block)
 
 
-def with_roles(pages: DataFrame, id_col: str, payload: Column, min_bytes: int) -> DataFrame:
-    """pages with payload, digest, bytes, and refers_to: the largest id among rows with an equal payload of at
-    least min_bytes, null for that row itself. Rows that share the largest id are all responses; null ids
-    revisit the largest one that isn't null, and are responses where all are null.
+def with_roles(pages: DataFrame, id_col: str, url_col: str, payload: Column, min_bytes: int) -> DataFrame:
+    """pages with payload, digest, bytes, refers_to: the largest id among rows with an equal payload of at
+    least min_bytes, null for that row itself, and whether the row is the one that is referred to. Rows that share the largest id are all
+    responses, the one of the largest url is referred to; null ids revisit the largest one that isn't null, and are responses where all are null.
 
     Only the largest id of each digest is gathered, combined before the shuffle, so a payload that a third
     of the pages share is no large group.
     """
     rows = pages.withColumn("__tm_payload", payload).withColumn("__tm_digest", base32_sha1(F.col("__tm_payload").cast("binary"))).withColumn("__tm_bytes", F.octet_length("__tm_payload").cast("long"))
-    largest = rows.where(F.col("__tm_bytes") >= min_bytes).groupBy("__tm_digest").agg(F.max(id_col).alias("__tm_first"), F.count("*").alias("__tm_n")).where("__tm_n > 1").select("__tm_digest", "__tm_first")
+    each = rows.where(F.col("__tm_bytes") >= min_bytes).groupBy("__tm_digest", id_col, url_col).agg(F.count("*").alias("n"))
+    largest = each.groupBy("__tm_digest").agg(F.max(F.struct(id_col, url_col, "n")).alias("__tm_best"), F.sum("n").alias("n")).where("n > 1").drop("n")
     joined = rows.join(largest, "__tm_digest", "left")
-    return joined.withColumn("__tm_refers", F.when(~F.col(id_col).eqNullSafe(F.col("__tm_first")), F.col("__tm_first")).cast("long"))
+    first, its_url = F.col("__tm_best").getField(id_col), F.col("__tm_best").getField(url_col)
+    referred = F.col(id_col).eqNullSafe(first) & F.col(url_col).eqNullSafe(its_url) & (F.col("__tm_best.n") == 1)
+    return joined.withColumns({"__tm_refers": F.when(~F.col(id_col).eqNullSafe(first), first).cast("long"), "__tm_alone": F.col("__tm_best").isNull() | referred})
 
 
-def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0, records_per_file: int = 6_000) -> None:
-    """Writes the records of all pages as gzipped WARC files of at most records_per_file pages. A null html
-    is an empty payload, a null url an empty address. Control characters in addresses are percent-coded, as
-    a header line can't hold them."""
+def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0, records_per_file: int = 6_000, bytes_per_file: int = 1 << 30) -> None:
+    """Writes the records of all pages as gzipped WARC files of at most records_per_file pages, and of fewer where the longest page
+    times their number would pass bytes_per_file (each file is one gzip stream, and is read back as one row). A null html is an empty
+    payload, a null url an empty address. Control characters in addresses are percent-coded, as a header line can't hold them.
+
+    A record's id is made of the page's id and the payload's digest, and WARC-Refers-To names that of the response. Rows equal in
+    id, url and payload are captures of their own: their ids also hold a serial number, so revisits of such a page name an id
+    without it.
+    """
+    longest = pages.agg(F.max(F.octet_length(html_col)).alias("n")).first().n or 0
+    records_per_file = max(1, min(records_per_file, bytes_per_file // (longest + 4_096)))
     payload = F.coalesce(F.col(html_col), F.lit(""))
-    rows = with_roles(pages.select(id_col, url_col, html_col), id_col, payload, min_bytes)
+    rows = with_roles(pages.select(id_col, url_col, html_col), id_col, url_col, payload, min_bytes)
     capture = F.concat(F.lit("urn:capture:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))
-    serial = F.concat(F.lit(":"), F.monotonically_increasing_id().cast("string"))  # equal ids stay apart
+    serial = F.when(F.col("__tm_alone"), F.lit("")).otherwise(F.concat(F.lit(":"), F.monotonically_increasing_id().cast("string")))  # equal ids stay apart
     uri = F.regexp_replace(F.coalesce(F.col(url_col), F.lit("")), r"[\x00-\x20\x7F]", "%20")
     date, digest = F.lit("2024-01-01T00:00:00Z"), F.concat(F.lit("sha1:"), F.col("__tm_digest"))
     is_revisit = F.col("__tm_refers").isNotNull()
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("__tm_bytes").cast("string"), F.lit(END))
-    rows = rows.withColumn("__tm_cap", F.concat(capture, serial))
+    rows = rows.withColumn("__tm_cap", F.concat(capture, F.lit(":"), F.col("__tm_digest"), serial))
     main_id = F.concat(F.col("__tm_cap"), F.when(is_revisit, F.lit(":revisit")).otherwise(F.lit(":response")))
     common = [("WARC-Target-URI", uri), ("WARC-Date", date)]
     link = ("WARC-Concurrent-To", F.concat(F.lit("<"), main_id, F.lit(">")))
     response = _record("response", main_id, F.concat(http, F.col("__tm_payload")), *common, ("WARC-Payload-Digest", digest), ("Content-Type", F.lit("application/http; msgtype=response")))
-    refers = F.concat(F.lit("<urn:capture:"), F.col("__tm_refers").cast("string"), F.lit(">"))
+    refers = F.concat(F.lit("<urn:capture:"), F.col("__tm_refers").cast("string"), F.lit(":"), F.col("__tm_digest"), F.lit(":response>"))
     revisit = _record("revisit", main_id, http, *common, ("WARC-Payload-Digest", digest), ("WARC-Refers-To", refers), ("WARC-Profile", F.lit(PROFILE)), ("Content-Type", F.lit("application/http; msgtype=response")))
     get = F.concat(F.lit("GET "), uri, F.lit(" HTTP/1.1"), F.lit(END))
     request = _record("request", F.concat(F.col("__tm_cap"), F.lit(":request")), get, *common, link, ("Content-Type", F.lit("application/http; msgtype=request")))
