@@ -55,6 +55,16 @@ def test_raked_marginals_meet_their_targets(spark):
             assert abs(r.w - t[r[0]]) < 1e-6
 
 
+def test_sweeps_are_enough_and_extra_columns_pass(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("topic", mixing.topic(F.col("text")))
+    cells = docs.groupBy("source", "lang", "topic").agg(F.sum(F.greatest(mixing.n_words(F.col("text")), F.lit(1))).alias("tokens"))
+    targets = {d: mixing.tempered(cells, d) for d in mixing.DIMENSIONS}
+    assert mixing.deviation(mixing.rake(cells, targets), targets) < 1e-3
+    df = spark.createDataFrame([(1, "a b", "en", "s", "KEEPME", "x"), (1, "a b", "en", "s", "KEEPME", "x")], "doc_id long, text string, lang string, source string, _source string, n_words string")
+    got = mixing.mix(df, keep=1.0).collect()
+    assert [r._source for r in got] == ["KEEPME"] * 2 and all(r.n_words == 2 for r in got)
+
+
 def test_mixing_edges(spark):
     rows = [(1, None, None, None), (2, "", "en", "s"), (None, "a b", "en", "s"), (4, "c | d", "de", None)]
     df = spark.createDataFrame([(*r, 0.5) for r in rows], "doc_id long, text string, lang string, source string, prob double")

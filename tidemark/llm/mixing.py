@@ -1,8 +1,8 @@
 """Mixing sources to target weights by iterative proportional fitting (raking).
 
 Token counts are gathered in cells (one for each combination of source, language and topic). Each step of a
-sweep scales the cells of one dimension so that its marginal meets the target; sweeps repeat until all
-marginals agree. Documents are then sampled, each on its own, with the probability that its cell's weight asks for.
+sweep scales the cells of one dimension so that its marginal meets the target. The number of sweeps is fixed, so that results can
+be written out in SQL; `deviation` says how far the marginals still are from their targets. Documents are then sampled, each on its own, with the probability that its cell's weight asks for.
 """
 
 from __future__ import annotations
@@ -56,6 +56,12 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS)
     return now.select(*cells.columns, "weight")
 
 
+def deviation(raked: DataFrame, targets: dict[str, DataFrame]) -> float:
+    """The largest distance of a marginal of the weights from its target."""
+    per = [raked.groupBy(d).agg(F.sum("weight").alias("w")).join(t, d).agg(F.max(F.abs(F.col("w") - F.col("share"))).alias("x")) for d, t in targets.items()]
+    return max(p.first().x or 0.0 for p in per)
+
+
 def mix(docs: DataFrame, keep: float = KEEP, dimensions: tuple[str, ...] = DIMENSIONS, power: float = POWER, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The sampled documents with n_words and prob, the probability with which each was taken.
 
@@ -67,14 +73,14 @@ def mix(docs: DataFrame, keep: float = KEEP, dimensions: tuple[str, ...] = DIMEN
     have = docs.withColumn("n_words", n_words(F.col(text_col)))
     if "topic" in dimensions and "topic" not in docs.columns:
         have = have.withColumn("topic", topic(F.col(text_col)))
-    keys = [F.coalesce(F.col(d).cast("string"), F.lit("(none)")).alias(f"_{d}") for d in dimensions]
-    own = [f"_{d}" for d in dimensions]
+    keys = [F.coalesce(F.col(d).cast("string"), F.lit("(none)")).alias(f"__tm_{d}") for d in dimensions]
+    own = [f"__tm_{d}" for d in dimensions]
     cells = have.select(*keys, F.greatest("n_words", F.lit(1)).alias("t")).groupBy(*own).agg(F.sum("t").alias("tokens"))
     cells = stored(cells, "cells")
     raked = rake(cells, {d: tempered(cells, d, power) for d in own})
     whole = cells.agg(F.sum("tokens").cast("double").alias("whole"))
     probs = raked.crossJoin(F.broadcast(whole)).select(*own, F.least(F.lit(1.0), F.lit(keep) * F.col("weight") * F.col("whole") / F.col("tokens")).alias("prob"))
-    joined = have.drop("prob").withColumns({f"_{d}": F.coalesce(F.col(d).cast("string"), F.lit("(none)")) for d in dimensions}).join(probs, own)
+    joined = have.drop("prob").withColumns({f"__tm_{d}": F.coalesce(F.col(d).cast("string"), F.lit("(none)")) for d in dimensions}).join(probs, own)
     return joined.where(uniform(F.col(id_col)) < F.col("prob")).select(*docs.drop("prob", "n_words").columns, "n_words", "prob")
 
 
