@@ -89,3 +89,38 @@ def test_overlapping_repeats_keep_one(spark):
     line = "six words stand in this line"
     got = run(spark, [(1, "\n".join([line] * 10)), (2, "\n".join(["first", line, "", line, line, "last"]))])
     assert got[1].text == "\n".join([line] * 2) and got[2].text == "first\nlast"
+
+
+def brute_dedup(rows):
+    """Lines that stay, by trying every passage that starts or ends at each line, and the chunks."""
+    spans = {}
+    for d, text in rows:
+        lines = [x.strip() for x in (text or "").encode().split(b"\n")]
+        words, own = [len(x.split()) for x in lines], set()
+        full = [i for i, x in enumerate(lines) if x]
+        passage = lambda a, b: sum(1 for i in full if a <= i <= b) > 1 and sum(words[a : b + 1]) >= 12 or a == b and words[a] >= 30
+        for k, i in enumerate(full):
+            own |= {(i, j) for j in [next((j for j in full[k:] if passage(i, j)), None)] if j is not None}
+            own |= {(j, i) for j in [next((j for j in reversed(full[: k + 1]) if passage(j, i)), None)] if j is not None}
+        for s, n, w in line_chunks((text or "").encode()):
+            inside = [i for i in full if s <= i < s + n]
+            if w >= 12:
+                own.add((inside[0], inside[-1]))
+        for a, b in own:
+            spans.setdefault(b"\n".join(x for x in lines[a : b + 1] if x), []).append((d, a, b))
+    gone = {d: set() for d, _ in rows}
+    for places in spans.values():
+        first = min(places)
+        for d, a, b in places:
+            if (d, a, b) != first:
+                gone[d] |= set(range(max(a, first[2] + 1) if d == first[0] else a, b + 1))
+    return {d: [x.strip() for i, x in enumerate((text or "").split("\n")) if x.strip() and i not in gone[d]] for d, text in rows}
+
+
+def test_equals_brute_force(spark, sf):
+    rows = [(r[0], r[1]) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    rnd = random.Random(12)
+    lines = [" ".join(f"w{rnd.randrange(50)}" for _ in range(rnd.choice([1, 3, 6, 14, 31]))) for _ in range(30)] + ["", "  "]
+    rows += [(5000 + i, "\n".join(rnd.choice(lines) for _ in range(rnd.randint(0, 14)))) for i in range(120)]
+    got = {r.doc_id: [x.strip() for x in (r.text or "").split("\n") if x.strip()] for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_dedup(rows)
