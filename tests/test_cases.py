@@ -157,16 +157,28 @@ def test_auc_with_ties(spark):
 
 
 NOTICES = [
-    ("Delisting of (ABC) on 3/15 15:00", dt.datetime(2024, 3, 1)), ("Caution: (XYZ/KRW) and (QQQ) until 12/30", dt.datetime(2024, 12, 1)), ("Extension for (ABC) to 4/2", dt.datetime(2024, 3, 10)),
-    ("Caution for (QQQ) cancelled", dt.datetime(2024, 12, 5)), ("Caution (UND) without a date", dt.datetime(2024, 1, 1)), ("(BTT) BTC market only 5/5", dt.datetime(2024, 1, 1)), ("(YRR) until 1/5", dt.datetime(2024, 12, 20)),
+    ("레이븐코인(RVN) 거래지원 종료 안내 (10/12 15:00)", dt.datetime(2024, 10, 1)), ("에이(AAA), 비(BBB) 거래지원 종료 안내 (10/19 15:30)", dt.datetime(2024, 10, 1)),
+    ("레이븐코인(RVN) 거래지원 종료 안내 (10/12 15:00) (일정 연장 안내: 10/20 15:00)", dt.datetime(2024, 10, 5)), ("비(BBB) 거래지원 종료 결정 철회 안내", dt.datetime(2024, 10, 3)),
+    ("썬더코어(TT) 거래지원 종료 안내 (거래지원 종료 일정 변경 안내)", dt.datetime(2024, 10, 1)), ("씨(CCC) BTC 마켓 거래지원 종료 안내 (10/12 15:00)", dt.datetime(2024, 10, 1)),
+    ("디(DDD) KRW, BTC 마켓 거래지원 종료 안내 (1/5 15:00)", dt.datetime(2024, 12, 20)), ("이(EEE) 거래지원 종료 안내 (12/28 15:00)", dt.datetime(2025, 1, 3)),
+    ("에프(FFF) 거래지원 종료 안내 (출금 지원 종료: 11/12 15:00)", dt.datetime(2024, 10, 1)), ("지(GGG) 거래지원 종료 안내 (09/01 09:00 ~) (거래지원 종료: 09/20 15:00)", dt.datetime(2024, 8, 25)),
+    ("에이치(HHH) 거래지원 종료 안내 (13/45 15:00)", dt.datetime(2024, 10, 1)), ("아이(III) 신규 상장 (10/12 15:00)", dt.datetime(2024, 10, 1)), ("거래지원 종료 (JJJ)", dt.datetime(2024, 10, 1)), (None, dt.datetime(2024, 10, 1)),
 ]
 
 
 def test_notices(spark):
     p = notices.parsed(spark.createDataFrame(NOTICES, "title string, listed_at timestamp"))
-    asked = [("ABC", dt.datetime(2024, 3, 20)), ("ABC", dt.datetime(2024, 4, 3)), ("QQQ", dt.datetime(2024, 12, 3)), ("QQQ", dt.datetime(2024, 12, 6)), ("UND", dt.datetime(2025, 1, 1)), ("BTT", dt.datetime(2024, 2, 1)), ("YRR", dt.datetime(2025, 1, 2)), ("ZZZ", dt.datetime(2024, 1, 1))]
-    got = {(r.symbol, r.decided_at): r.active for r in notices.in_force(spark.createDataFrame(asked, "symbol string, decided_at timestamp"), p).collect()}
-    assert [got[a] for a in asked] == [True, False, True, False, True, False, True, False]
+    d = dt.datetime
+    got = {(r.symbol, r.listed_at): (r.ends_at, r.cancelled, r.undated_until) for r in p.collect()}
+    assert got == {
+        ("RVN", d(2024, 10, 1)): (d(2024, 10, 12, 15), False, None), ("AAA", d(2024, 10, 1)): (d(2024, 10, 19, 15, 30), False, None), ("BBB", d(2024, 10, 1)): (d(2024, 10, 19, 15, 30), False, None),
+        ("RVN", d(2024, 10, 5)): (d(2024, 10, 20, 15), False, None), ("BBB", d(2024, 10, 3)): (None, True, None), ("TT", d(2024, 10, 1)): (None, False, d(2024, 11, 15)), ("DDD", d(2024, 12, 20)): (d(2025, 1, 5, 15), False, None),
+        ("EEE", d(2025, 1, 3)): (d(2024, 12, 28, 15), False, None), ("FFF", d(2024, 10, 1)): (None, False, d(2024, 11, 15)), ("GGG", d(2024, 8, 25)): (d(2024, 9, 20, 15), False, None), ("HHH", d(2024, 10, 1)): (None, False, d(2024, 11, 15)),
+    }
+    asked = [("RVN", d(2024, 10, 15)), ("RVN", d(2024, 10, 21)), ("AAA", d(2024, 9, 30)), ("AAA", d(2024, 10, 1)), ("BBB", d(2024, 10, 2)), ("BBB", d(2024, 10, 4)), ("TT", d(2024, 11, 14)), ("TT", d(2024, 11, 16)), ("CCC", d(2024, 10, 2)), ("DDD", d(2025, 1, 2)), ("ZZZ", d(2024, 1, 1))]
+    rows = notices.in_force(spark.createDataFrame([(*a, 5) for a in asked], "symbol string, decided_at timestamp, extra int"), p).collect()
+    active = {(r.symbol, r.decided_at): r.active for r in rows}
+    assert len(rows) == len(asked) and [active[a] for a in asked] == [True, False, False, True, True, False, True, False, False, True, False]
 
 
 def trade_rows(spark, extra=()):

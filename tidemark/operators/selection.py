@@ -127,3 +127,16 @@ def tie_reorder(rows: DataFrame, rank: str, tie: str, flow: str, edge_rank: int
     moved = (F.col("lo_") <= edge_rank) & (F.col("hi_") > edge_rank) & (F.col("have_") == F.col("all_"))
     inside = F.row_number().over(block.orderBy(F.col(flow).desc_nulls_last(), rank)) + F.col("lo_") - 1
     return r.withColumn("rank2", F.when(moved, inside).otherwise(F.col(rank))).drop("lo_", "hi_", "have_", "all_")
+
+
+def preopen_policy(rows: DataFrame, p: str, composite: str, demoted: bool, target: float = 5.0, loss: float = 3.0, cost: float = 0.15) -> DataFrame:
+    """rows (regime, p, composite) with the pre-open channel's decision, blocked_reason and edge_pct, the expected edge in percent.
+
+    A volatile bear market silences the channel; a demoted channel only watches; else a quiet bear market is watched, and strong rows
+    of other regimes are sent.
+    """
+    q = F.least(F.greatest(F.coalesce(F.col(p), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    strong = (F.round(composite, 9) >= 1.5) & (q >= 0.35)
+    reason = F.when(F.col("regime") == "bear_volatile", "btc_bear_volatile").when(F.lit(demoted), "preopen_demoted").when(F.col("regime") == "bear_quiet", "bear_quiet_watch").when(strong, "").otherwise("preopen_threshold_watch")
+    decision = F.when(F.col("blocked_reason") == "btc_bear_volatile", "SILENCE").when(F.col("blocked_reason") == "", "ACTIVE").otherwise("WATCH_ONLY")
+    return rows.withColumns({"blocked_reason": reason, "edge_pct": q * target - (1 - q) * loss - cost}).withColumn("decision", decision)

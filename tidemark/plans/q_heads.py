@@ -16,9 +16,9 @@ from tidemark.operators import splits as v
 from tidemark.plans.duck import LEDGER, TRADES, intraday
 from tidemark.plans.duck import lag as lg
 from tidemark.plans.q_evaluate import DELTA, H, deltas, hy
-from tidemark.plans.q_features import FLAG, REGIME, SCORE, W
+from tidemark.plans.q_features import FLAG, SCORE, W
 from tidemark.plans.q_paths import PATHS, paths
-from tidemark.plans.q_selection import CELLS, HEADS, cells, ranked, universe
+from tidemark.plans.q_selection import HEADS, ranked, universe
 from tidemark.plans.registry import query
 from tidemark.sources.adapters import bars_1d, bars_intraday, ledger, trades
 from tidemark.sources.scratch import shared_path
@@ -95,9 +95,6 @@ def _summary(s, d):
 
 
 query("s_15_summary_outputs", "model_id:s n:l n_json:l n_csv:l", f"{L} SELECT model_id, count(*) AS n, count(*) AS n_json, count(*) AS n_csv FROM ledger WHERE status = 'closed' GROUP BY model_id")(_summary)
-query("p_12_preopen_decision", "decision:s n:l", f"{HEADS} SELECT CASE WHEN dump THEN 'SILENCE' WHEN rk <= 3 AND p_up10 >= 0.2 THEN 'ACTIVE' ELSE 'WATCH_ONLY' END AS decision, count(*) AS n FROM d1 GROUP BY 1")(
-    lambda s, d: ranked(s, d).groupBy(F.when(F.col("dump"), "SILENCE").when((F.col("rk") <= 3) & (F.col("p_up10") >= 0.2), "ACTIVE").otherwise("WATCH_ONLY").alias("decision")).agg(F.count("*").alias("n"))
-)
 query("f_28_ignition", "market:s session:s i:l ret:d", f"WITH {TRADES}, {intraday(240)}, z AS (SELECT *, (ts - INTERVAL 9 HOUR)::DATE AS session, row_number() OVER (PARTITION BY market, (ts - INTERVAL 9 HOUR)::DATE ORDER BY ts) AS i, first(open) OVER (PARTITION BY market, (ts - INTERVAL 9 HOUR)::DATE ORDER BY ts) AS o FROM ibars) SELECT market, session, i, close / o - 1 AS ret FROM z WHERE i <= 3")(
     lambda s, d: f.with_session(bars_intraday(s, d, 240)).withColumn("o", F.first("open").over(Window.partitionBy("market", "session").orderBy("ts"))).where("i <= 3").withColumn("ret", F.col("close") / F.col("o") - 1)
 )
@@ -143,15 +140,9 @@ def _fold_lift(rows, folds):
     return tagged.where("test").join(F.broadcast(cuts), "fold").groupBy("fold").agg(F.sum((F.col("score") >= F.col("c")).cast("int")).alias("n"), F.avg(F.when(F.col("score") >= F.col("c"), F.col("y"))).alias("precision"), F.avg("y").alias("base")).withColumn("lift", F.col("precision") / F.col("base"))
 
 
-query("a_31_regime_base_rates", "btc_regime:s n:l rate:d", f"{FLAG}, {REGIME} SELECT btc_regime, count(*) AS n, avg(hit) AS rate FROM o LEFT JOIN regime ON regime.day = o.day GROUP BY btc_regime")(
-    lambda s, d: labelled(s, d).join(f.regime(bars_1d(s, d).where("market = 'M00'")).select("day", "btc_regime"), "day", "left").groupBy("btc_regime").agg(F.count("*").alias("n"), F.avg("y").alias("rate"))
-)
 query("a_33_hit_timing", "level:d hits:l share:d median:d p75:d", f"{PATHS}, z AS (SELECT entry_id, lv AS level, min(CASE WHEN high >= entry * (1 + lv) THEN idx END) * 15 AS m FROM pa, (VALUES (0.01), (0.02)) v(lv) GROUP BY entry_id, lv) SELECT level, count(m) AS hits, count(m) / count(*)::DOUBLE AS share, quantile_cont(m, 0.5) AS median, quantile_cont(m, 0.75) AS p75 FROM z GROUP BY level")(
     lambda s, d: p.with_entry_price(paths(s, d)).groupBy("entry_id").agg(*[F.min(F.when(F.col("high") >= F.col("entry") * (1 + F.lit(lv)), F.col("idx") * 15)).alias(f"m{i}") for i, lv in enumerate((0.01, 0.02))]).selectExpr("stack(2, 0.01D, m0, 0.02D, m1) as (level, m)").groupBy("level").agg(F.count("m").alias("hits"), (F.count("m") / F.count("*")).alias("share"), F.percentile("m", 0.5).alias("median"), F.percentile("m", 0.75).alias("p75"))
 )
-query("a_42_list_overlap", "day:s overlap:l rank_gap:d", f"{HEADS}, a AS (SELECT day, market, rk FROM d1 WHERE rk <= 5), b AS (SELECT day, market, row_number() OVER (PARTITION BY day ORDER BY round(score, 9) DESC, market) AS rs FROM d1), c AS (SELECT * FROM b WHERE rs <= 5) SELECT a.day, count(*) AS overlap, avg(abs(rk - rs)) AS rank_gap FROM a JOIN c ON c.day = a.day AND c.market = a.market GROUP BY a.day")(
-    lambda s, d: (q := ranked(s, d).withColumn("rs", F.row_number().over(x.day_window().orderBy(F.round("score", 9).desc(), "market")))).where("rk <= 5 and rs <= 5").groupBy("day").agg(F.count("*").alias("overlap"), F.avg(F.abs(F.col("rk") - F.col("rs"))).alias("rank_gap"))
-)
 query("a_43_case_study", "day:s market:s prev_surge:d prev_rank:l", f"{W}, {SCORE}, ev AS (SELECT day, market FROM bars WHERE high / open - 1 >= 0.18) SELECT ev.day, ev.market, sc.s7 AS prev_surge, sc.liq AS prev_rank FROM ev LEFT JOIN sc ON sc.day = ev.day AND sc.market = ev.market")(
     lambda s, d: bars_1d(s, d).where("high / open - 1 >= 0.18").select("day", "market").join(r.scored(bars_1d(s, d)).select("day", "market", F.col("s7").alias("prev_surge"), F.col("liq").alias("prev_rank")), ["day", "market"], "left")
 )
@@ -176,24 +167,12 @@ query("v_09_strategy_vs_universe", "context:s days:l edge:d", f"{H}, g AS (SELEC
 query("v_10_veto_backfill", "day:s market:s rk2:l", f"{HEADS}, fa AS (SELECT least(greatest(avg((low / open - 1 <= -0.05)::INT) / avg(p_dn5), 0.25), 4) AS k FROM d1 WHERE day < DATE '1998-01-01'), z AS (SELECT d1.*, p_dn5 * k > 0.2 AS veto FROM d1, fa), y AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY veto::INT, rk) AS slot FROM z) SELECT day, market, row_number() OVER (PARTITION BY day ORDER BY rk) AS rk2 FROM y WHERE slot <= 3")(
     lambda s, d: (q := ranked(s, d)).crossJoin(F.broadcast(q.where("day < date'1998-01-01'").agg(F.least(F.greatest(F.avg((F.col("low") / F.col("open") - 1 <= -0.05).cast("int")) / F.avg("p_dn5"), F.lit(0.25)), F.lit(4.0)).alias("k")))).withColumn("dump", F.col("p_dn5") * F.col("k") > 0.2).transform(lambda z: x.reselect(z, 3))
 )
-query("v_11_regime_split_ranking", "day:s market:s", f"{H}, g AS (SELECT liq <= 5 AS seg, key, avg(ret) AS m FROM (SELECT *, 'rr' AS key FROM y WHERE rk <= 3 AND day < DATE '1998-01-01' UNION ALL SELECT * FROM (SELECT y.*, 'score' AS key FROM y WHERE day < DATE '1998-01-01') q WHERE liq <= 10) GROUP BY ALL), b AS (SELECT seg, arg_max(key, (round(m, 9), key)) AS key FROM g GROUP BY seg), z AS (SELECT y.*, row_number() OVER (PARTITION BY y.day, y.liq <= 5 ORDER BY CASE WHEN b.key = 'rr' THEN rr ELSE round(score, 9) END DESC, market) AS i FROM y JOIN b ON b.seg = (y.liq <= 5) WHERE day >= DATE '1998-01-01') SELECT day, market FROM z WHERE i <= 2")(
-    lambda s, d: (q := hy(s, d).withColumn("seg", F.col("liq") <= 5)) is not None and q.where("day >= date'1998-01-01'").join(F.broadcast(q.where("day < date'1998-01-01'").select("seg", "ret", F.explode(F.filter(F.array(F.when(F.col("rk") <= 3, F.lit("rr")), F.lit("score")), lambda k: k.isNotNull())).alias("key")).groupBy("seg", "key").agg(F.avg("ret").alias("m")).groupBy("seg").agg(F.max_by("key", F.struct(F.round("m", 9), "key")).alias("key"))), "seg").withColumn("i", F.row_number().over(Window.partitionBy("day", "seg").orderBy(F.when(F.col("key") == "rr", F.col("rr")).otherwise(F.round("score", 9)).desc(), "market"))).where("i <= 2")
-)
 query("v_13_threshold_sweep", "threshold:d cap:l n:l hit:d accepted:b", f"{H}, g AS (SELECT threshold, cap, y, row_number() OVER (PARTITION BY threshold, cap, day ORDER BY p_up10 DESC, market) AS i FROM y, (VALUES (0.1), (0.2), (0.3)) a(threshold), (VALUES (1), (3)) b(cap) WHERE p_up10 >= threshold), k AS (SELECT threshold, cap, count(*) AS n, avg(y) AS hit FROM g WHERE i <= cap GROUP BY ALL) SELECT *, n >= 100 AND hit > 0.2 AS accepted FROM k".replace("threshold, cap, y,", "threshold, cap, y.y,"))(
     lambda s, d: hy(s, d).withColumn("g", F.explode(F.array(*[F.struct(F.lit(t).alias("threshold"), F.lit(k).alias("cap")) for t in (0.1, 0.2, 0.3) for k in (1, 3)]))).select("*", "g.threshold", "g.cap").where("p_up10 >= threshold").withColumn("i", F.row_number().over(Window.partitionBy("threshold", "cap", "day").orderBy(F.desc("p_up10"), "market"))).where("i <= cap").groupBy("threshold", "cap").agg(F.count("*").alias("n"), F.avg("y").alias("hit")).withColumn("accepted", F.expr("n >= 100 and hit > 0.2"))
 )
-query("v_18_matched_windows", "day:s delta:d", f"{CELLS}, c AS (SELECT *, close / open - 1 AS ret FROM ce), p AS (SELECT day, lq4, avg(ret) AS m FROM c WHERE rk > 3 GROUP BY ALL) SELECT c.day, avg(ret - m) AS delta FROM c JOIN p ON p.day = c.day AND p.lq4 = c.lq4 WHERE rk <= 3 GROUP BY c.day")(
-    lambda s, d: x.matched_pool(cells(s, d).withColumns({"picked": F.col("rk") <= 3, "ret": F.col("close") / F.col("open") - 1}), "picked", "ret", ["lq4"]).where("pool_mean is not null").groupBy("day").agg(F.avg(F.col("ret") - F.col("pool_mean")).alias("delta"))
-)
-query("v_19_coverage_audit", "reason:s n:l", f"{HEADS}, nx AS (SELECT market, day, lead(day) OVER (PARTITION BY market ORDER BY day) AS nd FROM bars) SELECT CASE WHEN nd IS NULL THEN 'open_end' WHEN nd - d1.day > 2 THEN 'gap' ELSE 'covered' END AS reason, count(*) AS n FROM d1 LEFT JOIN nx ON nx.market = d1.market AND nx.day = d1.day GROUP BY 1")(
-    lambda s, d: ranked(s, d).select("day", "market").join(bars_1d(s, d).select("day", "market", F.lead("day").over(Window.partitionBy("market").orderBy("day")).alias("nd")), ["day", "market"], "left").groupBy(F.when(F.col("nd").isNull(), "open_end").when(F.datediff("nd", "day") > 2, "gap").otherwise("covered").alias("reason")).agg(F.count("*").alias("n"))
-)
 query("v_20_plan_then_outcome", "status:s n:l", f"{HEADS}, pl AS (SELECT day, market FROM d1 WHERE rk <= 3), oc AS (SELECT day, market, close / open - 1 AS ret FROM bars WHERE day < DATE '1998-06-01' AND trades > 1) SELECT CASE WHEN pl.day >= DATE '1998-06-01' THEN 'pending' WHEN ret IS NULL THEN 'excluded' ELSE 'comparable' END AS status, count(*) AS n FROM pl LEFT JOIN oc ON oc.day = pl.day AND oc.market = pl.market GROUP BY 1")(
     lambda s, d: c.write_once(ranked(s, d).where("rk <= 3").select("day", "market"), shared_path(s, "plan")).join(bars_1d(s, d).where("day < date'1998-06-01' and trades > 1").select("day", "market", (F.col("close") / F.col("open") - 1).alias("ret")), ["day", "market"], "left").groupBy(F.when(F.col("day") >= F.lit("1998-06-01").cast("date"), "pending").when(F.col("ret").isNull(), "excluded").otherwise("comparable").alias("status")).agg(F.count("*").alias("n"))
 )
-query("v_23_operating_threshold", "cut:d n:l hit:d", f"{H}, q AS (SELECT quantile_cont(p_up10, 0.95) AS cut FROM y WHERE day < DATE '1998-01-01') SELECT any_value(cut) AS cut, count(*) AS n, avg(y) AS hit FROM (SELECT y.y, y.p_up10, cut FROM y, q WHERE day >= DATE '1998-01-01') z WHERE p_up10 >= cut".replace("avg(y) AS hit FROM (SELECT", "avg(z.y) AS hit FROM (SELECT"))(
-    lambda s, d: (q := hy(s, d)).where("day >= date'1998-01-01'").crossJoin(F.broadcast(q.where("day < date'1998-01-01'").agg(F.percentile("p_up10", 0.95).alias("cut")))).where("p_up10 >= cut").agg(F.first("cut").alias("cut"), F.count("*").alias("n"), F.avg("y").alias("hit"))
-)
 query("b_07_high_minus_low", "low:d mid:d high:d reps:l", f"{H}, dn AS (SELECT day, avg(CASE WHEN rk <= 3 THEN ret END) - avg(CASE WHEN rk > 3 THEN ret END) AS x FROM y GROUP BY day HAVING sum((rk > 3)::INT) > 0), ix AS (SELECT x, row_number() OVER (ORDER BY day) - 1 AS i, count(*) OVER () AS n FROM dn), dr AS (SELECT rep, ('0x' || substr(md5('9|' || rep::VARCHAR || '|' || k::VARCHAR), 1, 12))::BIGINT % n AS i FROM range(100) a(rep), (SELECT i AS k, n FROM ix)), re AS (SELECT rep, avg(x) AS mean FROM dr JOIN ix USING (i) GROUP BY rep) SELECT quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.5) AS mid, quantile_cont(mean, 0.975) AS high, count(*) AS reps FROM re")(
     lambda s, d: v.interval(v.bootstrap(hy(s, d).groupBy("day").agg((F.avg(F.when(F.col("rk") <= 3, F.col("ret"))) - F.avg(F.when(F.col("rk") > 3, F.col("ret")))).alias("x")).where("x is not null"), "x", 100, 9))
 )
