@@ -136,3 +136,17 @@ def test_hot_buckets_equal_brute_force(spark):
     rnd.shuffle(rows)
     rows = sorted((i, t) for i, (_, t) in enumerate(rows))
     assert groups_of(spark, rows) == brute_groups(rows)
+
+
+def test_a_family_of_altered_copies_equals_brute_force(spark):
+    """Copies of one text that keep between all and none of it: most pairs share keys, few are alike."""
+    rnd = random.Random(9)
+    base = [f"b{i}" for i in range(150)]
+    texts = []
+    for k in range(260):
+        w = list(base)
+        for at in rnd.sample(range(150), rnd.randint(0, 30)):
+            w[at] = f"e{k}x{at}"
+        texts.append(" ".join(w))
+    rows = list(enumerate(texts))
+    assert groups_of(spark, rows) == brute_groups(rows)
