@@ -139,3 +139,28 @@ def daily_brackets(bars: DataFrame, days: int, stop: float, target: float) -> Da
       if(b.low <= entry * (1 - {stop}), named_struct('done', true, 'reason', 'sl', 'g', if(b.open <= entry * (1 - {stop}), b.open / entry - 1, cast(-{stop} as double))),
       if(b.high >= entry * (1 + {target}), named_struct('done', true, 'reason', 'tp', 'g', cast({target} as double)), named_struct('done', false, 'reason', 'hold', 'g', b.close / entry - 1)))))"""
     return fut.withColumn("x", F.expr(step)).select("market", "day", "entry", F.col("x.reason").alias("reason"), F.col("x.g").alias("gross"))
+
+
+# The seven heads: target and close in percent, draw-down before the target in percent (none: 999), horizon in hours.
+HEADS = {
+    "h1_stable_3_4h": (3, 2, 2, 4), "h2_hit_3_4h": (3, None, None, 4), "h3_eod_3_24h": (3, 3, 3, 24), "h4_eod_5_24h": (5, 3, 3, 24),
+    "h5_tail_20": (20, None, None, 24), "h6_hit_5_24h": (5, None, None, 24), "h7_mid_7_24h": (7, 0, 3, 24),
+}
+
+
+def distribution_heads(paths: DataFrame, scale: float = 1.0) -> DataFrame:
+    """(entry_id, one 0/1 column a head): the target is reached within the horizon and, for heads that ask for it, the lowest price up to
+    and with that bar stays above the draw-down and the path's last close reaches the close. scale: of all percentages."""
+    whole = with_entry_price(paths).groupBy("entry_id").agg(F.first("entry").alias("entry"), F.max_by("close", "idx").alias("last"), F.array_sort(F.collect_list(F.struct("idx", "high", "low"))).alias("bars"))
+    up = lambda percent: 1 + percent * scale / 100
+    out = []
+    for name, (target, close, drawdown, hours) in HEADS.items():
+        reached = (lambda t, k: lambda b: (b["idx"] < k) & (b["high"] >= F.col("entry") * up(t)))(target, 4 * hours)
+        hits = F.filter("bars", reached)
+        label = F.size(hits) > 0
+        if drawdown is not None:
+            first = F.get(hits, F.lit(0))["idx"]
+            lowest = F.array_min(F.transform(F.filter("bars", (lambda last: lambda b: b["idx"] <= last)(first)), lambda b: b["low"]))
+            label = label & (lowest >= F.col("entry") * up(-drawdown)) & (F.col("last") >= F.col("entry") * up(close))
+        out.append(F.coalesce(label, F.lit(False)).cast("int").alias(name))
+    return whole.select("entry_id", *out)

@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import features as f
+from tidemark.operators import heads as h
 from tidemark.operators import notices
 from tidemark.operators import paths as p
 from tidemark.operators import selection as x
 from tidemark.plans.duck import LEDGER, TRADES
 from tidemark.plans.q_evaluate import H, hy
 from tidemark.plans.q_features import REGIME, W
+from tidemark.plans.q_heads import FEATURES, labelled
 from tidemark.plans.q_paths import PATHS, paths
 from tidemark.plans.q_selection import CELLS, HEADS, cells, ranked, universe
 from tidemark.plans.registry import query
@@ -272,3 +274,115 @@ query(
  u AS (SELECT coin, day, CASE kind WHEN '1-URGENT' THEN day + 20 + INTERVAL 15 HOUR WHEN '3-MEDIUM' THEN day + INTERVAL 45 DAY WHEN '4-NOT SPECIFIED' THEN day + INTERVAL 45 DAY WHEN '5-LOW' THEN day + 30 + INTERVAL 15 HOUR END AS until FROM n)
  SELECT trade_id, coalesce(until > l.day - INTERVAL 12 HOUR, false) AS active FROM ledger l ASOF LEFT JOIN u ON u.coin = l.coin AND u.day <= l.day - INTERVAL 12 HOUR WHERE status = 'open'""",
 )(lambda s, d: notices.in_force(ledger(s, d).where("status = 'open'").select("trade_id", F.col("coin").alias("symbol"), (F.col("day").cast("timestamp") - F.expr("interval 12 hours")).alias("decided_at")), notices.parsed(titles(s, d))))
+
+
+# the seven distribution heads, at a fifth of their percentages: paths of the events table move that much less
+SCALE = 0.2
+
+
+def head_sql(name: str) -> tuple[str, str]:
+    target, close, drawdown, hours = p.HEADS[name]
+    up = lambda percent: f"{1 + percent * SCALE / 100!r}::DOUBLE"
+    first = f"min(CASE WHEN idx < {4 * hours} AND high >= entry * {up(target)} THEN idx END) OVER (PARTITION BY entry_id) AS {name}_i"
+    label = f"any_value({name}_i) IS NOT NULL"
+    if drawdown is not None:
+        label += f" AND min(CASE WHEN idx <= {name}_i THEN low END) >= any_value(entry) * {up(-drawdown)} AND arg_max(close, idx) >= any_value(entry) * {up(close)}"
+    return first, f"coalesce({label}, false)::INT AS {name}"
+
+
+query(
+    "l_05_distribution_heads", "entry_id:l " + " ".join(f"{n}:l" for n in p.HEADS),
+    f"{PATHS}, hh AS (SELECT *, {', '.join(head_sql(n)[0] for n in p.HEADS)} FROM pa) SELECT entry_id, {', '.join(head_sql(n)[1] for n in p.HEADS)} FROM hh GROUP BY entry_id",
+)(lambda s, d: p.distribution_heads(paths(s, d), SCALE))
+
+
+# trades known at nine o'clock of each day
+def cutoffs(s, d):
+    return trades(s, d).select(F.to_date("ts").alias("day")).distinct().withColumn("cutoff_ns", (F.unix_seconds(F.col("day").cast("timestamp")) + 32400) * 1_000_000_000)
+
+
+query(
+    "t_02_available", "day:s n:l",
+    f"WITH {TRADES}, c AS (SELECT DISTINCT ts::DATE AS day, (epoch(ts::DATE) + 32400)::BIGINT * 1000000000 AS cut FROM trades) SELECT day, count(event_id) AS n FROM c LEFT JOIN trades ON event_ns <= cut AND received_ns <= cut GROUP BY day",
+)(lambda s, d: flow.available_counts(trades(s, d), cutoffs(s, d)))
+
+# five risk-reward heads of boosted trees (few rounds: parameters say how many), and a six-class model
+FIVE = {"p_up5": "high / open - 1 >= 0.02", "p_up10": "high / open - 1 >= 0.05", "p_up20": "high / open - 1 >= 0.1", "p_dn5": "low / open - 1 <= -0.03", "p_dn10": "low / open - 1 <= -0.06"}
+
+
+def five_heads(s, d, iterations: int = 4):
+    rows = universe(s, d).withColumns({f"is_{n}": F.expr(c).cast("double") for n, c in FIVE.items()})
+    out = rows.where("day >= date'1997-01-06'")
+    for n in FIVE:
+        out = h.predict(h.fit_head(rows.where("day < date'1997-01-01'"), FEATURES, f"is_{n}", iterations=iterations), out, n)
+    return out
+
+
+query("h_01_boosted_heads", "day:s market:s " + " ".join(f"{n}:d" for n in FIVE))(five_heads)
+
+
+def six_classes(s, d):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.functions import vector_to_array
+
+    rows = universe(s, d).withColumn("k", sum(((F.col("high") / F.col("open") - 1) >= e).cast("double") for e in (0.02, 0.04, 0.06, 0.08, 0.1)))
+    model = Pipeline(stages=[*h._inputs(FEATURES), RandomForestClassifier(featuresCol="x_", labelCol="k", numTrees=10, maxDepth=4, seed=7)]).fit(rows.where("day < date'1997-01-01'"))
+    out = model.transform(rows.where("day >= date'1997-01-06'")).withColumn("pp", vector_to_array("probability"))
+    return out.select("day", "market", *[F.coalesce(F.get("pp", F.lit(i)), F.lit(0.0)).alias(f"p{i}") for i in range(6)])
+
+
+query("h_04_class_distribution", "day:s market:s " + " ".join(f"p{i}:d" for i in range(6)))(six_classes)
+
+
+# time-ordered inner blocks: each block is scored by a model of the blocks before it, later rows by one of all blocks
+def inner_blocks(s, d):
+    folds = [("1996-07-01", "1996-07-06", "1997-01-01"), ("1997-01-01", "1997-01-06", "1997-07-01"), ("1997-07-01", "1997-07-06", "9999-01-01")]
+    return h.walk_forward(labelled(s, d), folds, FEATURES, "y", "p", "logistic")
+
+
+query("h_10_inner_blocks", "fold:l day:s market:s p:d")(inner_blocks)
+
+
+# what each group of features adds: precision of the best three of each day, against a stable random order
+def ablation(s, d):
+    groups = {"all": FEATURES, "returns": ["r1", "r3", "r7"], "turnover": ["s7", "lq"]}
+    out = []
+    for name, cols in groups.items():
+        out.append(h.walk_forward(labelled(s, d), [("1997-01-01", "1997-01-06", "9999-01-01")], cols, "y", "p", "logistic").select("day", "market", "y", "p", F.lit(name).alias("arm")))
+    chance = labelled(s, d).where("day >= date'1997-01-06'").select("day", "market", "y", (F.xxhash64("day", "market") / 2.0**63).alias("p"), F.lit("random").alias("arm"))
+    rows = chance
+    for part in out:
+        rows = rows.unionByName(part)
+    best = rows.withColumn("i", F.row_number().over(Window.partitionBy("arm", "day").orderBy(F.round("p", 9).desc(), "market")))
+    grid = best.withColumn("k", F.explode(F.array(F.lit(1), F.lit(3)))).where("i <= k")
+    return grid.groupBy("arm", "k").agg(F.count("*").alias("n"), F.avg("y").alias("precision"))
+
+
+query("h_09_v_24_ablation_grid", "arm:s k:l n:l precision:d")(ablation)
+
+# the intercept that makes mean scores meet the observed rate: Newton steps written out
+NEWTON = f"{H}, zz AS (SELECT ln(least(greatest(p_up10, 1e-6), 1 - 1e-6) / (1 - least(greatest(p_up10, 1e-6), 1 - 1e-6))) AS z, y.y AS y FROM y), n0 AS (SELECT 0.0::DOUBLE AS b)"
+for step in range(12):
+    NEWTON += f", n{step + 1} AS (SELECT any_value(b) - greatest(-2.0, least(2.0, sum(q - y) / sum(q * (1 - q)))) AS b FROM (SELECT b, y, 1 / (1 + exp(-(z + b))) AS q FROM zz, n{step}))"
+
+
+def shift(s, d):
+    rows = hy(s, d)
+    b = h.intercept_shift(rows, "p_up10", "y")
+    return rows.agg(F.avg(h.shifted(F.col("p_up10"), b)).alias("mean_p"), F.avg("y").alias("rate")).withColumn("b", F.lit(b))
+
+
+query("h_11_intercept_shift", "b:d mean_p:d rate:d", f"{NEWTON} SELECT any_value(b) AS b, avg(1 / (1 + exp(-(z + b)))) AS mean_p, avg(y) AS rate FROM zz, n12")(shift)
+
+# isotonic calibration: the fit at each seen score is the largest, over runs that start at or before it, of the smallest mean of a run
+# that goes on from there; unseen scores lie between their neighbours
+ISOTONIC = f"""{H}, g AS (SELECT p_up10 AS p, sum(y.y)::DOUBLE AS s, count(*)::DOUBLE AS n FROM y WHERE day < DATE '1998-01-01' GROUP BY p_up10),
+ o AS (SELECT p, s, n, row_number() OVER (ORDER BY p) AS i, sum(s) OVER (ORDER BY p) AS cs, sum(n) OVER (ORDER BY p) AS cn FROM g),
+ m AS (SELECT a.i AS i, j.i AS j, min((k.cs - j.cs + j.s) / (k.cn - j.cn + j.n)) AS low FROM o a JOIN o j ON j.i <= a.i JOIN o k ON k.i >= a.i GROUP BY a.i, j.i),
+ f AS (SELECT o.p, max(low) AS v FROM m JOIN o ON o.i = m.i GROUP BY o.p), t AS (SELECT DISTINCT p_up10 AS p FROM y WHERE day >= DATE '1998-01-01'),
+ e AS (SELECT t.p, (SELECT max(f.p) FROM f WHERE f.p <= t.p) AS lo, (SELECT min(f.p) FROM f WHERE f.p >= t.p) AS hi FROM t),
+ r AS (SELECT e.p, CASE WHEN lo IS NULL THEN b.v WHEN hi IS NULL OR lo = hi THEN a.v ELSE a.v + (b.v - a.v) * (e.p - lo) / (hi - lo) END AS iso FROM e LEFT JOIN f a ON a.p = lo LEFT JOIN f b ON b.p = hi)"""
+query("a_18_isotonic", "day:s market:s iso:d", f"{ISOTONIC} SELECT day, market, iso FROM y JOIN r ON r.p = y.p_up10 WHERE day >= DATE '1998-01-01'")(
+    lambda s, d: h.isotonic((q := hy(s, d)).where("day < date'1998-01-01'"), q.where("day >= date'1998-01-01'"), "p_up10", "y", "iso")
+)

@@ -32,12 +32,10 @@ def labelled(s, d):
     return universe(s, d).withColumn("y", (F.col("high") / F.col("open") - 1 >= 0.05).cast("double"))
 
 
-query("h_01_boosted_head", "day:s market:s p:d")(lambda s, d: h.predict(h.fit_head((u := labelled(s, d)).where("day < date'1997-01-01'"), FEATURES, "y", iterations=10), u.where("day >= date'1997-01-06'"), "p"))
 query("h_02_dump_cutoff", "day:s market:s p:d dump:b")(
     lambda s, d: (m := h.fit_head((t := (u := labelled(s, d).withColumn("y", F.expr("double(close / open - 1 < -0.02)"))).where("day < date'1997-01-01'")), FEATURES, "y", "logistic")) is not None and h.predict(m, u.where("day >= date'1997-01-06'"), "p").crossJoin(F.broadcast(h.predict(m, t, "p").agg(F.percentile("p", 0.6).alias("cut")))).withColumn("dump", F.col("p") > F.col("cut"))
 )
 query("h_03_walk_forward_heads", "fold:l day:s market:s p:d")(lambda s, d: h.walk_forward(labelled(s, d), FOLDS, FEATURES, "y", "p", "trees", iterations=5))
-query("h_04_class_distribution", "day:s market:s p0:d p1:d p2:d")(lambda s, d: _classes(labelled(s, d)))
 query("h_05_several_heads", "day:s market:s p_up:d p_down:d")(
     lambda s, d: h.predict(h.fit_head((u := labelled(s, d).withColumn("z", F.expr("double(low / open - 1 <= -0.05)"))).where("day < date'1997-01-01'"), FEATURES, "z", "logistic"), h.predict(h.fit_head(u.where("day < date'1997-01-01'"), FEATURES, "y", "logistic"), u.where("day >= date'1997-01-06'"), "p_up"), "p_down")
 )
@@ -46,19 +44,6 @@ query("h_07_logistic_scorer", "day:s market:s p:d")(lambda s, d: h.walk_forward(
 query("h_08_band_weights", "day:s market:s weight:d", f"{FLAG}, z AS (SELECT *, liq <= 5 AS band FROM o) SELECT day, market, CASE WHEN hit = 1 THEN count(*) OVER w / 2.0 / nullif(sum(hit) OVER w, 0) ELSE count(*) OVER w / 2.0 / nullif(count(*) OVER w - sum(hit) OVER w, 0) END AS weight FROM z WINDOW w AS (PARTITION BY band)")(
     lambda s, d: h.band_weights(labelled(s, d).withColumn("band", F.col("liq") <= 5), "band", "y")
 )
-query("h_11_intercept_shift", "b:d mean_p:d rate:d")(lambda s, d: (q := hy(s, d)).agg(F.avg(h.shifted(F.col("p_up10"), b := h.intercept_shift(q, "p_up10", "y"))).alias("mean_p"), F.avg("y").alias("rate")).withColumn("b", F.lit(b)))
-query("a_18_isotonic", "day:s market:s iso:d")(lambda s, d: h.isotonic((q := hy(s, d)).where("day < date'1998-01-01'"), q.where("day >= date'1998-01-01'"), "p_up10", "y", "iso"))
-
-
-def _classes(rows):
-    three = rows.withColumn("k", F.expr("double(case when high / open - 1 >= 0.05 then 2 when high / open - 1 >= 0.02 then 1 else 0 end)"))
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.functions import vector_to_array
-
-    model = Pipeline(stages=[*h._inputs(FEATURES), RandomForestClassifier(featuresCol="x_", labelCol="k", numTrees=10, maxDepth=4, seed=7)]).fit(three.where("day < date'1997-01-01'"))
-    out = model.transform(three.where("day >= date'1997-01-06'")).withColumn("pp", vector_to_array("probability"))
-    return out.select("day", "market", *[F.col("pp")[i].alias(f"p{i}") for i in range(3)])
 
 
 query("j_16_greedy_matches", "day:s market:s control:s")(lambda s, d: h.greedy_matches(ranked(s, d).withColumn("picked", F.col("rk") <= 2), "picked", "uq"))

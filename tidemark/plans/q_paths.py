@@ -133,9 +133,6 @@ query("l_02_binary", K + "label:l", f"{W} SELECT day, market, (lead(high) OVER w
 query("l_04_outcome_labels", K + "up5:l up10:l up20:l dn5:l dn10:l neg:l", f"{W} SELECT day, market, " + ", ".join(f"CASE WHEN day < DATE '1998-06-01' THEN ({e})::INT END AS {n}" for n, e in {"up5": "high / open - 1 >= 0.05", "up10": "high / open - 1 >= 0.1", "up20": "high / open - 1 >= 0.2", "dn5": "low / open - 1 <= -0.05", "dn10": "low / open - 1 <= -0.1", "neg": "close < open"}.items()) + " FROM bars")(
     lambda s, d: bars_1d(s, d).withColumns({n: F.when(F.col("day") < F.lit("1998-06-01").cast("date"), F.expr(f"int({e})")) for n, e in {"up5": "high / open - 1 >= 0.05", "up10": "high / open - 1 >= 0.1", "up20": "high / open - 1 >= 0.2", "dn5": "low / open - 1 <= -0.05", "dn10": "low / open - 1 <= -0.1", "neg": "close < open"}.items()})
 )
-query("l_05_distribution_heads", "entry_id:l hit:l hit_idx:l dd_before:d close_ret:d", f"{PATHS}, h AS (SELECT *, min(CASE WHEN high >= entry * (1 + 0.02) THEN idx END) OVER (PARTITION BY entry_id) AS hi FROM pa) SELECT entry_id, (any_value(hi) IS NOT NULL)::INT AS hit, any_value(hi) AS hit_idx, min(CASE WHEN idx <= coalesce(hi, 999) THEN low / entry - 1 END) AS dd_before, arg_max(close, idx) / any_value(entry) - 1 AS close_ret FROM h GROUP BY entry_id")(
-    lambda s, d: p.with_entry_price(paths(s, d)).withColumn("hi", F.min(F.when(F.col("high") >= F.col("entry") * (1 + F.lit(0.02)), F.col("idx"))).over(Window.partitionBy("entry_id"))).groupBy("entry_id").agg(F.first("hi").alias("hit_idx"), F.min(F.when(F.col("idx") <= F.coalesce("hi", F.lit(999)), F.col("low") / F.col("entry") - 1)).alias("dd_before"), (F.max_by("close", "idx") / F.first("entry") - 1).alias("close_ret")).withColumn("hit", F.col("hit_idx").isNotNull().cast("int"))
-)
 query("l_06_early_hits", "entry_id:l hit_1:l hit_2:l hit_4:l", f"{PATHS} SELECT entry_id, " + ", ".join(f"coalesce(max(CASE WHEN idx < {k} THEN (high >= entry * (1 + 0.01))::INT END), 0) AS hit_{k}" for k in (1, 2, 4)) + " FROM pa GROUP BY entry_id")(
     lambda s, d: p.with_entry_price(paths(s, d)).groupBy("entry_id").agg(*[F.coalesce(F.max(F.when(F.col("idx") < k, (F.col("high") >= F.col("entry") * (1 + F.lit(0.01))).cast("int"))), F.lit(0)).alias(f"hit_{k}") for k in (1, 2, 4)])
 )

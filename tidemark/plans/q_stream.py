@@ -23,9 +23,6 @@ def cutoffs(s, d):
     return days.withColumn("cutoff_ns", (F.unix_seconds(F.col("day").cast("timestamp")) + 9 * 3600) * 1_000_000_000)
 
 
-query("t_02_available", "day:s n:l", f"{T}, c AS (SELECT DISTINCT ts::DATE AS day, (epoch(ts::DATE) + 32400)::BIGINT * 1000000000 AS cut FROM trades) SELECT day, count(*) AS n FROM c, trades WHERE event_ns <= cut AND received_ns <= cut GROUP BY day")(
-    lambda s, d: flow.available(trades(s, d), cutoffs(s, d)).groupBy("day").agg(F.count("*").alias("n"))
-)
 query("t_03_flow_imbalance", "day:s market:s n:l imbalance:d", f"{T}, c AS (SELECT DISTINCT ts::DATE AS day, (epoch(ts::DATE) + 32400)::BIGINT * 1000000000 AS cut FROM trades), g AS (SELECT c.day, market, count(*) AS n, sum(CASE WHEN side = 'BID' THEN price * volume ELSE 0 END) AS b, sum(CASE WHEN side = 'ASK' THEN price * volume ELSE 0 END) AS a FROM c, trades WHERE event_ns >= cut - 21600000000000 AND event_ns < cut AND received_ns >= cut - 21600000000000 AND received_ns < cut GROUP BY ALL) SELECT day, market, n, (b - a) / nullif(b + a, 0) AS imbalance FROM g")(
     lambda s, d: flow.flow_at_cutoffs(trades(s, d), cutoffs(s, d), 21600)
 )

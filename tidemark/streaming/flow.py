@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranks import with_sums_before
+
 ENVELOPE = "capture_id string, channel string, market string, ingress_seq long, received_at_ns long, event_at_ms long, record_type string, raw_payload string"
 
 
@@ -26,6 +28,14 @@ def available(trades: DataFrame, cutoffs: DataFrame) -> DataFrame:
     return trades.join(F.broadcast(cutoffs), (F.col("event_ns") <= F.col("cutoff_ns")) & (F.col("received_ns") <= F.col("cutoff_ns")))
 
 
+def available_counts(trades: DataFrame, cutoffs: DataFrame) -> DataFrame:
+    """cutoffs (.., cutoff_ns) with n, the trades known at each: one sort of both by the instant at which a trade is known, and counts before."""
+    known = trades.select(F.greatest("event_ns", "received_ns").alias("at_"), F.lit(1).alias("one_"), *[F.lit(None).cast(t).alias(c) for c, t in cutoffs.dtypes])
+    asked = cutoffs.select(F.col("cutoff_ns").alias("at_"), F.lit(0).alias("one_"), *cutoffs.columns)
+    counted = with_sums_before(known.unionByName(asked), [F.col("at_").asc(), F.col("one_").desc()], ["one_"])
+    return counted.where("one_ = 0").select(*cutoffs.columns, F.col("one__before").alias("n"))
+
+
 def imbalance(bid: Column, ask: Column) -> Column:
     """(bid - ask) / (bid + ask); NULL, not zero, without trades."""
     return (bid - ask) / F.nullif(bid + ask, F.lit(0.0))
