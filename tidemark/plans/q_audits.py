@@ -386,3 +386,90 @@ ISOTONIC = f"""{H}, g AS (SELECT p_up10 AS p, sum(y.y)::DOUBLE AS s, count(*)::D
 query("a_18_isotonic", "day:s market:s iso:d", f"{ISOTONIC} SELECT day, market, iso FROM y JOIN r ON r.p = y.p_up10 WHERE day >= DATE '1998-01-01'")(
     lambda s, d: h.isotonic((q := hy(s, d)).where("day < date'1998-01-01'"), q.where("day >= date'1998-01-01'"), "p_up10", "y", "iso")
 )
+
+
+# calibration arms on two cohorts of days: the factor of days before 1997, of all days before the cohort, and of all days but the row's own half year
+def calibration_arms(s, d):
+    rows = hy(s, d).select("day", "y", "p_up10", F.year("day").alias("year"), F.when(F.month("day") <= 6, 1).otherwise(2).alias("half"))
+    sums = rows.groupBy("year", "half").agg(F.sum("y").alias("ys"), F.sum("p_up10").alias("ps"))
+    cohorts = F.broadcast(sums.select(F.col("year").alias("of"), F.col("half").alias("part")).where("of in (1998, 1999)"))
+    arms = F.array(
+        F.when(F.col("year") < 1997, F.lit("frozen")), F.when(F.col("year") < F.col("of"), F.lit("full_history")),
+        F.when((F.col("year") < F.col("of")) | (F.col("year") == F.col("of")) & (F.col("half") != F.col("part")), F.lit("out_of_fold")),
+    )
+    taught = sums.crossJoin(cohorts).select("of", "part", "ys", "ps", F.explode(F.filter(arms, lambda a: a.isNotNull())).alias("arm"))
+    factors = taught.groupBy("of", "part", "arm").agg((F.sum("ys") / F.sum("ps")).alias("k"))
+    asked = rows.join(F.broadcast(factors), (F.col("year") == F.col("of")) & (F.col("half") == F.col("part")))
+    q = F.least(F.col("p_up10") * F.col("k"), F.lit(0.99))
+    return asked.groupBy(F.col("of").alias("cohort"), "arm").agg(F.count("*").alias("n"), F.countDistinct("day").alias("days"), F.avg((q - F.col("y")) ** 2).alias("brier"), (F.avg(q) - F.avg("y")).alias("bias"))
+
+
+query(
+    "v_17_calibration_arms", "cohort:l arm:s n:l days:l brier:d bias:d",
+    f"""{H}, r AS (SELECT day, y.y AS y, p_up10 AS p, year(day) AS yr, CASE WHEN month(day) <= 6 THEN 1 ELSE 2 END AS hf FROM y),
+ co AS (SELECT DISTINCT yr AS of_, hf AS part FROM r WHERE yr IN (1998, 1999)),
+ k AS (SELECT of_, part, 'frozen' AS arm, sum(y) / sum(p) AS k FROM r, co WHERE yr < 1997 GROUP BY ALL
+  UNION ALL SELECT of_, part, 'full_history', sum(y) / sum(p) FROM r, co WHERE yr < of_ GROUP BY ALL
+  UNION ALL SELECT of_, part, 'out_of_fold', sum(y) / sum(p) FROM r, co WHERE yr < of_ OR yr = of_ AND hf <> part GROUP BY ALL)
+ SELECT of_ AS cohort, arm, count(*) AS n, count(DISTINCT day) AS days, avg(pow(least(p * k, 0.99) - y, 2)) AS brier, avg(least(p * k, 0.99)) - avg(y) AS bias FROM r JOIN k ON yr = of_ AND hf = part GROUP BY ALL""",
+)(calibration_arms)
+
+
+# frames by class, the raw record beside it: an event names its kind and payload, an error its message; the rest does not parse
+def frames(s, d):
+    e = s.read.parquet(f"{d}/events.parquet")
+    text = F.when(F.col("event_id") % 50 == 0, F.concat(F.lit('{"error": {"name": "'), "event_type", F.lit('"}}'))).when(F.col("event_id") % 77 == 0, F.concat(F.lit('{"type": '), "props")).otherwise(F.concat(F.lit('{"type": "'), "event_type", F.lit('", "payload": '), "props", F.lit("}")))
+    return e.select("event_id", text.alias("raw"))
+
+
+def frame_classes(s, d):
+    parsed = F.from_json("raw", "type string, error struct<name:string>, bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "bad"})
+    rows = frames(s, d).withColumn("f", parsed)
+    kind = F.when(F.col("f.bad").isNotNull(), "parse_error").when(F.col("f.error").isNotNull(), "server_error").otherwise("event")
+    return rows.select(kind.alias("record_type"), F.coalesce("f.type", "f.error.name").alias("name"), "raw").groupBy("record_type", "name").agg(F.count("*").alias("n"), F.sum(F.char_length("raw")).alias("raw_chars"))
+
+
+query(
+    "s_09_frame_classes", "record_type:s name:s n:l raw_chars:l",
+    """WITH r AS (SELECT CASE WHEN event_id % 50 = 0 THEN 'server_error' WHEN event_id % 77 = 0 THEN 'parse_error' ELSE 'event' END AS record_type, event_type,
+ CASE WHEN event_id % 50 = 0 THEN '{"error": {"name": "' || event_type || '"}}' WHEN event_id % 77 = 0 THEN '{"type": ' || props ELSE '{"type": "' || event_type || '", "payload": ' || props || '}' END AS raw FROM events)
+ SELECT record_type, CASE WHEN record_type <> 'parse_error' THEN event_type END AS name, count(*) AS n, sum(length(raw)) AS raw_chars FROM r GROUP BY 1, 2""",
+)(frame_classes)
+
+
+# payload rules of books of three units around each trade: positive numbers, and no bid above an ask of any unit
+def payload_rules(s, d):
+    unit = lambda k: F.struct((F.col("price") - 0.05 * k).alias("bid"), (F.col("price") + 0.05 * k - F.when(F.col("event_id") % 9 == 0, 0.15).otherwise(0.0)).alias("ask"), (F.col("event_id") % 11).alias("size"))
+    rows = trades(s, d).withColumn("units", F.array(*[unit(k) for k in (1, 2, 3)]))
+    positive = F.forall("units", lambda u: (u["bid"] > 0) & (u["ask"] > 0) & (u["size"] > 0))
+    best_bid, best_ask = F.array_max(F.transform("units", lambda u: u["bid"])), F.array_min(F.transform("units", lambda u: u["ask"]))
+    reason = F.when(~positive, "not_positive").when(F.round(best_bid, 6) > F.round(best_ask, 6), "crossed").when(F.col("received_ns") < F.col("event_ns"), "clock").otherwise("ok")
+    return rows.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
+
+
+query(
+    "s_10_payload_rules", "reason:s n:l last:l",
+    f"""WITH {TRADES} SELECT CASE WHEN event_id % 11 = 0 OR price - 0.15 <= 0 THEN 'not_positive' WHEN event_id % 9 = 0 THEN 'crossed' WHEN received_ns < event_ns THEN 'clock' ELSE 'ok' END AS reason, count(*) AS n, max(event_id) AS last FROM trades GROUP BY 1""",
+)(payload_rules)
+
+
+# do two feeds mean one instant? fifteen-minute bars summed to days that start at nine o'clock, and at midnight, against daily trade counts
+def boundary_audit(s, d):
+    t = trades(s, d)
+    daily = t.groupBy("market", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.sum("volume").alias("volume"))
+    out = None
+    for hours in (0, 9):
+        day = F.to_date(F.col("ts") - F.expr(f"interval {hours} hours"))
+        fine = flow.tumbling_bars(t, "15 minutes").groupBy("market", day.alias("day")).agg(F.sum("volume").alias("fine"))
+        both = daily.join(fine, ["market", "day"], "full").select("market", F.abs(F.coalesce("volume", F.lit(0.0)) - F.coalesce("fine", F.lit(0.0))).alias("error"), F.lit(hours).alias("shift"))
+        out = both if out is None else out.unionByName(both)
+    return out.groupBy("market", "shift").agg(F.count("*").alias("days"), F.sum((F.col("error") < 1e-9).cast("int")).alias("equal"), F.max("error").alias("max_error"))
+
+
+query(
+    "f_34_boundary_audit", "market:s shift:l days:l equal:l max_error:d",
+    f"""WITH {TRADES}, a AS (SELECT market, ts::DATE AS day, sum(volume) AS v FROM trades GROUP BY ALL), b AS (SELECT shift, market, (ts - shift * INTERVAL 1 HOUR)::DATE AS day, sum(volume) AS f FROM trades, (VALUES (0), (9)) s(shift) GROUP BY ALL),
+ e AS (SELECT shift, market, day FROM a, (VALUES (0), (9)) s(shift) UNION SELECT shift, market, day FROM b),
+ g AS (SELECT e.market, e.shift, abs(coalesce(v, 0) - coalesce(f, 0)) AS x FROM e LEFT JOIN a ON a.market = e.market AND a.day = e.day LEFT JOIN b ON b.market = e.market AND b.day = e.day AND b.shift = e.shift)
+ SELECT market, shift, count(*) AS days, sum((x < 1e-9)::INT) AS equal, max(x) AS max_error FROM g GROUP BY ALL""",
+)(boundary_audit)

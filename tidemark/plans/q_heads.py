@@ -83,9 +83,6 @@ query("s_15_summary_outputs", "model_id:s n:l n_json:l n_csv:l", f"{L} SELECT mo
 query("f_28_ignition", "market:s session:s i:l ret:d", f"WITH {TRADES}, {intraday(240)}, z AS (SELECT *, (ts - INTERVAL 9 HOUR)::DATE AS session, row_number() OVER (PARTITION BY market, (ts - INTERVAL 9 HOUR)::DATE ORDER BY ts) AS i, first(open) OVER (PARTITION BY market, (ts - INTERVAL 9 HOUR)::DATE ORDER BY ts) AS o FROM ibars) SELECT market, session, i, close / o - 1 AS ret FROM z WHERE i <= 3")(
     lambda s, d: f.with_session(bars_intraday(s, d, 240)).withColumn("o", F.first("open").over(Window.partitionBy("market", "session").orderBy("ts"))).where("i <= 3").withColumn("ret", F.col("close") / F.col("o") - 1)
 )
-query("f_34_boundary_audit", "market:s n:l matched:l max_error:d", f"{W}, g AS (SELECT market, day + 1 AS day, close * 2 AS fc FROM bars) SELECT b.market, count(*) AS n, count(fc) AS matched, max(abs(open - fc / 2)) AS max_error FROM bars b LEFT JOIN g ON g.market = b.market AND g.day = b.day GROUP BY b.market")(
-    lambda s, d: (b := bars_1d(s, d)).join(b.select("market", F.date_add("day", 1).alias("day"), (F.col("close") * 2).alias("fc")), ["market", "day"], "left").groupBy("market").agg(F.count("*").alias("n"), F.count("fc").alias("matched"), F.max(F.abs(F.col("open") - F.col("fc") / 2)).alias("max_error"))
-)
 query("f_35_placeholder_day", "market:s f_close:d f_ret_3d:d", f"{W}, r AS (SELECT market, day, close, close / {lg('close', 3)} - 1 AS r3 FROM bars) SELECT market, arg_max(close, day) AS f_close, arg_max(r3, day) AS f_ret_3d FROM r GROUP BY market")(
     lambda s, d: (b := bars_1d(s, d).select("market", "day", "close", f.ret(3).alias("r3"))).unionByName(b.select("market").distinct().select("market", F.lit("9999-01-01").cast("date").alias("day"), F.lit(None).cast("double").alias("close"), F.lit(None).cast("double").alias("r3"))).withColumns({"f_close": f.lag("close"), "f_ret_3d": f.lag("r3")}).where("day = date'9999-01-01'")
 )

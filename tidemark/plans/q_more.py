@@ -55,9 +55,6 @@ def _regimes(s, d):
     return regime(bars_1d(s, d).where("market = 'M00'")).select("day", "btc_regime")
 
 
-query("v_17_calibration_arms", "arm:s days:l hit:d", f"{H}, z AS (SELECT day, market, y, row_number() OVER (PARTITION BY day ORDER BY rr DESC, market) AS a, row_number() OVER (PARTITION BY day ORDER BY round(p_up10 - 0.5 * p_dn5, 6) DESC, market) AS b FROM y) SELECT 'ratio' AS arm, count(DISTINCT day) AS days, avg(y) AS hit FROM z WHERE a <= 3 UNION ALL SELECT 'penalised', count(DISTINCT day), avg(y) FROM z WHERE b <= 3")(
-    lambda s, d: x.order_penalised(hy(s, d).withColumn("a", F.row_number().over(x.day_window().orderBy(F.desc("rr"), "market"))), 0.5).select("day", "y", F.explode(F.filter(F.array(F.when(F.col("a") <= 3, F.lit("ratio")), F.when(F.col("rk") <= 3, F.lit("penalised"))), lambda z: z.isNotNull())).alias("arm")).groupBy("arm").agg(F.countDistinct("day").alias("days"), F.avg("y").alias("hit"))
-)
 query("v_21_fixed_rule_replay", "day:s picks:l ret:d", f"{HEADS}, ce AS (SELECT *, least(greatest(ceil(round(((rank() OVER (PARTITION BY day ORDER BY uq) + (count(*) OVER (PARTITION BY day, uq) - 1) / 2.0) / count(*) OVER (PARTITION BY day)) * 4, 9)) - 1, 0), 3)::BIGINT AS lq4 FROM d1), q AS (SELECT day, lq4, count(*) AS quota FROM ce WHERE rk <= 3 GROUP BY ALL), z AS (SELECT ce.*, quota, row_number() OVER (PARTITION BY ce.day, ce.lq4 ORDER BY p_dn5, market) AS i FROM ce JOIN q USING (day, lq4)) SELECT day, count(*) AS picks, avg(close / open - 1) AS ret FROM z WHERE i <= quota GROUP BY day")(
     lambda s, d: cells(s, d).withColumn("quota", F.sum((F.col("rk") <= 3).cast("int")).over(w := Window.partitionBy("day", "lq4"))).withColumn("i", F.row_number().over(w.orderBy("p_dn5", "market"))).where("i <= quota").groupBy("day").agg(F.count("*").alias("picks"), F.avg(F.col("close") / F.col("open") - 1).alias("ret"))
 )

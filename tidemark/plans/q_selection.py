@@ -51,12 +51,6 @@ query("s_06_duplicate_keys", "l_orderkey:l l_linenumber:l n:l", "SELECT l_orderk
 query("s_07_market_names", "name:s valid:b", "SELECT DISTINCT event_type AS name, regexp_full_match(upper(event_type), '[A-Z0-9][A-Z0-9-]*') AND length(event_type) <= 32 AS valid FROM events")(
     lambda s, d: s.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("name")).distinct().withColumn("valid", c.valid_market(F.upper("name")))
 )
-query("s_09_frame_classes", "record_type:s n:l", "SELECT CASE WHEN props IS NULL OR NOT json_valid(props) THEN 'parse_error' WHEN event_type = 'error' THEN 'server_error' ELSE 'event' END AS record_type, count(*) AS n FROM events GROUP BY 1")(
-    lambda s, d: s.read.parquet(f"{d}/events.parquet").withColumn("j", F.from_json("props", "k long")).withColumn("record_type", F.when(F.col("j").isNull(), "parse_error").when(F.col("event_type") == "error", "server_error").otherwise("event")).groupBy("record_type").agg(F.count("*").alias("n"))
-)
-query("s_10_payload_rules", "reason:s n:l", f"WITH {TRADES} SELECT CASE WHEN price <= 0 OR volume <= 0 THEN 'not_positive' WHEN price - 0.05 > price + 0.05 THEN 'crossed' WHEN received_ns < event_ns THEN 'clock' ELSE 'ok' END AS reason, count(*) AS n FROM trades GROUP BY 1")(
-    lambda s, d: trades(s, d).withColumn("units", F.array(F.struct((F.col("price") - 0.05).alias("bid"), (F.col("price") + 0.05).alias("ask")))).withColumn("reason", F.when((F.col("price") <= 0) | (F.col("volume") <= 0), "not_positive").when(~F.forall("units", lambda u: u["bid"] <= u["ask"]), "crossed").when(F.col("received_ns") < F.col("event_ns"), "clock").otherwise("ok")).groupBy("reason").agg(F.count("*").alias("n"))
-)
 query(
     "s_16_fingerprint", "market:s n:l digest:l",
     f"{W} SELECT market, count(*) AS n, sum(('0x' || substr(md5(market || '|' || day::VARCHAR || '|' || trades::VARCHAR || '|' || volume::BIGINT::VARCHAR), 1, 12))::BIGINT::HUGEINT) % 1000000007 AS digest FROM bars GROUP BY market",
