@@ -4,7 +4,7 @@ from collections import defaultdict
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import fold
-from tidemark.llm.langid import build, count_contexts, predict, train
+from tidemark.llm.langid import built, count_contexts, predict, train
 
 
 def brute_bits(texts, text):
@@ -33,8 +33,7 @@ def brute_bits(texts, text):
 
 def test_code_lengths_are_exact(spark):
     texts = {"a": ["the cat and the hat and the cat and the hat", "that", "the cat the cat"], "b": ["der Hund und die M\u00e4use und der Hund und das Pferd und der Hund"]}
-    rows = count_contexts(spark.createDataFrame([(lang, t) for lang, ts in texts.items() for t in ts], "lang string, text string")).toPandas()
-    model = build(*(rows[c].to_numpy() for c in ("lang", "k", "gram", "n")))
+    model = built(count_contexts(spark.createDataFrame([(lang, t) for lang, ts in texts.items() for t in ts], "lang string, text string")))
     probes = [b"the hat", "M\u00e4use und der Hunt zzz \x07".encode(), b"", b"q" * 100_000, b"THE cat and " * 120_000, b"x"]
     got = model.code_lengths(probes)
     for p, bits in zip(probes, got):
@@ -44,8 +43,7 @@ def test_code_lengths_are_exact(spark):
 
 def test_a_hundred_languages_are_small(spark):
     sample = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("lang = 'de'").select("lang", "text").limit(1500)
-    rows = count_contexts(sample).toPandas()
-    model = build(*(rows[c].to_numpy() for c in ("lang", "k", "gram", "n")))
+    model = built(count_contexts(sample))
     assert 100 * sum(x.nbytes for part in (model.grams, model.costs, model.contexts, model.escapes) for x in part) < 500e6
 
 

@@ -13,6 +13,7 @@ of six bytes are looked up once for many texts. A-Z are lower-cased; five zero b
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -136,15 +137,32 @@ def count_contexts(sample: DataFrame) -> DataFrame:
     return summed.withColumn("whole", whole).where(f"k <= 2 or whole >= {LEAST}").drop("whole")
 
 
-def build(lang: np.ndarray, k: np.ndarray, gram: np.ndarray, n: np.ndarray) -> ByteModel | None:
-    """The frozen trees of counts; None without any."""
-    if not len(lang):
+def combined(models: list[ByteModel]) -> ByteModel | None:
+    """One model of the models of one language each; None of none."""
+    if not models:
         return None
-    languages, li = np.unique(lang.astype(str), return_inverse=True)
-    gram, model = gram.astype(np.uint64), ByteModel(languages.tolist(), [], [], [], [])
+    models = sorted(models, key=lambda m: m.languages[0])
+    join = lambda parts, own: [np.concatenate([x[k] | np.uint64(i << 48) if own else x[k] for i, x in enumerate(parts)]) for k in range(ORDER + 1)]
+    return ByteModel([m.languages[0] for m in models], join([m.grams for m in models], True), join([m.costs for m in models], False), join([m.contexts for m in models], True), join([m.escapes for m in models], False))
+
+
+def built(counts: DataFrame) -> ByteModel | None:
+    """The frozen trees of (lang, k, gram, n), each built in a task of its own."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        lang = rows["lang"][0].as_py()
+        model = build(lang, *(rows[c].to_numpy() for c in ("k", "gram", "n")))
+        return pa.table({"lang": pa.array([lang], pa.string()), "model": pa.array([pickle.dumps(model)], pa.binary())})
+
+    return combined([pickle.loads(r.model) for r in counts.groupBy("lang").applyInArrow(run, "lang string, model binary").collect()])
+
+
+def build(lang: str, k: np.ndarray, gram: np.ndarray, n: np.ndarray) -> ByteModel:
+    """The frozen tree of the counts of one language."""
+    gram, model = gram.astype(np.uint64), ByteModel([lang], [], [], [], [])
     for order in range(ORDER + 1):
         own = k == order
-        key, count = gram[own] | li[own].astype(np.uint64) << np.uint64(48), n[own].astype(float)
+        key, count = gram[own], n[own].astype(float)
         order_of = np.argsort(key)
         key, count = key[order_of], count[order_of]
         after = key & ~np.uint64(255 << 8 * order)
@@ -152,8 +170,7 @@ def build(lang: np.ndarray, k: np.ndarray, gram: np.ndarray, n: np.ndarray) -> B
         n_all, d = np.bincount(at, weights=count, minlength=len(contexts)), np.bincount(at, minlength=len(contexts))
         escape = -np.log2(d / (n_all + d)) if len(contexts) else np.zeros(0)
         if order:
-            shorter = (contexts >> np.uint64(48)) << np.uint64(48) | (contexts & np.uint64((1 << 48) - 1)) >> np.uint64(8)
-            escape = escape + model.escapes[-1][find(model.contexts[-1], shorter)]
+            escape = escape + model.escapes[-1][find(model.contexts[-1], contexts >> np.uint64(8))]
         model.grams.append(key), model.costs.append((-np.log2(count / (n_all + d)[at]) - escape[at]).astype(np.float32))
         model.contexts.append(contexts), model.escapes.append(escape.astype(np.float32))
     return model
@@ -163,14 +180,13 @@ def train(labelled: DataFrame, texts: DataFrame, per_language: int = 1500, id_co
     """Learns from whole texts of at most `per_language` labelled rows of each language.
 
     labelled: (id, lang), without texts; rows with a null language are left out. texts: (id, text). The sample is bounded by `per_language`
-    times the number of languages, and only its summed counts reach the driver, of contexts that pass the rule above (some hundred thousand a
+    times the number of languages; each language's tree is built in a task, and only the trees reach the driver, of contexts that pass the rule above (some hundred thousand a
     language, twelve bytes each in the model). Ids that
     are repeated in either table are left out of it.
     """
     ids = told_apart(smallest_hashes(labelled.where("lang is not null"), per_language, by="lang", id_col=id_col), texts, id_col)
     sample = texts.select(id_col, "text").join(F.broadcast(ids.select(id_col, "lang")), id_col)
-    rows = count_contexts(sample).toPandas()
-    return build(*(rows[c].to_numpy() for c in ("lang", "k", "gram", "n")))
+    return built(count_contexts(sample))
 
 
 def predict(docs: DataFrame, model: ByteModel | None, text_col: str = "text") -> DataFrame:
