@@ -12,7 +12,7 @@ from tidemark.operators import selection as x
 from tidemark.operators import splits as v
 from tidemark.plans.duck import LEDGER
 from tidemark.plans.q_evaluate import H, hy
-from tidemark.plans.q_features import FLAG, REGIME, W
+from tidemark.plans.q_features import FLAG, REGIME
 from tidemark.plans.q_paths import DEL, PATHS, P, en, paths
 from tidemark.plans.q_selection import HEADS, cells, ranked, universe
 from tidemark.plans.registry import query
