@@ -19,6 +19,9 @@ COLUMNS = {
     "op8_toxicity": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
     "op9_decontam": {"doc_id": "bigint", "item_id": "bigint", "similarity": "double"},
     "op10_rules": {"doc_id": "bigint", "n_words": "bigint", "word_chars": "bigint", "n_symbols": "bigint", "n_dup_lines": "bigint", "n_repeat_words": "bigint", "base_failed": "boolean", "kept": "boolean"},
+    "op11_importance": {"doc_id": "bigint", "n_features": "bigint", "weight": "bigint", "score": "bigint", "rank": "bigint"},
+    "op12_spelling": {"word": "string", "form": "string", "root": "string", "n": "bigint", "n_near": "bigint", "form_n": "bigint"},
+    "op13_bpe": {"doc_id": "bigint", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"},
 }
 FOLD = {"op2_language": 0, "op4_lm": 1, "op8_toxicity": 0}
 
@@ -29,6 +32,8 @@ def test_query(spark, name):
     ids = sorted(r[0] for r in spark.read.parquet(f"{SF}/{table}.parquet").select(key).collect())
     out = queries.queries()[name](spark, SF)
     assert COLUMNS[name].items() <= dict(out.dtypes).items()
+    if name == "op12_spelling":
+        return
     rows = out.collect()
     got = sorted(r[key] for r in rows)
     if name in ("op5_mixing", "op9_decontam"):

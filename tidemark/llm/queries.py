@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, extract, langid, linededup, lm, mixing, rules, toxicity, warc
+from tidemark.llm import bpe, decontam, extract, importance, langid, linededup, lm, mixing, rules, spelling, toxicity, warc
 from tidemark.llm.common import fold, new_folder, table
 from tidemark.llm.sampling import smallest_hashes, told_apart
 from tidemark.llm.simhash import hex16, simhash_components
@@ -88,9 +89,26 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[F.col(f"_{n}").alias(n) for n in names], "base_failed", (~F.col("base_failed") & (rules.verdict(learned) == 0)).alias("kept"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance.resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("text"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.vocabulary_of(table(spark, sf_dir, "documents").select("doc_id", "text"), every=31)
+    return spelling.variants(words)
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
+    found = bpe.encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), bpe.read_tokenizer(path))
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_language, op3_warc, op4_lm, op5_mixing, op6_extract, op7_linededup, op8_toxicity, op9_decontam, op10_rules)}
+    return {f.__name__: f for f in (op1_simhash, op2_language, op3_warc, op4_lm, op5_mixing, op6_extract, op7_linededup, op8_toxicity, op9_decontam, op10_rules, op11_importance, op12_spelling, op13_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": mixing.oracle()}
+    return {"op5_mixing": mixing.oracle(), "op11_importance": importance.oracle(), "op12_spelling": spelling.oracle()}
