@@ -103,21 +103,6 @@ def outcomes(paths: DataFrame, cost: float = 0.0015) -> DataFrame:
     return o.withColumns({"net": F.col("eod") - cost} | flags)
 
 
-def completeness(entries_: DataFrame, bars: DataFrame, benchmark: str, bars_needed: int) -> DataFrame:
-    """Reason codes and flat-filled bars: the benchmark must have traded in the window and beyond its end, the target at its
-    first bar or before; gaps of the target are filled with the last close."""
-    window = interval_join(entries_, bars).groupBy("entry_id").agg(F.count("*").alias("n"), F.min("idx").alias("first_idx"))
-    bench = bars.where(F.col("market") == benchmark).drop("market")
-    b = interval_join(entries_.drop("market").withColumn("market", F.lit(benchmark)), bench.withColumn("market", F.lit(benchmark)), 25).groupBy("entry_id").agg(F.sum((F.col("idx") < 96).cast("int")).alias("bench_n"), F.sum((F.col("idx") >= 96).cast("int")).alias("beyond"))
-    rows = entries_.join(window, "entry_id", "left").join(b, "entry_id", "left").join(prior_close(entries_, bars).select("entry_id", "prior"), "entry_id", "left")
-    n = F.coalesce("n", F.lit(0))
-    reason = (
-        F.when(F.coalesce("bench_n", F.lit(0)) == 0, "benchmark_missing").when(F.coalesce("beyond", F.lit(0)) == 0, "benchmark_open_end").when(n == 0, "target_missing")
-        .when((F.col("first_idx") > 0) & F.col("prior").isNull(), "no_prior_close").when(n < bars_needed, "sparse").otherwise("complete")
-    )
-    return rows.select("entry_id", "market", reason.alias("reason"), n.alias("observed"), (F.lit(96) - n).alias("filled"))
-
-
 def grid(entries_: DataFrame, bars: DataFrame, steps: int = 96) -> DataFrame:
     """The expected bar starts of each entry with the observed bar or a flat one from the close before."""
     g = entries_.select("entry_id", "market", "start", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("idx")).withColumn("ts", F.timestamp_seconds(F.unix_seconds("start") + F.col("idx") * 900))

@@ -104,9 +104,6 @@ query("x_14_reclaim_entry", "entry_id:l gate:b reclaim_idx:l", f"{PATHS}, z AS (
 query("x_17_cost_sweep", "cost:d net:d positive:d", f"{L} SELECT cost, avg(net_pct - cost) AS net, avg((net_pct > cost)::INT) AS positive FROM ledger, (VALUES (0.0), (0.15), (0.5)) v(cost) WHERE status = 'closed' GROUP BY cost")(
     lambda s, d: ledger(s, d).where("status = 'closed'").withColumn("cost", F.explode(F.array(F.lit(0.0), F.lit(0.15), F.lit(0.5)))).groupBy("cost").agg(F.avg(F.col("net_pct") - F.col("cost")).alias("net"), F.avg((F.col("net_pct") > F.col("cost")).cast("int")).alias("positive"))
 )
-query("x_22_close_batch", "trade_id:l status:s net:d", f"{L}, {W[5:]} SELECT trade_id, CASE WHEN l.status = 'open' AND b.close IS NOT NULL THEN 'closed' ELSE l.status END AS status, CASE WHEN l.status = 'open' THEN (b.close / b.open - 1) * 100 ELSE net_pct END AS net FROM ledger l LEFT JOIN bars b ON b.market = l.coin AND b.day = l.day")(
-    lambda s, d: ledger(s, d).join(bars_1d(s, d).select(F.col("market").alias("coin"), "day", "open", "close"), ["coin", "day"], "left").withColumns({"net": F.when(F.col("status") == "open", (F.col("close") / F.col("open") - 1) * 100).otherwise(F.col("net_pct"))}).withColumn("status", F.when((F.col("status") == "open") & F.col("close").isNotNull(), "closed").otherwise(F.col("status")))
-)
 query("x_29_rule_backtest", "rule:s day:s equity:d", f"{HEADS}, z AS (SELECT rule, day, avg(CASE WHEN low / open - 1 <= -sl THEN -sl WHEN high / open - 1 >= tp THEN tp ELSE close / open - 1 END - 0.0015) AS ret FROM d1, (VALUES ('tight', 0.03, 0.05), ('wide', 0.06, 0.1)) v(rule, sl, tp) WHERE rk <= 3 GROUP BY rule, day) SELECT rule, day, exp(sum(ln(1 + ret)) OVER (PARTITION BY rule ORDER BY day)) AS equity FROM z")(
     lambda s, d: ranked(s, d).where("rk <= 3").withColumn("v", F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.lit(a).alias("sl"), F.lit(b).alias("tp")) for n, a, b in (("tight", 0.03, 0.05), ("wide", 0.06, 0.1))]))).withColumn("g", F.expr("case when low / open - 1 <= -v.sl then -v.sl when high / open - 1 >= v.tp then v.tp else close / open - 1 end") - 0.0015).groupBy("v.rule", "day").agg(F.avg("g").alias("ret")).withColumn("equity", F.exp(F.sum(F.log1p("ret")).over(Window.partitionBy("rule").orderBy("day").rowsBetween(Window.unboundedPreceding, 0))))
 )

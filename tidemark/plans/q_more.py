@@ -67,6 +67,3 @@ query("x_20_execution_time", "entry_id:l source:s start:s", f"{P} SELECT entry_i
 query("x_24_policy_comparison", "policy:s n:l mean_gross:d worst:d", f"{PATHS}, b(policy, sl, tp) AS (VALUES ('tight', 0.01, 0.01), ('even', 0.02, 0.02), ('wide', 0.04, 0.04)), g AS (SELECT entry_id, policy, any_value(sl) AS sl, any_value(tp) AS tp, min(CASE WHEN low <= entry * (1 - sl) THEN idx END) AS i, min(CASE WHEN high >= entry * (1 + tp) THEN idx END) AS j, arg_max(close, idx) / any_value(entry) - 1 AS e FROM pa, b GROUP BY entry_id, policy), z AS (SELECT policy, CASE WHEN i <= coalesce(j, 999) THEN -sl WHEN j IS NOT NULL THEN tp ELSE e END AS gross FROM g) SELECT policy, count(*) AS n, avg(gross) AS mean_gross, min(gross) AS worst FROM z GROUP BY policy")(
     lambda s, d: p.variants(paths(s, d), [("tight", 0.01, 0.01), ("even", 0.02, 0.02), ("wide", 0.04, 0.04)]).groupBy(F.col("variant").alias("policy")).agg(F.count("*").alias("n"), F.avg("gross").alias("mean_gross"), F.min("gross").alias("worst"))
 )
-query("x_26_candidate_results", "channel:s n:l hit:d mean_close:d", f"{HEADS} SELECT CASE WHEN dump THEN 'watch' WHEN rk <= 3 THEN 'live' ELSE 'pool' END AS channel, count(*) AS n, avg((high / open - 1 >= 0.05)::INT) AS hit, avg(close / open - 1) AS mean_close FROM d1 GROUP BY 1")(
-    lambda s, d: ranked(s, d).groupBy(F.when(F.col("dump"), "watch").when(F.col("rk") <= 3, "live").otherwise("pool").alias("channel")).agg(F.count("*").alias("n"), F.avg((F.col("high") / F.col("open") - 1 >= 0.05).cast("int")).alias("hit"), F.avg(F.col("close") / F.col("open") - 1).alias("mean_close"))
-)

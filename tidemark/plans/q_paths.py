@@ -62,10 +62,6 @@ query("x_01_first_touch", "entry_id:l reason:s gross:d", f"{PATHS}, {FT.format(0
     lambda s, d: p.first_touch(paths(s, d), 0.02, 0.02)
 )
 SPECS = [("v1", 0.01, 0.01), ("v2", 0.02, 0.03), ("v3", 0.03, 0.02), ("v4", 0.05, 0.05)]
-query(
-    "x_02_exit_variants", "entry_id:l variant:s gross:d path_max:d path_min:d",
-    f"{PATHS}, v(variant, sl, tp) AS (VALUES {', '.join(str(x) for x in SPECS)}), h AS (SELECT entry_id, variant, any_value(sl) AS sl, any_value(tp) AS tp, min(CASE WHEN low <= entry * (1 - sl) THEN idx END) AS i, min(CASE WHEN high >= entry * (1 + tp) THEN idx END) AS j, arg_max(close, idx) / any_value(entry) - 1 AS e, max(high) / any_value(entry) - 1 AS path_max, min(low) / any_value(entry) - 1 AS path_min FROM pa, v GROUP BY ALL) SELECT entry_id, variant, path_max, path_min, CASE WHEN i <= coalesce(j, 999) THEN -sl WHEN j IS NOT NULL THEN tp ELSE e END AS gross FROM h".replace("GROUP BY ALL", "GROUP BY entry_id, variant"),
-)(lambda s, d: p.variants(paths(s, d), SPECS))
 LAD = "min(CASE WHEN high >= entry * (1 + {0}) THEN idx END)"
 query(
     "x_03_ladder", "entry_id:l gross:d n_sell:l floored:b",
@@ -110,10 +106,6 @@ EX = [(t, s_) for t in (0.03, 0.06, 0.1) for s_ in (0.03, 0.06)]
 query("x_16_execution_grid", "tp:d sl:d n:l mean_gross:d", f"{W} SELECT tp, sl, count(*) AS n, avg(CASE WHEN low <= open * (1 - sl) THEN -sl WHEN high >= open * (1 + tp) THEN tp ELSE close / open - 1 END) AS mean_gross FROM bars, (VALUES {', '.join(map(str, EX))}) v(tp, sl) GROUP BY tp, sl")(
     lambda s, d: bars_1d(s, d).withColumn("g", F.explode(F.array(*[F.struct(F.lit(t).alias("tp"), F.lit(x).alias("sl")) for t, x in EX]))).select("*", "g.tp", "g.sl").withColumn("gr", F.when(F.col("low") <= F.col("open") * (1 - F.col("sl")), -F.col("sl")).when(F.col("high") >= F.col("open") * (1 + F.col("tp")), F.col("tp")).otherwise(F.col("close") / F.col("open") - 1)).groupBy("tp", "sl").agg(F.count("*").alias("n"), F.avg("gr").alias("mean_gross"))
 )
-query(
-    "x_18_completeness", "reason:s n:l observed:l",
-    f"{P}, w AS (SELECT entry_id, count(*) AS n, min((epoch(b.ts) - epoch(start))::BIGINT // 900) AS fi FROM en JOIN ibars b ON b.market = en.market AND b.ts >= start AND b.ts < start + INTERVAL 24 HOUR GROUP BY entry_id), be AS (SELECT entry_id, sum((b.ts < start + INTERVAL 24 HOUR)::INT) AS bn, sum((b.ts >= start + INTERVAL 24 HOUR)::INT) AS bb FROM en JOIN ibars b ON b.market = 'E0' AND b.ts >= start AND b.ts < start + INTERVAL 25 HOUR GROUP BY entry_id), z AS (SELECT en.entry_id, coalesce(n, 0) AS n, CASE WHEN coalesce(bn, 0) = 0 THEN 'benchmark_missing' WHEN coalesce(bb, 0) = 0 THEN 'benchmark_open_end' WHEN coalesce(n, 0) = 0 THEN 'target_missing' WHEN fi > 0 AND NOT EXISTS (SELECT 1 FROM ibars b WHERE b.market = en.market AND b.ts < start) THEN 'no_prior_close' WHEN n < 20 THEN 'sparse' ELSE 'complete' END AS reason FROM en LEFT JOIN w USING (entry_id) LEFT JOIN be USING (entry_id)) SELECT reason, count(*) AS n, sum(n) AS observed FROM z GROUP BY reason",
-)(lambda s, d: p.completeness(en(s, d), bars_intraday(s, d), "E0", 20).groupBy("reason").agg(F.count("*").alias("n"), F.sum("observed").alias("observed")))
 query("x_23_path_shape", "entry_id:l path_max:d path_min:d end_ret:d max_idx:l first_hit:l", f"{PATHS} SELECT entry_id, max(high) / any_value(entry) - 1 AS path_max, min(low) / any_value(entry) - 1 AS path_min, arg_max(close, idx) / any_value(entry) - 1 AS end_ret, min(CASE WHEN high = mh THEN idx END) AS max_idx, min(CASE WHEN high >= entry * (1 + 0.02) THEN idx END) AS first_hit FROM (SELECT *, max(high) OVER (PARTITION BY entry_id) AS mh FROM pa) GROUP BY entry_id")(
     lambda s, d: p.path_shape(paths(s, d), 0.02)
 )

@@ -53,6 +53,12 @@ def bars_intraday(spark: SparkSession, sf_dir: str, minutes: int = 15) -> DataFr
     return ohlc(rows, ["market", "bar"], F.struct("ts", "event_id"), "cents", "qty").withColumnRenamed("bar", "ts")
 
 
+def index_intraday(spark: SparkSession, sf_dir: str, minutes: int = 15) -> DataFrame:
+    """(ts, open, ..., trades): tumbling bars of all trade prints together, which have no gaps where single markets do."""
+    rows = trades(spark, sf_dir).withColumn("bar", F.timestamp_seconds(F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / (60 * minutes)) * (60 * minutes)))
+    return ohlc(rows, ["bar"], F.struct("ts", "event_id"), "cents", "qty").withColumnRenamed("bar", "ts")
+
+
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(trade_id, day, coin, model_id, status, net_pct): a ledger of closed and open trades from orders."""
     o = table(spark, sf_dir, "orders")
