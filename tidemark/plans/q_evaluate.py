@@ -218,10 +218,6 @@ query("v_16_gates", "model_id:s passed:b", f"{L} SELECT model_id, count(*) >= 30
     lambda s, d: ledger(s, d).where("status = 'closed'").groupBy("model_id").agg(((F.count("*") >= 30) & (F.avg("net_pct") - 1.96 * F.stddev_samp("net_pct") / F.sqrt(F.count("*")) > 0)).alias("passed"))
 )
 BOOT = "ix AS (SELECT x, row_number() OVER (ORDER BY day) - 1 AS i, count(*) OVER () AS n FROM dn), dr AS (SELECT rep, (('0x' || substr(md5('7|' || rep::VARCHAR || '|' || (k // {0})::VARCHAR), 1, 12))::BIGINT % n + k % {0}) % n AS i FROM range(200) a(rep), (SELECT i AS k, n FROM ix)), re AS (SELECT rep, avg(x) AS mean FROM dr JOIN ix USING (i) GROUP BY rep)"
-for name, block in (("b_01_date_bootstrap", 1), ("b_02_block_bootstrap", 3), ("b_04_circular_block", 5)):
-    query(name, "low:d mid:d high:d reps:l", f"{DAYNET}, {BOOT.format(block)} SELECT quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.5) AS mid, quantile_cont(mean, 0.975) AS high, count(*) AS reps FROM re")(
-        lambda s, d, block=block: v.interval(v.bootstrap(day_net(s, d), "x", 200, 7, block))
-    )
 query("b_03_paired_bootstrap", "low:d mid:d high:d reps:l", f"{DELTA}, dn AS (SELECT day, delta AS x FROM de), {BOOT.format(1)} SELECT quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.5) AS mid, quantile_cont(mean, 0.975) AS high, count(*) AS reps FROM re")(
     lambda s, d: v.interval(v.bootstrap(deltas(s, d).withColumnRenamed("delta", "x"), "x", 200, 7))
 )

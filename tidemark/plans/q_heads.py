@@ -134,9 +134,6 @@ query("a_49_decision_outcomes", "decision:s n:l next_ret:d", f"{HEADS}, nx AS (S
 query("a_51_joint_review", "mean_delta:d early:d late:d worst_without:d joint:b", f"{DELTA}, n AS (SELECT *, ntile(2) OVER (ORDER BY day) AS h, (sum(delta) OVER () - delta) / (count(*) OVER () - 1) AS wo FROM de), g AS (SELECT avg(delta) AS mean_delta, avg(CASE WHEN h = 1 THEN delta END) AS early, avg(CASE WHEN h = 2 THEN delta END) AS late, min(wo) AS worst_without FROM n) SELECT *, mean_delta > 0 AND early > 0 AND late > 0 AND worst_without > 0 AS joint FROM g")(
     lambda s, d: e.leave_one_out(deltas(s, d), "day", "delta").withColumn("h", F.ntile(2).over(Window.orderBy("day"))).agg(F.avg("delta").alias("mean_delta"), F.avg(F.when(F.col("h") == 1, F.col("delta"))).alias("early"), F.avg(F.when(F.col("h") == 2, F.col("delta"))).alias("late"), F.min("without").alias("worst_without")).withColumn("joint", F.expr("mean_delta > 0 and early > 0 and late > 0 and worst_without > 0"))
 )
-query("a_54_head_report", "n:l positives:l auc:d brier:d ece:d enough:b", f"{H}, z AS (SELECT *, rank() OVER (ORDER BY p_up10) + (count(*) OVER (PARTITION BY p_up10) - 1) / 2.0 AS k FROM y), b AS (SELECT least(floor(p_up10 * 10), 9) AS bin, count(*) AS n, avg(p_up10) AS p, avg(y) AS r FROM y GROUP BY 1) SELECT count(*) AS n, sum(y) AS positives, (sum(CASE WHEN y = 1 THEN k ELSE 0 END) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * (count(*) - sum(y)))::DOUBLE AS auc, avg(pow(p_up10 - y, 2)) AS brier, (SELECT sum(abs(p - r) * n) / sum(n) FROM b) AS ece, sum(y) >= 30 AND count(*) >= 200 AS enough FROM z")(
-    lambda s, d: e.auc(q := hy(s, d), "p_up10", "y").crossJoin(F.broadcast(e.brier(q, "p_up10", "y").select("brier"))).crossJoin(F.broadcast(e.calibration_error(e.reliability(q, "p_up10", "y")))).withColumn("enough", (F.col("positives") >= 30) & (F.col("n") >= 200))
-)
 query("a_57_leaderboard", "model_id:s place:l net_mean:d", f"{L}, g AS (SELECT model_id, avg(net_pct) AS net_mean, count(*) AS n FROM ledger WHERE status = 'closed' GROUP BY model_id) SELECT model_id, rank() OVER (ORDER BY round(net_mean, 9) DESC) AS place, net_mean FROM g")(
     lambda s, d: e.policy_metrics(ledger(s, d), "model_id").withColumn("place", F.rank().over(Window.orderBy(F.round("net_mean", 9).desc())))
 )

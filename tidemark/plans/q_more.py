@@ -38,9 +38,6 @@ query("a_56_one_schema", "source:s n:l mean:d", f"{L} SELECT 'paper' AS source,
 query("a_58_risk_reward_panel", "tier:l n:l mean_p:d mean_rr:d", f"{HEADS} SELECT least(rk, 5) AS tier, count(*) AS n, avg(p_up10) AS mean_p, avg(rr) AS mean_rr FROM r1 GROUP BY 1")(
     lambda s, d: x.order_risk_reward(x.heads(universe(s, d))).groupBy(F.least("rk", F.lit(5)).alias("tier")).agg(F.count("*").alias("n"), F.avg("p_up10").alias("mean_p"), F.avg("rr").alias("mean_rr"))
 )
-query("b_05_cluster_bootstrap", "low:d mid:d high:d reps:l", f"{H}, dn AS (SELECT day, avg(pow(p_up10 - y, 2)) AS x FROM y GROUP BY day), ix AS (SELECT x, row_number() OVER (ORDER BY day) - 1 AS i, count(*) OVER () AS n FROM dn), dr AS (SELECT rep, ('0x' || substr(md5('5|' || rep::VARCHAR || '|' || k::VARCHAR), 1, 12))::BIGINT % n AS i FROM range(100) a(rep), (SELECT i AS k, n FROM ix)), re AS (SELECT rep, avg(x) AS mean FROM dr JOIN ix USING (i) GROUP BY rep) SELECT quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.5) AS mid, quantile_cont(mean, 0.975) AS high, count(*) AS reps FROM re")(
-    lambda s, d: v.interval(v.bootstrap(hy(s, d).groupBy("day").agg(F.avg(F.pow(F.col("p_up10") - F.col("y"), 2)).alias("x")), "x", 100, 5))
-)
 query("v_06_frozen_plan", "arm:s n:l mean_ret:d", f"{HEADS}, pl AS (SELECT day, market, CASE WHEN rk <= 3 THEN 'plan' ELSE 'rest' END AS arm FROM d1) SELECT arm, count(*) AS n, avg(close / open - 1) AS mean_ret FROM pl JOIN bars b ON b.day = pl.day AND b.market = pl.market GROUP BY arm")(
     lambda s, d: ranked(s, d).select("day", "market", F.when(F.col("rk") <= 3, "plan").otherwise("rest").alias("arm")).join(bars_1d(s, d).select("day", "market", (F.col("close") / F.col("open") - 1).alias("ret")), ["day", "market"]).groupBy("arm").agg(F.count("*").alias("n"), F.avg("ret").alias("mean_ret"))
 )
