@@ -43,22 +43,29 @@ def test_slices_lose_nothing():
 @pytest.mark.parametrize("chunk", [bpe.CHUNK, 5])
 def test_texts_equal_the_library(spark, chunk):
     docs = spark.createDataFrame([(i, t, "k") for i, t in enumerate(TEXTS)] + [(0, "twice", "k")], "doc_id long, text string, ids string")
-    got = bpe.encode_decode(docs, SOURCE, chunk=chunk)
-    assert got.columns == ["doc_id", "text", "ids"]
-    rows = got.collect()
-    assert len(rows) == len(TEXTS) + 1
-    for r in rows:
-        if r.text == "twice":
-            continue
-        ids = LIBRARY.encode(TEXTS[r.doc_id] or "", add_special_tokens=False).ids
-        assert r.ids == ids and r.text == LIBRARY.decode(ids, skip_special_tokens=False)
-    assert bpe.encode_decode(docs.limit(0), SOURCE).count() == 0
+    encoded = bpe.encode(docs, SOURCE, chunk=chunk)
+    assert encoded.columns == ["doc_id", "ids"]
+    rows = [r for r in encoded.collect() if r.ids != LIBRARY.encode("twice").ids]
+    assert sorted(r.doc_id for r in rows) == list(range(len(TEXTS)))
+    assert all(r.ids == LIBRARY.encode(TEXTS[r.doc_id] or "", add_special_tokens=False).ids for r in rows)
+    decoded = [r for r in bpe.decode(encoded, SOURCE).collect() if r.text != "twice"]
+    assert all(r.text == LIBRARY.decode(LIBRARY.encode(TEXTS[r.doc_id] or "", add_special_tokens=False).ids, skip_special_tokens=False) for r in decoded)
+    assert sorted(r.doc_id for r in decoded) == list(range(len(TEXTS)))
+    assert bpe.decode(bpe.encode(docs.limit(0), SOURCE), SOURCE).count() == 0
+
+
+def test_chunks_are_not_shuffled(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
+    plan = bpe.encode(docs, SOURCE)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == 2  # words to their like, ids to their chunk
 
 
 def test_decode_of_any_ids(spark):
-    ids = [(1, [50256, 0, 220]), (2, []), (3, None), (4, [162, 245]), (5, [50256] * 500)]
-    got = {r.doc_id: r.text for r in bpe.decode(spark.createDataFrame(ids, "doc_id long, ids array<int>"), SOURCE).collect()}
-    assert got == {k: LIBRARY.decode(v or [], skip_special_tokens=False) for k, v in ids}
+    ids = [(1, [50256, 0, 220], "a"), (2, [], "b"), (3, None, "c"), (4, [162, 245], "d"), (5, [50256] * 30_000, "e"), (None, [5], "f"), (4, [162, 245], "d"), (6, [999_999, 5], "g")]
+    rows = spark.createDataFrame(ids, "doc_id long, ids array<int>, text string").repartition(2)
+    got = bpe.decode(rows.withColumnRenamed("text", "note"), SOURCE)
+    want = sorted((str(k), n, LIBRARY.decode([i for i in v or [] if i < 60_000], skip_special_tokens=False)) for k, v, n in ids)
+    assert sorted((str(r.doc_id), r.note, r.text) for r in got.collect()) == want
 
 
 def test_query(spark):

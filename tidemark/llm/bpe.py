@@ -1,8 +1,9 @@
 """Byte-pair encoding and decoding of whole texts through a table of distinct words.
 
 Texts are split into the words that the tokenizer merges within. Each chunk of texts keeps its words as a dictionary and the texts
-as positions in it; the distinct words of all dictionaries are encoded once each, and decoded once each by a join of their
-ids with the pieces of the vocabulary. Ids and pieces go back to the dictionaries by word, and to the texts by position.
+as positions in it. The words of all dictionaries meet in one table, sorted by word, where each distinct word is encoded once; ids
+go back to their dictionaries by place, and to the texts by position. Chunks are stored in buckets, so that only the
+ids are shuffled to them. Decoding joins each id with its piece, whose table the vocabulary bounds, and needs no shuffle.
 
 The tokenizer is a file of the tokenizers library: byte-level BPE without a normalizer. Its JSON, whose size the vocabulary
 bounds, travels with the tasks.
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm.common import stored
+from tidemark.llm.common import new_folder
 
 CHUNK, SLICE, LATIN = 1 << 25, 1 << 18, 0x530
 # The contractions that are words of their own, in order.
@@ -112,71 +113,129 @@ class Dictionary(dict):
 
 def _packed(codes: np.ndarray) -> bytes:
     """Codes as bytes: first all lowest bytes, then the next; compressed."""
-    planes = codes.astype("<u4").view(np.uint8).reshape(-1, 4).T
-    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+    return pa.compress(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
 
 
 def _unpacked(packed: bytes, n: int) -> np.ndarray:
-    planes = np.frombuffer(pa.decompress(packed, decompressed_size=4 * n, codec="zstd", asbytes=True), np.uint8) if n else np.zeros(0, np.uint8)
+    planes = np.frombuffer(pa.decompress(packed, decompressed_size=4 * n, codec="zstd", asbytes=True), np.uint8)
     return np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").ravel().astype(np.int64)
 
 
 def chunked(docs: DataFrame, source: str, text_col: str, chunk: int = CHUNK) -> DataFrame:
-    """Two kinds of rows: a text's (its columns, packed codes, their number), and a dictionary's (position, word); both with their chunk.
+    """Two kinds of rows, told apart by __tm_text. A text's: its chunk, its place there, its columns, its number of words and,
+    with the last text of a block of them, the packed codes of all words of the block. A word's: its chunk, place in the dictionary, and itself.
 
     A chunk is a run of texts of one task of about `chunk` code points, or one longer text.
     """
     others = [c for c in docs.columns if c != text_col]
     types = {f.name: f.dataType.simpleString() for f in docs.schema}
-    schema = ", ".join(["__tm_chunk bigint", *(f"`{c}` {types[c]}" for c in others), "__tm_codes binary", "__tm_n int", "__tm_position int", "__tm_word string"])
+    schema = ", ".join(["__tm_text boolean", "__tm_chunk bigint", "__tm_place int", *(f"`{c}` {types[c]}" for c in others), "__tm_n int", "__tm_codes binary", "__tm_word string"])
+    names = ["__tm_text", "__tm_chunk", "__tm_place", *others, "__tm_n", "__tm_codes", "__tm_word"]
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, part, k = splitter(source), TaskContext.get().partitionId(), 0
-        seen, size = Dictionary(), 0
-        empty = None
+        words, k = splitter(source), TaskContext.get().partitionId() << 32
+        seen, size, placed, kinds = Dictionary(), 0, 0, []
+
+        def block(own: pa.RecordBatch, found: list[np.ndarray], counts: list[int]) -> pa.RecordBatch:
+            n = len(counts)
+            codes = np.concatenate(found) if found else np.zeros(0, np.int64)
+            blobs = pa.array([None] * (n - 1) + [_packed(codes)], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.repeat(True, n), pa.repeat(pa.scalar(k, pa.int64()), n), pa.array(range(placed, placed + n), pa.int32()), *own.columns, pa.array(counts, pa.int32()), blobs, pa.nulls(n, pa.string())], names=names)
 
         def dictionary() -> Iterator[pa.RecordBatch]:
-            listed = list(seen)
+            listed = sorted(seen.items())
             for a in range(0, len(listed), 100_000):
                 some = listed[a : a + 100_000]
-                nulls = [pa.nulls(len(some), f.type) for f in empty.schema]
-                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(part << 32 | k, pa.int64()), len(some)), *nulls, pa.nulls(len(some), pa.binary()), pa.nulls(len(some), pa.int32()), pa.array(range(a, a + len(some)), pa.int32()), pa.array(some, pa.string())], names=names)
+                n = len(some)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.repeat(False, n), pa.repeat(pa.scalar(k, pa.int64()), n), pa.array([i for _, i in some], pa.int32()), *(pa.nulls(n, t) for t in kinds), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array([w for w, _ in some], pa.string())],
+                    names=names,
+                )
 
-        names = ["__tm_chunk", *others, "__tm_codes", "__tm_n", "__tm_position", "__tm_word"]
         for batch in batches:
             own = batch.select(others)
-            empty = own.slice(0, 0)
-            codes, counts, first = [], [], 0
+            kinds = own.schema.types
+            found, counts, first = [], [], 0
             texts = batch.column(text_col).to_pylist()
             for i, text in enumerate(texts):
-                found = [np.fromiter(map(seen.__getitem__, w), np.int64, len(w)) for w in words(text)] if text else []
-                coded = np.concatenate(found) if found else np.zeros(0, np.int64)
-                codes.append(_packed(coded)), counts.append(len(coded))
+                parts = [np.fromiter(map(seen.__getitem__, w), np.int64, len(w)) for w in words(text)] if text else []
+                found += parts
+                counts.append(sum(map(len, parts)))
                 size += len(text or "")
                 if size >= chunk or i == len(texts) - 1:
-                    n = i + 1 - first
-                    nulls = [pa.nulls(n, pa.int32()), pa.nulls(n, pa.string())]
-                    yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(part << 32 | k, pa.int64()), n), *own.slice(first, n).columns, pa.array(codes, pa.binary()), pa.array(counts, pa.int32()), *nulls], names=names)
-                    codes, counts, first = [], [], i + 1
+                    yield block(own.slice(first, i + 1 - first), found, counts)
+                    placed += i + 1 - first
+                    found, counts, first = [], [], i + 1
                 if size >= chunk:
                     yield from dictionary()
-                    seen, size, k = Dictionary(), 0, k + 1
+                    seen, size, placed, k = Dictionary(), 0, 0, k + 1
         if seen:
             yield from dictionary()
 
     return docs.mapInArrow(split, schema)
 
 
+def bucketed(rows: DataFrame, name: str, key: str, sort: str, *parts: str) -> DataFrame:
+    """rows as a table in the shared folder, in buckets by key: readers that group by key need no shuffle of it."""
+    spark = rows.sparkSession
+    path = new_folder(spark, name)
+    table = "tm_" + path.rsplit("/", 1)[1].replace("-", "_")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows.write.format("parquet").option("path", path).option("compression", "zstd").partitionBy(*parts).bucketBy(n, key).sortBy(sort).saveAsTable(table)
+    return spark.table(table)
+
+
 def encoded_words(words: DataFrame, source: str) -> DataFrame:
-    """(word, ids) of distinct words (word)."""
+    """(word, chunk, place) with ids, in place of the word. Equal words meet in one partition, sorted, and are encoded once."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer_of(source)
+        t, last, last_ids = tokenizer_of(source), None, None
         for batch in batches:
-            found = [e.ids for e in t.encode_batch(batch.column(0).to_pylist(), add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["word", "ids"])
+            coded = batch.column("word").dictionary_encode()
+            distinct = coded.dictionary.to_pylist()
+            known = bool(distinct) and distinct[0] == last
+            ids = [last_ids] * known + [e.ids for e in t.encode_batch(distinct[known:], add_special_tokens=False)]
+            if distinct:
+                last, last_ids = distinct[-1], ids[-1]
+            yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("place"), pa.array(ids, pa.list_(pa.int32())).take(coded.indices)], names=["chunk", "place", "ids"])
 
-    return words.mapInArrow(encode, "word string, ids array<int>")
+    return words.repartition("word").sortWithinPartitions("word").mapInArrow(encode, "chunk bigint, place int, ids array<int>")
+
+
+def encode(docs: DataFrame, source: str, text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
+    """docs with ids (array<int>) in place of the text.
+
+    A null or empty text has no ids. Texts that spell an added token hold its id, as in the library. Rows are never
+    compared, so repeated ids and texts stay as they are; a column named ids is replaced.
+    """
+    others = [c for c in docs.columns if c not in (text_col, "ids")]
+    both = bucketed(chunked(docs.select(*others, text_col), source, text_col, chunk), "chunks", "__tm_chunk", "__tm_word", "__tm_text")
+    words = both.where("not __tm_text").select(F.col("__tm_word").alias("word"), F.col("__tm_chunk").alias("chunk"), F.col("__tm_place").alias("place"))
+    spelled = encoded_words(words, source)
+    texts = both.where("__tm_text").select("__tm_chunk", "__tm_place", *others, "__tm_n", "__tm_codes")
+    types = {f.name: f.dataType.simpleString() for f in docs.schema}
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in others), "ids array<int>"])
+
+    def put_back(texts: pa.Table, words: pa.Table) -> pa.Table:
+        texts = texts.sort_by("__tm_place")
+        lists = pa.concat_arrays(words["ids"].chunks).take(pa.array(np.argsort(words["place"].to_numpy()))) if len(words) else pa.array([], pa.list_(pa.int32()))
+        flat = lists.flatten().to_numpy(zero_copy_only=False)
+        upto = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        counts, codes, waiting = texts["__tm_n"].to_numpy(), [], 0
+        for n, packed in zip(counts.tolist(), texts["__tm_codes"].to_pylist()):
+            waiting += n
+            if packed is not None:
+                codes.append(_unpacked(packed, waiting))
+                waiting = 0
+        codes = np.concatenate(codes)
+        size = upto[codes + 1] - upto[codes]
+        at = np.concatenate([[0], np.cumsum(size)])
+        ids = flat[np.arange(at[-1]) + np.repeat(upto[codes] - at[:-1], size)]
+        ends = at[np.concatenate([[0], np.cumsum(counts)])]
+        listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+        return pa.Table.from_arrays([*(texts[c] for c in others), listed], names=[*others, "ids"])
+
+    return texts.groupBy("__tm_chunk").cogroup(spelled.groupBy("chunk")).applyInArrow(put_back, schema)
 
 
 @cache
@@ -188,69 +247,55 @@ def _byte_of() -> dict[str, int]:
 
 
 def pieces(spark: SparkSession, source: str) -> DataFrame:
-    """(id, piece): each id's bytes, one code point under 256 for a byte. One row an id of the vocabulary."""
+    """(id, piece): each id's bytes. One row an id of the vocabulary, which bounds what is sent."""
     t, byte_of = tokenizer_of(source), _byte_of()
-    rows = []
-    for piece, i in t.get_vocab(with_added_tokens=True).items():
-        own = bytes(byte_of[c] for c in piece) if all(c in byte_of for c in piece) else piece.encode()
-        rows.append((i, own.decode("latin-1")))
-    return spark.createDataFrame(pd.DataFrame(rows, columns=["id", "piece"]), "id int, piece string")
-
-
-def decoded(rows: DataFrame, spelled: DataFrame, key: str, ids: str = "ids") -> DataFrame:
-    """(key, ids, pieces): the pieces of each row's ids, joined in order; by a join with `spelled` (id, piece), whose size the vocabulary
-    bounds. Keys are distinct. Ids without a piece add nothing."""
-    each = rows.select(key, F.posexplode(ids).alias("at", "id")).join(F.broadcast(spelled), "id", "left")
-    in_order = each.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "id", "piece"))).alias("all"))
-    return in_order.select(key, F.col("all.id").alias(ids), F.array_join("all.piece", "").alias("pieces"))
+    rows = [(i, bytes(byte_of[c] for c in p) if all(c in byte_of for c in p) else p.encode()) for p, i in t.get_vocab(with_added_tokens=True).items()]
+    return spark.createDataFrame(pd.DataFrame(rows, columns=["id", "piece"]), "id int, piece binary")
 
 
-def encode_decode(docs: DataFrame, source: str, text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
-    """docs with ids (array<int>), and with the text that the ids decode to in place of the text.
+def decode(rows: DataFrame, source: str, text_col: str = "text", ids: str = "ids") -> DataFrame:
+    """rows with the text that their ids decode to, in place of the ids.
 
-    A null text counts as empty: no ids, empty text. Texts that spell an added token hold its id, as in the library. Rows
-    are never compared, so repeated ids and texts stay as they are; columns named ids are replaced. Bytes that are no
-    UTF-8 decode to U+FFFD.
+    Each id is a row of its own that meets its piece in a broadcast join; the ids of a row stay together and in order, as nothing is
+    shuffled, and its pieces are laid end to end again. Null and empty ids decode to the empty text, ids without a
+    piece add nothing, bytes that are no UTF-8 become U+FFFD. A column named like the text is replaced.
     """
-    others = [c for c in docs.columns if c not in (text_col, "ids")]
-    both = stored(chunked(docs.select(*others, text_col), source, text_col, chunk), "chunks")
-    dictionary = both.where("__tm_position is not null").select(F.col("__tm_chunk").alias("__tm_in"), "__tm_position", F.col("__tm_word").alias("word"))
-    words = encoded_words(dictionary.select("word").distinct(), source)
-    table = decoded(words, pieces(docs.sparkSession, source), "word")
-    spelled = dictionary.join(table, "word").select("__tm_in", "__tm_position", "ids", "pieces")
-    texts = both.where("__tm_position is null").select("__tm_chunk", *others, "__tm_codes", "__tm_n")
-    types = {f.name: f.dataType.simpleString() for f in docs.schema}
-    schema = ", ".join([*(f"`{c}` {types[c]}" for c in others), "ids array<int>", f"`{text_col}` string"])
+    others = [c for c in rows.columns if c not in (text_col, ids)]
+    each = rows.select(F.struct(*others).alias("__tm_row"), F.posexplode_outer(F.when(F.size(ids) > 0, F.col(ids))).alias("at", "id"))
+    # The columns of a row go with its first id only.
+    first = F.col("at").isNull() | (F.col("at") == 0)
+    each = each.select(F.when(first, F.col("__tm_row")).alias("__tm_row"), first.alias("first"), "at", "id")
+    joined = each.join(F.broadcast(pieces(rows.sparkSession, source)), "id", "left").select("__tm_row", "first", "at", "piece")
+    types = {f.name: f.dataType.simpleString() for f in rows.schema}
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in others), f"`{text_col}` string"])
+
+    def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row, parts, next_at = None, [], 0  # the row whose pieces are still coming
+
+        def finished(rows: pa.Array, texts: list[bytes]) -> pa.RecordBatch:
+            plain = pa.array([t.decode("utf-8", "replace") for t in texts], pa.string())
+            return pa.RecordBatch.from_arrays([*(pc.struct_field(rows, i) for i in range(len(others))), plain], names=[*others, text_col])
 
-    def put_back(texts: pa.Table, words: pa.Table) -> pa.Table:
-        order = np.argsort(words["__tm_position"].to_numpy())
-        lists = words["ids"].combine_chunks().take(pa.array(order)) if len(order) else pa.array([], pa.list_(pa.int32()))
-        lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
-        flat, upto = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
-        spelled = [p.encode("latin-1") for p in words["pieces"].take(pa.array(order)).to_pylist()]
-        found, ends, plain = [], [0], []
-        for packed, n in zip(texts["__tm_codes"].to_pylist(), texts["__tm_n"].to_pylist()):
-            codes = _unpacked(packed, n)
-            size = upto[codes + 1] - upto[codes]
-            at = np.cumsum(size)
-            total = int(at[-1]) if n else 0
-            found.append(flat[np.arange(total) + np.repeat(upto[codes] - at + size, size)])
-            ends.append(ends[-1] + total)
-            plain.append(b"".join(map(spelled.__getitem__, codes.tolist())).decode("utf-8", "replace"))
-        ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found) if found else [], pa.int32()))
-        return pa.Table.from_arrays([*(texts[c] for c in others), ids, pa.array(plain, pa.string())], names=[*others, "ids", text_col])
-
-    return texts.groupBy("__tm_chunk").cogroup(spelled.groupBy("__tm_in")).applyInArrow(put_back, schema).select(*[c for c in docs.columns if c != "ids"], "ids")
-
-
-def decode(rows: DataFrame, source: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
-    """(key, text) of any rows (distinct key, ids): the general form, which shuffles one row an id. Null and empty ids decode to the empty text."""
-    found = decoded(rows, pieces(rows.sparkSession, source), key, ids)
-
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            plain = [(p or "").encode("latin-1").decode("utf-8", "replace") for p in batch.column("pieces").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(plain, pa.string())], names=[key, "text"])
-
-    kind = rows.schema[key].dataType.simpleString()
-    return rows.select(key).join(found.select(key, "pieces"), key, "left").mapInArrow(spell, f"`{key}` {kind}, text string")
+            starts = np.flatnonzero(batch.column("first").to_numpy(zero_copy_only=False))
+            at = batch.column("at").fill_null(0).to_numpy()
+            want = np.arange(len(at)) - np.repeat(np.concatenate([[-next_at], starts]), np.diff(np.concatenate([[0], starts, [len(at)]])))
+            if not np.array_equal(at, want):
+                raise ValueError("the ids of a row came out of order")
+            piece = batch.column("piece").fill_null(b"")
+            offsets = np.frombuffer(piece.buffers()[1], np.int32)[piece.offset : piece.offset + len(piece) + 1]
+            data = memoryview(piece.buffers()[2]) if piece.buffers()[2] is not None else memoryview(b"")
+            cut = [0, *starts.tolist(), len(at)]
+            texts = [bytes(data[offsets[a] : offsets[b]]) for a, b in zip(cut, cut[1:])]
+            parts.append(texts[0])
+            if len(starts):
+                if row is not None:
+                    yield finished(row, [b"".join(parts)])
+                if len(starts) > 1:
+                    yield finished(batch.column("__tm_row").take(pa.array(starts[:-1])), texts[1:-1])
+                row, parts = batch.column("__tm_row").take(pa.array(starts[-1:])), [texts[-1]]
+            next_at = int(at[-1]) + 1 if len(at) else next_at
+        if row is not None:
+            yield finished(row, [b"".join(parts)])
+
+    return joined.mapInArrow(lay, schema)
