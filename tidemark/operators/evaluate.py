@@ -77,18 +77,6 @@ def policy_metrics(ledger: DataFrame, by: str) -> DataFrame:
     return ledger.where("status = 'closed'").groupBy(by).agg(F.count("*").alias("n"), F.sum(x).alias("net_sum"), F.avg(x).alias("net_mean"), F.avg((x <= -5).cast("int")).alias("deep_loss"), F.avg((x > 0).cast("int")).alias("hit"), F.countDistinct("day").alias("days"))
 
 
-def champion_metrics(ledger: DataFrame, last_days: int = 30) -> DataFrame:
-    """Metrics of each model over its last distinct dates."""
-    rows = ledger.where("status = 'closed'").withColumn("d_", F.dense_rank().over(Window.partitionBy("model_id").orderBy(F.desc("day")))).where(F.col("d_") <= last_days)
-    return policy_metrics(rows, "model_id")
-
-
-def champion(metrics: DataFrame) -> DataFrame:
-    """Models in order: least deep loss, most net, most hits."""
-    order = [F.round("deep_loss", 9).asc(), F.round("net_mean", 9).desc(), F.round("hit", 9).desc(), F.col("model_id").asc()]
-    return metrics.withColumn("place", F.row_number().over(Window.orderBy(*order)))
-
-
 def hierarchical_evidence(rows: DataFrame, levels: list[list[str]], min_n: int) -> DataFrame:
     """For each combination of the finest level the first level with enough closed rows: one pass by grouping sets."""
     cols = levels[0]
@@ -107,17 +95,9 @@ def confidence_tier(n: Column, mean: Column) -> Column:
 
 
 def leave_one_out(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """Mean of the others, for each key of a one-row-per-key table."""
+    """Mean of the others, for each key of a one-row-per-key table; null where there are none."""
     w = Window.partitionBy(F.lit(0))
-    return rows.withColumn("without", (F.sum(value).over(w) - F.col(value)) / (F.count(value).over(w) - 1))
-
-
-def ks_statistic(rows: DataFrame, value: str, group: str) -> DataFrame:
-    """Two-sample Kolmogorov-Smirnov: largest distance of two running shares over the distinct values. group: 0/1."""
-    per = rows.groupBy(value).agg(F.sum(1 - F.col(group)).alias("a"), F.sum(group).alias("b"))
-    per = with_sums_before(per, [F.col(value).asc()], ["a", "b"])
-    d = F.abs((F.col("a_before") + F.col("a")) / F.col("a_all") - (F.col("b_before") + F.col("b")) / F.col("b_all"))
-    return per.withColumn("d", d).agg(F.max("d").alias("ks"), F.sum("a").alias("n_a"), F.sum("b").alias("n_b"))
+    return rows.withColumn("without", F.try_divide(F.sum(value).over(w) - F.col(value), F.count(value).over(w) - 1))
 
 
 def apply_ranges(rows: DataFrame, score: str, table: DataFrame) -> DataFrame:

@@ -12,7 +12,8 @@ STATES = {"bull_quiet": 0, "bull_volatile": 1, "bear_quiet": 2, "bear_volatile":
 
 
 def ret(n: int = 1, close: str = "close") -> Column:
-    return F.col(close) / lag(close, n) - 1
+    """Return over n bars; null where the price before is zero."""
+    return F.try_divide(F.col(close), lag(close, n)) - 1
 
 
 def log_return() -> Column:
@@ -36,7 +37,7 @@ def volume_ratio(n: int, col: str = "volume") -> Column:
 
 
 def with_volume_spike(bars: DataFrame) -> DataFrame:
-    out = bars.withColumn("vol_pct", F.col("volume") / lag("volume") - 1)
+    out = bars.withColumn("vol_pct", F.try_divide(F.col("volume"), lag("volume")) - 1)
     return out.withColumn("volume_spike_score", F.col("vol_pct") / (roll(F.stddev_samp, "vol_pct", 20) + EPS))
 
 
@@ -190,7 +191,7 @@ def first_bars_vs_history(bars: DataFrame, k: int, days: int = 20, min_days: int
     """Volume of a session's first k bars against the mean of the sessions before."""
     first = with_session(bars).groupBy("session", "market").agg(F.sum(F.when(F.col("i") <= k, F.col("volume")).otherwise(0.0)).alias("first_vol"))
     w = Window.partitionBy("market").orderBy("session").rowsBetween(-days, -1)
-    return first.withColumn("vs_history", F.when(F.count("*").over(w) >= min_days, F.col("first_vol") / F.avg("first_vol").over(w)))
+    return first.withColumn("vs_history", F.when(F.count("*").over(w) >= min_days, F.try_divide(F.col("first_vol"), F.avg("first_vol").over(w))))
 
 
 def daily_context(bars: DataFrame) -> DataFrame:

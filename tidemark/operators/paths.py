@@ -116,16 +116,6 @@ def path_shape(paths: DataFrame, level: float) -> DataFrame:
     return p.groupBy("entry_id").agg((F.max("high") / F.first("entry") - 1).alias("path_max"), (F.min("low") / F.first("entry") - 1).alias("path_min"), (F.max_by("close", "idx") / F.first("entry") - 1).alias("end_ret"), F.max_by("idx", F.struct("high", -F.col("idx"))).alias("max_idx"), F.min(F.when(F.col("high") >= F.col("entry") * (1 + F.lit(level)), F.col("idx"))).alias("first_hit"))
 
 
-def daily_brackets(bars: DataFrame, days: int, stop: float, target: float) -> DataFrame:
-    """Multi-day bracket from the next open: bars 1 .. days after the row, gap-aware stop, stop first."""
-    w = Window.partitionBy("market").orderBy("day")
-    fut = bars.withColumns({"entry": F.lead("open").over(w), "path": F.collect_list(F.struct("open", "high", "low", "close")).over(w.rowsBetween(1, days))}).where(F.size("path") == days)
-    step = f"""aggregate(path, named_struct('done', false, 'reason', 'hold', 'g', cast(0 as double)), (a, b) -> if(a.done, a,
-      if(b.low <= entry * (1 - {stop}), named_struct('done', true, 'reason', 'sl', 'g', if(b.open <= entry * (1 - {stop}), b.open / entry - 1, cast(-{stop} as double))),
-      if(b.high >= entry * (1 + {target}), named_struct('done', true, 'reason', 'tp', 'g', cast({target} as double)), named_struct('done', false, 'reason', 'hold', 'g', b.close / entry - 1)))))"""
-    return fut.withColumn("x", F.expr(step)).select("market", "day", "entry", F.col("x.reason").alias("reason"), F.col("x.g").alias("gross"))
-
-
 # The seven heads: target and close in percent, draw-down before the target in percent (none: 999), horizon in hours.
 HEADS = {
     "h1_stable_3_4h": (3, 2, 2, 4), "h2_hit_3_4h": (3, None, None, 4), "h3_eod_3_24h": (3, 3, 3, 24), "h4_eod_5_24h": (5, 3, 3, 24),

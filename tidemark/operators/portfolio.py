@@ -5,12 +5,19 @@ Windows run within a series, one row a day; the trades behind it are aggregated
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-YEAR = 365
+YEAR, EULER = 365, 0.5772156649015329
+# The rational approximation of the normal quantile, highest power first, and where its tails begin.
+QUANTILE_A = (-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.3577518672690, -30.66479806614716, 2.506628277459239)
+QUANTILE_B = (-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572)
+QUANTILE_C = (-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783)
+QUANTILE_D = (0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416)
+QUANTILE_LOW = 0.02425
 
 
 def series_window() -> WindowSpec:
@@ -55,13 +62,17 @@ def headline(ledger: DataFrame, by: str = "model_id") -> DataFrame:
 
 
 def moments(returns: DataFrame) -> DataFrame:
-    """Bias-corrected skewness and excess kurtosis, 5 % value at risk and its tail mean, tail ratio, ulcer index."""
+    """Bias-corrected skewness (null under three days or without spread) and excess kurtosis (under four), 5 % value at risk and its tail mean, tail ratio (null
+    where the value at risk is zero), ulcer index, recovery (end return over the deepest drawdown, null without one)."""
     n = F.col("n")
     base = returns.groupBy("series").agg(F.count("ret").alias("n"), F.skewness("ret").alias("g1"), F.kurtosis("ret").alias("g2"), F.percentile("ret", 0.05).alias("var95"), F.percentile("ret", 0.95).alias("q95"))
     tail = returns.join(base.select("series", "var95"), "series").where("ret <= var95").groupBy("series").agg(F.avg("ret").alias("cvar95"))
-    ulcer = equity(returns).groupBy("series").agg(F.sqrt(F.avg(F.pow("drawdown", 2))).alias("ulcer"), F.min("drawdown").alias("max_drawdown"))
+    ulcer = equity(returns).groupBy("series").agg(F.sqrt(F.avg(F.pow("drawdown", 2))).alias("ulcer"), F.min("drawdown").alias("max_drawdown"), (F.max_by("equity", "day") - 1).alias("end_return"))
     out = base.join(tail, "series").join(ulcer, "series")
-    return out.withColumns({"skew": F.col("g1") * F.sqrt(n * (n - 1)) / (n - 2), "kurt": ((n + 1) * F.col("g2") + 6) * (n - 1) / ((n - 2) * (n - 3)), "tail_ratio": F.abs(F.col("q95") / F.col("var95"))})
+    return out.withColumns({
+        "skew": F.when(n > 2, F.nanvl("g1", F.lit(None)) * F.try_divide(F.sqrt(n * (n - 1)), n - 2)), "kurt": F.when(n > 3, F.try_divide(((n + 1) * F.nanvl("g2", F.lit(None)) + 6) * (n - 1), (n - 2) * (n - 3))),
+        "tail_ratio": F.abs(F.try_divide("q95", "var95")), "recovery": F.when(F.col("max_drawdown") < 0, F.try_divide("end_return", F.abs("max_drawdown"))),
+    })
 
 
 def streaks(ledger: DataFrame, by: str = "model_id") -> DataFrame:
@@ -82,11 +93,43 @@ def normal_cdf(z: Column) -> Column:
     return F.when(z >= 0, 1 - upper).otherwise(upper)
 
 
+def normal_inverse(p: Column) -> Column:
+    """The standard normal quantile of 0 < p < 1 by a fixed rational approximation in three parts; relative error under 1.2e-9. Null outside."""
+    poly = lambda x, cs: functools.reduce(lambda acc, c: acc * x + c, cs[1:], F.lit(cs[0]))
+    q = F.sqrt(-2 * F.log(F.least(p, 1 - p)))
+    tail = poly(q, QUANTILE_C) / (poly(q, QUANTILE_D) * q + 1)
+    r = (p - 0.5) * (p - 0.5)
+    middle = poly(r, QUANTILE_A) * (p - 0.5) / (poly(r, QUANTILE_B) * r + 1)
+    return F.when((p > 0) & (p < 1), F.when(p < QUANTILE_LOW, tail).when(p > 1 - QUANTILE_LOW, -tail).otherwise(middle))
+
+
+def expected_maximum(trials: Column) -> Column:
+    """The expected maximum of that many independent standard normal trials; zero for one."""
+    k = trials.cast("double")
+    return F.when(k > 1, (1 - EULER) * normal_inverse(1 - 1 / k) + EULER * normal_inverse(1 - 1 / (k * math.e))).when(k == 1, 0.0)
+
+
+def sharpe_variance(sr: Column) -> Column:
+    """The variance term of a Sharpe ratio from skew and kurt (excess); at least 1e-9. Series too short for a kurtosis have null."""
+    return F.greatest(1 - F.col("skew") * sr + (F.col("kurt") + 2) / 4 * sr * sr, F.lit(1e-9))
+
+
+def deflated_sharpe(returns: DataFrame, trials: Column, confidence: float = 0.95) -> DataFrame:
+    """probabilistic_sharpe with the ratio that the best of `trials` strategies without skill is expected to show (sr_threshold), the probability of beating
+    that (dsr), and the days that it takes to beat it with `confidence` (min_track, null where the ratio is no higher)."""
+    p = probabilistic_sharpe(returns).withColumn("trials", trials)
+    p = p.withColumn("sr_threshold", F.try_divide(expected_maximum(F.col("trials")), F.sqrt("n")))
+    gap, need = F.col("sr") - F.col("sr_threshold"), normal_inverse(F.lit(confidence))
+    z = F.try_divide(gap * F.sqrt(F.col("n") - 1), F.sqrt(sharpe_variance(F.col("sr"))))
+    track = F.when(gap > 0, 1 + sharpe_variance(F.col("sr_threshold")) * F.pow(F.try_divide(need, gap), 2))
+    return p.withColumns({"dsr": normal_cdf(z), "min_track": track})
+
+
 def probabilistic_sharpe(returns: DataFrame, benchmark: float = 0.0) -> DataFrame:
     m = moments(returns).select("series", "n", "skew", "kurt")
-    s = returns.groupBy("series").agg((F.avg("ret") / F.stddev_samp("ret")).alias("sr"))
+    s = returns.groupBy("series").agg(F.try_divide(F.avg("ret"), F.stddev_samp("ret")).alias("sr"))
     out = m.join(s, "series")
-    z = (F.col("sr") - benchmark) * F.sqrt(F.col("n") - 1) / F.sqrt(1 - F.col("skew") * F.col("sr") + (F.col("kurt") + 2) / 4 * F.pow("sr", 2))
+    z = F.try_divide((F.col("sr") - benchmark) * F.sqrt(F.col("n") - 1), F.sqrt(sharpe_variance(F.col("sr"))))
     return out.withColumn("z", z).withColumn("psr", normal_cdf(F.col("z")))
 
 
@@ -96,7 +139,7 @@ def against_benchmark(returns: DataFrame, benchmark: DataFrame) -> DataFrame:
     d = F.col("ret") - F.col("bench")
     return r.groupBy("series").agg(
         F.count("*").alias("n"), F.regr_slope("ret", "bench").alias("beta"), F.regr_intercept("ret", "bench").alias("alpha"), F.corr("ret", "bench").alias("corr"), F.regr_r2("ret", "bench").alias("r2"),
-        F.stddev_samp(d).alias("tracking_error"), (F.avg(d) / F.stddev_samp(d) * math.sqrt(YEAR)).alias("information_ratio"),
+        F.stddev_samp(d).alias("tracking_error"), (F.try_divide(F.avg(d), F.stddev_samp(d)) * math.sqrt(YEAR)).alias("information_ratio"),
     )
 
 
@@ -135,7 +178,7 @@ def positional_folds(ledger: DataFrame, folds: int, by: str = "model_id") -> Dat
     w = Window.partitionBy(by)
     rows = ledger.where("status = 'closed'").withColumns({"i": F.row_number().over(w.orderBy("day", "trade_id")) - 1, "n": F.count("*").over(w)})
     q, m = F.floor(F.col("n") / folds), F.col("n") % folds
-    fold = F.when(F.col("i") < m * (q + 1), F.floor(F.col("i") / (q + 1))).otherwise(m + F.floor((F.col("i") - m * (q + 1)) / q))
+    fold = F.when(F.col("i") < m * (q + 1), F.floor(F.col("i") / (q + 1))).otherwise(m + F.floor(F.try_divide(F.col("i") - m * (q + 1), q)))
     return rows.withColumn("fold", fold).groupBy(by, "fold").agg(F.count("*").alias("trades"), F.avg("net_pct").alias("mean_net"))
 
 
@@ -143,7 +186,7 @@ def sized(ledger: DataFrame, cap: float = 0.3) -> DataFrame:
     """Position weights of a day: equal, by probability, quarter Kelly, and capped with the rest given to those with room."""
     day = Window.partitionBy("day")
     p = ((F.col("trade_id") % 40) + 10) / 60
-    rows = ledger.withColumn("p", p).withColumns({"w_equal": 1 / F.count("*").over(day), "w_prob": F.col("p") / F.sum("p").over(day), "kelly": F.greatest((F.col("p") * 2 - (1 - F.col("p"))) / 2, F.lit(0.0)) / 4})
+    rows = ledger.withColumn("p", p).withColumns({"w_equal": 1 / F.count("*").over(day), "w_prob": F.try_divide(F.col("p"), F.sum("p").over(day)), "kelly": F.greatest((F.col("p") * 2 - (1 - F.col("p"))) / 2, F.lit(0.0)) / 4})
     over = F.greatest(F.col("w_prob") - cap, F.lit(0.0))
     room = F.greatest(F.lit(cap) - F.col("w_prob"), F.lit(0.0))
     rows = rows.withColumns({"over": F.sum(over).over(day), "room": F.sum(room).over(day)})
@@ -160,7 +203,7 @@ def halted(returns: DataFrame, loss: float, depth: float, cool_days: int) -> Dat
 def basket_forward(bars: DataFrame, top: int, n: int) -> DataFrame:
     """Equal-weight day return of the most traded names, compounded over the next n days from each day on."""
     w = Window.partitionBy("market").orderBy("day")
-    rows = bars.withColumns({"r": F.col("close") / F.lag("close").over(w) - 1, "liq": F.rank().over(Window.partitionBy("day").orderBy(F.desc("quote_volume")))}).where((F.col("liq") <= top) & F.col("r").isNotNull())
+    rows = bars.withColumns({"r": F.try_divide(F.col("close"), F.lag("close").over(w)) - 1, "liq": F.rank().over(Window.partitionBy("day").orderBy(F.desc("quote_volume")))}).where((F.col("liq") <= top) & F.col("r").isNotNull())
     days = rows.groupBy("day").agg(F.avg("r").alias("basket"))
     f = Window.orderBy("day").rowsBetween(0, n - 1)
     return days.withColumn("forward", F.when(F.count("basket").over(f) >= n, F.exp(F.sum(F.log1p("basket")).over(f)) - 1))

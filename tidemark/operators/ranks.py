@@ -32,7 +32,7 @@ def _last(agg, x: str, n: int) -> Column:
 def breadth_trend(days: DataFrame) -> DataFrame:
     return days.withColumns({
         "breadth_lag1": F.lag("breadth").over(by_day()), "breadth_ma3": _last(F.avg, "breadth", 3), "breadth_ma7": _last(F.avg, "breadth", 7),
-        "turnover_trend": F.when(_last(F.avg, "turnover", 30).isNotNull(), _last(F.avg, "turnover", 7)) / _last(F.avg, "turnover", 30),
+        "turnover_trend": F.try_divide(F.when(_last(F.avg, "turnover", 30).isNotNull(), _last(F.avg, "turnover", 7)), _last(F.avg, "turnover", 30)),
         "breadth_z30": (F.col("breadth") - _last(F.avg, "breadth", 30)) / (_last(F.stddev_samp, "breadth", 30) + EPS), "momentum": F.col("breadth") - F.lag("breadth", 3).over(by_day()),
     })
 
@@ -142,5 +142,5 @@ def with_sums_before(rows: DataFrame, order: list[Column], cols: list[str]) -> D
 
 def bucket_screen(rows: DataFrame, score: str, hit: str, buckets: int, *ties: str) -> DataFrame:
     per = global_buckets(rows, score, buckets, *(ties or ("day", "market"))).groupBy("bucket").agg(F.count("*").alias("n"), F.sum(hit).alias("hits"), F.avg(hit).alias("rate"))
-    whole = per.agg((F.sum("hits") / F.sum("n")).alias("base"))
-    return per.crossJoin(F.broadcast(whole)).withColumn("lift", F.col("rate") / F.col("base"))
+    whole = per.agg(F.try_divide(F.sum("hits"), F.sum("n")).alias("base"))
+    return per.crossJoin(F.broadcast(whole)).withColumn("lift", F.try_divide("rate", "base"))

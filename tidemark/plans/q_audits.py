@@ -68,7 +68,7 @@ def inner_thresholds(s, d):
     train = train.join(F.broadcast(blocks), "day")
     taught = train.groupBy("block").agg(F.sum("y").alias("ys"), F.sum("p_up10").alias("ps"))
     earlier = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    scale = taught.select("block", (F.sum("ys").over(earlier) / F.sum("ps").over(earlier)).alias("k")).where("k is not null")
+    scale = taught.select("block", F.try_divide(F.sum("ys").over(earlier), F.sum("ps").over(earlier)).alias("k")).where("k is not null")
     cuts = train.join(F.broadcast(scale), "block").agg(*[F.percentile(F.col("p_up10") * F.col("k"), q).alias(f"c{i}") for i, q in enumerate((0.999, 0.9995))], F.max_by("k", "block").alias("k"))
     levels = cuts.selectExpr("k", "stack(2, 0.999D, c0, 0.9995D, c1) as (level, cut)")
     test = hy(s, d).where(f"day >= {SPLIT}").select("p_up10", "y")
@@ -180,7 +180,7 @@ query(
 # base rate of each regime, and the lift of the best three scores inside it
 def regime_lift(s, d):
     rows = with_regime(s, d, hy(s, d)).withColumn("best", F.row_number().over(x.day_window().orderBy(F.round("score", 9).desc(), "market")) <= 3)
-    return rows.groupBy("regime").agg(F.count("*").alias("n"), F.avg("y").alias("rate"), (F.avg(F.when(F.col("best"), F.col("y"))) / F.avg("y")).alias("lift"))
+    return rows.groupBy("regime").agg(F.count("*").alias("n"), F.avg("y").alias("rate"), F.try_divide(F.avg(F.when(F.col("best"), F.col("y"))), F.avg("y")).alias("lift"))
 
 
 query(
@@ -398,7 +398,7 @@ def calibration_arms(s, d):
         F.when((F.col("year") < F.col("of")) | (F.col("year") == F.col("of")) & (F.col("half") != F.col("part")), F.lit("out_of_fold")),
     )
     taught = sums.crossJoin(cohorts).select("of", "part", "ys", "ps", F.explode(F.filter(arms, lambda a: a.isNotNull())).alias("arm"))
-    factors = taught.groupBy("of", "part", "arm").agg((F.sum("ys") / F.sum("ps")).alias("k"))
+    factors = taught.groupBy("of", "part", "arm").agg(F.try_divide(F.sum("ys"), F.sum("ps")).alias("k"))
     asked = rows.join(F.broadcast(factors), (F.col("year") == F.col("of")) & (F.col("half") == F.col("part")))
     q = F.least(F.col("p_up10") * F.col("k"), F.lit(0.99))
     return asked.groupBy(F.col("of").alias("cohort"), "arm").agg(F.count("*").alias("n"), F.countDistinct("day").alias("days"), F.avg((q - F.col("y")) ** 2).alias("brier"), (F.avg(q) - F.avg("y")).alias("bias"))

@@ -84,9 +84,6 @@ query("a_20_policy_metrics", "model_id:s n:l net_sum:d net_mean:d deep_loss:d hi
 query("a_21_exit_summary", "model_id:s cost:s mean_net:d", f"{L} SELECT model_id, cost, avg(net_pct - c) AS mean_net FROM ledger, (VALUES ('standard', 0.15), ('conservative', 0.5)) v(cost, c) WHERE status = 'closed' GROUP BY ALL")(
     lambda s, d: ledger(s, d).where("status = 'closed'").selectExpr("model_id", "stack(2, 'standard', net_pct - 0.15, 'conservative', net_pct - 0.5) as (cost, x)").groupBy("model_id", "cost").agg(F.avg("x").alias("mean_net"))
 )
-CH = f"{L}, k AS (SELECT *, dense_rank() OVER (PARTITION BY model_id ORDER BY day DESC) AS d FROM ledger WHERE status = 'closed'), m AS (SELECT model_id, count(*) AS n, avg(net_pct) AS net_mean, avg((net_pct <= -5)::INT) AS deep_loss, avg((net_pct > 0)::INT) AS hit FROM k WHERE d <= 30 GROUP BY model_id)"
-query("a_22_champion_metrics", "model_id:s n:l net_mean:d deep_loss:d hit:d", f"{CH} SELECT * FROM m")(lambda s, d: e.champion_metrics(ledger(s, d)))
-query("a_23_champion", "model_id:s place:l", f"{CH} SELECT model_id, row_number() OVER (ORDER BY round(deep_loss, 9), round(net_mean, 9) DESC, round(hit, 9) DESC, model_id) AS place FROM m")(lambda s, d: e.champion(e.champion_metrics(ledger(s, d))))
 EV = f"""{L}, cl AS (SELECT *, CASE WHEN net_pct % 2 < 0 THEN 'a' ELSE 'b' END AS setup FROM ledger WHERE status = 'closed'), b AS (SELECT DISTINCT coin, model_id FROM cl), l0 AS (SELECT coin, model_id, count(*) AS n, avg(net_pct) AS mean FROM cl GROUP BY ALL), l1 AS (SELECT coin, count(*) AS n, avg(net_pct) AS mean FROM cl GROUP BY ALL), l2 AS (SELECT count(*) AS n, avg(net_pct) AS mean FROM cl),
  ev AS (SELECT b.coin, b.model_id, CASE WHEN l0.n >= 80 THEN 0 WHEN l1.n >= 80 THEN 1 WHEN l2.n >= 80 THEN 2 END AS level, CASE WHEN l0.n >= 80 THEN l0.n WHEN l1.n >= 80 THEN l1.n WHEN l2.n >= 80 THEN l2.n END AS n, CASE WHEN l0.n >= 80 THEN l0.mean WHEN l1.n >= 80 THEN l1.mean WHEN l2.n >= 80 THEN l2.mean END AS mean FROM b LEFT JOIN l0 ON l0.coin = b.coin AND l0.model_id = b.model_id LEFT JOIN l1 ON l1.coin = b.coin, l2)"""
 
@@ -167,9 +164,6 @@ query("a_39_cohort_counts", "status:s model_id:s n:l days:l", f"{L} SELECT statu
 query("a_40_null_ratio", "market:s r7_null:d s7_null:d last_day:s", f"{FLAG.replace('WHERE liq <= 10 AND history >= 70', '')} SELECT market, avg((r7 IS NULL)::INT) AS r7_null, avg((s7 IS NULL)::INT) AS s7_null, max(day) AS last_day FROM sc GROUP BY market")(
     lambda s, d: r.scored(bars_1d(s, d)).groupBy("market").agg(F.avg(F.col("r7").isNull().cast("int")).alias("r7_null"), F.avg(F.col("s7").isNull().cast("int")).alias("s7_null"), F.max("day").alias("last_day"))
 )
-query("a_41_ks_drift", "ks:d n_a:l n_b:l", f"{L}, z AS (SELECT net_pct, (model_id = '1-URGENT')::INT AS g FROM ledger WHERE status = 'closed' AND model_id IN ('1-URGENT', '2-HIGH')), p AS (SELECT net_pct, sum(1 - g) AS a, sum(g) AS b FROM z GROUP BY net_pct), q AS (SELECT abs(sum(a) OVER (ORDER BY net_pct) / sum(a) OVER ()::DOUBLE - sum(b) OVER (ORDER BY net_pct) / sum(b) OVER ()::DOUBLE) AS d, a, b FROM p) SELECT max(d) AS ks, sum(a) AS n_a, sum(b) AS n_b FROM q")(
-    lambda s, d: e.ks_statistic(ledger(s, d).where("status = 'closed' and model_id in ('1-URGENT', '2-HIGH')").withColumn("g", (F.col("model_id") == "1-URGENT").cast("int")), "net_pct", "g")
-)
 query("a_44_universe_recall", "static_recall:d dynamic_recall:d", f"{FLAG.replace('WHERE liq <= 10 AND history >= 70', '')} SELECT sum(CASE WHEN liq <= 8 THEN h ELSE 0 END) / sum(h)::DOUBLE AS static_recall, sum(CASE WHEN liq <= 8 OR s7 >= 1.5 THEN h ELSE 0 END) / sum(h)::DOUBLE AS dynamic_recall FROM (SELECT *, (high / open - 1 >= 0.05)::INT AS h FROM sc)")(
     lambda s, d: r.scored(bars_1d(s, d)).withColumn("h", (F.col("high") / F.col("open") - 1 >= 0.05).cast("int")).agg((F.sum(F.expr("if(liq <= 8, h, 0)")) / F.sum("h")).alias("static_recall"), (F.sum(F.expr("if(liq <= 8 or s7 >= 1.5, h, 0)")) / F.sum("h")).alias("dynamic_recall"))
 )

@@ -116,7 +116,7 @@ def _fold_lift(rows, folds):
     one = [F.struct(F.lit(k).alias("fold"), (F.col("day") < F.lit(a).cast("date")).alias("train"), ((F.col("day") >= F.lit(a).cast("date")) & (F.col("day") < F.lit(b).cast("date"))).alias("test")) for k, a, b in folds]
     tagged = rows.select("score", "y", F.explode(F.array(*one)).alias("f")).select("score", "y", "f.*")
     cuts = tagged.where("train").groupBy("fold").agg(F.percentile("score", 0.9).alias("c"))
-    return tagged.where("test").join(F.broadcast(cuts), "fold").groupBy("fold").agg(F.sum((F.col("score") >= F.col("c")).cast("int")).alias("n"), F.avg(F.when(F.col("score") >= F.col("c"), F.col("y"))).alias("precision"), F.avg("y").alias("base")).withColumn("lift", F.col("precision") / F.col("base"))
+    return tagged.where("test").join(F.broadcast(cuts), "fold").groupBy("fold").agg(F.sum((F.col("score") >= F.col("c")).cast("int")).alias("n"), F.avg(F.when(F.col("score") >= F.col("c"), F.col("y"))).alias("precision"), F.avg("y").alias("base")).withColumn("lift", F.try_divide("precision", "base"))
 
 
 query("a_33_hit_timing", "level:d hits:l share:d median:d p75:d", f"{PATHS}, z AS (SELECT entry_id, lv AS level, min(CASE WHEN high >= entry * (1 + lv) THEN idx END) * 15 AS m FROM pa, (VALUES (0.01), (0.02)) v(lv) GROUP BY entry_id, lv) SELECT level, count(m) AS hits, count(m) / count(*)::DOUBLE AS share, quantile_cont(m, 0.5) AS median, quantile_cont(m, 0.75) AS p75 FROM z GROUP BY level")(

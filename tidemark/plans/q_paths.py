@@ -80,12 +80,6 @@ query("x_06_exit_rules", K + "rule:s stop:d target:d", f"{W}, a AS (SELECT *, (h
         "target": F.when(F.col("rule") == "baseline", 0.1).when(F.col("rule") == "vol", F.least(F.greatest(2 * F.col("atr"), F.lit(0.04)), F.lit(0.2))).otherwise(F.least(F.greatest("atr", F.lit(0.02)), F.lit(0.1))),
     })
 )
-LEADS = ", ".join(f"lead({c}, {k}) OVER w AS {c[0]}{k}" for k in (1, 2, 3) for c in ("open", "high", "low", "close"))
-STEP = "WHEN l{0} <= o1 * (1 - 0.06) THEN '{0}sl' WHEN h{0} >= o1 * (1 + 0.06) THEN '{0}tp' "
-GAP = "WHEN '{0}sl' THEN CASE WHEN o{0} <= o1 * (1 - 0.06) THEN o{0} / o1 - 1 ELSE -0.06 END WHEN '{0}tp' THEN 0.06 "
-query("x_07_x_08_multiday_bracket", K + "reason:s gross:d", f"{W}, z AS (SELECT day, market, {LEADS} FROM bars WINDOW w AS (PARTITION BY market ORDER BY day)), y AS (SELECT *, CASE {''.join(STEP.format(k) for k in (1, 2, 3))} ELSE 'hold' END AS x FROM z WHERE c3 IS NOT NULL) SELECT day, market, CASE WHEN x = 'hold' THEN x ELSE substr(x, 2) END AS reason, CASE x {''.join(GAP.format(k) for k in (1, 2, 3))} ELSE c3 / o1 - 1 END AS gross FROM y")(
-    lambda s, d: p.daily_brackets(bars_1d(s, d), 3, 0.06, 0.06)
-)
 D1 = "CASE WHEN low <= open * (1 - 0.05) THEN -0.05 WHEN high >= open * (1 + 0.08) THEN 0.08 ELSE close / open - 1 END"
 query("x_09_daily_tp_sl", K + "gross:d net:d", f"{W} SELECT day, market, {D1} AS gross, {D1} - 0.0015 AS net FROM bars")(
     lambda s, d: bars_1d(s, d).withColumn("gross", F.when(F.col("low") <= F.col("open") * (1 - F.lit(0.05)), -0.05).when(F.col("high") >= F.col("open") * (1 + F.lit(0.08)), 0.08).otherwise(F.col("close") / F.col("open") - 1)).withColumn("net", F.col("gross") - 0.0015)

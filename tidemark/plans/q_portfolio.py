@@ -42,15 +42,42 @@ query("m_05_ledger_summary", "model_id:s trades:l hit_rate:d cumulative:d worst:
 query("m_06_headline", "model_id:s trades:l win_rate:d profit_factor:d expectancy:d mean_win:d mean_loss:d best:d worst:d", f"{L} SELECT model_id, count(*) AS trades, avg((net_pct > 0)::INT) AS win_rate, sum(greatest(net_pct, 0)) / nullif(sum(greatest(-net_pct, 0)), 0) AS profit_factor, avg(net_pct) AS expectancy, avg(CASE WHEN net_pct > 0 THEN net_pct END) AS mean_win, avg(CASE WHEN net_pct < 0 THEN net_pct END) AS mean_loss, max(net_pct) AS best, min(net_pct) AS worst FROM ledger WHERE status = 'closed' GROUP BY model_id")(
     lambda s, d: m.headline(ledger(s, d))
 )
-MOM = f"{RET}, v AS (SELECT series, quantile_cont(ret, 0.05) AS var95, quantile_cont(ret, 0.95) AS q95, skewness(ret) AS skew, kurtosis(ret) AS kurt, count(*) AS n, avg(ret) / stddev_samp(ret) AS sr FROM ret GROUP BY series), t AS (SELECT ret.series, avg(ret) AS cvar95 FROM ret JOIN v ON v.series = ret.series WHERE ret <= var95 GROUP BY ret.series), u AS (SELECT series, sqrt(avg(drawdown * drawdown)) AS ulcer, min(drawdown) AS max_drawdown FROM eq GROUP BY series)"
-query("m_07_moments", S + "skew:d kurt:d var95:d cvar95:d tail_ratio:d ulcer:d max_drawdown:d", f"{MOM} SELECT v.series, skew, kurt, var95, cvar95, abs(q95 / var95) AS tail_ratio, ulcer, max_drawdown FROM v JOIN t ON t.series = v.series JOIN u ON u.series = v.series")(lambda s, d: m.moments(ret(s, d)))
+MOM = f"{RET}, v AS (SELECT series, quantile_cont(ret, 0.05) AS var95, quantile_cont(ret, 0.95) AS q95, skewness(ret) AS skew, kurtosis(ret) AS kurt, count(*) AS n, avg(ret) / stddev_samp(ret) AS sr FROM ret GROUP BY series), t AS (SELECT ret.series, avg(ret) AS cvar95 FROM ret JOIN v ON v.series = ret.series WHERE ret <= var95 GROUP BY ret.series), u AS (SELECT series, sqrt(avg(drawdown * drawdown)) AS ulcer, min(drawdown) AS max_drawdown, arg_max(equity, day) - 1 AS end_return FROM eq GROUP BY series)"
+query("m_07_moments", S + "skew:d kurt:d var95:d cvar95:d tail_ratio:d ulcer:d max_drawdown:d recovery:d", f"{MOM} SELECT v.series, skew, kurt, var95, cvar95, abs(q95 / nullif(var95, 0)) AS tail_ratio, ulcer, max_drawdown, CASE WHEN max_drawdown < 0 THEN end_return / abs(max_drawdown) END AS recovery FROM v JOIN t ON t.series = v.series JOIN u ON u.series = v.series")(lambda s, d: m.moments(ret(s, d)))
 query("m_07_streaks", "model_id:s win_streak:l loss_streak:l", f"{L}, r AS (SELECT *, net_pct > 0 AS win, row_number() OVER w - row_number() OVER (PARTITION BY model_id, net_pct > 0 ORDER BY day, trade_id) AS island FROM ledger WHERE status = 'closed' WINDOW w AS (PARTITION BY model_id ORDER BY day, trade_id)), k AS (SELECT model_id, win, island, count(*) AS n FROM r GROUP BY ALL) SELECT model_id, max(CASE WHEN win THEN n END) AS win_streak, max(CASE WHEN NOT win THEN n END) AS loss_streak FROM k GROUP BY model_id")(
     lambda s, d: m.streaks(ledger(s, d))
 )
 Z = "sr * sqrt(n - 1) / sqrt(1 - skew * sr + (kurt + 2) / 4 * sr * sr)"
-query("m_08_probabilistic_sharpe", S + "z:d psr:d", f"{MOM}, zz AS (SELECT series, {Z} AS z FROM v), tt AS (SELECT *, 1 / (1 + 0.2316419 * abs(z)) AS t FROM zz), uu AS (SELECT *, exp(-z * z / 2) / sqrt(2 * pi()) * (0.319381530 * t - 0.356563782 * t * t + 1.781477937 * pow(t, 3) - 1.821255978 * pow(t, 4) + 1.330274429 * pow(t, 5)) AS up FROM tt) SELECT series, z, CASE WHEN z >= 0 THEN 1 - up ELSE up END AS psr FROM uu")(
-    lambda s, d: m.probabilistic_sharpe(ret(s, d))
-)
+
+
+def cdf(z: str) -> str:
+    """SQL of the normal distribution, by the same approximation."""
+    t = f"(1 / (1 + 0.2316419 * abs({z})))"
+    up = f"(exp(-{z} * {z} / 2) / sqrt(2 * pi()) * (0.319381530 * {t} - 0.356563782 * pow({t}, 2) + 1.781477937 * pow({t}, 3) - 1.821255978 * pow({t}, 4) + 1.330274429 * pow({t}, 5)))"
+    return f"CASE WHEN {z} >= 0 THEN 1 - {up} WHEN {z} < 0 THEN {up} END"
+
+
+def quantile(p: str) -> str:
+    """SQL of the normal quantile, by the same approximation."""
+
+    def poly(x: str, cs: tuple[float, ...]) -> str:
+        return " + ".join(f"{c!r}::DOUBLE * pow({x}, {len(cs) - 1 - i})" for i, c in enumerate(cs))
+
+    q, r = f"sqrt(-2 * ln(least({p}, 1 - {p})))", f"pow({p} - 0.5, 2)"
+    tail = f"(({poly(q, m.QUANTILE_C)}) / (({poly(q, m.QUANTILE_D)}) * {q} + 1))"
+    middle = f"(({poly(r, m.QUANTILE_A)}) * ({p} - 0.5) / (({poly(r, m.QUANTILE_B)}) * {r} + 1))"
+    return f"CASE WHEN {p} < {m.QUANTILE_LOW} THEN {tail} WHEN {p} > 1 - {m.QUANTILE_LOW} THEN -{tail} ELSE {middle} END"
+
+
+TRIALS = 45
+query(
+    "m_08_probabilistic_sharpe", S + "z:d psr:d trials:l sr_threshold:d dsr:d min_track:d",
+    f"""{MOM}, z0 AS (SELECT series, n, sr, {Z} AS z, sqrt(1 - skew * sr + (kurt + 2) / 4 * sr * sr) AS sd, skew, kurt FROM v),
+ k AS (SELECT {TRIALS} AS trials, (1 - {m.EULER}) * ({quantile(f"(1 - 1 / {TRIALS}::DOUBLE)")}) + {m.EULER} * ({quantile(f"(1 - 1 / ({TRIALS} * exp(1.0::DOUBLE)))")}) AS em, {quantile("0.95::DOUBLE")} AS need),
+ z1 AS (SELECT *, em / sqrt(n) AS sr_threshold, (sr - em / sqrt(n)) * sqrt(n - 1) / sd AS zd FROM z0, k)
+ SELECT series, z, {cdf("z")} AS psr, trials, sr_threshold, {cdf("zd")} AS dsr,
+ CASE WHEN sr > sr_threshold THEN 1 + (1 - skew * sr_threshold + (kurt + 2) / 4 * sr_threshold * sr_threshold) * pow(need / (sr - sr_threshold), 2) END AS min_track FROM z1""",
+)(lambda s, d: m.deflated_sharpe(ret(s, d), F.lit(TRIALS)))
 query("m_09_m_13_benchmark", S + "n:l beta:d alpha:d corr:d r2:d tracking_error:d information_ratio:d", f"{BENCH} SELECT series, count(*) AS n, regr_slope(ret, bench) AS beta, regr_intercept(ret, bench) AS alpha, corr(ret, bench) AS corr, regr_r2(ret, bench) AS r2, stddev_samp(ret - bench) AS tracking_error, avg(ret - bench) / stddev_samp(ret - bench) * sqrt(365) AS information_ratio FROM ret JOIN be ON be.day = ret.day WHERE bench IS NOT NULL GROUP BY series")(
     lambda s, d: m.against_benchmark(ret(s, d), bench(s, d).where("bench is not null"))
 )
