@@ -48,7 +48,10 @@ def test_texts_equal_the_library(spark, chunk):
     rows = [r for r in encoded.collect() if r.ids != LIBRARY.encode("twice").ids]
     assert sorted(r.doc_id for r in rows) == list(range(len(TEXTS)))
     assert all(r.ids == LIBRARY.encode(TEXTS[r.doc_id] or "", add_special_tokens=False).ids for r in rows)
+    both = [r for r in bpe.encode_decode(docs, SOURCE, chunk=chunk).collect() if r.text != "twice"]
     decoded = [r for r in bpe.decode(encoded, SOURCE).collect() if r.text != "twice"]
+    key = lambda r: (r.doc_id, r.text)
+    assert sorted(map(key, both)) == sorted(map(key, decoded)) and sorted((r.doc_id, r.ids) for r in both) == sorted((r.doc_id, r.ids) for r in rows)
     assert all(r.text == LIBRARY.decode(LIBRARY.encode(TEXTS[r.doc_id] or "", add_special_tokens=False).ids, skip_special_tokens=False) for r in decoded)
     assert sorted(r.doc_id for r in decoded) == list(range(len(TEXTS)))
     assert bpe.decode(bpe.encode(docs.limit(0), SOURCE), SOURCE).count() == 0
@@ -56,7 +59,7 @@ def test_texts_equal_the_library(spark, chunk):
 
 def test_chunks_are_not_shuffled(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
-    plan = bpe.encode(docs, SOURCE)._jdf.queryExecution().executedPlan().toString()
+    plan = bpe.encode_decode(docs, SOURCE)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(") == 2  # words to their like, ids to their chunk
 
 

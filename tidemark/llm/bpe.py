@@ -3,7 +3,8 @@
 Texts are split into the words that the tokenizer merges within. Each chunk of texts keeps its words as a dictionary and the texts
 as positions in it. The words of all dictionaries meet in one table, sorted by word, where each distinct word is encoded once; ids
 go back to their dictionaries by place, and to the texts by position. Chunks are stored in buckets, so that only the
-ids are shuffled to them. Decoding joins each id with its piece, whose table the vocabulary bounds, and needs no shuffle.
+ids are shuffled to them. Decoding joins each id with its piece, whose table the vocabulary bounds, without a shuffle; with encoding it
+takes the ids of words before they are put back, so that a word is joined once a dictionary and not once a token.
 
 The tokenizer is a file of the tokenizers library: byte-level BPE without a normalizer. Its JSON, whose size the vocabulary
 bounds, travels with the tasks.
@@ -27,7 +28,7 @@ from tokenizers import Tokenizer
 
 from tidemark.llm.common import new_folder
 
-CHUNK, SLICE, LATIN = 1 << 25, 1 << 18, 0x530
+CHUNK, BLOCK, SLICE, LATIN = 1 << 25, 1 << 18, 1 << 18, 0x530  # code points, words, code points, code points
 # The contractions that are words of their own, in order.
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 
@@ -138,34 +139,35 @@ def chunked(docs: DataFrame, source: str, text_col: str, chunk: int = CHUNK) ->
 
         def block(own: pa.RecordBatch, found: list[np.ndarray], counts: list[int]) -> pa.RecordBatch:
             n = len(counts)
-            codes = np.concatenate(found) if found else np.zeros(0, np.int64)
+            codes = np.concatenate(found) if found else np.zeros(0, np.uint32)
             blobs = pa.array([None] * (n - 1) + [_packed(codes)], pa.binary())
             return pa.RecordBatch.from_arrays([pa.repeat(True, n), pa.repeat(pa.scalar(k, pa.int64()), n), pa.array(range(placed, placed + n), pa.int32()), *own.columns, pa.array(counts, pa.int32()), blobs, pa.nulls(n, pa.string())], names=names)
 
         def dictionary() -> Iterator[pa.RecordBatch]:
-            listed = sorted(seen.items())
-            for a in range(0, len(listed), 100_000):
-                some = listed[a : a + 100_000]
+            listed = sorted(seen)
+            for a in range(0, len(listed), 50_000):
+                some = listed[a : a + 50_000]
                 n = len(some)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.repeat(False, n), pa.repeat(pa.scalar(k, pa.int64()), n), pa.array([i for _, i in some], pa.int32()), *(pa.nulls(n, t) for t in kinds), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array([w for w, _ in some], pa.string())],
+                    [pa.repeat(False, n), pa.repeat(pa.scalar(k, pa.int64()), n), pa.array([seen[w] for w in some], pa.int32()), *(pa.nulls(n, t) for t in kinds), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(some, pa.string())],
                     names=names,
                 )
 
         for batch in batches:
-            own = batch.select(others)
+            own, column = batch.select(others), batch.column(text_col)
             kinds = own.schema.types
-            found, counts, first = [], [], 0
-            texts = batch.column(text_col).to_pylist()
-            for i, text in enumerate(texts):
-                parts = [np.fromiter(map(seen.__getitem__, w), np.int64, len(w)) for w in words(text)] if text else []
+            found, counts, first, held = [], [], 0, 0
+            for i in range(len(column)):
+                text = column[i].as_py()
+                parts = [np.fromiter(map(seen.__getitem__, w), np.uint32, len(w)) for w in words(text)] if text else []
                 found += parts
                 counts.append(sum(map(len, parts)))
+                held += counts[-1]
                 size += len(text or "")
-                if size >= chunk or i == len(texts) - 1:
+                if size >= chunk or held >= BLOCK or i == len(column) - 1:
                     yield block(own.slice(first, i + 1 - first), found, counts)
                     placed += i + 1 - first
-                    found, counts, first = [], [], i + 1
+                    found, counts, first, held = [], [], i + 1, 0
                 if size >= chunk:
                     yield from dictionary()
                     seen, size, placed, k = Dictionary(), 0, 0, k + 1
@@ -202,42 +204,55 @@ def encoded_words(words: DataFrame, source: str) -> DataFrame:
     return words.repartition("word").sortWithinPartitions("word").mapInArrow(encode, "chunk bigint, place int, ids array<int>")
 
 
-def encode(docs: DataFrame, source: str, text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
-    """docs with ids (array<int>) in place of the text.
-
-    A null or empty text has no ids. Texts that spell an added token hold its id, as in the library. Rows are never
-    compared, so repeated ids and texts stay as they are; a column named ids is replaced.
-    """
+def _chunk_texts(docs: DataFrame, source: str, text_col: str, chunk: int, text: bool) -> DataFrame:
     others = [c for c in docs.columns if c not in (text_col, "ids")]
     both = bucketed(chunked(docs.select(*others, text_col), source, text_col, chunk), "chunks", "__tm_chunk", "__tm_word", "__tm_text")
     words = both.where("not __tm_text").select(F.col("__tm_word").alias("word"), F.col("__tm_chunk").alias("chunk"), F.col("__tm_place").alias("place"))
     spelled = encoded_words(words, source)
+    spelled = with_bytes(spelled, source, "bytes") if text else spelled
     texts = both.where("__tm_text").select("__tm_chunk", "__tm_place", *others, "__tm_n", "__tm_codes")
     types = {f.name: f.dataType.simpleString() for f in docs.schema}
-    schema = ", ".join([*(f"`{c}` {types[c]}" for c in others), "ids array<int>"])
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in others), "ids array<int>", *([f"`{text_col}` string"] if text else [])])
 
     def put_back(texts: pa.Table, words: pa.Table) -> pa.Table:
-        texts = texts.sort_by("__tm_place")
-        lists = pa.concat_arrays(words["ids"].chunks).take(pa.array(np.argsort(words["place"].to_numpy()))) if len(words) else pa.array([], pa.list_(pa.int32()))
+        texts = texts.sort_by("__tm_place").combine_chunks()
+        order = pa.array(np.argsort(words["place"].to_numpy()))
+        lists = pa.concat_arrays(words["ids"].chunks).take(order) if len(words) else pa.array([], pa.list_(pa.int32()))
         flat = lists.flatten().to_numpy(zero_copy_only=False)
         upto = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
-        counts, codes, waiting = texts["__tm_n"].to_numpy(), [], 0
-        for n, packed in zip(counts.tolist(), texts["__tm_codes"].to_pylist()):
-            waiting += n
-            if packed is not None:
-                codes.append(_unpacked(packed, waiting))
-                waiting = 0
-        codes = np.concatenate(codes)
-        size = upto[codes + 1] - upto[codes]
-        at = np.concatenate([[0], np.cumsum(size)])
-        ids = flat[np.arange(at[-1]) + np.repeat(upto[codes] - at[:-1], size)]
-        ends = at[np.concatenate([[0], np.cumsum(counts)])]
-        listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
-        return pa.Table.from_arrays([*(texts[c] for c in others), listed], names=[*others, "ids"])
+        spelling = (pa.concat_arrays(words["bytes"].chunks).take(order) if len(words) else pa.array([], pa.binary())) if text else None
+        counts, packed = texts["__tm_n"].to_numpy(), texts["__tm_codes"].to_pylist()
+        out, a = [], 0
+        for b in [i + 1 for i, x in enumerate(packed) if x is not None]:  # the blocks
+            ends = np.concatenate([[0], np.cumsum(counts[a:b])])
+            codes = _unpacked(packed[b - 1], int(ends[-1]))
+            size = upto[codes + 1] - upto[codes]
+            at = np.concatenate([[0], np.cumsum(size)])
+            ids = flat[np.arange(at[-1]) + np.repeat(upto[codes] - at[:-1], size)]
+            columns = [pa.ListArray.from_arrays(pa.array(at[ends], pa.int32()), pa.array(ids, pa.int32()))]
+            if text:
+                columns.append(pa.array([x.decode("utf-8", "replace") for x in _cut(spelling.take(pa.array(codes)), ends)], pa.string()))
+            out.append(pa.Table.from_arrays([*(texts[c].slice(a, b - a) for c in others), *columns], names=[*others, "ids", *([text_col] if text else [])]))
+            a = b
+        return pa.concat_tables(out)
 
     return texts.groupBy("__tm_chunk").cogroup(spelled.groupBy("chunk")).applyInArrow(put_back, schema)
 
 
+def encode(docs: DataFrame, source: str, text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
+    """docs with ids (array<int>) in place of the text.
+
+    A null or empty text has no ids. Texts that spell an added token hold its id, as in the library. Rows are never
+    compared, so repeated ids and texts stay as they are; a column named ids is replaced.
+    """
+    return _chunk_texts(docs, source, text_col, chunk, False)
+
+
+def encode_decode(docs: DataFrame, source: str, text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
+    """docs with ids, and with the text that they decode to in place of the text: encode and decode in one pass over the words."""
+    return _chunk_texts(docs, source, text_col, chunk, True)
+
+
 @cache
 def _byte_of() -> dict[str, int]:
     """The byte that each letter of byte-level pieces stands for: printable bytes for themselves, the others, in order, for 256 and on."""
@@ -253,28 +268,36 @@ def pieces(spark: SparkSession, source: str) -> DataFrame:
     return spark.createDataFrame(pd.DataFrame(rows, columns=["id", "piece"]), "id int, piece binary")
 
 
-def decode(rows: DataFrame, source: str, text_col: str = "text", ids: str = "ids") -> DataFrame:
-    """rows with the text that their ids decode to, in place of the ids.
+def _cut(pieces: pa.Array, ends: np.ndarray) -> list[bytes]:
+    """The bytes between places of a binary array, laid end to end."""
+    if not len(pieces):
+        return [b""] * (len(ends) - 1)
+    offsets = np.frombuffer(pieces.buffers()[1], np.int32)[pieces.offset : pieces.offset + len(pieces) + 1][ends].tolist()
+    data = memoryview(pieces.buffers()[2]) if pieces.buffers()[2] is not None else memoryview(b"")
+    return [bytes(data[a:b]) for a, b in zip(offsets, offsets[1:])]
+
+
+def with_bytes(rows: DataFrame, source: str, name: str, ids: str = "ids") -> DataFrame:
+    """rows with the bytes (binary) that their ids stand for.
 
     Each id is a row of its own that meets its piece in a broadcast join; the ids of a row stay together and in order, as nothing is
-    shuffled, and its pieces are laid end to end again. Null and empty ids decode to the empty text, ids without a
-    piece add nothing, bytes that are no UTF-8 become U+FFFD. A column named like the text is replaced.
+    shuffled, and its pieces are laid end to end again (a row whose ids came out of order would stop the job). Null and
+    empty ids give no bytes, ids without a piece add none. A column of that name is replaced.
     """
-    others = [c for c in rows.columns if c not in (text_col, ids)]
+    others = [c for c in rows.columns if c != name]
     each = rows.select(F.struct(*others).alias("__tm_row"), F.posexplode_outer(F.when(F.size(ids) > 0, F.col(ids))).alias("at", "id"))
     # The columns of a row go with its first id only.
     first = F.col("at").isNull() | (F.col("at") == 0)
     each = each.select(F.when(first, F.col("__tm_row")).alias("__tm_row"), first.alias("first"), "at", "id")
     joined = each.join(F.broadcast(pieces(rows.sparkSession, source)), "id", "left").select("__tm_row", "first", "at", "piece")
     types = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = ", ".join([*(f"`{c}` {types[c]}" for c in others), f"`{text_col}` string"])
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in others), f"`{name}` binary"])
 
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row, parts, next_at = None, [], 0  # the row whose pieces are still coming
 
-        def finished(rows: pa.Array, texts: list[bytes]) -> pa.RecordBatch:
-            plain = pa.array([t.decode("utf-8", "replace") for t in texts], pa.string())
-            return pa.RecordBatch.from_arrays([*(pc.struct_field(rows, i) for i in range(len(others))), plain], names=[*others, text_col])
+        def finished(rows: pa.Array, found: list[bytes]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*(pc.struct_field(rows, i) for i in range(len(others))), pa.array(found, pa.binary())], names=[*others, name])
 
         for batch in batches:
             starts = np.flatnonzero(batch.column("first").to_numpy(zero_copy_only=False))
@@ -282,20 +305,32 @@ def decode(rows: DataFrame, source: str, text_col: str = "text", ids: str = "ids
             want = np.arange(len(at)) - np.repeat(np.concatenate([[-next_at], starts]), np.diff(np.concatenate([[0], starts, [len(at)]])))
             if not np.array_equal(at, want):
                 raise ValueError("the ids of a row came out of order")
-            piece = batch.column("piece").fill_null(b"")
-            offsets = np.frombuffer(piece.buffers()[1], np.int32)[piece.offset : piece.offset + len(piece) + 1]
-            data = memoryview(piece.buffers()[2]) if piece.buffers()[2] is not None else memoryview(b"")
-            cut = [0, *starts.tolist(), len(at)]
-            texts = [bytes(data[offsets[a] : offsets[b]]) for a, b in zip(cut, cut[1:])]
-            parts.append(texts[0])
+            found = _cut(batch.column("piece").fill_null(b""), np.concatenate([[0], starts, [len(at)]]))
+            parts.append(found[0])
             if len(starts):
                 if row is not None:
                     yield finished(row, [b"".join(parts)])
                 if len(starts) > 1:
-                    yield finished(batch.column("__tm_row").take(pa.array(starts[:-1])), texts[1:-1])
-                row, parts = batch.column("__tm_row").take(pa.array(starts[-1:])), [texts[-1]]
+                    yield finished(batch.column("__tm_row").take(pa.array(starts[:-1])), found[1:-1])
+                row, parts = batch.column("__tm_row").take(pa.array(starts[-1:])), [found[-1]]
             next_at = int(at[-1]) + 1 if len(at) else next_at
         if row is not None:
             yield finished(row, [b"".join(parts)])
 
     return joined.mapInArrow(lay, schema)
+
+
+def decode(rows: DataFrame, source: str, text_col: str = "text", ids: str = "ids") -> DataFrame:
+    """rows with the text that their ids decode to, in place of the ids; bytes that are no UTF-8 become U+FFFD, null and empty ids the empty
+    text, and a column named like the text is replaced."""
+    kept = [c for c in rows.columns if c != text_col]
+    laid = with_bytes(rows.select(*kept), source, "__tm_bytes", ids).drop(ids)
+    others = [c for c in kept if c != ids]
+    types = {f.name: f.dataType.simpleString() for f in rows.schema}
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            plain = [x.decode("utf-8", "replace") for x in batch.column("__tm_bytes").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(plain, pa.string())], names=[*others, text_col])
+
+    return laid.mapInArrow(spell, ", ".join([*(f"`{c}` {types[c]}" for c in others), f"`{text_col}` string"]))

@@ -102,10 +102,9 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
     source = bpe.read_tokenizer(path)
-    encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), source)
+    found = bpe.encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), source)
     listed = F.array_join(F.col("ids").cast("array<string>"), ",")
-    found = bpe.decode(encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed.cast("binary"), 256).alias("ids_sha256"), "ids"), source)
-    return found.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
