@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import re
+from typing import NamedTuple
 
-import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, VectorAssembler
@@ -13,6 +12,8 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.scratch import shared_path
+
 
 def _inputs(features: list[str]) -> list:
     """Medians of the training rows fill gaps."""
@@ -52,15 +53,59 @@ def walk_forward(rows: DataFrame, folds: list[tuple[str, str, str]], features: l
     return out
 
 
-def tree_rules(rows: DataFrame, features: list[str], y: str, depth: int = 3, min_rows: int = 200) -> DataFrame:
-    """(leaf, n, hits, rate): the leaves of a shallow tree over weighted rows (w_), with their support."""
-    stages = [*_inputs(features), DecisionTreeClassifier(featuresCol="x_", labelCol=y, weightCol="w_", maxDepth=depth, minInstancesPerNode=min_rows, leafCol="leaf", seed=7)]
-    return Pipeline(stages=stages).fit(rows).transform(rows).groupBy("leaf").agg(F.count("*").alias("n"), F.sum(y).alias("hits"), F.avg(y).alias("rate"))
+class Rule(NamedTuple):
+    """A path of a fitted tree: conditions (feature, <= or >, threshold), all of which hold, and the leaf's number and rate in training."""
+
+    leaf: int
+    conditions: tuple[tuple[str, str, float], ...]
+    rate: float
+
+    def text(self) -> str:
+        return " AND ".join(f"{f} {op} {t:.6g}" for f, op, t in self.conditions) or "all rows"
+
+    def holds(self, medians: dict[str, float]) -> Column:
+        """The rule as a predicate; a missing feature has its training median, as in the model."""
+        out = F.lit(True)
+        for f, op, t in self.conditions:
+            x = F.coalesce(F.nanvl(F.col(f).cast("double"), F.lit(None)), F.lit(float(medians[f])))
+            out = out & ((x <= t) if op == "<=" else (x > t))
+        return out
+
+
+def fit_tree(rows: DataFrame, features: list[str], y: str, depth: int = 3, min_rows: int = 200):
+    """A fitted shallow tree over weighted rows (w_)."""
+    tree = DecisionTreeClassifier(featuresCol="x_", labelCol=y, weightCol="w_", maxDepth=depth, minInstancesPerNode=min_rows, leafCol="leaf", seed=7)
+    return Pipeline(stages=[*_inputs(features), tree]).fit(rows)
 
 
-def rule_texts(model) -> list[str]:
-    """The fitted tree's paths as readable text."""
-    return [line.strip() for line in model.stages[-1].toDebugString.splitlines() if re.search("If|Else|Predict", line)]
+def compile_rules(model, features: list[str]) -> tuple[list[Rule], dict[str, float]]:
+    """The leaves of a fitted tree, left to right, as rules; and the medians that stand for missing features."""
+    tree, found = model.stages[-1]._java_obj, []
+
+    def walk(node, conditions: tuple) -> None:
+        if node.getClass().getSimpleName() == "LeafNode":
+            counts = list(node.impurityStats().stats())
+            found.append(Rule(len(found), conditions, counts[1] / sum(counts) if len(counts) > 1 and sum(counts) else 0.0))
+            return
+        split = node.split()
+        name, at = features[split.featureIndex()], float(split.threshold())
+        walk(node.leftChild(), (*conditions, (name, "<=", at)))
+        walk(node.rightChild(), (*conditions, (name, ">", at)))
+
+    walk(tree.rootNode(), ())
+    row = model.stages[0].surrogateDF.first()
+    return found, {f: row[f] for f in features}
+
+
+def rules_by_fold(rows: DataFrame, rules: list[Rule], medians: dict[str, float], y: str, fold: str) -> DataFrame:
+    """(fold, leaf, rule, n, hits, rate, base, lift): each rule on each fold's rows, in one pass; every row meets exactly one rule. Null labels don't count; lift
+    is null in a fold without hits."""
+    number = F.coalesce(*[F.when(r.holds(medians), F.lit(r.leaf)) for r in rules])
+    text = F.element_at(F.create_map(*[F.lit(x) for r in rules for x in (r.leaf, r.text())]), F.col("leaf"))
+    per = rows.where(F.col(y).isNotNull()).groupBy(fold, number.alias("leaf")).agg(F.count("*").alias("n"), F.sum(y).alias("hits"))
+    base = F.try_divide(F.sum("hits").over(Window.partitionBy(fold)), F.sum("n").over(Window.partitionBy(fold)))
+    per = per.withColumns({"rate": F.col("hits") / F.col("n"), "base": base})
+    return per.withColumns({"lift": F.try_divide("rate", "base"), "rule": text})
 
 
 def isotonic(train: DataFrame, rows: DataFrame, p: str, y: str, name: str) -> DataFrame:
@@ -96,17 +141,45 @@ def band_weights(rows: DataFrame, band: str, y: str) -> DataFrame:
 
 
 def greedy_matches(rows: DataFrame, picked: str, value: str) -> DataFrame:
-    """(day, market, control): each picked row, in rank order, takes the unused other row of its day with the nearest
-    value, ties by name. The choice depends on those before, so a day (at most a universe of names) is one group."""
-
-    def run(day: pd.DataFrame) -> pd.DataFrame:
-        free = day[~day[picked]].sort_values("market")[["market", value]].dropna().values.tolist()
-        out = []
-        for r in day[day[picked]].sort_values("rk").itertuples(index=False):
-            best = min(free, key=lambda f: (round(abs(f[1] - getattr(r, value)), 9), f[0])) if free else None
-            if best is not None:
-                free.remove(best)
-            out.append((r.day, r.market, best[0] if best else None))
-        return pd.DataFrame(out, columns=["day", "market", "control"])
-
-    return rows.select("day", "market", "rk", picked, value).groupBy("day").applyInPandas(run, "day date, market string, control string")
+    """(day, market, control, reason): each picked row, in rank order, takes the free other row of its day with the nearest value, ties by name.
+
+    A day whose picks lack a value, or that has fewer others with a value than picks, has no matches but a reason: selected_value_missing,
+    insufficient_controls. A day is one array of a universe's names; picks fold over what is still free of it.
+    """
+    pick = F.struct("rk", "market", F.col(value).cast("double").alias("v"))
+    other = F.struct("market", F.col(value).cast("double").alias("v"))
+    days = rows.groupBy("day").agg(
+        F.array_sort(F.collect_list(F.when(F.col(picked), pick))).alias("picks"), F.array_sort(F.collect_list(F.when(~F.col(picked) & F.col(value).isNotNull(), other))).alias("free"),
+    )
+    missing = F.exists("picks", lambda p: p["v"].isNull())
+    reason = F.when(missing, "selected_value_missing").when(F.size("free") < F.size("picks"), "insufficient_controls")
+    days = days.where(F.size("picks") > 0).withColumn("reason", reason)
+
+    def take(acc: Column, p: Column) -> Column:
+        best = F.array_min(F.transform(acc["free"], lambda f: F.struct(F.round(F.abs(f["v"] - p["v"]), 9).alias("gap"), f["market"].alias("market"))))["market"]
+        return F.struct(F.filter(acc["free"], lambda f: f["market"] != best).alias("free"), F.concat(acc["out"], F.array(F.struct(p["market"].alias("market"), best.alias("control")))).alias("out"))
+
+    kind = rows.schema["market"].dataType.simpleString()
+    start = F.struct(F.col("free").alias("free"), F.array().cast(f"array<struct<market:{kind},control:{kind}>>").alias("out"))
+    taken = F.aggregate("picks", start, take, lambda acc: acc["out"])
+    none = F.transform("picks", lambda p: F.struct(p["market"].alias("market"), F.lit(None).cast(kind).alias("control")))
+    return days.select("day", "reason", F.explode(F.when(F.col("reason").isNull(), taken).otherwise(none)).alias("m")).select("day", "m.market", "m.control", "reason")
+
+
+def sweep(rows: DataFrame, folds: list[tuple[str, str, str]], feature_sets: dict[str, list[str]], models: dict[str, dict], heads: list[str], name: str) -> DataFrame:
+    """rows of the test folds with set, model, fold and a score a head: each (set, model, fold, head) is fitted once and its scores are written once to the
+    shared folder, where all cut-offs, universes and regimes read them. models: {name: {"kind": ..., settings}}."""
+    out = None
+    for label, features in feature_sets.items():
+        for model, settings in models.items():
+            options = {k: v for k, v in settings.items() if k != "kind"}
+            for k, (until, start, end) in enumerate(folds):
+                train = rows.where(F.col("day") < F.lit(until).cast("date"))
+                part = rows.where((F.col("day") >= F.lit(start).cast("date")) & (F.col("day") < F.lit(end).cast("date")))
+                for head in heads:
+                    part = predict(fit_head(train.where(F.col(head).isNotNull()), features, head, settings["kind"], **options), part, f"p_{head}")
+                part = part.withColumns({"set": F.lit(label), "model": F.lit(model), "fold": F.lit(k)})
+                out = part if out is None else out.unionByName(part)
+    path = shared_path(rows.sparkSession, name)
+    out.write.parquet(path)
+    return rows.sparkSession.read.schema(out.schema).parquet(path)

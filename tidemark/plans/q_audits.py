@@ -344,23 +344,6 @@ def inner_blocks(s, d):
 query("h_10_inner_blocks", "fold:l day:s market:s p:d")(inner_blocks)
 
 
-# what each group of features adds: precision of the best three of each day, against a stable random order
-def ablation(s, d):
-    groups = {"all": FEATURES, "returns": ["r1", "r3", "r7"], "turnover": ["s7", "lq"]}
-    out = []
-    for name, cols in groups.items():
-        out.append(h.walk_forward(labelled(s, d), [("1997-01-01", "1997-01-06", "9999-01-01")], cols, "y", "p", "logistic").select("day", "market", "y", "p", F.lit(name).alias("arm")))
-    chance = labelled(s, d).where("day >= date'1997-01-06'").select("day", "market", "y", (F.xxhash64("day", "market") / 2.0**63).alias("p"), F.lit("random").alias("arm"))
-    rows = chance
-    for part in out:
-        rows = rows.unionByName(part)
-    best = rows.withColumn("i", F.row_number().over(Window.partitionBy("arm", "day").orderBy(F.round("p", 9).desc(), "market")))
-    grid = best.withColumn("k", F.explode(F.array(F.lit(1), F.lit(3)))).where("i <= k")
-    return grid.groupBy("arm", "k").agg(F.count("*").alias("n"), F.avg("y").alias("precision"))
-
-
-query("h_09_v_24_ablation_grid", "arm:s k:l n:l precision:d")(ablation)
-
 # the intercept that makes mean scores meet the observed rate: Newton steps written out
 NEWTON = f"{H}, zz AS (SELECT ln(least(greatest(p_up10, 1e-6), 1 - 1e-6) / (1 - least(greatest(p_up10, 1e-6), 1 - 1e-6))) AS z, y.y AS y FROM y), n0 AS (SELECT 0.0::DOUBLE AS b)"
 for step in range(12):

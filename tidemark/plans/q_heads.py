@@ -39,16 +39,12 @@ query("h_03_walk_forward_heads", "fold:l day:s market:s p:d")(lambda s, d: h.wal
 query("h_05_several_heads", "day:s market:s p_up:d p_down:d")(
     lambda s, d: h.predict(h.fit_head((u := labelled(s, d).withColumn("z", F.expr("double(low / open - 1 <= -0.05)"))).where("day < date'1997-01-01'"), FEATURES, "z", "logistic"), h.predict(h.fit_head(u.where("day < date'1997-01-01'"), FEATURES, "y", "logistic"), u.where("day >= date'1997-01-06'"), "p_up"), "p_down")
 )
-query("h_06_tree_rules", "leaf:l n:l hits:l rate:d")(lambda s, d: h.tree_rules(h.class_weights(labelled(s, d), "y"), FEATURES, "y", min_rows=100))
 query("h_07_logistic_scorer", "day:s market:s p:d")(lambda s, d: h.walk_forward(labelled(s, d), FOLDS, FEATURES, "y", "p", "logistic"))
 query("h_08_band_weights", "day:s market:s weight:d", f"{FLAG}, z AS (SELECT *, liq <= 5 AS band FROM o) SELECT day, market, CASE WHEN hit = 1 THEN count(*) OVER w / 2.0 / nullif(sum(hit) OVER w, 0) ELSE count(*) OVER w / 2.0 / nullif(count(*) OVER w - sum(hit) OVER w, 0) END AS weight FROM z WINDOW w AS (PARTITION BY band)")(
     lambda s, d: h.band_weights(labelled(s, d).withColumn("band", F.col("liq") <= 5), "band", "y")
 )
 
 
-query("j_16_greedy_matches", "day:s market:s control:s")(lambda s, d: h.greedy_matches(ranked(s, d).withColumn("picked", F.col("rk") <= 2), "picked", "uq"))
-
-
 def _json_round_trip(s, d):
     path = shared_path(s, "records")
     t = trades(s, d)

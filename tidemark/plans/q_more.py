@@ -41,17 +41,6 @@ query("a_58_risk_reward_panel", "tier:l n:l mean_p:d mean_rr:d", f"{HEADS} SELEC
 query("v_06_frozen_plan", "arm:s n:l mean_ret:d", f"{HEADS}, pl AS (SELECT day, market, CASE WHEN rk <= 3 THEN 'plan' ELSE 'rest' END AS arm FROM d1) SELECT arm, count(*) AS n, avg(close / open - 1) AS mean_ret FROM pl JOIN bars b ON b.day = pl.day AND b.market = pl.market GROUP BY arm")(
     lambda s, d: ranked(s, d).select("day", "market", F.when(F.col("rk") <= 3, "plan").otherwise("rest").alias("arm")).join(bars_1d(s, d).select("day", "market", (F.col("close") / F.col("open") - 1).alias("ret")), ["day", "market"]).groupBy("arm").agg(F.count("*").alias("n"), F.avg("ret").alias("mean_ret"))
 )
-query("v_14_head_regime_sweep", "btc_regime:s k:l n:l hit:d", f"{H}, {REGIME}, z AS (SELECT y.*, coalesce(btc_regime, 'unknown') AS rg FROM y LEFT JOIN regime ON regime.day = y.day) SELECT rg AS btc_regime, k, count(*) AS n, avg(z.y) AS hit FROM z, (VALUES (1), (3), (5)) v(k) WHERE rk <= k GROUP BY rg, k")(
-    lambda s, d: hy(s, d).join(_regimes(s, d), "day", "left").withColumn("btc_regime", F.coalesce("btc_regime", F.lit("unknown"))).withColumn("k", F.explode(F.array(F.lit(1), F.lit(3), F.lit(5)))).where("rk <= k").groupBy("btc_regime", "k").agg(F.count("*").alias("n"), F.avg("y").alias("hit"))
-)
-
-
-def _regimes(s, d):
-    from tidemark.operators.features import regime
-
-    return regime(bars_1d(s, d).where("market = 'M00'")).select("day", "btc_regime")
-
-
 query("v_21_fixed_rule_replay", "day:s picks:l ret:d", f"{HEADS}, ce AS (SELECT *, least(greatest(ceil(round(((rank() OVER (PARTITION BY day ORDER BY uq) + (count(*) OVER (PARTITION BY day, uq) - 1) / 2.0) / count(*) OVER (PARTITION BY day)) * 4, 9)) - 1, 0), 3)::BIGINT AS lq4 FROM d1), q AS (SELECT day, lq4, count(*) AS quota FROM ce WHERE rk <= 3 GROUP BY ALL), z AS (SELECT ce.*, quota, row_number() OVER (PARTITION BY ce.day, ce.lq4 ORDER BY p_dn5, market) AS i FROM ce JOIN q USING (day, lq4)) SELECT day, count(*) AS picks, avg(close / open - 1) AS ret FROM z WHERE i <= quota GROUP BY day")(
     lambda s, d: cells(s, d).withColumn("quota", F.sum((F.col("rk") <= 3).cast("int")).over(w := Window.partitionBy("day", "lq4"))).withColumn("i", F.row_number().over(w.orderBy("p_dn5", "market"))).where("i <= quota").groupBy("day").agg(F.count("*").alias("picks"), F.avg(F.col("close") / F.col("open") - 1).alias("ret"))
 )

@@ -129,9 +129,6 @@ query("l_08_sustained", K + "same:l next:l", f"{W} SELECT day, market, (close /
     lambda s, d: bars_1d(s, d).withColumns({"same": (F.col("close") / F.col("open") - 1 >= 0.03).cast("int"), "next": (F.lead("close").over(Window.partitionBy("market").orderBy("day")) / F.col("close") - 1 >= 0.03).cast("int")})
 )
 query("l_09_pump_dump", K + "label:l", f"{W} SELECT day, market, (high / open - 1 >= 0.05 AND close / open - 1 < -0.02)::INT AS label FROM bars")(lambda s, d: bars_1d(s, d).withColumn("label", F.expr("int(high / open - 1 >= 0.05 and close / open - 1 < -0.02)")))
-query("l_10_label_grid", "target:d floor:d n:l rate:d", f"{W} SELECT target, fl AS floor, count(*) AS n, avg((high / open - 1 >= target AND low / open - 1 > -fl)::INT) AS rate FROM bars, (VALUES (0.03), (0.06), (0.1)) a(target), (VALUES (0.03), (0.06)) b(fl) GROUP BY ALL")(
-    lambda s, d: bars_1d(s, d).withColumn("g", F.explode(F.array(*[F.struct(F.lit(a).alias("target"), F.lit(b).alias("floor")) for a in (0.03, 0.06, 0.1) for b in (0.03, 0.06)]))).select("*", "g.target", "g.floor").groupBy("target", "floor").agg(F.count("*").alias("n"), F.avg(((F.col("high") / F.col("open") - 1 >= F.col("target")) & (F.col("low") / F.col("open") - 1 > -F.col("floor"))).cast("int")).alias("rate"))
-)
 query("l_11_gap_label", K + "label:l", f"{W}, n AS (SELECT *, lead(day) OVER w AS nd, lead(high) OVER w / lead(open) OVER w - 1 AS m FROM bars WINDOW w AS (PARTITION BY market ORDER BY day)) SELECT day, market, (m >= 0.05)::INT AS label FROM n WHERE nd - day BETWEEN 1 AND 2")(
     lambda s, d: bars_1d(s, d).withColumns({"nd": F.lead("day").over(w := Window.partitionBy("market").orderBy("day")), "m": F.lead("high").over(w) / F.lead("open").over(w) - 1}).where(F.datediff("nd", "day").between(1, 2)).withColumn("label", (F.col("m") >= 0.05).cast("int"))
 )
