@@ -2,6 +2,7 @@
 
 import hashlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -25,10 +26,16 @@ def hashed(s: str) -> str:
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.text(alphabet="ab'stéЖ日1٣ \n\t\xa0!<|>", max_size=60))
+@given(st.text(alphabet="ab'stéЖ日1٣ \n\t\xa0\u2003\u3000\x85\x1c\u200b!<|>", max_size=60))
 def test_words_equal_the_library(text):
-    words = [w for part in bpe.splitter(SOURCE)(text) for w in part]
+    split = bpe.word_splitter(SOURCE)
+    words = [w for part in bpe.run_splitter(SOURCE)(text) for run in part for w in split(run)]
     assert "".join(words) == text
+    many = bpe.Words(SOURCE)
+    coded = [many.coded(part) for part in bpe.run_splitter(SOURCE)(text)]
+    codes, _ = many.words_of(np.concatenate(coded) if coded else np.zeros(0, np.int64))
+    named = list(many.numbers)
+    assert [named[c] for c in codes] == words
     assert words == [text[a:b] for _, (a, b) in LIBRARY.pre_tokenizer.pre_tokenize_str(text)]
 
 

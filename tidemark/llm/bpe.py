@@ -2,9 +2,9 @@
 
 Texts are split into the words that the tokenizer merges within. Each chunk of texts keeps its words as a dictionary and the texts
 as positions in it. The words of all dictionaries meet in one table, sorted by word, where each distinct word is encoded once; ids
-go back to their dictionaries by place, and to the texts by position. Chunks are stored in buckets, so that only the
-ids are shuffled to them. Decoding joins each id with its piece, whose table the vocabulary bounds, without a shuffle; with encoding it
-takes the ids of words before they are put back, so that a word is joined once a dictionary and not once a token.
+go back to their dictionaries by place, and to the texts by position. Chunks are stored in buckets, so that only words and their
+ids are shuffled, many to a row. Decoding joins each id with its piece, whose table the vocabulary bounds, without a shuffle; with encoding
+it takes the ids of words before they are put back, so that a word is joined once a dictionary and not once a token.
 
 The tokenizer is a file of the tokenizers library: byte-level BPE without a normalizer. Its JSON, whose size the vocabulary
 bounds, travels with the tasks.
@@ -14,8 +14,11 @@ from __future__ import annotations
 
 import json
 import re
+import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -28,8 +31,9 @@ from tokenizers import Tokenizer
 
 from tidemark.llm.common import new_folder
 
-CHUNK, BLOCK, SLICE, LATIN = 1 << 25, 1 << 18, 1 << 18, 0x530  # code points, words, code points, code points
-# The contractions that are words of their own, in order.
+CHUNK, BLOCK, SLICE, LATIN, SLOTS = 1 << 25, 1 << 18, 1 << 18, 0x530, 256  # code points, runs, code points, code points, slots of a dictionary at least
+# White space from LATIN on; the contractions that are words of their own, in order.
+WIDE_SPACES = "\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 
 
@@ -55,8 +59,8 @@ def read_tokenizer(path: str) -> str:
 
 
 @cache
-def latin_words(source: str) -> re.Pattern[str]:
-    """The pattern of words for texts of code points under LATIN, whose classes the library itself is asked for."""
+def latin_classes(source: str) -> tuple[str, str, str, str]:
+    """Letters, numbers, others and white space among the code points under LATIN, as the library itself tells them apart."""
     split = tokenizer_of(source).pre_tokenizer.pre_tokenize_str
     one = lambda s: len(split(s)) == 1
     letter, number, other, space = "", "", "", ""
@@ -69,9 +73,23 @@ def latin_words(source: str) -> re.Pattern[str]:
             other += re.escape(c)
         else:
             space += re.escape(c)
+    return letter, number, other, space
+
+
+@cache
+def latin_words(source: str) -> re.Pattern[str]:
+    """The pattern of words for texts of code points under LATIN."""
+    letter, number, other, space = latin_classes(source)
     return re.compile(f"{CONTRACTIONS}| ?[{letter}]+| ?[{number}]+| ?[{other}]+|[{space}]+(?![^{space}])|[{space}]+")
 
 
+@cache
+def runs(source: str) -> re.Pattern[str]:
+    """Runs that no word crosses: of other than white space, with a space before them, or of white space as words have it."""
+    space = latin_classes(source)[3] + WIDE_SPACES
+    return re.compile(f" ?[^{space}]+|[{space}]+(?![^{space}])|[{space}]+")
+
+
 def slices(text: str, size: int = SLICE) -> Iterator[str]:
     """A text in parts of about size, cut before a space that follows no white space: no word spans such a place."""
     a = 0
@@ -86,24 +104,55 @@ def slices(text: str, size: int = SLICE) -> Iterator[str]:
     yield text[a:] if a else text
 
 
-def splitter(source: str) -> Callable[[str], Iterator[list[str]]]:
-    """A function that cuts a text into lists of words. Added tokens, longest first as they stand, are words of their own."""
+def word_splitter(source: str) -> Callable[[str], list[str]]:
+    """A function that cuts a run into words: by pattern, or by the library where the run has code points from LATIN on."""
     t, pattern = tokenizer_of(source), latin_words(source)
-    added = sorted((a.content for a in t.get_added_tokens_decoder().values()), key=len, reverse=True)
+
+    def words(run: str) -> list[str]:
+        return pattern.findall(run) if ord(max(run)) < LATIN else [run[a:b] for _, (a, b) in t.pre_tokenizer.pre_tokenize_str(run)]
+
+    return words
+
+
+def run_splitter(source: str) -> Callable[[str], Iterator[list[str]]]:
+    """A function that cuts a text into lists of runs. Added tokens, longest first as they stand, are runs of their own."""
+    pattern = runs(source)
+    added = sorted((a.content for a in tokenizer_of(source).get_added_tokens_decoder().values()), key=len, reverse=True)
     special = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
 
-    def words(text: str) -> Iterator[list[str]]:
+    def split(text: str) -> Iterator[list[str]]:
         for i, part in enumerate(special.split(text) if special and special.search(text) else [text]):
             if i % 2:
                 yield [part]
             elif part:
                 for s in slices(part):
-                    if ord(max(s)) < LATIN:
-                        yield pattern.findall(s)
-                    else:
-                        yield [s[a:b] for _, (a, b) in t.pre_tokenizer.pre_tokenize_str(s)]
+                    yield pattern.findall(s)
 
-    return words
+    return split
+
+
+class Words:
+    """The words of a chunk, numbered, and its distinct runs as numbers of words."""
+
+    def __init__(self, source: str):
+        self.numbers, self.split, self.added = Dictionary(), word_splitter(source), {a.content for a in tokenizer_of(source).get_added_tokens_decoder().values()}
+        self.runs, self.flat, self.starts = Dictionary(), array("I"), array("q", [0])
+
+    def coded(self, runs: list[str]) -> np.ndarray:
+        """The numbers of runs, in order; new ones are cut into words."""
+        known, codes = len(self.runs), np.fromiter(map(self.runs.__getitem__, runs), np.int64, len(runs))
+        fresh = list(islice(reversed(self.runs), len(self.runs) - known))
+        for run in reversed(fresh):
+            self.flat.extend(map(self.numbers.__getitem__, [run] if run in self.added else self.split(run)))
+            self.starts.append(len(self.flat))
+        return codes
+
+    def words_of(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of words, how many each run has) of the coded runs."""
+        starts, flat = np.array(self.starts), np.array(self.flat)
+        size = starts[codes + 1] - starts[codes]
+        at = np.cumsum(size)
+        return flat[np.arange(at[-1] if len(at) else 0) + np.repeat(starts[codes] - at + size, size)], size
 
 
 class Dictionary(dict):
@@ -122,36 +171,42 @@ def _unpacked(packed: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").ravel().astype(np.int64)
 
 
-def chunked(docs: DataFrame, source: str, text_col: str, chunk: int = CHUNK) -> DataFrame:
+def chunked(docs: DataFrame, source: str, text_col: str, slots: int, chunk: int = CHUNK) -> DataFrame:
     """Two kinds of rows, told apart by __tm_text. A text's: its chunk, its place there, its columns, its number of words and,
-    with the last text of a block of them, the packed codes of all words of the block. A word's: its chunk, place in the dictionary, and itself.
+    with the last text of a block of them, the packed codes of all words of the block. A slot's: its chunk, number and, sorted, those words of the
+    dictionary whose hash falls in it, with their places.
 
     A chunk is a run of texts of one task of about `chunk` code points, or one longer text.
     """
     others = [c for c in docs.columns if c != text_col]
     types = {f.name: f.dataType.simpleString() for f in docs.schema}
-    schema = ", ".join(["__tm_text boolean", "__tm_chunk bigint", "__tm_place int", *(f"`{c}` {types[c]}" for c in others), "__tm_n int", "__tm_codes binary", "__tm_word string"])
-    names = ["__tm_text", "__tm_chunk", "__tm_place", *others, "__tm_n", "__tm_codes", "__tm_word"]
+    schema = ", ".join(["__tm_text boolean", "__tm_chunk bigint", "__tm_place int", *(f"`{c}` {types[c]}" for c in others), "__tm_n int", "__tm_codes binary", "__tm_words array<string>", "__tm_places array<int>"])
+    names = ["__tm_text", "__tm_chunk", "__tm_place", *others, "__tm_n", "__tm_codes", "__tm_words", "__tm_places"]
+    strings, ints = pa.list_(pa.string()), pa.list_(pa.int32())
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, k = splitter(source), TaskContext.get().partitionId() << 32
-        seen, size, placed, kinds = Dictionary(), 0, 0, []
+        runs_of, k = run_splitter(source), TaskContext.get().partitionId() << 32
+        seen, size, placed, kinds = Words(source), 0, 0, []
 
         def block(own: pa.RecordBatch, found: list[np.ndarray], counts: list[int]) -> pa.RecordBatch:
-            n = len(counts)
-            codes = np.concatenate(found) if found else np.zeros(0, np.uint32)
+            n, runs = len(counts), np.concatenate([[0], np.cumsum(counts)])
+            codes, sizes = seen.words_of(np.concatenate(found) if found else np.zeros(0, np.int64))
+            n_words = np.diff(np.concatenate([[0], np.cumsum(sizes)])[runs])
             blobs = pa.array([None] * (n - 1) + [_packed(codes)], pa.binary())
-            return pa.RecordBatch.from_arrays([pa.repeat(True, n), pa.repeat(pa.scalar(k, pa.int64()), n), pa.array(range(placed, placed + n), pa.int32()), *own.columns, pa.array(counts, pa.int32()), blobs, pa.nulls(n, pa.string())], names=names)
+            ends = [pa.array(n_words, pa.int32()), blobs, pa.nulls(n, strings), pa.nulls(n, ints)]
+            return pa.RecordBatch.from_arrays([pa.repeat(True, n), pa.repeat(pa.scalar(k, pa.int64()), n), pa.array(range(placed, placed + n), pa.int32()), *own.columns, *ends], names=names)
 
         def dictionary() -> Iterator[pa.RecordBatch]:
-            listed = sorted(seen)
-            for a in range(0, len(listed), 50_000):
-                some = listed[a : a + 50_000]
-                n = len(some)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.repeat(False, n), pa.repeat(pa.scalar(k, pa.int64()), n), pa.array([seen[w] for w in some], pa.int32()), *(pa.nulls(n, t) for t in kinds), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(some, pa.string())],
-                    names=names,
-                )
+            numbers = seen.numbers
+            listed = sorted(numbers)
+            slot = np.fromiter((zlib.crc32(w.encode()) for w in listed), np.int64, len(listed)) % slots
+            order = np.argsort(slot, kind="stable")
+            held, first = np.unique(slot[order], return_index=True)
+            ends = pa.array(np.append(first, len(listed)), pa.int32())
+            words = pa.ListArray.from_arrays(ends, pa.array([listed[i] for i in order.tolist()], pa.string()))
+            places = pa.ListArray.from_arrays(ends, pa.array([numbers[listed[i]] for i in order.tolist()], pa.int32()))
+            n = len(held)
+            yield pa.RecordBatch.from_arrays([pa.repeat(False, n), pa.repeat(pa.scalar(k, pa.int64()), n), pa.array(held, pa.int32()), *(pa.nulls(n, t) for t in kinds), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), words, places], names=names)
 
         for batch in batches:
             own, column = batch.select(others), batch.column(text_col)
@@ -159,7 +214,7 @@ def chunked(docs: DataFrame, source: str, text_col: str, chunk: int = CHUNK) ->
             found, counts, first, held = [], [], 0, 0
             for i in range(len(column)):
                 text = column[i].as_py()
-                parts = [np.fromiter(map(seen.__getitem__, w), np.uint32, len(w)) for w in words(text)] if text else []
+                parts = [seen.coded(r) for r in runs_of(text)] if text else []
                 found += parts
                 counts.append(sum(map(len, parts)))
                 held += counts[-1]
@@ -170,8 +225,8 @@ def chunked(docs: DataFrame, source: str, text_col: str, chunk: int = CHUNK) ->
                     found, counts, first, held = [], [], i + 1, 0
                 if size >= chunk:
                     yield from dictionary()
-                    seen, size, placed, k = Dictionary(), 0, 0, k + 1
-        if seen:
+                    seen, size, placed, k = Words(source), 0, 0, k + 1
+        if size:
             yield from dictionary()
 
     return docs.mapInArrow(split, schema)
@@ -201,34 +256,58 @@ def encoded_words(words: DataFrame, source: str) -> DataFrame:
                 last, last_ids = distinct[-1], ids[-1]
             yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("place"), pa.array(ids, pa.list_(pa.int32())).take(coded.indices)], names=["chunk", "place", "ids"])
 
-    return words.repartition("word").sortWithinPartitions("word").mapInArrow(encode, "chunk bigint, place int, ids array<int>")
+    return words.sortWithinPartitions("word").mapInArrow(encode, "chunk bigint, place int, ids array<int>")
+
+
+def gathered(rows: DataFrame, text: bool) -> DataFrame:
+    """rows (chunk, place, ids, bytes) with those of one chunk that stand together in a partition as one row of arrays: places, ids end to end, how many
+    each has, and bytes. Up to 50,000 of them to a row."""
+    names = ["chunk", "places", "ids", "counts", *(["bytes"] if text else [])]
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chunk = batch.column("chunk").to_numpy()
+            first = np.flatnonzero(np.diff(chunk, prepend=-1))
+            ends = pa.array(np.append(first, len(chunk)), pa.int32())
+            lists = batch.column("ids")
+            counts = pc.list_value_length(lists)
+            upto = np.concatenate([[0], np.cumsum(counts.to_numpy(zero_copy_only=False))])[np.append(first, len(chunk))]
+            columns = [pa.ListArray.from_arrays(ends, batch.column("place")), pa.ListArray.from_arrays(pa.array(upto, pa.int32()), lists.flatten()), pa.ListArray.from_arrays(ends, counts)]
+            columns += [pa.ListArray.from_arrays(ends, batch.column("bytes"))] if text else []
+            yield pa.RecordBatch.from_arrays([pa.array(chunk[first]), *columns], names=names)
+
+    schema = "chunk bigint, places array<int>, ids array<int>, counts array<int>" + (", bytes array<binary>" if text else "")
+    return rows.sortWithinPartitions("chunk").mapInArrow(gather, schema)
 
 
 def _chunk_texts(docs: DataFrame, source: str, text_col: str, chunk: int, text: bool) -> DataFrame:
     others = [c for c in docs.columns if c not in (text_col, "ids")]
-    both = bucketed(chunked(docs.select(*others, text_col), source, text_col, chunk), "chunks", "__tm_chunk", "__tm_word", "__tm_text")
-    words = both.where("not __tm_text").select(F.col("__tm_word").alias("word"), F.col("__tm_chunk").alias("chunk"), F.col("__tm_place").alias("place"))
+    slots = max(SLOTS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    both = bucketed(chunked(docs.select(*others, text_col), source, text_col, slots, chunk), "chunks", "__tm_chunk", "__tm_place", "__tm_text")
+    listed = both.where("not __tm_text").select("__tm_chunk", "__tm_place", "__tm_words", "__tm_places").repartition("__tm_place")
+    words = listed.select(F.col("__tm_chunk").alias("chunk"), F.explode(F.arrays_zip(F.col("__tm_words").alias("word"), F.col("__tm_places").alias("place"))).alias("w")).select("w.word", "chunk", "w.place")
     spelled = encoded_words(words, source)
-    spelled = with_bytes(spelled, source, "bytes") if text else spelled
+    spelled = gathered(with_bytes(spelled, source, "bytes") if text else spelled, text)
     texts = both.where("__tm_text").select("__tm_chunk", "__tm_place", *others, "__tm_n", "__tm_codes")
     types = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in others), "ids array<int>", *([f"`{text_col}` string"] if text else [])])
 
     def put_back(texts: pa.Table, words: pa.Table) -> pa.Table:
         texts = texts.sort_by("__tm_place").combine_chunks()
-        order = pa.array(np.argsort(words["place"].to_numpy()))
-        lists = pa.concat_arrays(words["ids"].chunks).take(order) if len(words) else pa.array([], pa.list_(pa.int32()))
-        flat = lists.flatten().to_numpy(zero_copy_only=False)
-        upto = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
-        spelling = (pa.concat_arrays(words["bytes"].chunks).take(order) if len(words) else pa.array([], pa.binary())) if text else None
-        counts, packed = texts["__tm_n"].to_numpy(), texts["__tm_codes"].to_pylist()
+        flat = lambda c, kind: pa.concat_arrays([x.flatten() for x in words[c].chunks]) if len(words) else pa.array([], kind)
+        order = np.argsort(flat("places", pa.int32()).to_numpy())
+        counts = flat("counts", pa.int32()).to_numpy().astype(np.int64)
+        starts, ids_ = np.cumsum(counts) - counts, flat("ids", pa.int32()).to_numpy()
+        starts, counts_of = starts[order], counts[order]
+        spelling = flat("bytes", pa.binary()).take(pa.array(order)) if text else None
+        n_words, packed = texts["__tm_n"].to_numpy(), texts["__tm_codes"].to_pylist()
         out, a = [], 0
         for b in [i + 1 for i, x in enumerate(packed) if x is not None]:  # the blocks
-            ends = np.concatenate([[0], np.cumsum(counts[a:b])])
+            ends = np.concatenate([[0], np.cumsum(n_words[a:b])])
             codes = _unpacked(packed[b - 1], int(ends[-1]))
-            size = upto[codes + 1] - upto[codes]
+            size = counts_of[codes]
             at = np.concatenate([[0], np.cumsum(size)])
-            ids = flat[np.arange(at[-1]) + np.repeat(upto[codes] - at[:-1], size)]
+            ids = ids_[np.arange(at[-1]) + np.repeat(starts[codes] - at[:-1], size)]
             columns = [pa.ListArray.from_arrays(pa.array(at[ends], pa.int32()), pa.array(ids, pa.int32()))]
             if text:
                 columns.append(pa.array([x.decode("utf-8", "replace") for x in _cut(spelling.take(pa.array(codes)), ends)], pa.string()))
