@@ -1,10 +1,10 @@
 """Byte-pair encoding and decoding of whole texts through a table of distinct words.
 
 Texts are split into the words that the tokenizer merges within. Each chunk of texts keeps its words as a dictionary and the texts
-as positions in it. The words of all dictionaries meet in one table, sorted by word, where each distinct word is encoded once; ids
-go back to their dictionaries by place, and to the texts by position. Chunks are stored in buckets, so that only words and their
-ids are shuffled, many to a row. Decoding joins each id with its piece, whose table the vocabulary bounds, without a shuffle; with encoding
-it takes the ids of words before they are put back, so that a word is joined once a dictionary and not once a token.
+as positions in it. Equal words of all dictionaries meet in one slot of the table of distinct words, where each is encoded once and its ids
+are joined with the pieces of the vocabulary; ids and pieces go back to the dictionaries by place, and to the texts by position. Chunks are
+stored in buckets, so that only words and ids are shuffled, many to a row and compressed. decode() takes any rows of ids: each
+id is joined with its piece, whose table the vocabulary bounds, without a shuffle.
 
 The tokenizer is a file of the tokenizers library: byte-level BPE without a normalizer. Its JSON, whose size the vocabulary
 bounds, travels with the tasks.
@@ -21,7 +21,6 @@ from functools import cache
 from itertools import islice
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -161,6 +160,19 @@ class Dictionary(dict):
         return n
 
 
+def _blob(**columns: pa.Array) -> bytes:
+    """Columns of one length as compressed bytes."""
+    batch = pa.RecordBatch.from_pydict(columns)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _read(blobs: pa.ChunkedArray) -> list[pa.Table]:
+    return [pa.ipc.open_stream(b).read_all() for b in blobs.to_pylist()]
+
+
 def _packed(codes: np.ndarray) -> bytes:
     """Codes as bytes: first all lowest bytes, then the next; compressed."""
     return pa.compress(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
@@ -174,15 +186,14 @@ def _unpacked(packed: bytes, n: int) -> np.ndarray:
 def chunked(docs: DataFrame, source: str, text_col: str, slots: int, chunk: int = CHUNK) -> DataFrame:
     """Two kinds of rows, told apart by __tm_text. A text's: its chunk, its place there, its columns, its number of words and,
     with the last text of a block of them, the packed codes of all words of the block. A slot's: its chunk, number and, sorted, those words of the
-    dictionary whose hash falls in it, with their places.
+    dictionary whose hash falls in it, with their places, packed.
 
     A chunk is a run of texts of one task of about `chunk` code points, or one longer text.
     """
     others = [c for c in docs.columns if c != text_col]
     types = {f.name: f.dataType.simpleString() for f in docs.schema}
-    schema = ", ".join(["__tm_text boolean", "__tm_chunk bigint", "__tm_place int", *(f"`{c}` {types[c]}" for c in others), "__tm_n int", "__tm_codes binary", "__tm_words array<string>", "__tm_places array<int>"])
-    names = ["__tm_text", "__tm_chunk", "__tm_place", *others, "__tm_n", "__tm_codes", "__tm_words", "__tm_places"]
-    strings, ints = pa.list_(pa.string()), pa.list_(pa.int32())
+    schema = ", ".join(["__tm_text boolean", "__tm_chunk bigint", "__tm_place int", *(f"`{c}` {types[c]}" for c in others), "__tm_n int", "__tm_codes binary", "__tm_words binary"])
+    names = ["__tm_text", "__tm_chunk", "__tm_place", *others, "__tm_n", "__tm_codes", "__tm_words"]
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs_of, k = run_splitter(source), TaskContext.get().partitionId() << 32
@@ -193,7 +204,7 @@ def chunked(docs: DataFrame, source: str, text_col: str, slots: int, chunk: int
             codes, sizes = seen.words_of(np.concatenate(found) if found else np.zeros(0, np.int64))
             n_words = np.diff(np.concatenate([[0], np.cumsum(sizes)])[runs])
             blobs = pa.array([None] * (n - 1) + [_packed(codes)], pa.binary())
-            ends = [pa.array(n_words, pa.int32()), blobs, pa.nulls(n, strings), pa.nulls(n, ints)]
+            ends = [pa.array(n_words, pa.int32()), blobs, pa.nulls(n, pa.binary())]
             return pa.RecordBatch.from_arrays([pa.repeat(True, n), pa.repeat(pa.scalar(k, pa.int64()), n), pa.array(range(placed, placed + n), pa.int32()), *own.columns, *ends], names=names)
 
         def dictionary() -> Iterator[pa.RecordBatch]:
@@ -202,11 +213,12 @@ def chunked(docs: DataFrame, source: str, text_col: str, slots: int, chunk: int
             slot = np.fromiter((zlib.crc32(w.encode()) for w in listed), np.int64, len(listed)) % slots
             order = np.argsort(slot, kind="stable")
             held, first = np.unique(slot[order], return_index=True)
-            ends = pa.array(np.append(first, len(listed)), pa.int32())
-            words = pa.ListArray.from_arrays(ends, pa.array([listed[i] for i in order.tolist()], pa.string()))
-            places = pa.ListArray.from_arrays(ends, pa.array([numbers[listed[i]] for i in order.tolist()], pa.int32()))
+            words = pa.array(listed, pa.string()).take(pa.array(order))
+            places = pa.array([numbers[w] for w in listed], pa.int32()).take(pa.array(order))
+            ends = np.append(first, len(listed)).tolist()
+            blobs = [_blob(word=words.slice(a, b - a), place=places.slice(a, b - a)) for a, b in zip(ends, ends[1:])]
             n = len(held)
-            yield pa.RecordBatch.from_arrays([pa.repeat(False, n), pa.repeat(pa.scalar(k, pa.int64()), n), pa.array(held, pa.int32()), *(pa.nulls(n, t) for t in kinds), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), words, places], names=names)
+            yield pa.RecordBatch.from_arrays([pa.repeat(False, n), pa.repeat(pa.scalar(k, pa.int64()), n), pa.array(held, pa.int32()), *(pa.nulls(n, t) for t in kinds), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(blobs, pa.binary())], names=names)
 
         for batch in batches:
             own, column = batch.select(others), batch.column(text_col)
@@ -242,63 +254,50 @@ def bucketed(rows: DataFrame, name: str, key: str, sort: str, *parts: str) -> Da
     return spark.table(table)
 
 
-def encoded_words(words: DataFrame, source: str) -> DataFrame:
-    """(word, chunk, place) with ids, in place of the word. Equal words meet in one partition, sorted, and are encoded once."""
+def encoded_slots(slots: DataFrame, source: str, text: bool) -> DataFrame:
+    """(chunk, words) of rows (chunk, slot, words): for each chunk's words of a slot, in place of the words, their ids and, with text, the bytes of
+    their pieces. All equal words are in one slot, where each distinct one is encoded once, and its ids are joined with the vocabulary's pieces."""
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, last, last_ids = tokenizer_of(source), None, None
-        for batch in batches:
-            coded = batch.column("word").dictionary_encode()
-            distinct = coded.dictionary.to_pylist()
-            known = bool(distinct) and distinct[0] == last
-            ids = [last_ids] * known + [e.ids for e in t.encode_batch(distinct[known:], add_special_tokens=False)]
-            if distinct:
-                last, last_ids = distinct[-1], ids[-1]
-            yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("place"), pa.array(ids, pa.list_(pa.int32())).take(coded.indices)], names=["chunk", "place", "ids"])
-
-    return words.sortWithinPartitions("word").mapInArrow(encode, "chunk bigint, place int, ids array<int>")
+    def encode(slot: pa.Table) -> pa.Table:
+        tables = _read(slot["words"])
+        words = pa.concat_tables(tables).combine_chunks()
+        coded = words["word"].combine_chunks().dictionary_encode() if len(tables) == 1 else pa.concat_arrays(words["word"].chunks).dictionary_encode()
+        found = [e.ids for e in tokenizer_of(source).encode_batch(coded.dictionary.to_pylist(), add_special_tokens=False)]
+        ids = pa.array(found, pa.list_(pa.int32()))
+        of_all = {"place": pa.concat_arrays(words["place"].chunks), "ids": ids.take(coded.indices)}
+        if text:
+            each = pa.table({"id": ids.flatten(), "at": pa.array(np.arange(len(ids.flatten())))})
+            joined = each.join(vocabulary(source), "id").sort_by("at")["piece"].combine_chunks()
+            joined = pa.concat_arrays(joined.chunks) if isinstance(joined, pa.ChunkedArray) else joined
+            ends = np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False))])
+            of_all["bytes"] = pa.array(_cut(joined.fill_null(b""), ends), pa.binary()).take(coded.indices)
+        ends = np.concatenate([[0], np.cumsum([len(t) for t in tables])]).tolist()
+        blobs = [_blob(**{n: c.slice(a, b - a) for n, c in of_all.items()}) for a, b in zip(ends, ends[1:])]
+        return pa.table({"chunk": slot["chunk"], "words": pa.array(blobs, pa.binary())})
 
-
-def gathered(rows: DataFrame, text: bool) -> DataFrame:
-    """rows (chunk, place, ids, bytes) with those of one chunk that stand together in a partition as one row of arrays: places, ids end to end, how many
-    each has, and bytes. Up to 50,000 of them to a row."""
-    names = ["chunk", "places", "ids", "counts", *(["bytes"] if text else [])]
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            chunk = batch.column("chunk").to_numpy()
-            first = np.flatnonzero(np.diff(chunk, prepend=-1))
-            ends = pa.array(np.append(first, len(chunk)), pa.int32())
-            lists = batch.column("ids")
-            counts = pc.list_value_length(lists)
-            upto = np.concatenate([[0], np.cumsum(counts.to_numpy(zero_copy_only=False))])[np.append(first, len(chunk))]
-            columns = [pa.ListArray.from_arrays(ends, batch.column("place")), pa.ListArray.from_arrays(pa.array(upto, pa.int32()), lists.flatten()), pa.ListArray.from_arrays(ends, counts)]
-            columns += [pa.ListArray.from_arrays(ends, batch.column("bytes"))] if text else []
-            yield pa.RecordBatch.from_arrays([pa.array(chunk[first]), *columns], names=names)
-
-    schema = "chunk bigint, places array<int>, ids array<int>, counts array<int>" + (", bytes array<binary>" if text else "")
-    return rows.sortWithinPartitions("chunk").mapInArrow(gather, schema)
+    return slots.groupBy("slot").applyInArrow(encode, "chunk bigint, words binary")
 
 
 def _chunk_texts(docs: DataFrame, source: str, text_col: str, chunk: int, text: bool) -> DataFrame:
     others = [c for c in docs.columns if c not in (text_col, "ids")]
-    slots = max(SLOTS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # Slots grow with the cluster's partitions, so that a slot's words fit in a task.
+    slots = max(SLOTS, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     both = bucketed(chunked(docs.select(*others, text_col), source, text_col, slots, chunk), "chunks", "__tm_chunk", "__tm_place", "__tm_text")
-    listed = both.where("not __tm_text").select("__tm_chunk", "__tm_place", "__tm_words", "__tm_places").repartition("__tm_place")
-    words = listed.select(F.col("__tm_chunk").alias("chunk"), F.explode(F.arrays_zip(F.col("__tm_words").alias("word"), F.col("__tm_places").alias("place"))).alias("w")).select("w.word", "chunk", "w.place")
-    spelled = encoded_words(words, source)
-    spelled = gathered(with_bytes(spelled, source, "bytes") if text else spelled, text)
+    listed = both.where("not __tm_text").select(F.col("__tm_chunk").alias("chunk"), F.col("__tm_place").alias("slot"), F.col("__tm_words").alias("words"))
+    spelled = encoded_slots(listed, source, text)
     texts = both.where("__tm_text").select("__tm_chunk", "__tm_place", *others, "__tm_n", "__tm_codes")
     types = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in others), "ids array<int>", *([f"`{text_col}` string"] if text else [])])
 
     def put_back(texts: pa.Table, words: pa.Table) -> pa.Table:
         texts = texts.sort_by("__tm_place").combine_chunks()
-        flat = lambda c, kind: pa.concat_arrays([x.flatten() for x in words[c].chunks]) if len(words) else pa.array([], kind)
-        order = np.argsort(flat("places", pa.int32()).to_numpy())
-        counts = flat("counts", pa.int32()).to_numpy().astype(np.int64)
-        starts, ids_ = np.cumsum(counts) - counts, flat("ids", pa.int32()).to_numpy()
-        starts, counts_of = starts[order], counts[order]
+        told = pa.concat_tables(_read(words["words"])) if len(words) else None
+        flat = lambda c, kind: pa.concat_arrays(told[c].chunks) if told is not None else pa.array([], kind)
+        order = np.argsort(flat("place", pa.int32()).to_numpy())
+        lists = flat("ids", pa.list_(pa.int32()))
+        counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        ids_ = lists.flatten().to_numpy(zero_copy_only=False)
+        starts, counts_of = (np.cumsum(counts) - counts)[order], counts[order]
         spelling = flat("bytes", pa.binary()).take(pa.array(order)) if text else None
         n_words, packed = texts["__tm_n"].to_numpy(), texts["__tm_codes"].to_pylist()
         out, a = [], 0
@@ -340,11 +339,16 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def pieces(spark: SparkSession, source: str) -> DataFrame:
+@cache
+def vocabulary(source: str) -> pa.Table:
     """(id, piece): each id's bytes. One row an id of the vocabulary, which bounds what is sent."""
     t, byte_of = tokenizer_of(source), _byte_of()
     rows = [(i, bytes(byte_of[c] for c in p) if all(c in byte_of for c in p) else p.encode()) for p, i in t.get_vocab(with_added_tokens=True).items()]
-    return spark.createDataFrame(pd.DataFrame(rows, columns=["id", "piece"]), "id int, piece binary")
+    return pa.table({"id": pa.array([i for i, _ in rows], pa.int32()), "piece": pa.array([p for _, p in rows], pa.binary())})
+
+
+def pieces(spark: SparkSession, source: str) -> DataFrame:
+    return spark.createDataFrame(vocabulary(source))
 
 
 def _cut(pieces: pa.Array, ends: np.ndarray) -> list[bytes]:
