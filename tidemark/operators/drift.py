@@ -17,7 +17,7 @@ def kolmogorov_p(d: Column, n: Column, m: Column, terms: int = 40) -> Column:
     For x under 0.2, where the series converges slowly, one (the error is under 1e-12). Null without samples."""
     x = d * F.sqrt(F.try_divide(n * m, n + m))
     series = sum((F.exp(-2.0 * k * k * x * x) * (2 if k % 2 else -2) for k in range(1, terms + 1)), F.lit(0.0))
-    return F.when(x < 0.2, 1.0).when(x.isNotNull(), F.least(F.greatest(series, F.lit(0.0)), F.lit(1.0)))
+    return F.when((n > 0) & (m > 0) & (x < 0.2), 1.0).when(x.isNotNull(), F.least(F.greatest(series, F.lit(0.0)), F.lit(1.0)))
 
 
 def ks_by_day(rows: DataFrame, p: str, before: int = SHORT) -> DataFrame:

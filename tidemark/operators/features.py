@@ -154,31 +154,6 @@ def with_session(bars: DataFrame) -> DataFrame:
     return out.withColumn("i", F.row_number().over(Window.partitionBy("market", "session").orderBy("ts")))
 
 
-def precursor(bars: DataFrame, k: int) -> DataFrame:
-    """What the first k bars of each session show: conditional aggregates of one grouping."""
-    early = F.col("i") <= k
-    return with_session(bars).groupBy("session", "market").agg(
-        (F.max(F.when(F.col("i") == k, F.col("close"))) / F.max(F.when(F.col("i") == 1, F.col("open"))) - 1).alias(f"ret{k}"), (F.max(F.when(early, F.col("high"))) / F.min(F.when(early, F.col("low"))) - 1).alias(f"range{k}"),
-        (F.sum(F.when(early, F.col("volume")).otherwise(0.0)) / F.sum("volume")).alias("vol_share"), F.count("*").alias("n"),
-    )
-
-
-def precursor_hourly(bars: DataFrame, hour: int = 8) -> DataFrame:
-    """The state of each session at `hour` of its end: last close, volume against the day before, new high, bars so far."""
-    w = Window.partitionBy("market").orderBy("ts").rowsBetween(-24, -1)
-    rows = with_session(bars).withColumns({"vr": F.col("volume") / F.avg("volume").over(w), "nh": F.col("close") > F.max("high").over(w)}).where((F.hour("ts") >= 9) | (F.hour("ts") < hour))
-    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("ts")))
-    return rows.groupBy("session", "market").agg(F.max_by("close", "ts").alias("last_close"), last("vr").alias("vol_ratio"), last("nh").alias("over_high"), F.count("*").alias("bars_so_far"))
-
-
-def lookback_returns(bars: DataFrame, minutes: dict[str, int]) -> DataFrame:
-    """Return of each session's last close over the last close at least so many minutes before, within the session."""
-    rows = with_session(bars).withColumn("t", F.max("ts").over(Window.partitionBy("market", "session")))
-    age = (F.unix_seconds("t") - F.unix_seconds("ts")) / 60
-    old = {n: F.max_by("close", F.when(F.col("age") >= m, F.col("ts"))) for n, m in minutes.items()}
-    return rows.withColumn("age", age).groupBy("session", "market").agg(F.max_by("close", "ts").alias("c"), *[c.alias(n) for n, c in old.items()]).select("session", "market", *[(F.col("c") / F.col(n) - 1).alias(n) for n in minutes])
-
-
 def contraction_at_close(bars: DataFrame, k: int) -> DataFrame:
     """Range of the k bars before the last k over that of the last k, both against the close, at each session's last full row."""
     w = lambda a, b: Window.partitionBy("market").orderBy("ts").rowsBetween(a, b)

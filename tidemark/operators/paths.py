@@ -6,6 +6,8 @@ each entry is sent to the dates that its window touches, so no side is ever comp
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -31,6 +33,15 @@ def interval_join(entries_: DataFrame, bars: DataFrame, hours: int = 24) -> Data
     return rows.withColumn("idx", ((F.unix_seconds("ts") - F.unix_seconds("start")) / 900).cast("long")).drop("date_")
 
 
+def per_start(entries_: DataFrame, bars: DataFrame, fold: Callable[[DataFrame], DataFrame], hours: int = 24) -> DataFrame:
+    """fold(paths), whose rows are keyed by entry_id, for every entry. Entries of one market and start have one path: paths are joined and folded
+    once for each start, under the smallest entry_id, and only the results go to all entries, so what is joined to bars is bounded by
+    the grid of starts however many entries there are. A start that very many entries share is one row on its side of the last join."""
+    starts = entries_.groupBy("market", "start").agg(F.min("entry_id").alias("entry_id"))
+    keys = entries_.select("entry_id", "market", "start").join(starts.withColumnRenamed("entry_id", "one_"), ["market", "start"]).select("entry_id", "one_")
+    return keys.join(fold(interval_join(starts, bars, hours)).withColumnRenamed("entry_id", "one_"), "one_").drop("one_")
+
+
 def prior_close(entries_: DataFrame, bars: DataFrame) -> DataFrame:
     """Entries with prior, the last close strictly before start: one sort of both sides by time."""
     a = entries_.select("entry_id", "market", F.col("start").alias("t"), F.lit(0).alias("kind"), F.lit(None).cast("double").alias("c"))

@@ -134,11 +134,11 @@ def probabilistic_sharpe(returns: DataFrame, benchmark: float = 0.0) -> DataFram
 
 
 def against_benchmark(returns: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Beta, alpha, correlation, R², tracking error and information ratio on shared days. benchmark: (day, bench)."""
+    """Beta, alpha, correlation, R², tracking error and information ratio on shared days, null where they don't exist. benchmark: (day, bench)."""
     r = returns.join(benchmark, "day")
     d = F.col("ret") - F.col("bench")
     return r.groupBy("series").agg(
-        F.count("*").alias("n"), F.regr_slope("ret", "bench").alias("beta"), F.regr_intercept("ret", "bench").alias("alpha"), F.corr("ret", "bench").alias("corr"), F.regr_r2("ret", "bench").alias("r2"),
+        F.count("*").alias("n"), F.regr_slope("ret", "bench").alias("beta"), F.regr_intercept("ret", "bench").alias("alpha"), F.try_divide(F.covar_pop("ret", "bench"), F.stddev_pop("ret") * F.stddev_pop("bench")).alias("corr"), F.regr_r2("ret", "bench").alias("r2"),
         F.stddev_samp(d).alias("tracking_error"), (F.try_divide(F.avg(d), F.stddev_samp(d)) * math.sqrt(YEAR)).alias("information_ratio"),
     )
 

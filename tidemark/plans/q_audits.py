@@ -14,7 +14,7 @@ from tidemark.plans.duck import LEDGER, TRADES
 from tidemark.plans.q_evaluate import H, hy
 from tidemark.plans.q_features import REGIME, W
 from tidemark.plans.q_heads import FEATURES, labelled
-from tidemark.plans.q_paths import PATHS, paths
+from tidemark.plans.q_paths import PATHS, each
 from tidemark.plans.q_selection import CELLS, HEADS, cells, ranked, universe
 from tidemark.plans.registry import query
 from tidemark.sources.adapters import bars_1d, ledger, trades
@@ -208,12 +208,11 @@ query(
 
 # realized columns of entries: the first hour and the whole path
 def realized(s, d):
-    rows = p.with_entry_price(paths(s, d))
     out = []
     for name, k in (("1h", 4), ("24h", 96)):
         inside = F.col("idx") < k
         out += [(F.max(F.when(inside, F.col("high"))) / F.first("entry") - 1).alias(f"max_{name}"), (F.min(F.when(inside, F.col("low"))) / F.first("entry") - 1).alias(f"min_{name}"), (F.max_by("close", F.when(inside, F.col("idx"))) / F.first("entry") - 1).alias(f"close_{name}")]
-    return rows.groupBy("entry_id").agg(*out)
+    return each(s, d, lambda q: p.with_entry_price(q).groupBy("entry_id").agg(*out))
 
 
 query(
@@ -293,7 +292,7 @@ def head_sql(name: str) -> tuple[str, str]:
 query(
     "l_05_distribution_heads", "entry_id:l " + " ".join(f"{n}:l" for n in p.HEADS),
     f"{PATHS}, hh AS (SELECT *, {', '.join(head_sql(n)[0] for n in p.HEADS)} FROM pa) SELECT entry_id, {', '.join(head_sql(n)[1] for n in p.HEADS)} FROM hh GROUP BY entry_id",
-)(lambda s, d: p.distribution_heads(paths(s, d), SCALE))
+)(lambda s, d: each(s, d, lambda q: p.distribution_heads(q, SCALE)))
 
 
 # trades known at nine o'clock of each day

@@ -17,7 +17,7 @@ from tidemark.plans.duck import LEDGER, TRADES, intraday
 from tidemark.plans.duck import lag as lg
 from tidemark.plans.q_evaluate import DELTA, H, deltas, hy
 from tidemark.plans.q_features import FLAG, SCORE, W
-from tidemark.plans.q_paths import PATHS, paths
+from tidemark.plans.q_paths import PATHS, each
 from tidemark.plans.q_selection import HEADS, ranked, universe
 from tidemark.plans.registry import query
 from tidemark.sources.adapters import bars_1d, bars_intraday, ledger, trades
@@ -83,19 +83,19 @@ query("f_35_placeholder_day", "market:s f_close:d f_ret_3d:d", f"{W}, r AS (SELE
     lambda s, d: (b := bars_1d(s, d).select("market", "day", "close", f.ret(3).alias("r3"))).unionByName(b.select("market").distinct().select("market", F.lit("9999-01-01").cast("date").alias("day"), F.lit(None).cast("double").alias("close"), F.lit(None).cast("double").alias("r3"))).withColumns({"f_close": f.lag("close"), "f_ret_3d": f.lag("r3")}).where("day = date'9999-01-01'")
 )
 query("l_03_path_label", "entry_id:l label:l", f"{PATHS}, z AS (SELECT entry_id, min(CASE WHEN low <= entry * (1 - 0.03) THEN idx END) AS i, min(CASE WHEN high >= entry * (1 + 0.02) THEN idx END) AS j FROM pa GROUP BY entry_id) SELECT entry_id, (j IS NOT NULL AND NOT coalesce(i <= j, false))::INT AS label FROM z")(
-    lambda s, d: p.first_touch(paths(s, d), 0.03, 0.02).withColumn("label", (F.col("reason") == "tp").cast("int"))
+    lambda s, d: each(s, d, lambda q: p.first_touch(q, 0.03, 0.02)).withColumn("label", (F.col("reason") == "tp").cast("int"))
 )
 query("l_15_up_before_down", "entry_id:l up_first:l", f"{PATHS}, z AS (SELECT entry_id, min(CASE WHEN low <= entry * (1 - 0.01) THEN idx END) AS i, min(CASE WHEN high >= entry * (1 + 0.02) THEN idx END) AS j FROM pa GROUP BY entry_id) SELECT entry_id, (j < coalesce(i, 999))::INT AS up_first FROM z")(
-    lambda s, d: p.first_touch(paths(s, d), 0.01, 0.02).withColumn("up_first", (F.col("i_tp") < F.coalesce("i_sl", F.lit(999))).cast("int"))
+    lambda s, d: each(s, d, lambda q: p.first_touch(q, 0.01, 0.02)).withColumn("up_first", (F.col("i_tp") < F.coalesce("i_sl", F.lit(999))).cast("int"))
 )
 query("x_10_hold_hours", "reason:s n:l mean_hours:d", f"{PATHS}, z AS (SELECT entry_id, min(CASE WHEN low <= entry * (1 - 0.02) THEN idx END) AS i, min(CASE WHEN high >= entry * (1 + 0.02) THEN idx END) AS j, max(idx) AS m FROM pa GROUP BY entry_id), y AS (SELECT CASE WHEN i <= coalesce(j, 999) THEN 'sl' WHEN j IS NOT NULL THEN 'tp' ELSE 'eod' END AS reason, CASE WHEN i <= coalesce(j, 999) THEN i WHEN j IS NOT NULL THEN j ELSE m END AS k FROM z) SELECT reason, count(*) AS n, avg((k + 1) / 4.0) AS mean_hours FROM y GROUP BY reason")(
-    lambda s, d: (q := paths(s, d)) is not None and p.first_touch(q, 0.02, 0.02).join(q.groupBy("entry_id").agg(F.max("idx").alias("m")), "entry_id").withColumn("k", F.when(F.col("reason") == "sl", F.col("i_sl")).when(F.col("reason") == "tp", F.col("i_tp")).otherwise(F.col("m"))).groupBy("reason").agg(F.count("*").alias("n"), F.avg((F.col("k") + 1) / 4).alias("mean_hours"))
+    lambda s, d: each(s, d, lambda q: p.first_touch(q, 0.02, 0.02).join(q.groupBy("entry_id").agg(F.max("idx").alias("m")), "entry_id")).withColumn("k", F.when(F.col("reason") == "sl", F.col("i_sl")).when(F.col("reason") == "tp", F.col("i_tp")).otherwise(F.col("m"))).groupBy("reason").agg(F.count("*").alias("n"), F.avg((F.col("k") + 1) / 4).alias("mean_hours"))
 )
 query("x_13_residual_day", "entry_id:l residual:d", f"{PATHS} SELECT entry_id, arg_max(close, idx) / arg_min(CASE WHEN idx >= 8 THEN open END, CASE WHEN idx >= 8 THEN idx END) - 1 AS residual FROM pa GROUP BY entry_id")(
-    lambda s, d: paths(s, d).groupBy("entry_id").agg((F.max_by("close", "idx") / F.min_by("open", F.when(F.col("idx") >= 8, F.col("idx"))) - 1).alias("residual"))
+    lambda s, d: each(s, d, lambda q: q.groupBy("entry_id").agg((F.max_by("close", "idx") / F.min_by("open", F.when(F.col("idx") >= 8, F.col("idx"))) - 1).alias("residual")))
 )
 query("x_14_reclaim_entry", "entry_id:l gate:b reclaim_idx:l", f"{PATHS}, z AS (SELECT entry_id, max(CASE WHEN idx < 16 THEN high END) AS wh, max(CASE WHEN idx < 8 THEN high END) - min(CASE WHEN idx < 8 THEN low END) AS r1, max(CASE WHEN idx BETWEEN 8 AND 15 THEN high END) - min(CASE WHEN idx BETWEEN 8 AND 15 THEN low END) AS r2, min(CASE WHEN idx < 8 THEN low END) AS l1, min(CASE WHEN idx BETWEEN 8 AND 15 THEN low END) AS l2 FROM pa GROUP BY entry_id) SELECT z.entry_id, coalesce(any_value(r1 > r2 AND l2 > l1), false) AS gate, min(CASE WHEN idx >= 16 AND close > wh THEN idx END) AS reclaim_idx FROM z JOIN pa ON pa.entry_id = z.entry_id GROUP BY z.entry_id")(
-    lambda s, d: (q := paths(s, d).withColumn("wh", F.max(F.when(F.col("idx") < 16, F.col("high"))).over(Window.partitionBy("entry_id")))) is not None and q.groupBy("entry_id").agg(F.expr("max(case when idx < 8 then high end) - min(case when idx < 8 then low end)").alias("a"), F.expr("max(case when idx between 8 and 15 then high end) - min(case when idx between 8 and 15 then low end)").alias("b"), F.expr("min(case when idx < 8 then low end)").alias("l1"), F.expr("min(case when idx between 8 and 15 then low end)").alias("l2"), F.expr("min(case when idx >= 16 and close > wh then idx end)").alias("reclaim_idx")).withColumn("gate", F.coalesce((F.col("a") > F.col("b")) & (F.col("l2") > F.col("l1")), F.lit(False)))
+    lambda s, d: each(s, d, lambda q: q.withColumn("wh", F.max(F.when(F.col("idx") < 16, F.col("high"))).over(Window.partitionBy("entry_id"))).groupBy("entry_id").agg(F.expr("max(case when idx < 8 then high end) - min(case when idx < 8 then low end)").alias("a"), F.expr("max(case when idx between 8 and 15 then high end) - min(case when idx between 8 and 15 then low end)").alias("b"), F.expr("min(case when idx < 8 then low end)").alias("l1"), F.expr("min(case when idx between 8 and 15 then low end)").alias("l2"), F.expr("min(case when idx >= 16 and close > wh then idx end)").alias("reclaim_idx"))).withColumn("gate", F.coalesce((F.col("a") > F.col("b")) & (F.col("l2") > F.col("l1")), F.lit(False)))
 )
 query("x_17_cost_sweep", "cost:d net:d positive:d", f"{L} SELECT cost, avg(net_pct - cost) AS net, avg((net_pct > cost)::INT) AS positive FROM ledger, (VALUES (0.0), (0.15), (0.5)) v(cost) WHERE status = 'closed' GROUP BY cost")(
     lambda s, d: ledger(s, d).where("status = 'closed'").withColumn("cost", F.explode(F.array(F.lit(0.0), F.lit(0.15), F.lit(0.5)))).groupBy("cost").agg(F.avg(F.col("net_pct") - F.col("cost")).alias("net"), F.avg((F.col("net_pct") > F.col("cost")).cast("int")).alias("positive"))
@@ -116,13 +116,13 @@ def _fold_lift(rows, folds):
 
 
 query("a_33_hit_timing", "level:d hits:l share:d median:d p75:d", f"{PATHS}, z AS (SELECT entry_id, lv AS level, min(CASE WHEN high >= entry * (1 + lv) THEN idx END) * 15 AS m FROM pa, (VALUES (0.01), (0.02)) v(lv) GROUP BY entry_id, lv) SELECT level, count(m) AS hits, count(m) / count(*)::DOUBLE AS share, quantile_cont(m, 0.5) AS median, quantile_cont(m, 0.75) AS p75 FROM z GROUP BY level")(
-    lambda s, d: p.with_entry_price(paths(s, d)).groupBy("entry_id").agg(*[F.min(F.when(F.col("high") >= F.col("entry") * (1 + F.lit(lv)), F.col("idx") * 15)).alias(f"m{i}") for i, lv in enumerate((0.01, 0.02))]).selectExpr("stack(2, 0.01D, m0, 0.02D, m1) as (level, m)").groupBy("level").agg(F.count("m").alias("hits"), (F.count("m") / F.count("*")).alias("share"), F.percentile("m", 0.5).alias("median"), F.percentile("m", 0.75).alias("p75"))
+    lambda s, d: each(s, d, lambda q: p.with_entry_price(q).groupBy("entry_id").agg(*[F.min(F.when(F.col("high") >= F.col("entry") * (1 + F.lit(lv)), F.col("idx") * 15)).alias(f"m{i}") for i, lv in enumerate((0.01, 0.02))])).selectExpr("stack(2, 0.01D, m0, 0.02D, m1) as (level, m)").groupBy("level").agg(F.count("m").alias("hits"), (F.count("m") / F.count("*")).alias("share"), F.percentile("m", 0.5).alias("median"), F.percentile("m", 0.75).alias("p75"))
 )
 query("a_43_case_study", "day:s market:s prev_surge:d prev_rank:l", f"{W}, {SCORE}, ev AS (SELECT day, market FROM bars WHERE high / open - 1 >= 0.18) SELECT ev.day, ev.market, sc.s7 AS prev_surge, sc.liq AS prev_rank FROM ev LEFT JOIN sc ON sc.day = ev.day AND sc.market = ev.market")(
     lambda s, d: bars_1d(s, d).where("high / open - 1 >= 0.18").select("day", "market").join(r.scored(bars_1d(s, d)).select("day", "market", F.col("s7").alias("prev_surge"), F.col("liq").alias("prev_rank")), ["day", "market"], "left")
 )
 query("a_46_decay_curve", "horizon:s mean_max:d mean_close:d", f"{PATHS}, z AS (SELECT entry_id, hz AS horizon, max(CASE WHEN idx < k THEN high END) / any_value(entry) - 1 AS mx, arg_max(CASE WHEN idx < k THEN close END, CASE WHEN idx < k THEN idx END) / any_value(entry) - 1 AS c FROM pa, (VALUES ('1h', 4), ('4h', 16), ('24h', 96)) v(hz, k) GROUP BY entry_id, hz) SELECT horizon, avg(mx) AS mean_max, avg(c) AS mean_close FROM z GROUP BY horizon")(
-    lambda s, d: p.with_entry_price(paths(s, d)).groupBy("entry_id").agg(*[F.struct(F.lit(n).alias("horizon"), (F.max(F.when(F.col("idx") < k, F.col("high"))) / F.first("entry") - 1).alias("mx"), (F.max_by("close", F.when(F.col("idx") < k, F.col("idx"))) / F.first("entry") - 1).alias("c")).alias(f"h{k}") for n, k in (("1h", 4), ("4h", 16), ("24h", 96))]).select(F.explode(F.array("h4", "h16", "h96")).alias("z")).groupBy("z.horizon").agg(F.avg("z.mx").alias("mean_max"), F.avg("z.c").alias("mean_close"))
+    lambda s, d: each(s, d, lambda q: p.with_entry_price(q).groupBy("entry_id").agg(*[F.struct(F.lit(n).alias("horizon"), (F.max(F.when(F.col("idx") < k, F.col("high"))) / F.first("entry") - 1).alias("mx"), (F.max_by("close", F.when(F.col("idx") < k, F.col("idx"))) / F.first("entry") - 1).alias("c")).alias(f"h{k}") for n, k in (("1h", 4), ("4h", 16), ("24h", 96))])).select(F.explode(F.array("h4", "h16", "h96")).alias("z")).groupBy("z.horizon").agg(F.avg("z.mx").alias("mean_max"), F.avg("z.c").alias("mean_close"))
 )
 query("a_49_decision_outcomes", "decision:s n:l next_ret:d", f"{HEADS}, nx AS (SELECT day, market, lead(close) OVER (PARTITION BY market ORDER BY day) / close - 1 AS nr FROM bars) SELECT CASE WHEN dump THEN 'silent' WHEN rk <= 3 THEN 'sent' ELSE 'watched' END AS decision, count(*) AS n, avg(nr) AS next_ret FROM d1 JOIN nx ON nx.day = d1.day AND nx.market = d1.market GROUP BY 1")(
     lambda s, d: ranked(s, d).join(bars_1d(s, d).select("day", "market", (F.lead("close").over(Window.partitionBy("market").orderBy("day")) / F.col("close") - 1).alias("nr")), ["day", "market"]).groupBy(F.when(F.col("dump"), "silent").when(F.col("rk") <= 3, "sent").otherwise("watched").alias("decision")).agg(F.count("*").alias("n"), F.avg("nr").alias("next_ret"))

@@ -9,11 +9,10 @@ from tidemark.operators import evaluate as e
 from tidemark.operators import paths as p
 from tidemark.operators import ranks as r
 from tidemark.operators import selection as x
-from tidemark.operators import splits as v
 from tidemark.plans.duck import LEDGER
 from tidemark.plans.q_evaluate import H, hy
 from tidemark.plans.q_features import FLAG, REGIME
-from tidemark.plans.q_paths import DEL, PATHS, P, en, paths
+from tidemark.plans.q_paths import DEL, PATHS, P, each, en
 from tidemark.plans.q_selection import HEADS, cells, ranked, universe
 from tidemark.plans.registry import query
 from tidemark.sources.adapters import bars_1d, bars_intraday, ledger
@@ -27,10 +26,10 @@ query("a_37_tie_diagnostics", "day:s n:l tied:l largest_tie:l", f"{HEADS}, z AS
     lambda s, d: x.heads(universe(s, d)).groupBy("day", F.round("p_up10", 1).alias("t")).agg(F.count("*").alias("k")).groupBy("day").agg(F.sum("k").alias("n"), F.sum(F.when(F.col("k") > 1, F.col("k")).otherwise(0)).alias("tied"), F.max("k").alias("largest_tie"))
 )
 query("a_47_early_hit_rates", "span:s rate:d", f"{PATHS}, z AS (SELECT entry_id, w AS span, coalesce(max(CASE WHEN idx < k THEN (high >= entry * (1 + 0.01))::INT END), 0) AS hit FROM pa, (VALUES ('15m', 1), ('30m', 2), ('60m', 4)) v(w, k) GROUP BY entry_id, w) SELECT span, avg(hit) AS rate FROM z GROUP BY span")(
-    lambda s, d: p.with_entry_price(paths(s, d)).groupBy("entry_id").agg(*[F.coalesce(F.max(F.when(F.col("idx") < k, (F.col("high") >= F.col("entry") * (1 + F.lit(0.01))).cast("int"))), F.lit(0)).alias(f"h{k}") for k in (1, 2, 4)]).selectExpr("stack(3, '15m', h1, '30m', h2, '60m', h4) as (span, hit)").groupBy("span").agg(F.avg("hit").alias("rate"))
+    lambda s, d: each(s, d, lambda q: p.with_entry_price(q).groupBy("entry_id").agg(*[F.coalesce(F.max(F.when(F.col("idx") < k, (F.col("high") >= F.col("entry") * (1 + F.lit(0.01))).cast("int"))), F.lit(0)).alias(f"h{k}") for k in (1, 2, 4)])).selectExpr("stack(3, '15m', h1, '30m', h2, '60m', h4) as (span, hit)").groupBy("span").agg(F.avg("hit").alias("rate"))
 )
 query("a_50_delay_arms", "delay:l early:d late:d difference:d", f"{DEL}, g AS (SELECT k * 15 AS delay, avg(CASE WHEN entry_id < 50000 THEN eod END) AS early, avg(CASE WHEN entry_id >= 50000 THEN eod END) AS late FROM dz GROUP BY k) SELECT *, early - late AS difference FROM g")(
-    lambda s, d: p.outcomes(p.interval_join(en(s, d).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(2)))).select((F.col("entry_id") * 10 + F.col("k")).alias("entry_id"), "market", (F.timestamp_seconds(F.unix_seconds("start") + F.col("k") * 900)).alias("start")), bars_intraday(s, d))).groupBy((F.col("entry_id") % 10 * 15).alias("delay")).agg(F.avg(F.when(F.col("entry_id") < 50000, F.col("eod"))).alias("early"), F.avg(F.when(F.col("entry_id") >= 50000, F.col("eod"))).alias("late")).withColumn("difference", F.col("early") - F.col("late"))
+    lambda s, d: p.per_start(en(s, d).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(2)))).select((F.col("entry_id") * 10 + F.col("k")).alias("entry_id"), "market", (F.timestamp_seconds(F.unix_seconds("start") + F.col("k") * 900)).alias("start")), bars_intraday(s, d), p.outcomes).groupBy((F.col("entry_id") % 10 * 15).alias("delay")).agg(F.avg(F.when(F.col("entry_id") < 50000, F.col("eod"))).alias("early"), F.avg(F.when(F.col("entry_id") >= 50000, F.col("eod"))).alias("late")).withColumn("difference", F.col("early") - F.col("late"))
 )
 query("a_56_one_schema", "source:s n:l mean:d", f"{L} SELECT 'paper' AS source, count(*) AS n, avg(net_pct) AS mean FROM ledger WHERE status = 'closed' AND model_id = '1-URGENT' AND abs(net_pct) <= 9.5 UNION ALL SELECT 'shadow', count(*), avg(net_pct / 100) FROM ledger WHERE status = 'closed' AND model_id <> '1-URGENT' AND abs(net_pct) <= 9.5")(
     lambda s, d: ledger(s, d).where("model_id = '1-URGENT'").select(F.lit("paper").alias("source"), "day", "status", F.col("net_pct").alias("net")).unionByName(ledger(s, d).where("model_id != '1-URGENT'").select(F.lit("shadow").alias("source"), "status", (F.col("net_pct") / 100).alias("net"), F.abs("net_pct").alias("size")), allowMissingColumns=True).where("status = 'closed' and coalesce(size, abs(net)) <= 9.5").groupBy("source").agg(F.count("*").alias("n"), F.avg("net").alias("mean"))
@@ -45,11 +44,11 @@ query("v_21_fixed_rule_replay", "day:s picks:l ret:d", f"{HEADS}, ce AS (SELECT
     lambda s, d: cells(s, d).withColumn("quota", F.sum((F.col("rk") <= 3).cast("int")).over(w := Window.partitionBy("day", "lq4"))).withColumn("i", F.row_number().over(w.orderBy("p_dn5", "market"))).where("i <= quota").groupBy("day").agg(F.count("*").alias("picks"), F.avg(F.col("close") / F.col("open") - 1).alias("ret"))
 )
 query("x_19_first_hours", "entry_id:l ret_1h:d max_4h:d", f"{PATHS} SELECT entry_id, arg_max(CASE WHEN idx < 4 THEN close END, CASE WHEN idx < 4 THEN idx END) / any_value(entry) - 1 AS ret_1h, max(CASE WHEN idx < 16 THEN high END) / any_value(entry) - 1 AS max_4h FROM pa GROUP BY entry_id")(
-    lambda s, d: p.with_entry_price(paths(s, d)).groupBy("entry_id").agg((F.max_by("close", F.when(F.col("idx") < 4, F.col("idx"))) / F.first("entry") - 1).alias("ret_1h"), (F.max(F.when(F.col("idx") < 16, F.col("high"))) / F.first("entry") - 1).alias("max_4h"))
+    lambda s, d: each(s, d, lambda q: p.with_entry_price(q).groupBy("entry_id").agg((F.max_by("close", F.when(F.col("idx") < 4, F.col("idx"))) / F.first("entry") - 1).alias("ret_1h"), (F.max(F.when(F.col("idx") < 16, F.col("high"))) / F.first("entry") - 1).alias("max_4h")))
 )
 query("x_20_execution_time", "entry_id:l source:s start:s", f"{P} SELECT entry_id, CASE WHEN entry_id % 3 = 0 THEN 'delivered' WHEN entry_id % 3 = 1 THEN 'created' ELSE 'scheduled' END AS source, strftime(to_timestamp(((epoch_us(seen) // 1000000 + CASE WHEN entry_id % 3 = 0 THEN 60 WHEN entry_id % 3 = 1 THEN 0 ELSE -30 END) // 900) * 900 + 900)::TIMESTAMP, '%Y-%m-%d %H:%M:%S') AS start FROM en")(
     lambda s, d: en(s, d).withColumns({"delivered": F.when(F.col("entry_id") % 3 == 0, F.col("seen") + F.expr("interval 60 seconds")), "created": F.when(F.col("entry_id") % 3 == 1, F.col("seen")), "scheduled": F.col("seen") - F.expr("interval 30 seconds")}).select("entry_id", F.when(F.col("delivered").isNotNull(), "delivered").when(F.col("created").isNotNull(), "created").otherwise("scheduled").alias("source"), F.date_format(p.next_boundary(F.coalesce("delivered", "created", "scheduled")), "yyyy-MM-dd HH:mm:ss").alias("start"))
 )
 query("x_24_policy_comparison", "policy:s n:l mean_gross:d worst:d", f"{PATHS}, b(policy, sl, tp) AS (VALUES ('tight', 0.01, 0.01), ('even', 0.02, 0.02), ('wide', 0.04, 0.04)), g AS (SELECT entry_id, policy, any_value(sl) AS sl, any_value(tp) AS tp, min(CASE WHEN low <= entry * (1 - sl) THEN idx END) AS i, min(CASE WHEN high >= entry * (1 + tp) THEN idx END) AS j, arg_max(close, idx) / any_value(entry) - 1 AS e FROM pa, b GROUP BY entry_id, policy), z AS (SELECT policy, CASE WHEN i <= coalesce(j, 999) THEN -sl WHEN j IS NOT NULL THEN tp ELSE e END AS gross FROM g) SELECT policy, count(*) AS n, avg(gross) AS mean_gross, min(gross) AS worst FROM z GROUP BY policy")(
-    lambda s, d: p.variants(paths(s, d), [("tight", 0.01, 0.01), ("even", 0.02, 0.02), ("wide", 0.04, 0.04)]).groupBy(F.col("variant").alias("policy")).agg(F.count("*").alias("n"), F.avg("gross").alias("mean_gross"), F.min("gross").alias("worst"))
+    lambda s, d: each(s, d, lambda q: p.variants(q, [("tight", 0.01, 0.01), ("even", 0.02, 0.02), ("wide", 0.04, 0.04)])).groupBy(F.col("variant").alias("policy")).agg(F.count("*").alias("n"), F.avg("gross").alias("mean_gross"), F.min("gross").alias("worst"))
 )

@@ -75,17 +75,6 @@ query("e_05_clip_digitize", "day:s market:s clipped:d bin:l", f"{W} SELECT day,
 query("e_06_json_members", "k:l n:l", "SELECT (props->>'k')::BIGINT AS k, count(*) AS n FROM events GROUP BY 1")(lambda s, d: s.read.parquet(f"{d}/events.parquet").select(F.from_json("props", "k long")["k"].alias("k")).groupBy("k").agg(F.count("*").alias("n")))
 query("f_33_session_date", "session:s n:l", f"{T} SELECT (ts - INTERVAL 9 HOUR)::DATE AS session, count(*) AS n FROM trades GROUP BY 1")(lambda s, d: trades(s, d).groupBy(F.to_date(F.col("ts") - F.expr("interval 9 hours")).alias("session")).agg(F.count("*").alias("n")))
 IB = f"{T}, {intraday(240)}, ss AS (SELECT *, (ts - INTERVAL 9 HOUR)::DATE AS session, row_number() OVER (PARTITION BY market, (ts - INTERVAL 9 HOUR)::DATE ORDER BY ts) AS i FROM ibars)"
-query("f_23_precursor_4h", "session:s market:s ret4:d range4:d vol_share:d n:l", f"{IB} SELECT session, market, max(CASE WHEN i = 4 THEN close END) / max(CASE WHEN i = 1 THEN open END) - 1 AS ret4, max(CASE WHEN i <= 4 THEN high END) / min(CASE WHEN i <= 4 THEN low END) - 1 AS range4, sum(CASE WHEN i <= 4 THEN volume ELSE 0 END) / sum(volume) AS vol_share, count(*) AS n FROM ss GROUP BY ALL")(
-    lambda s, d: f.precursor(bars_intraday(s, d, 240), 4)
-)
-IH = f"{T}, {intraday(60)}, hh AS (SELECT *, (ts - INTERVAL 9 HOUR)::DATE AS session, hour(ts) AS h, avg(volume) OVER (PARTITION BY market ORDER BY ts ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING) AS mv, max(high) OVER (PARTITION BY market ORDER BY ts ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING) AS mh FROM ibars)"
-query("f_24_precursor_1h", "session:s market:s last_close:d vol_ratio:d over_high:b bars_so_far:l", f"{IH}, z AS (SELECT * FROM hh WHERE h >= 9 OR h < 8) SELECT session, market, arg_max(close, ts) AS last_close, arg_max(volume / mv, ts) AS vol_ratio, arg_max(close > mh, ts) AS over_high, count(*) AS bars_so_far FROM z GROUP BY ALL")(
-    lambda s, d: f.precursor_hourly(bars_intraday(s, d, 60))
-)
-IQ = f"{T}, {intraday(15)}, qq AS (SELECT *, (ts - INTERVAL 9 HOUR)::DATE AS session FROM ibars)"
-query("f_25_precursor_15m", "session:s market:s ret_30m:d ret_1h:d ret_3h:d", f"{IQ}, k AS (SELECT session, market, arg_max(close, ts) AS c, arg_max(ts, ts) AS t FROM qq GROUP BY ALL) SELECT k.session, k.market, " + ", ".join(f"c / arg_max(CASE WHEN q.ts <= t - INTERVAL {m} MINUTE THEN close END, CASE WHEN q.ts <= t - INTERVAL {m} MINUTE THEN q.ts END) - 1 AS {n}" for n, m in (("ret_30m", 30), ("ret_1h", 60), ("ret_3h", 180))) + " FROM k JOIN qq q ON q.market = k.market AND q.session = k.session GROUP BY k.session, k.market, c")(
-    lambda s, d: f.lookback_returns(bars_intraday(s, d, 15), {"ret_30m": 30, "ret_1h": 60, "ret_3h": 180})
-)
 query("f_26_contraction_4h", "session:s market:s contraction:d", f"{IB}, z AS (SELECT *, (max(high) OVER (PARTITION BY market ORDER BY ts ROWS BETWEEN 17 PRECEDING AND 9 PRECEDING) - min(low) OVER (PARTITION BY market ORDER BY ts ROWS BETWEEN 17 PRECEDING AND 9 PRECEDING)) / close AS pr, (max(high) OVER (PARTITION BY market ORDER BY ts ROWS BETWEEN 8 PRECEDING AND CURRENT ROW) - min(low) OVER (PARTITION BY market ORDER BY ts ROWS BETWEEN 8 PRECEDING AND CURRENT ROW)) / close AS rc, count(*) OVER (PARTITION BY market ORDER BY ts ROWS BETWEEN 17 PRECEDING AND CURRENT ROW) AS n FROM ss) SELECT session, market, arg_max(CASE WHEN n = 18 THEN pr / (rc + 1e-12) ELSE NULL END, ts) FILTER (n = 18) AS contraction FROM z GROUP BY ALL")(
     lambda s, d: f.contraction_at_close(bars_intraday(s, d, 240), 9)
 )
