@@ -85,9 +85,6 @@ query("f_35_placeholder_day", "market:s f_close:d f_ret_3d:d", f"{W}, r AS (SELE
 query("l_03_path_label", "entry_id:l label:l", f"{PATHS}, z AS (SELECT entry_id, min(CASE WHEN low <= entry * (1 - 0.03) THEN idx END) AS i, min(CASE WHEN high >= entry * (1 + 0.02) THEN idx END) AS j FROM pa GROUP BY entry_id) SELECT entry_id, (j IS NOT NULL AND NOT coalesce(i <= j, false))::INT AS label FROM z")(
     lambda s, d: each(s, d, lambda q: p.first_touch(q, 0.03, 0.02)).withColumn("label", (F.col("reason") == "tp").cast("int"))
 )
-query("l_15_up_before_down", "entry_id:l up_first:l", f"{PATHS}, z AS (SELECT entry_id, min(CASE WHEN low <= entry * (1 - 0.01) THEN idx END) AS i, min(CASE WHEN high >= entry * (1 + 0.02) THEN idx END) AS j FROM pa GROUP BY entry_id) SELECT entry_id, (j < coalesce(i, 999))::INT AS up_first FROM z")(
-    lambda s, d: each(s, d, lambda q: p.first_touch(q, 0.01, 0.02)).withColumn("up_first", (F.col("i_tp") < F.coalesce("i_sl", F.lit(999))).cast("int"))
-)
 query("x_10_hold_hours", "reason:s n:l mean_hours:d", f"{PATHS}, z AS (SELECT entry_id, min(CASE WHEN low <= entry * (1 - 0.02) THEN idx END) AS i, min(CASE WHEN high >= entry * (1 + 0.02) THEN idx END) AS j, max(idx) AS m FROM pa GROUP BY entry_id), y AS (SELECT CASE WHEN i <= coalesce(j, 999) THEN 'sl' WHEN j IS NOT NULL THEN 'tp' ELSE 'eod' END AS reason, CASE WHEN i <= coalesce(j, 999) THEN i WHEN j IS NOT NULL THEN j ELSE m END AS k FROM z) SELECT reason, count(*) AS n, avg((k + 1) / 4.0) AS mean_hours FROM y GROUP BY reason")(
     lambda s, d: each(s, d, lambda q: p.first_touch(q, 0.02, 0.02).join(q.groupBy("entry_id").agg(F.max("idx").alias("m")), "entry_id")).withColumn("k", F.when(F.col("reason") == "sl", F.col("i_sl")).when(F.col("reason") == "tp", F.col("i_tp")).otherwise(F.col("m"))).groupBy("reason").agg(F.count("*").alias("n"), F.avg((F.col("k") + 1) / 4).alias("mean_hours"))
 )

@@ -49,6 +49,3 @@ query("x_19_first_hours", "entry_id:l ret_1h:d max_4h:d", f"{PATHS} SELECT entry
 query("x_20_execution_time", "entry_id:l source:s start:s", f"{P} SELECT entry_id, CASE WHEN entry_id % 3 = 0 THEN 'delivered' WHEN entry_id % 3 = 1 THEN 'created' ELSE 'scheduled' END AS source, strftime(to_timestamp(((epoch_us(seen) // 1000000 + CASE WHEN entry_id % 3 = 0 THEN 60 WHEN entry_id % 3 = 1 THEN 0 ELSE -30 END) // 900) * 900 + 900)::TIMESTAMP, '%Y-%m-%d %H:%M:%S') AS start FROM en")(
     lambda s, d: en(s, d).withColumns({"delivered": F.when(F.col("entry_id") % 3 == 0, F.col("seen") + F.expr("interval 60 seconds")), "created": F.when(F.col("entry_id") % 3 == 1, F.col("seen")), "scheduled": F.col("seen") - F.expr("interval 30 seconds")}).select("entry_id", F.when(F.col("delivered").isNotNull(), "delivered").when(F.col("created").isNotNull(), "created").otherwise("scheduled").alias("source"), F.date_format(p.next_boundary(F.coalesce("delivered", "created", "scheduled")), "yyyy-MM-dd HH:mm:ss").alias("start"))
 )
-query("x_24_policy_comparison", "policy:s n:l mean_gross:d worst:d", f"{PATHS}, b(policy, sl, tp) AS (VALUES ('tight', 0.01, 0.01), ('even', 0.02, 0.02), ('wide', 0.04, 0.04)), g AS (SELECT entry_id, policy, any_value(sl) AS sl, any_value(tp) AS tp, min(CASE WHEN low <= entry * (1 - sl) THEN idx END) AS i, min(CASE WHEN high >= entry * (1 + tp) THEN idx END) AS j, arg_max(close, idx) / any_value(entry) - 1 AS e FROM pa, b GROUP BY entry_id, policy), z AS (SELECT policy, CASE WHEN i <= coalesce(j, 999) THEN -sl WHEN j IS NOT NULL THEN tp ELSE e END AS gross FROM g) SELECT policy, count(*) AS n, avg(gross) AS mean_gross, min(gross) AS worst FROM z GROUP BY policy")(
-    lambda s, d: each(s, d, lambda q: p.variants(q, [("tight", 0.01, 0.01), ("even", 0.02, 0.02), ("wide", 0.04, 0.04)])).groupBy(F.col("variant").alias("policy")).agg(F.count("*").alias("n"), F.avg("gross").alias("mean_gross"), F.min("gross").alias("worst"))
-)

@@ -79,12 +79,6 @@ query(
     "x_05_trailing", "entry_id:l reason:s gross:d",
     f"{PATHS}, q AS (SELECT *, CASE WHEN low <= entry * (1 - 0.03) THEN 'stop' WHEN hh >= entry * (1 + 0.01) AND low <= hh * (1 - 0.015) THEN 'trail' WHEN high >= entry * (1 + 0.04) THEN 'target' WHEN idx >= 80 THEN 'time' END AS rs FROM pa), z AS (SELECT *, row_number() OVER (PARTITION BY entry_id ORDER BY rs IS NULL, CASE WHEN rs IS NOT NULL THEN idx END, idx DESC) AS i FROM q) SELECT entry_id, coalesce(rs, 'eod') AS reason, CASE rs WHEN 'stop' THEN -0.03 WHEN 'trail' THEN hh * (1 - 0.015) / entry - 1 WHEN 'target' THEN 0.04 ELSE close / entry - 1 END AS gross FROM z WHERE i = 1",
 )(lambda s, d: each(s, d, lambda q: p.trailing(q, 0.01, 0.015, 0.03, 0.04, 80)))
-query("x_06_exit_rules", K + "rule:s stop:d target:d", f"{W}, a AS (SELECT *, (high - low) / close AS atr FROM bars) SELECT day, market, rule, CASE rule WHEN 'baseline' THEN 0.05 WHEN 'vol' THEN least(greatest(atr, 0.02), 0.1) ELSE least(greatest(atr / 2, 0.01), 0.05) END AS stop, CASE rule WHEN 'baseline' THEN 0.1 WHEN 'vol' THEN least(greatest(2 * atr, 0.04), 0.2) ELSE least(greatest(atr, 0.02), 0.1) END AS target FROM a, (SELECT unnest(['baseline', 'vol', 'vol_tight']) AS rule)")(
-    lambda s, d: bars_1d(s, d).withColumn("atr", (F.col("high") - F.col("low")) / F.col("close")).withColumn("rule", F.explode(F.array(*map(F.lit, ("baseline", "vol", "vol_tight"))))).withColumns({
-        "stop": F.when(F.col("rule") == "baseline", 0.05).when(F.col("rule") == "vol", F.least(F.greatest("atr", F.lit(0.02)), F.lit(0.1))).otherwise(F.least(F.greatest(F.col("atr") / 2, F.lit(0.01)), F.lit(0.05))),
-        "target": F.when(F.col("rule") == "baseline", 0.1).when(F.col("rule") == "vol", F.least(F.greatest(2 * F.col("atr"), F.lit(0.04)), F.lit(0.2))).otherwise(F.least(F.greatest("atr", F.lit(0.02)), F.lit(0.1))),
-    })
-)
 D1 = "CASE WHEN low <= open * (1 - 0.05) THEN -0.05 WHEN high >= open * (1 + 0.08) THEN 0.08 ELSE close / open - 1 END"
 query("x_09_daily_tp_sl", K + "gross:d net:d", f"{W} SELECT day, market, {D1} AS gross, {D1} - 0.0015 AS net FROM bars")(
     lambda s, d: bars_1d(s, d).withColumn("gross", F.when(F.col("low") <= F.col("open") * (1 - F.lit(0.05)), -0.05).when(F.col("high") >= F.col("open") * (1 + F.lit(0.08)), 0.08).otherwise(F.col("close") / F.col("open") - 1)).withColumn("net", F.col("gross") - 0.0015)
@@ -124,9 +118,6 @@ query("l_02_binary", K + "label:l", f"{W} SELECT day, market, (lead(high) OVER w
 query("l_04_outcome_labels", K + "up5:l up10:l up20:l dn5:l dn10:l neg:l", f"{W} SELECT day, market, " + ", ".join(f"CASE WHEN day < DATE '1998-06-01' THEN ({e})::INT END AS {n}" for n, e in {"up5": "high / open - 1 >= 0.05", "up10": "high / open - 1 >= 0.1", "up20": "high / open - 1 >= 0.2", "dn5": "low / open - 1 <= -0.05", "dn10": "low / open - 1 <= -0.1", "neg": "close < open"}.items()) + " FROM bars")(
     lambda s, d: bars_1d(s, d).withColumns({n: F.when(F.col("day") < F.lit("1998-06-01").cast("date"), F.expr(f"int({e})")) for n, e in {"up5": "high / open - 1 >= 0.05", "up10": "high / open - 1 >= 0.1", "up20": "high / open - 1 >= 0.2", "dn5": "low / open - 1 <= -0.05", "dn10": "low / open - 1 <= -0.1", "neg": "close < open"}.items()})
 )
-query("l_06_early_hits", "entry_id:l hit_1:l hit_2:l hit_4:l", f"{PATHS} SELECT entry_id, " + ", ".join(f"coalesce(max(CASE WHEN idx < {k} THEN (high >= entry * (1 + 0.01))::INT END), 0) AS hit_{k}" for k in (1, 2, 4)) + " FROM pa GROUP BY entry_id")(
-    lambda s, d: each(s, d, lambda q: p.with_entry_price(q).groupBy("entry_id").agg(*[F.coalesce(F.max(F.when(F.col("idx") < k, (F.col("high") >= F.col("entry") * (1 + F.lit(0.01))).cast("int"))), F.lit(0)).alias(f"hit_{k}") for k in (1, 2, 4)]))
-)
 query("l_07_hit_timing", "entry_id:l level:d idx:l minute:l", f"{PATHS} SELECT entry_id, lv AS level, min(CASE WHEN high >= entry * (1 + lv) THEN idx END) AS idx, min(CASE WHEN high >= entry * (1 + lv) THEN idx END) * 15 AS minute FROM pa, (VALUES (0.01), (0.02), (0.03)) v(lv) GROUP BY entry_id, lv")(
     lambda s, d: each(s, d, lambda q: p.with_entry_price(q).groupBy("entry_id").agg(*[F.min(F.when(F.col("high") >= F.col("entry") * (1 + F.lit(v)), F.col("idx"))).alias(f"i{k}") for k, v in enumerate((0.01, 0.02, 0.03))])).select("entry_id", F.explode(F.array(*[F.struct(F.lit(v).alias("level"), F.col(f"i{k}").alias("idx")) for k, v in enumerate((0.01, 0.02, 0.03))])).alias("x")).select("entry_id", "x.level", "x.idx", (F.col("x.idx") * 15).alias("minute"))
 )
