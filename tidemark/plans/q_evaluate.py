@@ -50,9 +50,6 @@ def _top_share(rows, share: float):
     return best.crossJoin(rows.agg(F.avg("hit").alias("base"))).withColumn("lift", F.col("precision") / F.col("base"))
 
 
-query("a_06_precision_by_regime", "tier:s n:l precision:d recall:d", f"{H}, z AS (SELECT *, CASE WHEN liq <= 3 THEN 'large' ELSE 'small' END AS tier FROM y) SELECT tier, sum((rk <= 3)::INT) AS n, avg(CASE WHEN rk <= 3 THEN y END) AS precision, sum(CASE WHEN rk <= 3 THEN y ELSE 0 END) / sum(y)::DOUBLE AS recall FROM z GROUP BY tier")(
-    lambda s, d: hy(s, d).withColumn("tier", F.when(F.col("liq") <= 3, "large").otherwise("small")).groupBy("tier").agg(F.sum((F.col("rk") <= 3).cast("int")).alias("n"), F.avg(F.when(F.col("rk") <= 3, F.col("y"))).alias("precision"), (F.sum(F.when(F.col("rk") <= 3, F.col("y")).otherwise(0)) / F.sum("y")).alias("recall"))
-)
 query("a_07_reliability", "bin:l n:l mean_p:d rate:d", f"{H} SELECT least(floor(p_up10 * 10), 9) AS bin, count(*) AS n, avg(p_up10) AS mean_p, avg(y) AS rate FROM y GROUP BY 1")(lambda s, d: e.reliability(hy(s, d), "p_up10", "y"))
 query("a_08_day_equal_calibration", "bin:l n:l day_rate:d day_p:d", f"{H}, z AS (SELECT day, (p_up10 >= 0.1)::INT + (p_up10 >= 0.2)::INT + (p_up10 >= 0.3)::INT AS bin, avg(y) AS r, count(*) AS k, avg(p_up10) AS q FROM y GROUP BY ALL) SELECT bin, sum(k) AS n, avg(r) AS day_rate, avg(q) AS day_p FROM z GROUP BY bin")(lambda s, d: e.day_equal_calibration(hy(s, d), "p_up10", "y", [0.1, 0.2, 0.3]))
 query("a_08_calibration_error", "ece:d", f"{H}, z AS (SELECT least(floor(p_up10 * 10), 9) AS bin, count(*) AS n, avg(p_up10) AS p, avg(y) AS r FROM y GROUP BY 1) SELECT sum(abs(p - r) * n) / sum(n) AS ece FROM z")(lambda s, d: e.calibration_error(e.reliability(hy(s, d), "p_up10", "y")))
@@ -80,7 +77,6 @@ query("a_17_percentile_bands", "band:s n:l hit:d", f"{H}, q AS (SELECT quantile_
 query("a_19_cumulative_probabilities", "day:s market:s expected:d p_ge_2:d", f"{HEADS} SELECT day, market, (1 - p_up10) * 0 + (p_up10 - p_up20) * 0.1 + p_up20 * 0.2 AS expected, p_up20 + (p_up10 - p_up20) AS p_ge_2 FROM h")(
     lambda s, d: x.heads(universe(s, d)).withColumn("p", F.array(1 - F.col("p_up10"), F.col("p_up10") - F.col("p_up20"), F.col("p_up20"))).withColumns({"expected": F.aggregate(F.zip_with("p", F.array(F.lit(0.0), F.lit(0.1), F.lit(0.2)), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b), "p_ge_2": F.aggregate(F.slice("p", 2, 2), F.lit(0.0), lambda a, b: a + b)})
 )
-query("a_20_policy_metrics", "model_id:s n:l net_sum:d net_mean:d deep_loss:d hit:d days:l", f"{L} SELECT model_id, count(*) AS n, sum(net_pct) AS net_sum, avg(net_pct) AS net_mean, avg((net_pct <= -5)::INT) AS deep_loss, avg((net_pct > 0)::INT) AS hit, count(DISTINCT day) AS days FROM ledger WHERE status = 'closed' GROUP BY model_id")(lambda s, d: e.policy_metrics(ledger(s, d), "model_id"))
 query("a_21_exit_summary", "model_id:s cost:s mean_net:d", f"{L} SELECT model_id, cost, avg(net_pct - c) AS mean_net FROM ledger, (VALUES ('standard', 0.15), ('conservative', 0.5)) v(cost, c) WHERE status = 'closed' GROUP BY ALL")(
     lambda s, d: ledger(s, d).where("status = 'closed'").selectExpr("model_id", "stack(2, 'standard', net_pct - 0.15, 'conservative', net_pct - 0.5) as (cost, x)").groupBy("model_id", "cost").agg(F.avg("x").alias("mean_net"))
 )
@@ -98,9 +94,6 @@ query("a_25_confidence", "coin:s model_id:s tier:s", f"{EV} SELECT coin, model_i
 query("a_26_meta_filter", "trade_id:l demoted:b", f"{EV} SELECT trade_id, {TIERS} IN ('none', 'weak') AS demoted FROM ledger l JOIN ev ON ev.coin = l.coin AND ev.model_id = l.model_id")(
     lambda s, d: ledger(s, d).join(evidence(s, d), ["coin", "model_id"]).withColumn("demoted", e.confidence_tier(F.col("n"), F.col("mean")).isin("none", "weak"))
 )
-query("a_27_group_summary", "coin:s model_id:s n:l mean:d", f"{L} SELECT coin, model_id, count(*) AS n, avg(net_pct) AS mean FROM ledger WHERE status = 'closed' GROUP BY GROUPING SETS ((coin, model_id), (coin), (model_id), ())")(
-    lambda s, d: ledger(s, d).where("status = 'closed'").cube("coin", "model_id").agg(F.count("*").alias("n"), F.avg("net_pct").alias("mean"))
-)
 query("a_28_half_split", "model_id:s half:l n:l mean:d", f"{L}, dd AS (SELECT day, ntile(2) OVER (ORDER BY day) AS half FROM (SELECT DISTINCT day FROM ledger WHERE status = 'closed')) SELECT model_id, half, count(*) AS n, avg(net_pct) AS mean FROM ledger JOIN dd USING (day) WHERE status = 'closed' GROUP BY ALL")(
     lambda s, d: (q := ledger(s, d).where("status = 'closed'")).join(q.select("day").distinct().withColumn("half", F.ntile(2).over(Window.orderBy("day"))), "day").groupBy("model_id", "half").agg(F.count("*").alias("n"), F.avg("net_pct").alias("mean"))
 )
@@ -110,9 +103,6 @@ query("a_29_setup_breakdown", "setup:s n:l hit:d", f"{H}, t AS (SELECT unnest([C
 query("a_30_failure_separators", "feature:s dump_mean:d sustain_mean:d", H + " " + " UNION ALL ".join(f"SELECT '{c_}' AS feature, avg(CASE WHEN ret < -0.02 THEN {c_} END) AS dump_mean, avg(CASE WHEN ret >= 0 THEN {c_} END) AS sustain_mean FROM y" for c_ in ("r1", "r3", "r7", "s7")))(
     lambda s, d: hy(s, d).unpivot(["ret"], ["r1", "r3", "r7", "s7"], "feature", "v").groupBy("feature").agg(F.avg(F.when(F.col("ret") < -0.02, F.col("v"))).alias("dump_mean"), F.avg(F.when(F.col("ret") >= 0, F.col("v"))).alias("sustain_mean"))
 )
-query("a_32_gate_sweep", "threshold:d days:l precision:d recall:d", f"{W}, g AS (SELECT day, avg((close / open - 1 > 0)::INT) AS up, max((high / open - 1 >= 0.1)::INT) AS pump FROM bars GROUP BY day), t AS (SELECT *, lag(up) OVER (ORDER BY day) AS u FROM g) SELECT threshold, sum((u >= threshold)::INT) AS days, avg(CASE WHEN u >= threshold THEN pump END) AS precision, sum(CASE WHEN u >= threshold THEN pump ELSE 0 END) / sum(pump)::DOUBLE AS recall FROM t, (VALUES (0.3), (0.5), (0.7)) v(threshold) GROUP BY threshold")(
-    lambda s, d: bars_1d(s, d).groupBy("day").agg(F.avg((F.col("close") / F.col("open") - 1 > 0).cast("int")).alias("up"), F.max((F.col("high") / F.col("open") - 1 >= 0.1).cast("int")).alias("pump")).withColumn("u", F.lag("up").over(Window.orderBy("day"))).withColumn("threshold", F.explode(F.array(F.lit(0.3), F.lit(0.5), F.lit(0.7)))).groupBy("threshold").agg(F.sum((F.col("u") >= F.col("threshold")).cast("int")).alias("days"), F.avg(F.when(F.col("u") >= F.col("threshold"), F.col("pump"))).alias("precision"), (F.sum(F.when(F.col("u") >= F.col("threshold"), F.col("pump")).otherwise(0)) / F.sum("pump")).alias("recall"))
-)
 TWO = f"{L}, a AS (SELECT DISTINCT day, coin FROM ledger WHERE model_id = '1-URGENT'), b AS (SELECT DISTINCT day, coin FROM ledger WHERE model_id = '2-HIGH')"
 
 
