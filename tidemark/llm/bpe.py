@@ -1,8 +1,8 @@
 """Byte-pair encoding and decoding of whole texts through a table of distinct words.
 
 Texts are split into the words that the tokenizer merges within. Each chunk of texts keeps its words as a dictionary and the texts
-as positions in it. Equal words of all dictionaries meet in one slot of the table of distinct words, where each is encoded once and its ids
-are joined with the pieces of the vocabulary; ids and pieces go back to the dictionaries by place, and to the texts by position. Chunks are
+as positions in it. Equal words of all dictionaries meet in one slot of the table of distinct words, where each is encoded once; ids go back
+to the dictionaries by place, where they are joined with the pieces of the vocabulary, and to the texts by position. Chunks are
 stored in buckets, so that only words and ids are shuffled, many to a row and compressed. decode() takes any rows of ids: each
 id is joined with its piece, whose table the vocabulary bounds, without a shuffle.
 
@@ -173,14 +173,18 @@ def _read(blobs: pa.ChunkedArray) -> list[pa.Table]:
     return [pa.ipc.open_stream(b).read_all() for b in blobs.to_pylist()]
 
 
-def _packed(codes: np.ndarray) -> bytes:
-    """Codes as bytes: first all lowest bytes, then the next; compressed."""
-    return pa.compress(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
+def _packed(*arrays: np.ndarray) -> bytes:
+    """Whole numbers under 2**32, compressed: of each array first all lowest bytes, then the next ..., behind the arrays' lengths."""
+    planes = b"".join(a.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for a in arrays)
+    return np.array([len(arrays), *map(len, arrays)], "<i8").tobytes() + pa.compress(planes, codec="zstd", asbytes=True)
 
 
-def _unpacked(packed: bytes, n: int) -> np.ndarray:
-    planes = np.frombuffer(pa.decompress(packed, decompressed_size=4 * n, codec="zstd", asbytes=True), np.uint8)
-    return np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").ravel().astype(np.int64)
+def _unpacked(packed: bytes) -> list[np.ndarray]:
+    k = int(np.frombuffer(packed, "<i8", 1)[0])
+    lengths = np.frombuffer(packed, "<i8", k, 8).tolist()
+    planes = np.frombuffer(pa.decompress(packed[8 * (k + 1) :], decompressed_size=4 * sum(lengths), codec="zstd", asbytes=True), np.uint8) if sum(lengths) else np.zeros(0, np.uint8)
+    parts = np.split(planes, np.cumsum(lengths)[:-1] * 4)
+    return [np.ascontiguousarray(x.reshape(4, n).T).view("<u4").ravel().astype(np.int64) for x, n in zip(parts, lengths)]
 
 
 def chunked(docs: DataFrame, source: str, text_col: str, slots: int, chunk: int = CHUNK) -> DataFrame:
@@ -254,28 +258,31 @@ def bucketed(rows: DataFrame, name: str, key: str, sort: str, *parts: str) -> Da
     return spark.table(table)
 
 
-def encoded_slots(slots: DataFrame, source: str, text: bool) -> DataFrame:
-    """(chunk, words) of rows (chunk, slot, words): for each chunk's words of a slot, in place of the words, their ids and, with text, the bytes of
-    their pieces. All equal words are in one slot, where each distinct one is encoded once, and its ids are joined with the vocabulary's pieces."""
+def encoded_slots(slots: DataFrame, source: str) -> DataFrame:
+    """(chunk, ids) of rows (chunk, slot, words): the places of each chunk's words of a slot, how many ids each has, and the ids, packed. All equal
+    words are in one slot, where each distinct one is encoded once."""
 
     def encode(slot: pa.Table) -> pa.Table:
         tables = _read(slot["words"])
-        words = pa.concat_tables(tables).combine_chunks()
-        coded = words["word"].combine_chunks().dictionary_encode() if len(tables) == 1 else pa.concat_arrays(words["word"].chunks).dictionary_encode()
+        words = pa.concat_tables(tables)
+        coded = pa.concat_arrays(words["word"].chunks).dictionary_encode()
         found = [e.ids for e in tokenizer_of(source).encode_batch(coded.dictionary.to_pylist(), add_special_tokens=False)]
-        ids = pa.array(found, pa.list_(pa.int32()))
-        of_all = {"place": pa.concat_arrays(words["place"].chunks), "ids": ids.take(coded.indices)}
-        if text:
-            each = pa.table({"id": ids.flatten(), "at": pa.array(np.arange(len(ids.flatten())))})
-            joined = each.join(vocabulary(source), "id").sort_by("at")["piece"].combine_chunks()
-            joined = pa.concat_arrays(joined.chunks) if isinstance(joined, pa.ChunkedArray) else joined
-            ends = np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False))])
-            of_all["bytes"] = pa.array(_cut(joined.fill_null(b""), ends), pa.binary()).take(coded.indices)
-        ends = np.concatenate([[0], np.cumsum([len(t) for t in tables])]).tolist()
-        blobs = [_blob(**{n: c.slice(a, b - a) for n, c in of_all.items()}) for a, b in zip(ends, ends[1:])]
-        return pa.table({"chunk": slot["chunk"], "words": pa.array(blobs, pa.binary())})
+        ids, places, which = pa.array(found, pa.list_(pa.int32())), words["place"].to_numpy(), coded.indices.to_numpy()
+        blobs, a = [], 0
+        for t in tables:
+            order = a + np.argsort(places[a : a + len(t)])
+            own = ids.take(pa.array(which[order]))
+            blobs.append(_packed(np.diff(places[order], prepend=0), pc.list_value_length(own).to_numpy(zero_copy_only=False), own.flatten().to_numpy(zero_copy_only=False)))
+            a += len(t)
+        return pa.table({"chunk": slot["chunk"], "ids": pa.array(blobs, pa.binary())})
+
+    return slots.groupBy("slot").applyInArrow(encode, "chunk bigint, ids binary")
 
-    return slots.groupBy("slot").applyInArrow(encode, "chunk bigint, words binary")
+
+def _pieces_of(ids: np.ndarray, source: str) -> pa.Array:
+    """The pieces of ids, in order, by a join with the vocabulary."""
+    each = pa.table({"id": pa.array(ids, pa.int32()), "at": pa.array(np.arange(len(ids)))})
+    return pa.concat_arrays(each.join(vocabulary(source), "id").sort_by("at")["piece"].chunks or [pa.array([], pa.binary())]).fill_null(b"")
 
 
 def _chunk_texts(docs: DataFrame, source: str, text_col: str, chunk: int, text: bool) -> DataFrame:
@@ -284,26 +291,24 @@ def _chunk_texts(docs: DataFrame, source: str, text_col: str, chunk: int, text:
     slots = max(SLOTS, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     both = bucketed(chunked(docs.select(*others, text_col), source, text_col, slots, chunk), "chunks", "__tm_chunk", "__tm_place", "__tm_text")
     listed = both.where("not __tm_text").select(F.col("__tm_chunk").alias("chunk"), F.col("__tm_place").alias("slot"), F.col("__tm_words").alias("words"))
-    spelled = encoded_slots(listed, source, text)
+    spelled = encoded_slots(listed, source)
     texts = both.where("__tm_text").select("__tm_chunk", "__tm_place", *others, "__tm_n", "__tm_codes")
     types = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in others), "ids array<int>", *([f"`{text_col}` string"] if text else [])])
 
     def put_back(texts: pa.Table, words: pa.Table) -> pa.Table:
         texts = texts.sort_by("__tm_place").combine_chunks()
-        told = pa.concat_tables(_read(words["words"])) if len(words) else None
-        flat = lambda c, kind: pa.concat_arrays(told[c].chunks) if told is not None else pa.array([], kind)
-        order = np.argsort(flat("place", pa.int32()).to_numpy())
-        lists = flat("ids", pa.list_(pa.int32()))
-        counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-        ids_ = lists.flatten().to_numpy(zero_copy_only=False)
+        told = [_unpacked(x) for x in words["ids"].to_pylist()]
+        joined = [np.concatenate(x) for x in zip(*((np.cumsum(places), counts, ids) for places, counts, ids in told))] or [np.zeros(0, np.int64)] * 3
+        order, counts, ids_ = np.argsort(joined[0]), joined[1], joined[2].astype(np.int32)
         starts, counts_of = (np.cumsum(counts) - counts)[order], counts[order]
-        spelling = flat("bytes", pa.binary()).take(pa.array(order)) if text else None
+        if text:
+            spelling = pa.array(_cut(_pieces_of(ids_, source), np.concatenate([[0], np.cumsum(counts)])), pa.binary()).take(pa.array(order))
         n_words, packed = texts["__tm_n"].to_numpy(), texts["__tm_codes"].to_pylist()
         out, a = [], 0
         for b in [i + 1 for i, x in enumerate(packed) if x is not None]:  # the blocks
             ends = np.concatenate([[0], np.cumsum(n_words[a:b])])
-            codes = _unpacked(packed[b - 1], int(ends[-1]))
+            codes = _unpacked(packed[b - 1])[0]
             size = counts_of[codes]
             at = np.concatenate([[0], np.cumsum(size)])
             ids = ids_[np.arange(at[-1]) + np.repeat(starts[codes] - at[:-1], size)]
