@@ -323,3 +323,39 @@ def test_other_divisions(spark):
     zero = spark.createDataFrame([("m", day(k), 0.0, 0.0, 0.0, 0.0, 0.0, 0.0) for k in range(3)], "market string, day date, open double, high double, low double, close double, volume double, quote_volume double")
     assert [r.r for r in zero.withColumn("r", features.ret()).collect()] == [None] * 3
     assert features.with_volume_spike(zero).count() == 3
+
+
+# order statistics and runs over ranges
+
+
+def test_quantiles_equal_numpy(spark):
+    r = random.Random(8)
+    rows = [(g, r.choice([r.random(), 0.5])) for g in "abc" for _ in range({"a": 1, "b": 2, "c": 101}[g])] + [("a", None), ("d", None), ("c", float("nan"))]
+    df = spark.createDataFrame(rows, "g string, x double")
+    named = {"low": 0.0, "q1": 0.1, "mid": 0.5, "top": 0.999, "high": 1.0}
+    value = lambda g: [x for k, x in rows if (g is None or k == g) and x is not None and x == x]
+    got = {x.g: x for x in ranks.quantiles(df, "x", named, "g").collect()}
+    assert set(got) == set("abc")
+    for g, row in [*got.items(), (None, ranks.quantiles(df, "x", named).first())]:
+        assert [row[n] for n in named] == pytest.approx([np.quantile(value(g), q) for q in named.values()])
+    assert ranks.quantiles(df.limit(0), "x", named).count() == 0
+
+
+def test_streaks_and_folds_over_ranges(spark):
+    r = random.Random(9)
+    rows = [(i, day(i // 7), m, "closed" if i % 11 else "open", r.choice([1.0, -1.0, 0.0]) if i % 13 else None) for m in "AB" for i in range(120)] + [(0, D0, "C", "closed", 2.0)]
+    df = spark.createDataFrame(rows, "trade_id int, day date, model_id string, status string, net_pct double").repartition(5)
+    got = {x.model_id: (x.win_streak, x.loss_streak) for x in portfolio.streaks(df).collect()}
+    for m in "ABC":
+        wins = [x[4] > 0 for x in rows if x[2] == m and x[3] == "closed" and x[4] is not None]
+        longest = {k: max((len(list(g)) for v, g in itertools.groupby(wins) if v == k), default=None) for k in (True, False)}
+        assert got[m] == (longest[True], longest[False])
+    folds = {(x.model_id, x.fold): x.trades for x in portfolio.positional_folds(df.where("net_pct is not null"), 4).collect()}
+    n = sum(1 for x in rows if x[2] == "A" and x[3] == "closed" and x[4] is not None)
+    assert [folds["A", k] for k in range(4)] == [n // 4 + (k < n % 4) for k in range(4)] and folds["C", 0] == 1
+
+
+def test_band_weights(spark):
+    df = spark.createDataFrame([("x", 1), ("x", 0), ("x", 0), ("x", 0), (None, 1), (None, 1)], "band string, y int")
+    got = sorted((str(x.band), x.y, x.weight) for x in heads.band_weights(df, "band", "y").collect())
+    assert got == [("None", 1, 0.5), ("None", 1, 0.5), ("x", 0, pytest.approx(2 / 3)), ("x", 0, pytest.approx(2 / 3)), ("x", 0, pytest.approx(2 / 3)), ("x", 1, 2.0)]

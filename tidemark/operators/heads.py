@@ -134,10 +134,11 @@ def shifted(p: Column, b: float) -> Column:
 
 
 def band_weights(rows: DataFrame, band: str, y: str) -> DataFrame:
-    """Weights that give each class the same mass within each band, and bands the mass of their rows."""
-    w = Window.partitionBy(band)
-    pos, n = F.sum(y).over(w), F.count("*").over(w)
-    return rows.withColumn("weight", F.when(F.col(y) == 1, n / 2 / F.nullif(pos, F.lit(0))).otherwise(n / 2 / F.nullif(n - pos, F.lit(0))))
+    """Weights that give each class the same mass within each band (few values), and bands the mass of their rows. A band is counted, not gathered."""
+    per = rows.groupBy(F.col(band).alias("band_")).agg(F.sum(y).alias("pos_"), F.count("*").alias("n_"))
+    pos, n = F.col("pos_"), F.col("n_")
+    counted = rows.join(F.broadcast(per), F.col(band).eqNullSafe(F.col("band_")))
+    return counted.withColumn("weight", F.when(F.col(y) == 1, n / 2 / F.nullif(pos, F.lit(0))).otherwise(n / 2 / F.nullif(n - pos, F.lit(0)))).drop("band_", "pos_", "n_")
 
 
 def greedy_matches(rows: DataFrame, picked: str, value: str) -> DataFrame:

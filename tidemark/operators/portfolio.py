@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranks import with_sums_before
+
 YEAR, EULER = 365, 0.5772156649015329
 # The rational approximation of the normal quantile, highest power first, and where its tails begin.
 QUANTILE_A = (-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.3577518672690, -30.66479806614716, 2.506628277459239)
@@ -76,11 +78,13 @@ def moments(returns: DataFrame) -> DataFrame:
 
 
 def streaks(ledger: DataFrame, by: str = "model_id") -> DataFrame:
-    """Longest runs of winning and losing closed trades in order of (day, trade_id)."""
-    w = Window.partitionBy(by).orderBy("day", "trade_id")
-    rows = ledger.where("status = 'closed'").withColumn("win", F.col("net_pct") > 0)
-    rows = rows.withColumn("new", F.coalesce((F.col("win") != F.lag("win").over(w)).cast("int"), F.lit(1))).withColumn("island", F.sum("new").over(w))
-    runs = rows.groupBy(by, "island", "win").agg(F.count("*").alias("n"))
+    """Longest runs of winning and losing closed trades in order of (day, trade_id); rows without a result are left out.
+
+    Wins with one number of losses before them are one run, and losses with one number of wins: counts over ranges of all rows, so that no task holds a model.
+    """
+    rows = ledger.where("status = 'closed' and net_pct is not null").withColumn("win", F.col("net_pct") > 0).select(by, "day", "trade_id", "win", F.col("win").cast("int").alias("w_"), (~F.col("win")).cast("int").alias("l_"))
+    run = with_sums_before(rows, [F.col(by).asc(), F.col("day").asc(), F.col("trade_id").asc()], ["w_", "l_"])
+    runs = run.groupBy(by, "win", F.when(F.col("win"), F.col("l__before")).otherwise(F.col("w__before")).alias("run_")).agg(F.count("*").alias("n"))
     return runs.groupBy(by).agg(F.max(F.when(F.col("win"), F.col("n"))).alias("win_streak"), F.max(F.when(~F.col("win"), F.col("n"))).alias("loss_streak"))
 
 
@@ -175,8 +179,9 @@ def monthly(returns: DataFrame) -> DataFrame:
 
 def positional_folds(ledger: DataFrame, folds: int, by: str = "model_id") -> DataFrame:
     """Chronological folds whose sizes differ by one at most, the longer ones first."""
-    w = Window.partitionBy(by)
-    rows = ledger.where("status = 'closed'").withColumns({"i": F.row_number().over(w.orderBy("day", "trade_id")) - 1, "n": F.count("*").over(w)})
+    rows = ledger.where("status = 'closed'").select(by, "day", "trade_id", "net_pct", F.lit(1).alias("one_"))
+    run = with_sums_before(rows, [F.col(by).asc(), F.col("day").asc(), F.col("trade_id").asc()], ["one_"])
+    rows = run.join(run.groupBy(by).agg(F.min("one__before").alias("base_"), F.count("*").alias("n")), by).withColumn("i", F.col("one__before") - F.col("base_"))
     q, m = F.floor(F.col("n") / folds), F.col("n") % folds
     fold = F.when(F.col("i") < m * (q + 1), F.floor(F.col("i") / (q + 1))).otherwise(m + F.floor(F.try_divide(F.col("i") - m * (q + 1), q)))
     return rows.withColumn("fold", fold).groupBy(by, "fold").agg(F.count("*").alias("trades"), F.avg("net_pct").alias("mean_net"))

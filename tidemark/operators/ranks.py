@@ -140,6 +140,24 @@ def with_sums_before(rows: DataFrame, order: list[Column], cols: list[str]) -> D
     return run.withColumns({f"{c}_before": F.col(f"{c}_in_") + F.col(f"{c}_off_") for c in cols}).drop("part_", *[f"{c}_{x}_" for c in cols for x in ("in", "off")])
 
 
+def quantiles(rows: DataFrame, value: str | Column, named: dict[str, float], *by: str) -> DataFrame:
+    """(by, one column a name): exact quantiles, between two neighbours in proportion, of the values that are not null or NaN. Values are counted first, and the
+    distinct ones put in order over ranges, so no buffer holds them all; each quantile is then the value at its place. Groups without values are left out."""
+    x = (F.col(value) if isinstance(value, str) else value).cast("double")
+    per = rows.select(*by, x.alias("v_")).where(F.col("v_").isNotNull() & ~F.isnan("v_")).groupBy(*by, "v_").agg(F.count("*").alias("n_"))
+    run = with_sums_before(per, [*[F.col(b).asc() for b in by], F.col("v_").asc()], ["n_"])
+    if by:
+        run = run.join(run.groupBy(*by).agg(F.min("n__before").alias("base_"), F.sum("n_").alias("all_")), list(by))
+    else:
+        run = run.withColumns({"base_": F.lit(0), "all_": F.col("n__all")})
+    first = F.col("n__before") - F.col("base_")
+    at = lambda place: F.max(F.when((first <= place) & (place < first + F.col("n_")), F.col("v_")))
+    place = {n: (F.col("all_") - 1) * q for n, q in named.items()}
+    ends = [c for n, p in place.items() for c in (at(F.floor(p)).alias(f"{n}_lo_"), at(F.ceil(p)).alias(f"{n}_hi_"))]
+    found = run.groupBy(*by, "all_").agg(*ends)
+    return found.select(*by, *[(F.col(f"{n}_lo_") + (p - F.floor(p)) * (F.col(f"{n}_hi_") - F.col(f"{n}_lo_"))).alias(n) for n, p in place.items()])
+
+
 def bucket_screen(rows: DataFrame, score: str, hit: str, buckets: int, *ties: str) -> DataFrame:
     per = global_buckets(rows, score, buckets, *(ties or ("day", "market"))).groupBy("bucket").agg(F.count("*").alias("n"), F.sum(hit).alias("hits"), F.avg(hit).alias("rate"))
     whole = per.agg(F.try_divide(F.sum("hits"), F.sum("n")).alias("base"))

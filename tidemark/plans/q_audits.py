@@ -9,6 +9,7 @@ from tidemark.operators import features as f
 from tidemark.operators import heads as h
 from tidemark.operators import notices
 from tidemark.operators import paths as p
+from tidemark.operators import ranks as r
 from tidemark.operators import selection as x
 from tidemark.plans.duck import LEDGER, TRADES
 from tidemark.plans.q_evaluate import H, hy
@@ -69,7 +70,8 @@ def inner_thresholds(s, d):
     taught = train.groupBy("block").agg(F.sum("y").alias("ys"), F.sum("p_up10").alias("ps"))
     earlier = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     scale = taught.select("block", F.try_divide(F.sum("ys").over(earlier), F.sum("ps").over(earlier)).alias("k")).where("k is not null")
-    cuts = train.join(F.broadcast(scale), "block").agg(*[F.percentile(F.col("p_up10") * F.col("k"), q).alias(f"c{i}") for i, q in enumerate((0.999, 0.9995))], F.max_by("k", "block").alias("k"))
+    scaled = train.join(F.broadcast(scale), "block")
+    cuts = r.quantiles(scaled, F.col("p_up10") * F.col("k"), {"c0": 0.999, "c1": 0.9995}).crossJoin(scale.agg(F.max_by("k", "block").alias("k")))
     levels = cuts.selectExpr("k", "stack(2, 0.999D, c0, 0.9995D, c1) as (level, cut)")
     test = hy(s, d).where(f"day >= {SPLIT}").select("p_up10", "y")
     over = (F.round(F.col("p_up10") * F.col("k"), 9) >= F.round("cut", 9)).cast("int")

@@ -31,8 +31,12 @@ def pr_avg(col: str) -> str:
     return f"rank() OVER (PARTITION BY day ORDER BY {col}) + (count(*) OVER (PARTITION BY day, {col}) - 1) / 2.0"
 
 
+def _best(s, d):
+    return bars_1d(s, d).withColumn("m", F.col("high") / F.col("open") - 1).withColumn("bin", F.least(F.floor(F.col("m") / 0.02), F.lit(5)))
+
+
 query("a_01_label_bins", "bin:l n:l mean:d std:d median:d share:d", f"{W}, b AS (SELECT least(floor((high / open - 1) / 0.02), 5) AS bin, high / open - 1 AS m FROM bars) SELECT bin, count(*) AS n, avg(m) AS mean, stddev_samp(m) AS std, quantile_cont(m, 0.5) AS median, count(*) / sum(count(*)) OVER ()::DOUBLE AS share FROM b GROUP BY bin")(
-    lambda s, d: bars_1d(s, d).withColumn("m", F.col("high") / F.col("open") - 1).withColumn("bin", F.least(F.floor(F.col("m") / 0.02), F.lit(5))).groupBy("bin").agg(F.count("*").alias("n"), F.avg("m").alias("mean"), F.stddev_samp("m").alias("std"), F.percentile("m", 0.5).alias("median")).withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))))
+    lambda s, d: _best(s, d).groupBy("bin").agg(F.count("*").alias("n"), F.avg("m").alias("mean"), F.stddev_samp("m").alias("std")).join(r.quantiles(_best(s, d), "m", {"median": 0.5}, "bin"), "bin").withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))))
 )
 query("a_04_rule_lift", "rule:s fires:l hits:l precision:d lift:d recall:d", H + " " + " UNION ALL ".join(f"SELECT '{n}' AS rule, sum(({p})::INT) AS fires, sum(CASE WHEN {p} THEN y ELSE 0 END) AS hits, avg(CASE WHEN {p} THEN y END) AS precision, avg(CASE WHEN {p} THEN y END) / avg(y) AS lift, sum(CASE WHEN {p} THEN y ELSE 0 END) / sum(y)::DOUBLE AS recall FROM y" for n, p in {"top": "rk <= 3", "dump": "dump", "rr": "rr >= 1"}.items()))(
     lambda s, d: hy(s, d).select("y", F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.expr(p).alias("on")) for n, p in {"top": "rk <= 3", "dump": "dump", "rr": "rr >= 1"}.items()])).alias("z")).groupBy("z.rule").agg(F.sum(F.col("z.on").cast("int")).alias("fires"), F.sum(F.when(F.col("z.on"), F.col("y")).otherwise(0)).alias("hits"), F.avg(F.when(F.col("z.on"), F.col("y"))).alias("precision"), F.avg("y").alias("base"), F.sum("y").alias("all_hits")).withColumns({"lift": F.col("precision") / F.col("base"), "recall": F.col("hits") / F.col("all_hits")})
@@ -55,7 +59,7 @@ query("a_08_day_equal_calibration", "bin:l n:l day_rate:d day_p:d", f"{H}, z AS
 query("a_08_calibration_error", "ece:d", f"{H}, z AS (SELECT least(floor(p_up10 * 10), 9) AS bin, count(*) AS n, avg(p_up10) AS p, avg(y) AS r FROM y GROUP BY 1) SELECT sum(abs(p - r) * n) / sum(n) AS ece FROM z")(lambda s, d: e.calibration_error(e.reliability(hy(s, d), "p_up10", "y")))
 query("a_09_brier", "brier:d n:l", f"{H} SELECT avg(pow(p_up10 - y, 2)) AS brier, count(*) AS n FROM y")(lambda s, d: e.brier(hy(s, d), "p_up10", "y"))
 query("a_10_coverage", "coverage:d n:l", f"{W}, q AS (SELECT quantile_cont(close / open - 1, 0.1) AS a, quantile_cont(close / open - 1, 0.9) AS b FROM bars WHERE day < DATE '1998-01-01') SELECT avg((close / open - 1 BETWEEN a AND b)::INT) AS coverage, count(*) AS n FROM bars, q WHERE day >= DATE '1998-01-01'")(
-    lambda s, d: (b := bars_1d(s, d).withColumn("r", F.col("close") / F.col("open") - 1)).where("day >= date'1998-01-01'").crossJoin(F.broadcast(b.where("day < date'1998-01-01'").agg(F.percentile("r", 0.1).alias("lo"), F.percentile("r", 0.9).alias("hi")))).agg(F.avg(F.col("r").between(F.col("lo"), F.col("hi")).cast("int")).alias("coverage"), F.count("*").alias("n"))
+    lambda s, d: (b := bars_1d(s, d).withColumn("r", F.col("close") / F.col("open") - 1)).where("day >= date'1998-01-01'").crossJoin(F.broadcast(r.quantiles(b.where("day < date'1998-01-01'"), "r", {"lo": 0.1, "hi": 0.9}))).agg(F.avg(F.col("r").between(F.col("lo"), F.col("hi")).cast("int")).alias("coverage"), F.count("*").alias("n"))
 )
 AUC = "sum(CASE WHEN y = 1 THEN rk_ END)"
 query("a_11_auc", "auc:d positives:l n:l", f"{H}, z AS (SELECT y, rank() OVER (ORDER BY p_up10) + (count(*) OVER (PARTITION BY p_up10) - 1) / 2.0 AS rk_ FROM y) SELECT (sum(CASE WHEN y = 1 THEN rk_ ELSE 0 END) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * (count(*) - sum(y)))::DOUBLE AS auc, sum(y) AS positives, count(*) AS n FROM z")(lambda s, d: e.auc(hy(s, d), "p_up10", "y"))
@@ -72,7 +76,7 @@ query("a_15_bucket_downside", "bucket:l downside:d", f"{FLAG}, q AS (SELECT *, r
     lambda s, d: r.global_buckets(universe(s, d), "score", 10, "day", "market").groupBy("bucket").agg(F.avg(F.col("low") / F.col("open") - 1).alias("downside"))
 )
 query("a_17_percentile_bands", "band:s n:l hit:d", f"{H}, q AS (SELECT quantile_cont(score, 0.9) AS a, quantile_cont(score, 0.99) AS b FROM y) SELECT CASE WHEN score >= b THEN 'p99' WHEN score >= a THEN 'p90' ELSE 'rest' END AS band, count(*) AS n, avg(y) AS hit FROM y, q GROUP BY 1")(
-    lambda s, d: (u := hy(s, d)).crossJoin(F.broadcast(u.agg(F.percentile("score", 0.9).alias("lo"), F.percentile("score", 0.99).alias("hi")))).groupBy(F.when(F.col("score") >= F.col("hi"), "p99").when(F.col("score") >= F.col("lo"), "p90").otherwise("rest").alias("band")).agg(F.count("*").alias("n"), F.avg("y").alias("hit"))
+    lambda s, d: (u := hy(s, d)).crossJoin(F.broadcast(r.quantiles(u, "score", {"lo": 0.9, "hi": 0.99}))).groupBy(F.when(F.col("score") >= F.col("hi"), "p99").when(F.col("score") >= F.col("lo"), "p90").otherwise("rest").alias("band")).agg(F.count("*").alias("n"), F.avg("y").alias("hit"))
 )
 query("a_19_cumulative_probabilities", "day:s market:s expected:d p_ge_2:d", f"{HEADS} SELECT day, market, (1 - p_up10) * 0 + (p_up10 - p_up20) * 0.1 + p_up20 * 0.2 AS expected, p_up20 + (p_up10 - p_up20) AS p_ge_2 FROM h")(
     lambda s, d: x.heads(universe(s, d)).withColumn("p", F.array(1 - F.col("p_up10"), F.col("p_up10") - F.col("p_up20"), F.col("p_up20"))).withColumns({"expected": F.aggregate(F.zip_with("p", F.array(F.lit(0.0), F.lit(0.1), F.lit(0.2)), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b), "p_ge_2": F.aggregate(F.slice("p", 2, 2), F.lit(0.0), lambda a, b: a + b)})

@@ -33,7 +33,7 @@ def labelled(s, d):
 
 
 query("h_02_dump_cutoff", "day:s market:s p:d dump:b")(
-    lambda s, d: (m := h.fit_head((t := (u := labelled(s, d).withColumn("y", F.expr("double(close / open - 1 < -0.02)"))).where("day < date'1997-01-01'")), FEATURES, "y", "logistic")) is not None and h.predict(m, u.where("day >= date'1997-01-06'"), "p").crossJoin(F.broadcast(h.predict(m, t, "p").agg(F.percentile("p", 0.6).alias("cut")))).withColumn("dump", F.col("p") > F.col("cut"))
+    lambda s, d: (m := h.fit_head((t := (u := labelled(s, d).withColumn("y", F.expr("double(close / open - 1 < -0.02)"))).where("day < date'1997-01-01'")), FEATURES, "y", "logistic")) is not None and h.predict(m, u.where("day >= date'1997-01-06'"), "p").crossJoin(F.broadcast(r.quantiles(h.predict(m, t, "p"), "p", {"cut": 0.6}))).withColumn("dump", F.col("p") > F.col("cut"))
 )
 query("h_03_walk_forward_heads", "fold:l day:s market:s p:d")(lambda s, d: h.walk_forward(labelled(s, d), FOLDS, FEATURES, "y", "p", "trees", iterations=5))
 query("h_05_several_heads", "day:s market:s p_up:d p_down:d")(
@@ -108,7 +108,7 @@ query("a_03_fold_lift", "fold:l n:l precision:d lift:d", f"{FLAG}, fo(fold, a, b
 def _fold_lift(rows, folds):
     one = [F.struct(F.lit(k).alias("fold"), (F.col("day") < F.lit(a).cast("date")).alias("train"), ((F.col("day") >= F.lit(a).cast("date")) & (F.col("day") < F.lit(b).cast("date"))).alias("test")) for k, a, b in folds]
     tagged = rows.select("score", "y", F.explode(F.array(*one)).alias("f")).select("score", "y", "f.*")
-    cuts = tagged.where("train").groupBy("fold").agg(F.percentile("score", 0.9).alias("c"))
+    cuts = r.quantiles(tagged.where("train"), "score", {"c": 0.9}, "fold")
     return tagged.where("test").join(F.broadcast(cuts), "fold").groupBy("fold").agg(F.sum((F.col("score") >= F.col("c")).cast("int")).alias("n"), F.avg(F.when(F.col("score") >= F.col("c"), F.col("y"))).alias("precision"), F.avg("y").alias("base")).withColumn("lift", F.try_divide("precision", "base"))
 
 

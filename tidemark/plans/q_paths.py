@@ -139,5 +139,5 @@ query("l_14_scaled_barriers", "entry_id:l reason:s", f"{PATHS}, {AT}, z AS (SELE
     lambda s, d: each(s, d, lambda q: p.first_touch(p.with_entry_price(q).withColumn("b", F.greatest(F.lit(0.005), F.least((F.first("high").over(p.path_window()) - F.first("low").over(p.path_window())) / F.col("entry"), F.lit(0.03)))), F.col("b"), 2 * F.col("b")))
 )
 query("l_16_barrier_quantiles", "q10:d q50:d q90:d extreme:l", f"{PATHS}, {AT}, z AS (SELECT entry_id, any_value(b) AS b FROM at_ GROUP BY entry_id) SELECT quantile_cont(b, 0.1) AS q10, quantile_cont(b, 0.5) AS q50, quantile_cont(b, 0.9) AS q90, sum((b >= 0.03)::INT) AS extreme FROM z")(
-    lambda s, d: each(s, d, lambda q: p.with_entry_price(q).groupBy("entry_id").agg(F.greatest(F.lit(0.005), F.least((F.min_by("high", "idx") - F.min_by("low", "idx")) / F.min_by("open", "idx"), F.lit(0.03))).alias("b"))).agg(F.percentile("b", 0.1).alias("q10"), F.percentile("b", 0.5).alias("q50"), F.percentile("b", 0.9).alias("q90"), F.sum((F.col("b") >= 0.03).cast("int")).alias("extreme"))
+    lambda s, d: (z := each(s, d, lambda q: p.with_entry_price(q).groupBy("entry_id").agg(F.greatest(F.lit(0.005), F.least((F.min_by("high", "idx") - F.min_by("low", "idx")) / F.min_by("open", "idx"), F.lit(0.03))).alias("b")))).agg(F.sum((F.col("b") >= 0.03).cast("int")).alias("extreme")).crossJoin(r.quantiles(z, "b", {"q10": 0.1, "q50": 0.5, "q90": 0.9}))
 )
