@@ -71,7 +71,6 @@ def close_rows(ledger: DataFrame, bars: DataFrame, benchmark: DataFrame, asof: s
     if decision_day is not None and decision_day >= asof:
         raise ValueError(f"decision day {decision_day} isn't over before {asof}")
     names = list(ledger.columns)
-    variant_names = [c for n, v in VARIANTS.items() for c in ([f"exit_{n}_pct"] + [f"exit_{n}_reason"] * (v != (None, None)))] + ["path_max_pct", "path_min_pct"]
     day = F.to_date("day")
     due = F.col("status").isin("open", "no_data") & (day < F.lit(asof).cast("date"))
     due = F.coalesce(due & (day == F.lit(decision_day).cast("date")) if decision_day else due, F.lit(False))
@@ -85,6 +84,9 @@ def close_rows(ledger: DataFrame, bars: DataFrame, benchmark: DataFrame, asof: s
     starts = rows.where("start is not null").select("market", "start").distinct()
     found = completeness(starts, bars, benchmark, steps, seconds)
     arrays = path_arrays(found.where("path_complete"), bars, steps, seconds)
+    # What doesn't depend on a row is worked out once a start.
+    fixed = {n: f"v_{n}" for n in variant_columns(F.col("path"), cost)}
+    arrays = arrays.select("*", *[v.alias(fixed[n]) for n, v in variant_columns(F.col("path"), cost).items()])
     whole = rows.join(found.select("market", "start", F.col("quality").alias("found_"), F.col("path_complete").alias("whole_"), F.col("raw_bars").alias("raw_"), F.col("filled").alias("filled_")), ["market", "start"], "left").join(arrays, ["market", "start"], "left")
     daily = bars.withColumn("day_", F.to_date(F.timestamp_seconds(F.unix_seconds(F.col("ts").cast("timestamp")) - 3600 * open_hour)))
     daily = daily.groupBy("market", "day_").agg((F.max("high") / F.min_by("open", "ts") - 1 >= PUMP).cast("int").alias("pump_"))
@@ -102,7 +104,7 @@ def close_rows(ledger: DataFrame, bars: DataFrame, benchmark: DataFrame, asof: s
         "path_quality": (F.col("due_"), F.col("quality_")), "path_complete": (F.col("due_"), F.col("closes_")), "raw_bars": (judged, F.col("raw_")), "filled": (judged, F.col("filled_")),
         "path_start": (closes, F.col("start")), "execution_entry_open": (closes, F.round("entry_", 8)), "entry_price_source": (closes, F.col("source_")), "exit_price": (closes, F.round(price, 8)),
         "exit_reason": (closes, F.col("x_.reason")), "realized_pct": (closes, F.round((F.col("x_.gross") - cost) * 100, 4)), "pump_hit": (closes, F.col("pump_")), "post_send_pump_hit": (closes, post),
-    } | {n: (closes, c) for n, c in variant_columns(F.col("path"), cost).items()}
+    } | {n: (closes, F.col(c)) for n, c in fixed.items()}
     kept = lambda n: F.col(f"`{n}`") if n in names else F.lit(None)
     columns = [F.when(F.col("due_") & when, value).otherwise(kept(n)).alias(n) for n, (when, value) in new.items()]
     return whole.withColumn("status", status).select(*[n for n in names if n not in new], *columns)

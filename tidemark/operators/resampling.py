@@ -15,6 +15,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.scratch import stored
+
 LOW, HIGH, MIN_CI_DATES = 0.025, 0.975, 30
 AT_ONCE = 1 << 21  # numbers of a block of rows by replicates
 
@@ -134,7 +136,7 @@ def head_report(rows: DataFrame, p: str, y: str, replicates: int = 100, seed: in
     in each replicate. The AUC's interval needs replicates with both classes: at least 20 and half of all. An insufficient head has
     no metrics, only counts."""
     spark = rows.sparkSession
-    clean = usable(rows, p, y)
+    clean = stored(usable(rows, p, y), "head")
     per = numbered(clean.groupBy("day").agg(F.count("*").alias("rows"), F.sum("y").alias("pos"), F.sum(F.pow(F.col("p") - F.col("y"), 2)).alias("sse")))
     n_rows, n_days, positives, sse = per.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.count("*"), F.coalesce(F.sum("pos"), F.lit(0)), F.sum("sse")).first()
     negatives = n_rows - positives

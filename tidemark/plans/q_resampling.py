@@ -9,6 +9,7 @@ from tidemark.operators import evaluate as e
 from tidemark.operators import resampling as rs
 from tidemark.plans.q_evaluate import DAYNET, H, day_net, hy
 from tidemark.plans.registry import query
+from tidemark.sources.scratch import stored
 
 REPS = 100
 
@@ -88,7 +89,7 @@ query(
 
 def cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AUC and Brier score of the first head, recomputed in each replicate of days."""
-    rows = rs.usable(hy(spark, sf_dir), "p_up10", "y")
+    rows = stored(rs.usable(hy(spark, sf_dir), "p_up10", "y"), "head")
     days = rs.numbered(rows.groupBy("day").agg(F.count("*").alias("rows"), F.sum(F.pow(F.col("p") - F.col("y"), 2)).alias("sse")))
     placed = rows.join(F.broadcast(days.select("day", "i")), "day").select("i", "p", "y")
     many = rs.multiplicities(spark, days.count(), REPS, 5)
