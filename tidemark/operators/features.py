@@ -141,35 +141,14 @@ def panel(bars: DataFrame) -> DataFrame:
     return b.select("market", "day", "open", "high", "low", "close", *[lag(n).alias(f"f_{n}") for n in names], lag("qv").alias("f_universe_qv"), (F.col("high") / o - 1 >= 0.05).cast("double").alias("lab_up5"), (F.col("high") / o - 1).alias("high_ret"), (F.row_number().over(series()) - 1).alias("history"))
 
 
-def semivolatility(bars: DataFrame, n: int = 14) -> DataFrame:
-    out = bars.withColumn("lr", log_return())
-    return out.withColumn(f"down_semivol_{n}", F.sqrt(roll(F.avg, F.pow(F.when(F.col("lr") < 0, F.col("lr")).when(F.col("lr") >= 0, 0.0), 2), n, n // 2)))
-
-
-
-
 def with_session(bars: DataFrame) -> DataFrame:
     """Bars with the date of their session, which begins at 09:00, and their place in it."""
     out = bars.withColumn("session", F.to_date(F.col("ts") - F.expr("interval 9 hours")))
     return out.withColumn("i", F.row_number().over(Window.partitionBy("market", "session").orderBy("ts")))
 
 
-def contraction_at_close(bars: DataFrame, k: int) -> DataFrame:
-    """Range of the k bars before the last k over that of the last k, both against the close, at each session's last full row."""
-    w = lambda a, b: Window.partitionBy("market").orderBy("ts").rowsBetween(a, b)
-    span = lambda a, b: (F.max("high").over(w(a, b)) - F.min("low").over(w(a, b))) / F.col("close")
-    rows = with_session(bars).withColumns({"x": span(-(2 * k - 1), -k) / (span(-(k - 1), 0) + EPS), "n": F.count("*").over(w(-(2 * k - 1), 0))})
-    return rows.groupBy("session", "market").agg(F.max_by("x", F.when(F.col("n") == 2 * k, F.col("ts"))).alias("contraction"))
-
-
 def first_bars_vs_history(bars: DataFrame, k: int, days: int = 20, min_days: int = 5) -> DataFrame:
     """Volume of a session's first k bars against the mean of the sessions before."""
     first = with_session(bars).groupBy("session", "market").agg(F.sum(F.when(F.col("i") <= k, F.col("volume")).otherwise(0.0)).alias("first_vol"))
     w = Window.partitionBy("market").orderBy("session").rowsBetween(-days, -1)
     return first.withColumn("vs_history", F.when(F.count("*").over(w) >= min_days, F.try_divide(F.col("first_vol"), F.avg("first_vol").over(w))))
-
-
-def daily_context(bars: DataFrame) -> DataFrame:
-    """(market, day, r1, rank_qv): return and turnover rank of the bar before, for rows within the day."""
-    rows = bars.withColumns({"r": ret(), "q": pct_rank("quote_volume", "day")})
-    return rows.select("market", "day", lag("r").alias("r1"), lag("q").alias("rank_qv"))

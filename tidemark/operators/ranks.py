@@ -29,14 +29,6 @@ def _last(agg, x: str, n: int) -> Column:
     return F.when(F.count(x).over(w) >= n, agg(x).over(w))
 
 
-def breadth_trend(days: DataFrame) -> DataFrame:
-    return days.withColumns({
-        "breadth_lag1": F.lag("breadth").over(by_day()), "breadth_ma3": _last(F.avg, "breadth", 3), "breadth_ma7": _last(F.avg, "breadth", 7),
-        "turnover_trend": F.try_divide(F.when(_last(F.avg, "turnover", 30).isNotNull(), _last(F.avg, "turnover", 7)), _last(F.avg, "turnover", 30)),
-        "breadth_z30": (F.col("breadth") - _last(F.avg, "breadth", 30)) / (_last(F.stddev_samp, "breadth", 30) + EPS), "momentum": F.col("breadth") - F.lag("breadth", 3).over(by_day()),
-    })
-
-
 def day_gate(days: DataFrame, regimes: DataFrame) -> DataFrame:
     before = regimes.select("day", F.lag("btc_regime").over(by_day()).alias("regime_yday"))
     rows = days.withColumns({"pumps_yday": F.lag("pumps").over(by_day()), "med_ret_yday": F.lag("med_ret").over(by_day()), "advancers_avg3": F.avg("advancers").over(by_day().rowsBetween(-3, -1))})

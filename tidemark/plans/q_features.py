@@ -111,10 +111,6 @@ query("f_18_rank_jump", K + "rank_jump_3:d", f"{W}, k AS (SELECT *, {pr('quote_v
 BREADTH = f"br AS (SELECT day, count(*) AS active, sum((high / open - 1 >= 0.1)::INT) AS pumps, avg((high / open - 1 >= 0.1)::INT) AS breadth, sum((r > 0)::INT) AS advancers, quantile_cont(r, 0.5) AS med_ret, sum(quote_volume) AS turnover FROM (SELECT *, close / {lg('close')} - 1 AS r FROM bars) GROUP BY day)"
 query("f_19_breadth", "day:s active:l pumps:l breadth:d advancers:l med_ret:d turnover:d", f"{W}, {BREADTH} SELECT * FROM br")(lambda s, d: r.breadth(bars_1d(s, d)))
 WB = "ORDER BY day ROWS BETWEEN {} PRECEDING AND CURRENT ROW"
-query(
-    "f_20_breadth_trend", "day:s breadth_lag1:d breadth_ma3:d breadth_ma7:d turnover_trend:d breadth_z30:d momentum:d",
-    f"{W}, {BREADTH} SELECT day, lag(breadth) OVER (ORDER BY day) AS breadth_lag1, CASE WHEN count(*) OVER ({WB.format(2)}) >= 3 THEN avg(breadth) OVER ({WB.format(2)}) END AS breadth_ma3, CASE WHEN count(*) OVER ({WB.format(6)}) >= 7 THEN avg(breadth) OVER ({WB.format(6)}) END AS breadth_ma7, CASE WHEN count(*) OVER ({WB.format(29)}) >= 30 THEN avg(turnover) OVER ({WB.format(6)}) / avg(turnover) OVER ({WB.format(29)}) END AS turnover_trend, CASE WHEN count(*) OVER ({WB.format(29)}) >= 30 THEN (breadth - avg(breadth) OVER ({WB.format(29)})) / (stddev_samp(breadth) OVER ({WB.format(29)}) + 1e-12) END AS breadth_z30, breadth - lag(breadth, 3) OVER (ORDER BY day) AS momentum FROM br",
-)(lambda s, d: r.breadth_trend(r.breadth(bars_1d(s, d))))
 query(
     "f_21_day_gate", "day:s pumps_yday:l med_ret_yday:d advancers_avg3:d regime_yday:s",
     f"{W}, {BREADTH}, {REGIME} SELECT br.day, lag(pumps) OVER (ORDER BY br.day) AS pumps_yday, lag(med_ret) OVER (ORDER BY br.day) AS med_ret_yday, avg(advancers) OVER (ORDER BY br.day ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS advancers_avg3, g AS regime_yday FROM br LEFT JOIN (SELECT day, lag(btc_regime) OVER (ORDER BY day) AS g FROM regime) q ON q.day = br.day",
@@ -132,9 +128,6 @@ query(
     "f_31_lead_lag", K + "ret_home:d ret_foreign:d ret_gap:d surge_d1:d",
     f"{FX}, h AS (SELECT *, close / {lg('close')} - 1 AS r, 'X' || substr(market, 2) AS symbol FROM bars), g AS (SELECT *, close / lag(close) OVER (PARTITION BY symbol ORDER BY day) - 1 AS r FROM fz) SELECT h.day, h.market, h.r AS ret_home, g.r AS ret_foreign, h.r - g.r AS ret_gap, g.s AS surge_d1 FROM h LEFT JOIN g ON g.symbol = h.symbol AND g.day = h.day - 1",
 )(lambda s, d: r.lead_lag(bars_1d(s, d), foreign_1d(bars_1d(s, d))))
-query("f_32_semivolatility", K + "down_semivol_14:d", f"{W}, {LR}, q AS (SELECT *, pow(CASE WHEN lr < 0 THEN lr WHEN lr >= 0 THEN 0 END, 2) AS q FROM lr) SELECT day, market, sqrt({ro('avg', 'q', 14, 7)}) AS down_semivol_14 FROM q")(
-    lambda s, d: f.semivolatility(bars_1d(s, d))
-)
 query("r_01_pct_rank", K + "rank_ret:d rank_qv:d", f"{W}, x AS (SELECT *, close / {lg('close')} - 1 AS r FROM bars) SELECT day, market, {pr('r')} AS rank_ret, {pr('quote_volume')} AS rank_qv FROM x")(
     lambda s, d: bars_1d(s, d).withColumn("r", f.ret()).withColumns({"rank_ret": pct_rank("r", "day"), "rank_qv": pct_rank("quote_volume", "day")})
 )

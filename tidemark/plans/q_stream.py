@@ -75,12 +75,6 @@ query("e_05_clip_digitize", "day:s market:s clipped:d bin:l", f"{W} SELECT day,
 query("e_06_json_members", "k:l n:l", "SELECT (props->>'k')::BIGINT AS k, count(*) AS n FROM events GROUP BY 1")(lambda s, d: s.read.parquet(f"{d}/events.parquet").select(F.from_json("props", "k long")["k"].alias("k")).groupBy("k").agg(F.count("*").alias("n")))
 query("f_33_session_date", "session:s n:l", f"{T} SELECT (ts - INTERVAL 9 HOUR)::DATE AS session, count(*) AS n FROM trades GROUP BY 1")(lambda s, d: trades(s, d).groupBy(F.to_date(F.col("ts") - F.expr("interval 9 hours")).alias("session")).agg(F.count("*").alias("n")))
 IB = f"{T}, {intraday(240)}, ss AS (SELECT *, (ts - INTERVAL 9 HOUR)::DATE AS session, row_number() OVER (PARTITION BY market, (ts - INTERVAL 9 HOUR)::DATE ORDER BY ts) AS i FROM ibars)"
-query("f_26_contraction_4h", "session:s market:s contraction:d", f"{IB}, z AS (SELECT *, (max(high) OVER (PARTITION BY market ORDER BY ts ROWS BETWEEN 17 PRECEDING AND 9 PRECEDING) - min(low) OVER (PARTITION BY market ORDER BY ts ROWS BETWEEN 17 PRECEDING AND 9 PRECEDING)) / close AS pr, (max(high) OVER (PARTITION BY market ORDER BY ts ROWS BETWEEN 8 PRECEDING AND CURRENT ROW) - min(low) OVER (PARTITION BY market ORDER BY ts ROWS BETWEEN 8 PRECEDING AND CURRENT ROW)) / close AS rc, count(*) OVER (PARTITION BY market ORDER BY ts ROWS BETWEEN 17 PRECEDING AND CURRENT ROW) AS n FROM ss) SELECT session, market, arg_max(CASE WHEN n = 18 THEN pr / (rc + 1e-12) ELSE NULL END, ts) FILTER (n = 18) AS contraction FROM z GROUP BY ALL")(
-    lambda s, d: f.contraction_at_close(bars_intraday(s, d, 240), 9)
-)
 query("f_27_first_minutes", "session:s market:s first_vol:d vs_history:d", f"{IB}, v AS (SELECT session, market, sum(CASE WHEN i <= 2 THEN volume ELSE 0 END) AS fv FROM ss GROUP BY ALL), w AS (SELECT *, avg(fv) OVER r AS a, count(*) OVER r AS n FROM v WINDOW r AS (PARTITION BY market ORDER BY session ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)) SELECT session, market, fv AS first_vol, CASE WHEN n >= 5 THEN fv / a END AS vs_history FROM w")(
     lambda s, d: f.first_bars_vs_history(bars_intraday(s, d, 240), 2)
 )
-query("f_29_daily_context", "event_id:l r1:d rank_qv:d", f"{T}, {W[5:]}, c AS (SELECT day, market, close / lag(close) OVER (PARTITION BY market ORDER BY day) - 1 AS r, CASE WHEN quote_volume IS NOT NULL THEN (rank() OVER (PARTITION BY day ORDER BY quote_volume) + (count(*) OVER (PARTITION BY day, quote_volume) - 1) / 2.0) / count(*) OVER (PARTITION BY day) END AS q FROM bars), k AS (SELECT market, day, lag(r) OVER (PARTITION BY market ORDER BY day) AS r1, lag(q) OVER (PARTITION BY market ORDER BY day) AS rank_qv FROM c) SELECT event_id, r1, rank_qv FROM trades t JOIN k ON k.market = 'M0' || substr(t.market, 2) AND k.day = t.ts::DATE - 9497")(
-    lambda s, d: trades(s, d).select("event_id", F.concat(F.lit("M0"), F.substring("market", 2, 1)).alias("market"), F.date_sub(F.to_date("ts"), 9497).alias("day")).join(f.daily_context(bars_1d(s, d)), ["market", "day"])
-)
