@@ -39,6 +39,15 @@ def test_words_equal_the_library(text):
     assert words == [text[a:b] for _, (a, b) in LIBRARY.pre_tokenizer.pre_tokenize_str(text)]
 
 
+def test_white_space_is_the_library_s():
+    split = LIBRARY.pre_tokenizer.pre_tokenize_str
+    points = [c for c in range(bpe.LATIN, 0x110000) if not 0xD800 <= c < 0xE000]
+    # Of two and a letter, white space makes three words, and nothing else does.
+    found = {c for c in points if len(split(chr(c) * 2 + "y")) == 3}
+    mine = bpe.re.compile(f"[{bpe.WIDE_SPACES}]")
+    assert found == {c for c in points if mine.match(chr(c))}
+
+
 def test_slices_lose_nothing():
     text = ("ab  c\n d" * 50 + "x" * 100) * 3
     parts = list(bpe.slices(text, 10))

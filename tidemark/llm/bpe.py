@@ -249,7 +249,8 @@ def chunked(docs: DataFrame, source: str, text_col: str, slots: int, chunk: int
 
 
 def bucketed(rows: DataFrame, name: str, key: str, sort: str, *parts: str) -> DataFrame:
-    """rows as a table in the shared folder, in buckets by key: readers that group by key need no shuffle of it."""
+    """rows as a table in the shared folder, in buckets by key: readers that group by key need no shuffle of it. Its
+    name, tm_<name>_<random>, stays in the session's catalog."""
     spark = rows.sparkSession
     path = new_folder(spark, name)
     table = "tm_" + path.rsplit("/", 1)[1].replace("-", "_")
