@@ -91,9 +91,6 @@ query("x_10_hold_hours", "reason:s n:l mean_hours:d", f"{PATHS}, z AS (SELECT en
 query("x_13_residual_day", "entry_id:l residual:d", f"{PATHS} SELECT entry_id, arg_max(close, idx) / arg_min(CASE WHEN idx >= 8 THEN open END, CASE WHEN idx >= 8 THEN idx END) - 1 AS residual FROM pa GROUP BY entry_id")(
     lambda s, d: each(s, d, lambda q: q.groupBy("entry_id").agg((F.max_by("close", "idx") / F.min_by("open", F.when(F.col("idx") >= 8, F.col("idx"))) - 1).alias("residual")))
 )
-query("x_14_reclaim_entry", "entry_id:l gate:b reclaim_idx:l", f"{PATHS}, z AS (SELECT entry_id, max(CASE WHEN idx < 16 THEN high END) AS wh, max(CASE WHEN idx < 8 THEN high END) - min(CASE WHEN idx < 8 THEN low END) AS r1, max(CASE WHEN idx BETWEEN 8 AND 15 THEN high END) - min(CASE WHEN idx BETWEEN 8 AND 15 THEN low END) AS r2, min(CASE WHEN idx < 8 THEN low END) AS l1, min(CASE WHEN idx BETWEEN 8 AND 15 THEN low END) AS l2 FROM pa GROUP BY entry_id) SELECT z.entry_id, coalesce(any_value(r1 > r2 AND l2 > l1), false) AS gate, min(CASE WHEN idx >= 16 AND close > wh THEN idx END) AS reclaim_idx FROM z JOIN pa ON pa.entry_id = z.entry_id GROUP BY z.entry_id")(
-    lambda s, d: each(s, d, lambda q: q.withColumn("wh", F.max(F.when(F.col("idx") < 16, F.col("high"))).over(Window.partitionBy("entry_id"))).groupBy("entry_id").agg(F.expr("max(case when idx < 8 then high end) - min(case when idx < 8 then low end)").alias("a"), F.expr("max(case when idx between 8 and 15 then high end) - min(case when idx between 8 and 15 then low end)").alias("b"), F.expr("min(case when idx < 8 then low end)").alias("l1"), F.expr("min(case when idx between 8 and 15 then low end)").alias("l2"), F.expr("min(case when idx >= 16 and close > wh then idx end)").alias("reclaim_idx"))).withColumn("gate", F.coalesce((F.col("a") > F.col("b")) & (F.col("l2") > F.col("l1")), F.lit(False)))
-)
 query("x_17_cost_sweep", "cost:d net:d positive:d", f"{L} SELECT cost, avg(net_pct - cost) AS net, avg((net_pct > cost)::INT) AS positive FROM ledger, (VALUES (0.0), (0.15), (0.5)) v(cost) WHERE status = 'closed' GROUP BY cost")(
     lambda s, d: ledger(s, d).where("status = 'closed'").withColumn("cost", F.explode(F.array(F.lit(0.0), F.lit(0.15), F.lit(0.5)))).groupBy("cost").agg(F.avg(F.col("net_pct") - F.col("cost")).alias("net"), F.avg((F.col("net_pct") > F.col("cost")).cast("int")).alias("positive"))
 )
