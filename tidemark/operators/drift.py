@@ -37,13 +37,13 @@ def triggers(rows: DataFrame, p: str, y: str, min_rows: int = 5) -> DataFrame:
     """A row a day of rows (day, market, p, y): its rank correlation ic and the mean of the last seven, hit rates of the last 7 and 30 days, the test against the week before,
     the four flags and the state: FREEZE on a sign flip or a half drop, WARN on the others, else OK.
 
-    Windows are of days that have a value (an ic needs min_rows rows and both classes), and flags are false until they are full. The distribution counts with ten new and
+    Correlations are taken to nine decimals, so that noise about zero has no sign. Windows are of days that have a value (an ic needs min_rows rows and both classes), and flags are false until they are full. The distribution counts with ten new and
     fifty old scores at least.
     """
     by_day = Window.orderBy("day")
     tail = lambda n: by_day.rowsBetween(-(n - 1), 0)
     full = lambda x, n: F.when(F.count(x).over(tail(n)) >= n, F.avg(x).over(tail(n)))
-    ic = daily_ic(rows, p, y, min_rows).where("ic is not null").select("day", "ic").withColumn("ic_7", full("ic", SHORT))
+    ic = daily_ic(rows, p, y, min_rows).where("ic is not null").select("day", F.round("ic", 9).alias("ic")).withColumn("ic_7", full("ic", SHORT))
     hits = rows.groupBy("day").agg(F.avg(y).alias("hit"))
     hits = hits.withColumns({"hit_7": F.when(F.count("hit").over(tail(LONG)) >= LONG, F.avg("hit").over(tail(SHORT))), "hit_30": full("hit", LONG)})
     days = hits.join(ic, "day", "left").join(ks_by_day(rows, p), "day", "left")

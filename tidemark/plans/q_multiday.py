@@ -73,9 +73,9 @@ METRICS = f"""WITH RECURSIVE {LEDGER}, {W[5:]}, su AS (SELECT model_id, l.day, c
   WINDOW w AS (PARTITION BY model_id ORDER BY day ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)),
  ca AS (SELECT c.day, m.model_id FROM (SELECT DISTINCT day FROM su) c, (SELECT DISTINCT model_id FROM su) m),
  ag AS (SELECT ca.day, ca.model_id, ow.day AS last_date, ow.* EXCLUDE (model_id, day) FROM ca ASOF JOIN ow ON ow.model_id = ca.model_id AND ca.day >= ow.day),
- me AS MATERIALIZED (SELECT model_id, day, n, n_days, path_days, deep / nullif(paths, 0)::DOUBLE AS deep_freq, net / n AS net_mean, hits / n::DOUBLE AS hit, paths / n::DOUBLE AS complete_share, last_date,
+ me AS MATERIALIZED (SELECT model_id, day, n, n_days, path_days, deep / nullif(paths, 0)::DOUBLE AS deep_freq, net, net / n AS net_mean, hits / n::DOUBLE AS hit, paths / n::DOUBLE AS complete_share, last_date,
   n_days >= 30 AND path_days >= 30 AND round(net / n, 9) > -1.0 AND model_id <> '4-NOT SPECIFIED' AS gate FROM ag)"""
-query("a_22_champion_metrics", "model_id:s day:s n:l n_days:l path_days:l deep_freq:d net_mean:d hit:d complete_share:d last_date:s gate:b", f"{METRICS} SELECT * FROM me")(metrics)
+query("a_22_champion_metrics", "model_id:s day:s n:l n_days:l path_days:l deep_freq:d net_sum:d hit:d complete_share:d last_date:s gate:b", f"{METRICS} SELECT *, net AS net_sum FROM me")(lambda s, d: metrics(s, d).withColumnRenamed("net", "net_sum"))
 query(
     "a_23_champion", "day:s champion_id:s best_id:s streak:l reason:s",
     f"""{METRICS},
@@ -98,7 +98,7 @@ query(
 PVALUE = "CASE WHEN x < 0.2 THEN 1.0 WHEN x IS NOT NULL THEN least(greatest(" + " + ".join(f"exp(-2.0::DOUBLE * {k * k} * x * x) * {2 if k % 2 else -2}" for k in range(1, 41)) + ", 0), 1) END"
 DRIFT = f"""{H}, s AS (SELECT day, round(p_up10, 9) AS p, y.y AS y FROM y),
  ra AS (SELECT day, y, p, rank() OVER (PARTITION BY day ORDER BY p) + (count(*) OVER (PARTITION BY day, p) - 1) / 2.0 AS a, rank() OVER (PARTITION BY day ORDER BY y) + (count(*) OVER (PARTITION BY day, y) - 1) / 2.0 AS b FROM s),
- ic0 AS (SELECT day, count(*) AS n, covar_pop(a, b) / nullif(stddev_pop(a) * stddev_pop(b), 0) AS ic FROM ra GROUP BY day HAVING count(*) >= 5),
+ ic0 AS (SELECT day, count(*) AS n, round(covar_pop(a, b) / nullif(stddev_pop(a) * stddev_pop(b), 0), 9) AS ic FROM ra GROUP BY day HAVING count(*) >= 5),
  ic AS (SELECT day, ic, CASE WHEN count(*) OVER w >= 7 THEN avg(ic) OVER w END AS ic_7 FROM ic0 WHERE ic IS NOT NULL WINDOW w AS (ORDER BY day ROWS 6 PRECEDING)),
  hi AS (SELECT day, avg(y) AS hit FROM s GROUP BY day), h2 AS (SELECT day, hit, CASE WHEN count(*) OVER m >= 30 THEN avg(hit) OVER w END AS hit_7, CASE WHEN count(*) OVER m >= 30 THEN avg(hit) OVER m END AS hit_30 FROM hi WINDOW w AS (ORDER BY day ROWS 6 PRECEDING), m AS (ORDER BY day ROWS 29 PRECEDING)),
  pe AS (SELECT day, p, count(*) AS k FROM (SELECT day, p_up10 AS p FROM y) GROUP BY ALL), se AS (SELECT day + j::INT AS day, p, sum(CASE WHEN j = 0 THEN k ELSE 0 END) AS nw, sum(CASE WHEN j > 0 THEN k ELSE 0 END) AS od FROM pe, range(8) t(j) GROUP BY ALL),
