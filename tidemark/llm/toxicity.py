@@ -295,8 +295,8 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> Data
         m, known = shared.value, {}
         for b in batches:
             scores = []
-            for t in b.column(at).to_pylist():
-                scores.append(float(m.score(m.features(t or "", known))))
+            for t in b.column(at):
+                scores.append(float(m.score(m.features(t.as_py() or "", known))))
                 if len(known) > 200_000:
                     known = {}
             yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(scores, pa.float64())], names=[*keep, "toxicity"])
