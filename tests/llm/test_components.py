@@ -50,3 +50,23 @@ def test_components_take_few_jobs(spark):
     spark.sparkContext.setJobGroup("other", "")
     assert found.count() == 90
     assert jobs <= 12, jobs
+
+
+@pytest.mark.parametrize("few", [0, 40, 1 << 14])
+def test_components_by_rounds_and_in_one_task(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW", few)
+    links = [(a, b) for a, b in some_links(11) if a != b]
+    df = spark.createDataFrame([*links, (5, 5), (None, 7)], "a long, b long").repartition(5)
+    assert sorted(tuple(r) for r in connected_components(df).collect()) == brute(links)
+
+
+def test_few_links_take_no_rounds(spark):
+    chain = list(range(1, 400))
+    random.Random(2).shuffle(chain)
+    links = spark.createDataFrame(list(zip(chain, chain[1:])), "a long, b long").repartition(6)
+    spark.sparkContext.setJobGroup("few", "")
+    found = connected_components(links)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("few"))
+    spark.sparkContext.setJobGroup("other", "")
+    assert [tuple(r) for r in found.select("component").distinct().collect()] == [(1,)] and found.count() == 399
+    assert jobs <= 4, jobs

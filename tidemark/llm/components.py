@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import drop_stored, stored
 
-AT_ONCE = 1 << 17
+AT_ONCE, FEW = 1 << 17, 1 << 14
 
 
 def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,8 +52,9 @@ def _kept(edges: DataFrame) -> tuple[DataFrame, tuple]:
 def rooted(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 40) -> DataFrame:
     """(node, component), stored: component is the smallest node reachable. Nodes without links don't appear, nor does the smallest of a component.
 
-    links: two columns of one type; loops, repeats, either direction and nulls are fine. Each task first joins what its own links join. Each
-    round then is a few shuffles of the link table, written to the shared folder; rounds grow with the logarithm of the
+    links: two columns of one type; loops, repeats, either direction and nulls are fine. Each task first joins what its own links join. At most
+    FEW links that are left are joined as one task's own too: a bound, however large the input. Of more links, each
+    round is a few shuffles of the link table, written to the shared folder; rounds grow with the logarithm of the
     longest chain. A node with very many links is split by adaptive skew handling: its links never meet
     in one group, only minima are taken per node.
     """
@@ -62,6 +63,11 @@ def rooted(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 40) -
     for _ in range(max_rounds):
         if not before[0]:
             break
+        if before[0] <= FEW:
+            after = stored(edges.coalesce(1).mapInArrow(_forests, edges.schema), "links")
+            drop_stored(edges)
+            edges = after
+            break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
