@@ -51,6 +51,13 @@ def by_policy(rows: DataFrame, policies: dict[str, str] = POLICIES) -> DataFrame
     return rows.withColumn("policy", F.explode(tags))
 
 
+def per_policy(rows: DataFrame, value: str, policies: dict[str, str] = POLICIES) -> DataFrame:
+    """(policy, n, mean): rows that each policy sends and their mean value; one that sends none has n 0 and no mean."""
+    sent = by_policy(rows, policies).groupBy("policy").agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
+    names = rows.sparkSession.createDataFrame([(n,) for n in policies], "policy string")
+    return names.join(sent, "policy", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
 def edge(p: Column, target: float = 0.1, loss: float = 0.05, cost: float = 0.0015) -> Column:
     q = F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0))
     return (q * target - (1 - q) * loss - cost) * 100

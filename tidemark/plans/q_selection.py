@@ -83,10 +83,10 @@ query(
 )
 FAMILIES = {"quiet": "s7 < 0.7", "momentum": "r7 > 0.02 AND r3 > 0", "breakout": "s7 > 1.5", "reversal": "r3 < -0.02 AND r1 > 0", "strong": "r1 > 0.03", "all": "TRUE"}
 query("p_09_setup_families", "family:s n:l mean_score:d", SC + " " + " UNION ALL ".join(f"SELECT '{n}' AS family, count(*) AS n, avg(score) AS mean_score FROM uni WHERE {p}" for n, p in FAMILIES.items()))(
-    lambda s, d: x.by_policy(universe(s, d), FAMILIES).groupBy(F.col("policy").alias("family")).agg(F.count("*").alias("n"), F.avg("score").alias("mean_score"))
+    lambda s, d: x.per_policy(universe(s, d), "score", FAMILIES).withColumnsRenamed({"policy": "family", "mean": "mean_score"})
 )
 query("p_10_policies", "policy:s n:l mean_p:d", HEADS + " " + " UNION ALL ".join(f"SELECT '{n}' AS policy, count(*) AS n, avg(p_up10) AS mean_p FROM d1 WHERE {p}" for n, p in x.POLICIES.items()))(
-    lambda s, d: x.by_policy(ranked(s, d)).groupBy("policy").agg(F.count("*").alias("n"), F.avg("p_up10").alias("mean_p"))
+    lambda s, d: x.per_policy(ranked(s, d), "p_up10").withColumnRenamed("mean", "mean_p")
 )
 TIER = "t AS (SELECT *, coalesce(r7 > 0.02, false) AS s1, coalesce(s7 > 1.2, false) AS s2, coalesce(r1 > 0 AND r3 < 0, false) AS s3, coalesce(liq <= 5, false) AS s4 FROM d1), tt AS (SELECT *, CASE WHEN s1 AND s2 AND s4 THEN 'A_TRIPLE' WHEN s3 THEN 'B_S03' WHEN s1 OR s2 THEN 'C_PRIMARY' ELSE 'NO_PRIMARY' END AS tier, ((p_up10 * 0.1 - (1 - p_up10) * 0.05 - 0.0015) * 100) AS edge FROM t)"
 query(
