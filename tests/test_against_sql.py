@@ -1,6 +1,7 @@
 """Queries against their SQL on small made tables: what the given tables show only at other sizes."""
 
 import datetime as dt
+import random
 
 import duckdb
 import pyarrow as pa
@@ -32,3 +33,12 @@ def test_families_without_rows_are_counted(spark, tmp_path, name, days, empty):
     got, want = both(spark, tmp_path, name)
     assert len(got) == 6 and got == want
     assert sum(r[1:] == (0, None) for r in got) == empty
+
+
+@pytest.mark.parametrize("seed", [6, 23, 35])
+def test_equal_bands_are_told_as_in_sql(spark, tmp_path, seed):
+    """The last close is the one that leaves the window: two widths of the same twenty closes, which the last bits tell apart."""
+    cents = [(draw := random.Random(seed)).randrange(2000), *[draw.randrange(2000) for _ in range(28)]]
+    lineitem(tmp_path, {1: cents + [cents[9]]})
+    got, want = both(spark, tmp_path, "f_08_bollinger")
+    assert len(got) == 30 and got == want

@@ -26,6 +26,19 @@ def roll(agg: Callable[[Column], Column], x: Column | str, n: int, min_periods:
     return F.when(F.count(x).over(w) >= (n if min_periods is None else min_periods), agg(x).over(w))
 
 
+def roll_std(x: Column | str, n: int) -> Column:
+    """The sample deviation of the last n values by running means, step by step as the SQL takes it (M2 from the distances to the mean before and after): stddev_samp
+    takes other steps, and a query that asks whether two deviations are equal sees their last bits."""
+    values = F.collect_list(F.col(x) if isinstance(x, str) else x).over(frame(n))
+
+    def add(s: Column, v: Column) -> Column:
+        mean = s["mean"] + (v - s["mean"]) / (s["k"] + 1)
+        return F.struct((s["k"] + 1).alias("k"), mean.alias("mean"), (s["m2"] + (v - mean) * (v - s["mean"])).alias("m2"))
+
+    start = F.struct(F.lit(0.0).alias("k"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+    return F.when(F.size(values) >= n, F.aggregate(values, start, add, lambda s: F.sqrt(s["m2"] / (s["k"] - 1))))
+
+
 def lag(x: Column | str, n: int = 1, by: str = "market", order: str = "day") -> Column:
     return F.lag(x, n).over(series(by, order))
 

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.windows import EPS, frame, lag, last_rank, pct_rank, roll, series
+from tidemark.functions.windows import EPS, frame, lag, last_rank, pct_rank, roll, roll_std, series
 
 STATES = {"bull_quiet": 0, "bull_volatile": 1, "bear_quiet": 2, "bear_volatile": 3}
 
@@ -64,10 +64,10 @@ def with_macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9)
 
 def with_bollinger(bars: DataFrame) -> DataFrame:
     """Position, width, and whether the width is the least of the last 24 (unknown counts as 0)."""
-    mid, std = roll(F.avg, "close", 20), roll(F.stddev_samp, "close", 20)
+    mid, std = roll(F.avg, "close", 20), roll_std("close", 20)
     out = bars.withColumns({"bb_mid": mid, "bb_std": std})
     lower, upper = F.col("bb_mid") - 2 * F.col("bb_std"), F.col("bb_mid") + 2 * F.col("bb_std")
-    out = out.withColumns({"bb_position": (F.col("close") - lower) / (upper - lower + EPS), "bb_width": (upper - lower) / (F.col("bb_mid") + EPS)})
+    out = out.withColumns({"bb_position": (F.col("close") - lower) / (upper - lower + EPS), "bb_width": (4 * F.col("bb_std")) / (F.col("bb_mid") + EPS)})
     return out.withColumn("squeeze_on", F.coalesce((roll(F.min, "bb_width", 24, 10) == F.col("bb_width")).cast("int"), F.lit(0)))
 
 
