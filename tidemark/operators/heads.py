@@ -12,7 +12,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.sources.scratch import shared_path
+from tidemark.sources.scratch import shared_path, stored
 
 
 def _inputs(features: list[str]) -> list:
@@ -168,9 +168,9 @@ def greedy_matches(rows: DataFrame, picked: str, value: str) -> DataFrame:
 
 
 def sweep(rows: DataFrame, folds: list[tuple[str, str, str]], feature_sets: dict[str, list[str]], models: dict[str, dict], heads: list[str], name: str) -> DataFrame:
-    """rows of the test folds with set, model, fold and a score a head: each (set, model, fold, head) is fitted once and its scores are written once to the
-    shared folder, where all cut-offs, universes and regimes read them. models: {name: {"kind": ..., settings}}."""
-    out = None
+    """rows of the test folds with set, model, fold and a score a head: rows are worked out once, each (set, model, fold, head) is fitted once and its scores are
+    written once to the shared folder, where all cut-offs, universes and regimes read them. models: {name: {"kind": ..., settings}}."""
+    out, rows = None, stored(rows, f"{name}-rows")
     for label, features in feature_sets.items():
         for model, settings in models.items():
             options = {k: v for k, v in settings.items() if k != "kind"}
