@@ -29,3 +29,9 @@ def test_sweep_works_rows_out_once(counted):
     out = h.sweep(rows, FOLDS, {"a": ["a"], "k": ["a", "y"]}, {"logistic": {"kind": "logistic"}}, ["y"], "sweep")
     assert out.groupBy("set", "fold").count().count() == 4 and out.count() == 2 * (31 + 18)
     assert seen.value == 110
+
+
+def test_walk_forward_works_rows_out_once(counted):
+    rows, seen = counted
+    out = h.walk_forward(rows, FOLDS, ["a"], "y", "p", "logistic")
+    assert out.count() == 31 + 18 and seen.value == 110

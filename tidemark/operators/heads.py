@@ -43,8 +43,9 @@ def predict(model, rows: DataFrame, name: str) -> DataFrame:
 
 
 def walk_forward(rows: DataFrame, folds: list[tuple[str, str, str]], features: list[str], y: str, name: str, kind: str = "trees", **settings) -> DataFrame:
-    """Out-of-fold scores: for each (train before, test from, test before) one model; nothing later is in reach of it."""
-    out = None
+    """Out-of-fold scores: for each (train before, test from, test before) one model; nothing later is in reach of it. A fit reads its rows many times, so
+    they are worked out once and written to the shared folder."""
+    out, rows = None, stored(rows, "walk-forward")
     for k, (until, start, end) in enumerate(folds):
         train = rows.where((F.col("day") < F.lit(until).cast("date")) & F.col(y).isNotNull())
         test = rows.where((F.col("day") >= F.lit(start).cast("date")) & (F.col("day") < F.lit(end).cast("date")))
